@@ -1,0 +1 @@
+"""Operators of the netlist and trace analytics engine."""

@@ -1,0 +1 @@
+"""Plans of the netlist and trace analytics engine."""

@@ -1,0 +1 @@
+"""Sources of the netlist and trace analytics engine."""

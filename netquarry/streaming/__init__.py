@@ -1,0 +1 @@
+"""Streaming of the netlist and trace analytics engine."""
