@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import media, pieces, token_counts
+from netquarry.llm import langid, media, pieces, quality, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,19 @@ def op3_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(";", "codec", F.concat_ws("/", F.col("duration").cast("string"), F.col("timescale").cast("string")), F.concat_ws(" of ", F.size("key_begins").cast("string"), F.col("n_samples").cast("string")), ranges).alias("feature"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    profiles = langid.train(df, "doc_id", "text", "lang", ~held_out)
+    return langid.predict(df, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = documents(spark, sf_dir)
+    model, weights = quality.fit(df)
+    return quality.score(df, model, weights).select("doc_id", "posterior", "score", (F.col("score") >= 0.5).alias("keep"))
+
+
 def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
     return found.select(
@@ -37,7 +50,9 @@ def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_iso_media": op3_iso_media,
+    "op7_language_id": op7_language_id,
     "op8_piece_encoding": op8_piece_encoding,
+    "op10_weak_quality": op10_weak_quality,
 }
 #: DuckDB SQL for the queries that SQL can express.
 SQL: dict[str, str] = {}
