@@ -28,7 +28,8 @@ DIMENSIONS = 1 << 16
 TRAIN_ROWS = 4000
 MEMO_WORDS = 400_000
 _punctuation = string.punctuation.encode()
-_upper, _digits = string.ascii_uppercase.encode(), string.digits.encode()
+_upper = string.ascii_uppercase.encode()
+_decorated = re.compile(rb"[!-/:-@\\[-`{-~]{2,}(?:\s|$)")  # a word that ends in two signs or more
 _shape = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0")]
 
 
@@ -39,15 +40,16 @@ def below(x: float, good: float, bad: float) -> int:
 
 #: name -> vote; each gets the facts of one document.
 LABELLERS = {
-    "symbols": lambda f: below(f["symbols"], 0.05, 0.08),
-    "capitals": lambda f: below(f["capitals"], 0.06, 0.3),
+    "symbols": lambda f: ABSTAIN if f["words"] < 10 else below(f["symbols"], 0.05, 0.12),
+    "decorated": lambda f: below(f["decorated"], 0.05, 0.2),
+    "capitals": lambda f: ABSTAIN if f["words"] < 10 else below(f["capitals"], 0.06, 0.3),
     "stutter": lambda f: below(f["stutter"], 0.02, 0.1),
     "top_word": lambda f: ABSTAIN if f["words"] < 20 else below(f["top_word"], 0.12, 0.25),
     "variety": lambda f: ABSTAIN if not 20 <= f["words"] <= 2000 else GOOD if f["variety"] >= 0.6 else BAD if f["variety"] < 0.35 else ABSTAIN,
     "bare_symbols": lambda f: below(f["bare_symbols"], 0.01, 0.1),
     "word_length": lambda f: ABSTAIN if f["words"] < 20 else GOOD if 3.5 <= f["word_length"] <= 7 else BAD if not 2.5 <= f["word_length"] <= 9 else ABSTAIN,
     "repeated_lines": lambda f: ABSTAIN if f["lines"] < 4 else below(f["repeated_lines"], 0.1, 0.3),
-    "length": lambda f: BAD if f["words"] < 3 else ABSTAIN,
+    "emptiness": lambda f: BAD if not f["words"] else ABSTAIN,
 }
 
 
@@ -58,6 +60,7 @@ def facts(data: bytes, words: list[bytes]) -> dict[str, float]:
         "words": n, "lines": len(lines),
         "symbols": (size - len(data.translate(None, _punctuation))) / max(1, size),
         "capitals": (size - len(data.translate(None, _upper))) / max(1, size),
+        "decorated": len(_decorated.findall(data)) / max(1, n),
         "stutter": sum(map(operator.eq, words, words[1:])) / max(1, n),
         "top_word": max(Counter(words).values(), default=0) / max(1, n),
         "variety": len(set(words)) / max(1, n),
@@ -80,21 +83,26 @@ def votes_of(codes: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """Two classes; each labeller has a probability for each vote in each class, votes being independent in a class."""
+    """Two classes; each labeller has a probability for good and bad votes in each class, votes being independent in a class.
+
+    An abstention says nothing. At first a document is taken for bad if any labeller votes so.
+    """
 
     def __init__(self, counts: dict[int, int], rounds: int = 100, smooth: float = 1.0):
         self.codes = np.array(sorted(counts), np.int64)
         weight = np.array([counts[c] for c in self.codes.tolist()], float)
         votes = votes_of(self.codes) if len(self.codes) else np.zeros((0, len(LABELLERS)), np.int64)
-        one_hot = votes[:, :, None] == np.arange(3)
-        margin = (votes == GOOD).sum(1) - (votes == BAD).sum(1) - 2 * (votes == BAD).sum(1)  # bad votes are rarer and weigh more
-        good = 1 / (1 + np.exp(-margin.astype(float)))
+        one_hot = (votes[:, :, None] == np.arange(3)) & (np.arange(3) != ABSTAIN)
+        good = np.where((votes == BAD).any(1), 0.1, 0.9)
         for _ in range(rounds):
             self.prior = (weight @ good + smooth) / (weight.sum() + 2 * smooth)
             self.tables = []
             for share in (1 - good, good):
                 n = np.einsum("p,pjv->jv", weight * share, one_hot) + smooth
-                self.tables.append(n / n.sum(1, keepdims=True))
+                n[:, ABSTAIN] = 0
+                n /= n.sum(1, keepdims=True)
+                n[:, ABSTAIN] = 1  # so that it leaves every product as it is
+                self.tables.append(n)
             before, good = good, self.posteriors(votes)
             if len(good) and np.abs(good - before).max() < 1e-9:
                 break
