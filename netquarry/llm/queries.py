@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import langid, media, pieces, quality, token_counts
+from netquarry.llm import langid, media, pieces, quality, token_counts, weighted_sampling
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(";", "codec", F.concat_ws("/", F.col("duration").cast("string"), F.col("timescale").cast("string")), F.concat_ws(" of ", F.size("key_begins").cast("string"), F.col("n_samples").cast("string")), ranges).alias("feature"))
 
 
+def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.with_edits(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -50,6 +54,7 @@ def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_iso_media": op3_iso_media,
+    "op4_weighted_sampling": op4_weighted_sampling,
     "op7_language_id": op7_language_id,
     "op8_piece_encoding": op8_piece_encoding,
     "op10_weak_quality": op10_weak_quality,
