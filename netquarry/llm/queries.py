@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import langid, media, pieces, quality, token_counts, weighted_sampling
+from netquarry.llm import langid, line_dedup, media, pieces, quality, token_counts, weighted_sampling
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.with_edits(documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = documents(spark, sf_dir).select("doc_id", "text")
+    return line_dedup.apply(df, line_dedup.bitmaps(df)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -55,9 +60,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_iso_media": op3_iso_media,
     "op4_weighted_sampling": op4_weighted_sampling,
+    "op5_line_dedup": op5_line_dedup,
     "op7_language_id": op7_language_id,
     "op8_piece_encoding": op8_piece_encoding,
     "op10_weak_quality": op10_weak_quality,
 }
 #: DuckDB SQL for the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+        keyed AS (
+            SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key FROM lines),
+        frequent AS (SELECT line_key FROM keyed WHERE length(line_key) >= 1 GROUP BY line_key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (f.line_key IS NOT NULL)::BIGINT AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (f.line_key IS NULL), '')) AS kept_sha256
+        FROM keyed LEFT JOIN frequent f USING (line_key) GROUP BY doc_id""",
+}
