@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import langid, line_dedup, media, pieces, quality, token_counts, weighted_sampling
+from netquarry.llm import langid, line_dedup, media, pieces, quality, simhash, token_counts, weighted_sampling
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.apply(df, line_dedup.bitmaps(df)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir), words_in_shingle=3)
+    return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = documents(spark, sf_dir)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_iso_media": op3_iso_media,
     "op4_weighted_sampling": op4_weighted_sampling,
     "op5_line_dedup": op5_line_dedup,
+    "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_piece_encoding": op8_piece_encoding,
     "op10_weak_quality": op10_weak_quality,
