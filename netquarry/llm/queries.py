@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import langid, line_dedup, media, pieces, quality, simhash, token_counts, weighted_sampling
+from netquarry.llm import langid, line_dedup, media, mixing, pieces, quality, simhash, token_counts, weighted_sampling
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(df, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(documents(spark, sf_dir))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = documents(spark, sf_dir)
     model, weights = quality.fit(df)
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash": op6_simhash,
     "op7_language_id": op7_language_id,
     "op8_piece_encoding": op8_piece_encoding,
+    "op9_mixing": op9_mixing,
     "op10_weak_quality": op10_weak_quality,
 }
 #: DuckDB SQL for the queries that SQL can express.
