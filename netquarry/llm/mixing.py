@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import cut_lineage, row_key, shuffle_partitions, slices, utf8
+from netquarry.llm.common import cut_lineage, numbered, row_key, shuffle_partitions, slices, utf8
 
 #: Documents in a block of the tree, about.
 BLOCK_ROWS = 2048
@@ -35,17 +35,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, total:
     times its source's size, and what is over goes to the others by weight. Per-source rows alone are numbered and summed:
     numbering goes by sorted ranges, of which only the counts come to the driver.
     """
-    spark = sized.sparkSession
-    per = cut_lineage(
-        sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-        .withColumn("last", F.col("source").isNull()).repartitionByRange(shuffle_partitions(spark), "last", "source").sortWithinPartitions("last", "source").withColumn("place", F.monotonically_increasing_id()))
-    part, at = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
-    before, offsets = 0, [F.lit(-1), F.lit(0)]
-    for p, n in sorted(per.groupBy(part.alias("p")).count().collect()):  # a number for each partition
-        offsets += [F.lit(p), F.lit(before)]
-        before += n
-    index = F.create_map(*[x.cast("long") for x in offsets])[part] + at
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(index, F.lit(len(weights))) + 1).cast("int"))
+    per = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")).withColumn("last", F.col("source").isNull())
+    per = numbered(per, "last", "source")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod("ordinal", F.lit(len(weights))) + 1).cast("int"))
     table = per.withColumn("weight", weight).withColumn("most", F.col("source_size") * most)
     rest, left, share, capped = None, None, None, -1
     while True:  # each round caps at least one more source, and all over the share at once

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import langid, line_dedup, media, mixing, pieces, quality, simhash, token_counts, weighted_sampling
+from netquarry.llm import langid, line_dedup, media, mixing, pieces, quality, simhash, token_counts, warc, weighted_sampling
+from netquarry.llm.common import cut_lineage
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a second copy of the archive of all pages, in which pages have another first character where a sum of their lengths is 3 modulo 97."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    body = F.coalesce("html", F.lit(""))
+    rotten = (F.octet_length(F.coalesce("url", F.lit(""))) * 31 + F.octet_length(body)) % 97 == 3
+    copy = warc.record(F.col("url"), F.when(rotten, F.concat(F.lit("?"), F.substring(body, 2, 1 << 30))).otherwise(body))
+    read = pages.select("page_id", "url", warc.record(F.col("url"), body).alias("record"), F.sha2(copy, 256).alias("copy_sha256"), F.octet_length(copy).cast("long").alias("copy_bytes"))
+    listed = cut_lineage(warc.manifest(read, "record", "page_id", "url"))
+    audited = warc.audit(listed.drop("copy_sha256", "copy_bytes"), listed.select("ordinal", F.col("copy_sha256").alias("sha256"), F.col("copy_bytes").alias("bytes")))
+    return audited.select("page_id", "file", "begin", "end", "sha256", "damaged")
+
+
 def op3_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.containers(documents(spark, sf_dir), keep_media=False)
     ranges = F.sha2(F.concat_ws(",", F.zip_with("key_begins", "key_ends", lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string")))), 256)
@@ -68,6 +81,7 @@ def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_warc_audit": op2_warc_audit,
     "op3_iso_media": op3_iso_media,
     "op4_weighted_sampling": op4_weighted_sampling,
     "op5_line_dedup": op5_line_dedup,
@@ -77,8 +91,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_weak_quality": op10_weak_quality,
 }
+
+
+def _record_sql(body: str) -> str:
+    line = "' || chr(13) || chr(10) || '"
+    return (
+        f"'WARC/1.0{line}WARC-Type: resource{line}WARC-Record-ID: <urn:sha256:' || sha256(url || ' ' || {body}) || '>{line}WARC-Date: {warc.DATE}{line}WARC-Target-URI: ' || url || '"
+        f"{line}Content-Type: text/html{line}WARC-Block-Digest: sha256:' || sha256({body}) || '{line}Content-Length: ' || strlen({body}) || '{line}{line}' || {body} || '{line}{line}'")
+
+
 #: DuckDB SQL for the queries that SQL can express.
 SQL: dict[str, str] = {
+    "op2_warc_audit": f"""
+        WITH texts AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body, url AS u FROM pages),
+        copies AS (SELECT *, CASE WHEN rotten THEN '?' || substr(body, 2) ELSE body END AS copy FROM (SELECT *, (strlen(url) * 31 + strlen(body)) % 97 = 3 AS rotten FROM texts)),
+        records AS (SELECT page_id, u, {_record_sql('body')} AS record, {_record_sql('copy')} AS copied FROM copies),
+        listed AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, u NULLS FIRST, sha256(record)) - 1 AS ordinal FROM records)
+        SELECT page_id, (ordinal // 4096)::BIGINT AS file, (sum(strlen(record)) OVER w - strlen(record))::BIGINT AS begin, (sum(strlen(record)) OVER w)::BIGINT AS "end",
+            sha256(record) AS sha256, record <> copied AS damaged
+        FROM listed WINDOW w AS (PARTITION BY ordinal // 4096 ORDER BY ordinal)""",
     "op5_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
