@@ -52,36 +52,40 @@ def line_hashes(rows: DataFrame) -> DataFrame:
     return rows.select("id", "k1", "k2", "text").mapInArrow(run, f"h1 long, h2 long, id {kind}, k1 long, k2 long, pos int, n_lines int")
 
 
-def frequent_lines(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[list[tuple]]:
-    """Streams over a partition's sorted lines and yields rows (kind, h1, h2, k1, k2, pos, n_lines, documents).
+def frequent_lines(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool) -> Iterator[list[tuple]]:
+    """Streams over a partition's sorted lines and yields rows (kind, h1, h2, id, k1, k2, pos, n_lines, documents).
 
     A run's lines go as soon as it has min_docs documents; up to then they wait, so that no more wait than the lines of
     min_docs documents. The first and last run of a partition may go on elsewhere: their counts are given, and lines that
-    still wait at the end of such a run are left open.
+    still wait at the end of such a run are left open. With keep_first a run's first line stays; where the run may go on
+    elsewhere, its count comes with that line, for only the very first one stays.
     """
     out: list[tuple] = []
-    run, doc, n, waiting, first_run = None, None, 0, [], True
+    run, doc, n, waiting, first_run, head = None, None, 0, [], True, None
 
     def close(last: bool) -> None:
         if run is not None and (first_run or last):
-            out.append((COUNT, *run, 0, 0, 0, 0, n))
+            out.append((COUNT, *run, *head, n))
             out.extend((OPEN, *run, *w, n) for w in waiting)
 
     for batch in batches:
-        for h1, h2, k1, k2, pos, total in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "k1", "k2", "pos", "n_lines"))):
-            if (h1, h2) != run:
+        for h1, h2, *line in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "id", "k1", "k2", "pos", "n_lines"))):
+            opens = (h1, h2) != run
+            if opens:
                 close(last=False)
                 first_run = run is None
-                run, doc, n, waiting = (h1, h2), None, 0, []
-            if (k1, k2) != doc:
-                doc, n = (k1, k2), n + 1
+                run, doc, n, waiting, head = (h1, h2), None, 0, [], line
+            if line[1:3] != doc:
+                doc, n = line[1:3], n + 1
                 if n == min_docs:
                     out.extend((GOES, *run, *w, n) for w in waiting)
                     waiting = []
-            if n >= min_docs:
-                out.append((GOES, *run, k1, k2, pos, total, n))
+            if keep_first and opens:
+                pass
+            elif n >= min_docs:
+                out.append((GOES, *run, *line, n))
             else:
-                waiting.append((k1, k2, pos, total))
+                waiting.append(line)
             if len(out) >= 20_000:
                 yield out
                 out = []
@@ -89,31 +93,47 @@ def frequent_lines(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator
     yield out
 
 
-def bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
+def bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = False) -> DataFrame:
     """(k1, k2, n_lines, keep): one row for each document that loses a line; keep is a zlib-compressed bitmap, 1 for stays.
 
     A line's key is the line without ASCII white space at its ends and with A-Z in lower case; keys of min_docs documents
-    or more lose all their lines. Lines with an empty key always stay. Repeated rows (equal id and text) are one document, here and in
-    apply(); k1 and k2 identify it. A null text is one empty line. An empty table gives an empty one.
+    or more lose all their lines, or with keep_first all but the first (by id, null first, then row key and position).
+    Lines with an empty key always stay. Repeated rows (equal id and text) are one document, here and in apply(); k1 and k2
+    identify it. A null text is one empty line. An empty table gives an empty one. No hash's lines are ever gathered: a
+    very common line's run is dealt over as many partitions as it needs.
     """
     spark = df.sparkSession
     rows = row_key(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     order = ["h1", "h2", "id", "k1", "k2"]
-    dealt = line_hashes(rows).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "pos").drop("id")
+    dealt = line_hashes(rows).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "pos")
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["kind", "h1", "h2", "id", "k1", "k2", "pos", "n_lines", "docs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in frequent_lines(batches, min_docs):
+        kinds = [pa.int32(), pa.int64(), pa.int64(), None, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds[3] = batch.column("id").type
+                yield batch
+
+        for out in frequent_lines(seen(), min_docs, keep_first):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    names = ["kind", "h1", "h2", "k1", "k2", "pos", "n_lines", "docs"]
-    kinds = [pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.int64()]
-    # two passes read what the stream leaves, and the ranges of a second shuffle could differ
-    left = cut_lineage(dealt.mapInArrow(run, "kind int, h1 long, h2 long, k1 long, k2 long, pos int, n_lines int, docs long"))
+    # several passes read what the stream leaves, and the ranges of a second shuffle could differ
+    left = cut_lineage(dealt.mapInArrow(run, f"kind int, h1 long, h2 long, id {kind}, k1 long, k2 long, pos int, n_lines int, docs long"))
     # at most two rows for each partition of the shuffle
-    totals = left.where(F.col("kind") == COUNT).groupBy("h1", "h2").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("h1", "h2")
-    goes = left.where(F.col("kind") == GOES).unionByName(left.where(F.col("kind") == OPEN).join(F.broadcast(totals), ["h1", "h2"], "left_semi").select(left.columns))
-    gone = goes.groupBy("k1", "k2").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
+    counts = left.where(F.col("kind") == COUNT)
+    line = F.struct("id", "k1", "k2", "pos")
+    totals = counts.groupBy("h1", "h2").agg(F.sum("docs").alias("total"), F.min(line).alias("head")).where(F.col("total") >= min_docs)
+    goes = [left.where(F.col("kind") == GOES), left.where(F.col("kind") == OPEN).join(F.broadcast(totals), ["h1", "h2"], "left_semi")]
+    if keep_first:
+        goes.append(counts.join(F.broadcast(totals), ["h1", "h2"]).where(~line.eqNullSafe(F.col("head"))))
+    every = goes[0].select("k1", "k2", "n_lines", "pos")
+    for more in goes[1:]:
+        every = every.unionByName(more.select("k1", "k2", "n_lines", "pos"))
+    gone = every.groupBy("k1", "k2").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -50,7 +50,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(documents(spark, sf_dir), words_in_shingle=3)
+    found = simhash.near_duplicates(documents(spark, sf_dir), words_in_shingle=3, scheme=simhash.EXACT)
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
