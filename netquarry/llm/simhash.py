@@ -27,19 +27,23 @@ BITS = 64
 
 
 class Scheme(NamedTuple):
-    """Which fingerprints link: at most `radius` bits differ, and `sketch_radius` bits of the sketches, if there are any."""
+    """Which fingerprints link: at most `reach` bits differ, and `sketch_radius` bits of the sketches, if there are any.
+
+    Buckets bring together all pairs up to `radius` differing bits, and most of those from there up to `reach`.
+    """
 
     radius: int
     blocks: int
+    reach: int
     sketch_radius: int = 0
 
 
 #: For fingerprints alone: 20 buckets of 31 to 33 bits.
-EXACT = Scheme(3, 6)
+EXACT = Scheme(3, 6, 3)
 #: For texts of which 5-word shingles have a Jaccard similarity of 0.8 or more: fingerprints of the set of words, 56 buckets
 #: of 24 bits, and sketches of 256 bits of the shingles. At 0.8 the angle is that of a cosine of 8/9: 39 bits with a
 #: standard deviation of 6.
-NEAR_COPIES = Scheme(5, 8, 50)
+NEAR_COPIES = Scheme(5, 8, 9, 48)
 SKETCH_BITS = 256
 #: Fingerprints of a bucket that are compared as one block of bit planes.
 BLOCK_ROWS = 4096
@@ -166,7 +170,7 @@ class Planes:
 
 def bucket_links(rows: list[tuple[int, int]], mask: int, scheme: Scheme) -> list[tuple[int, int]]:
     """Links that join a bucket's rows (fingerprint, sketch) as all linked pairs would; fewer than rows."""
-    radius, sketch_radius = scheme.radius, scheme.sketch_radius
+    radius, sketch_radius = scheme.reach, scheme.sketch_radius
     if len(rows) == 2:
         (a, x), (b, y) = rows
         return [(a, b)] if (a ^ b).bit_count() <= radius and (x ^ y).bit_count() <= sketch_radius else []
