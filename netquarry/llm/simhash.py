@@ -332,7 +332,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = cut_lineage(components(links(distinct, scheme)).join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "low"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component"))
     named = linked.select("fp", "root").join(lows, "root").select("fp", "component")
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"))
+    # written, so that both sides of the last join are dealt anew and a fingerprint with very many copies can be split
+    every = cut_lineage(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")))
     return fps.join(every, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 

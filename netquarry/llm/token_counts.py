@@ -39,6 +39,7 @@ class WordBpe(dict):
 
     def __init__(self, blob: bytes):
         spec = json.loads(blob)
+        self.blob, self.newer = blob, None
         model = spec["model"]
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
@@ -67,10 +68,22 @@ class WordBpe(dict):
         """The tokens of a stretch of text that white space ends."""
         if self.has_special and len(parts := self.special.split(word)) > 1:
             return len(parts) - 1 + sum(self.count_word(p) for p in parts if p)
+        if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):
+            return sum(map(self.__getitem__, self.newer_words(word)))
         # White space never gets into a token, so that it is not made uniform first. Lower case goes character by
         # character: a final capital sigma is no special case.
         return sum(map(self.__getitem__, self.pattern.findall(unicodedata.normalize("NFC", word).replace("Σ", "σ").lower())))
 
+    def newer_words(self, word: str) -> list[str]:
+        """Cuts text with code points that are newer than Python's Unicode tables, by the tables of the library itself."""
+        import tokenizers
+
+        if self.newer is None:
+            split = tokenizers.pre_tokenizers.Split(tokenizers.Regex(self.pattern.pattern), "removed", invert=True)
+            self.newer = tokenizers.Tokenizer.from_str(self.blob.decode()).normalizer, split
+        normal, split = self.newer
+        return [x for x, _ in split.pre_tokenize_str(normal.normalize_str(word))]
+
     def count(self, text: str) -> int:
         return sum(map(self.written.__getitem__, text.replace("\n", " ").split(" ")))
 
