@@ -80,8 +80,8 @@ def frequent_lines(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first:
                 if n == min_docs:
                     out.extend((GOES, *run, *w, n) for w in waiting)
                     waiting = []
-            if keep_first and opens:
-                pass
+            if keep_first and line == head:
+                pass  # repeated rows have it more than once
             elif n >= min_docs:
                 out.append((GOES, *run, *line, n))
             else:
