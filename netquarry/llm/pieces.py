@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import from_buffer, slices, strings
+from netquarry.llm.common import from_buffer, only_memo, slices, strings
 
 MARK = "▁"
-#: Chunks that a worker remembers; at this many it starts anew.
-MEMO_CHUNKS = 400_000
+#: Words that a worker remembers; at this many it starts anew.
+MEMO_WORDS = 300_000
 NONE = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _models: dict[bytes, "Pieces"] = {}
@@ -80,7 +80,12 @@ class Pieces:
         self.cut = all(MARK not in p.lstrip(MARK) for p in self.score)
         self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.cut else "(?s:.+)")
         self.plain = not self.map.units and not self.norm.remove_extra_whitespaces and self.norm.escape_whitespaces
-        self.memo: dict[str, tuple[bytes, bytes, bytes, bytes]] = {}
+        self.known = {p: (self.ids[p], len(p.encode()), p.count(MARK)) for p in self.score}
+        surfaces = [t.replace(MARK, " ").encode() if k == NORMAL else b"" for t, k in zip(self.text, self.kind)]
+        self.is_normal = np.array([k == NORMAL for k in self.kind])
+        self.surface = np.frombuffer(b"".join(surfaces), np.uint8)
+        self.surface_size = np.array([len(x) for x in surfaces], np.int64)
+        self.surface_at = np.cumsum(self.surface_size) - self.surface_size
         self.words = Words(self)
 
     # -- normalising ---------------------------------------------------------
@@ -172,65 +177,66 @@ class Pieces:
                 heapq.heappush(heap, (-s, h, new, len(at[h])))
         return [x for x in at if x is not None]
 
-    def encode_chunk(self, chunk: str, remember: bool = True) -> tuple[bytes, bytes, bytes, bytes]:
-        """Packed ids, packed lengths in bytes of normalised text, the same where marks were spaces, and the decoded bytes."""
-        ids, lengths, shorter = [], [], []
+    def encode_chunk(self, chunk: str, mark_bytes: int = 3) -> bytes:
+        """Packed pairs (id, bytes of the text it covers), a mark counting as so many."""
+        out: list[int] = []
+        less = 3 - mark_bytes
         for piece in self.merge(chunk):
-            size = len(piece.encode())
-            if piece in self.score:
-                ids.append(self.ids[piece])
-                lengths.append(size)
-            elif self.bytes:
-                ids += [self.bytes[b] for b in piece.encode()]
-                lengths += [0] * (size - 1) + [size]  # as in the library, the last byte's piece has the character's span
-            elif ids and ids[-1] == self.unknown:
-                lengths[-1] += size
-                shorter[-1] += size - 2 * piece.count(MARK)
+            if (known := self.known.get(piece)) is not None:
+                i, size, marks = known
+                out += (i, size - marks * less)
                 continue
+            size = len(piece.encode()) - less * piece.count(MARK)
+            if self.bytes:
+                for b in piece.encode():
+                    out += (self.bytes[b], 0)
+                out[-1] = size  # as in the library, the last byte's piece has the character's span
+            elif out and out[-2] == self.unknown:
+                out[-1] += size
             else:
-                ids.append(self.unknown)
-                lengths.append(size)
-            shorter += lengths[len(shorter):]
-            shorter[-1] -= 2 * piece.count(MARK)
-        if len(self.memo) >= MEMO_CHUNKS // 4:
-            self.memo.clear()
-        known = (array("i", ids).tobytes(), array("i", lengths).tobytes(), array("i", shorter).tobytes(), self.decode(ids, keep_first=True))
-        if remember:
-            self.memo[chunk] = known
-        return known
+                out += (self.unknown, size)
+        return array("i", out).tobytes()
 
     def encode(self, text: str) -> tuple[bytes, bytes, bytes, bytes]:
         """Packed ids (end id last), span begins and ends in bytes of the original text, and the decoded UTF-8."""
         if not text:
             return array("i", [self.end]).tobytes(), b"\0\0\0\0", b"\0\0\0\0", b""
         prefix = bool(self.norm.add_dummy_prefix)
-        if self.plain:  # every character stands for itself: the map is the identity
-            normal, where = (MARK * prefix) + text.replace(" ", MARK), None
-        else:
-            normal, where = self.normalise(text)
-        marks_were_spaces = where is None and MARK not in text
-        if marks_were_spaces and self.cut and prefix and text[0] != " " and "  " not in text:
-            parts = list(map(self.words.__getitem__, text.split(" ")))
+        if self.plain and self.cut and prefix and MARK not in text:
+            # Every character stands for itself, and marks are the spaces, a byte each; the first one is the dummy prefix.
+            if text[0] != " " and "  " not in text:
+                packed = b"".join(map(self.words.__getitem__, text.split(" ")))
+            else:
+                packed = b"".join([self.encode_chunk(c, 1) for c in self.chunk.findall(MARK + text.replace(" ", MARK))])
+            pairs = np.frombuffer(packed, np.int32).reshape(-1, 2)
+            ends = np.cumsum(pairs[:, 1], dtype=np.int32) - np.int32(1)
+            begins = np.maximum(ends - pairs[:, 1], 0)
         else:
-            memo = self.memo
-            parts = [memo.get(c) or self.encode_chunk(c) for c in self.chunk.findall(normal)]
-        ids = b"".join([p[0] for p in parts])
-        lengths = np.frombuffer(b"".join([p[2 if marks_were_spaces else 1] for p in parts]), np.int32)
-        ends = np.cumsum(lengths, dtype=np.int32)
-        begins = ends - lengths
-        if marks_were_spaces and prefix:
-            ends = ends - np.int32(1)
-            begins = np.maximum(begins - np.int32(1), 0)
-        elif where is None and not marks_were_spaces:
-            begins, ends = self.source(text, begins, ends, prefix)
-        elif where is not None:
-            table = np.array(where, np.int32)
-            begins, ends = table[begins], table[ends]
-        decoded = b"".join([p[3] for p in parts])
-        if (prefix or self.norm.remove_extra_whitespaces) and decoded[:1] == b" " and normal[:1] == MARK:
-            decoded = decoded[1:]
+            if self.plain:
+                normal, where = (MARK * prefix) + text.replace(" ", MARK), None
+            else:
+                normal, where = self.normalise(text)
+            pairs = np.frombuffer(b"".join([self.encode_chunk(c) for c in self.chunk.findall(normal)]), np.int32).reshape(-1, 2)
+            ends = np.cumsum(pairs[:, 1], dtype=np.int32)
+            begins = ends - pairs[:, 1]
+            if where is None:
+                begins, ends = self.source(text, begins, ends, prefix)
+            else:
+                table = np.array(where, np.int32)
+                begins, ends = table[begins], table[ends]
+        ids = pairs[:, 0]
         last = array("i", [int(ends[-1]) if len(ends) else 0]).tobytes()
-        return ids + array("i", [self.end]).tobytes(), begins.astype(np.int32).tobytes() + last, ends.astype(np.int32).tobytes() + last, decoded
+        return (
+            ids.tobytes() + array("i", [self.end]).tobytes(), begins.astype(np.int32, copy=False).tobytes() + last, ends.astype(np.int32, copy=False).tobytes() + last, self.decode_array(ids))
+
+    def decode_array(self, ids: np.ndarray) -> bytes:
+        """decode(), by one gather where every id is a normal piece."""
+        if not len(ids) or not self.is_normal[ids].all() or self.norm.remove_extra_whitespaces:
+            return self.decode(ids.tolist())
+        size = self.surface_size[ids]
+        shift = self.surface_at[ids] - np.cumsum(size) + size
+        out = self.surface[np.repeat(shift, size) + np.arange(int(size.sum()))].tobytes()
+        return out[1:] if self.norm.add_dummy_prefix and self.text[ids[0]].startswith(MARK) else out
 
     @staticmethod
     def source(text: str, begins: np.ndarray, ends: np.ndarray, prefix: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -243,11 +249,9 @@ class Pieces:
 
     # -- decoding ------------------------------------------------------------
 
-    def decode(self, ids: list[int], keep_first: bool = False) -> bytes:
+    def decode(self, ids: list[int]) -> bytes:
         """The text of the ids; runs of byte pieces become characters, and what is no UTF-8 becomes U+FFFD byte by byte."""
-        if keep_first and all(self.kind[i] == NORMAL for i in ids):
-            return "".join([self.text[i] for i in ids]).replace(MARK, " ").encode()
-        out, run, first = [], bytearray(), not keep_first
+        out, run, first = [], bytearray(), True
         for i in [*ids, None]:
             if i is not None and self.kind[i] == BYTE:
                 run.append(int(self.text[i][3:5], 16))
@@ -280,10 +284,10 @@ class Words(dict):
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes, bytes, bytes]:
-        if len(self) >= MEMO_CHUNKS:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO_WORDS:
             self.clear()
-        known = self.pieces.encode_chunk(MARK + word, remember=False)
+        known = self.pieces.encode_chunk(MARK + word, 1)
         if len(word) < 100:
             self[word] = known
         return known
@@ -308,6 +312,7 @@ def repair(raw: bytes) -> bytes:
 
 def model(blob: bytes) -> Pieces:
     key = hashlib.sha256(blob).digest()
+    only_memo("pieces", _models.clear)
     if key not in _models:
         _models[key] = Pieces(blob)
     return _models[key]
