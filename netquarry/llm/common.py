@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker holds as Python objects at once (a longer single text still goes through whole).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -26,6 +26,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch between Spark and its Python workers, where the session leaves Spark's default.
+BATCH_BYTES, _BYTES, _DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Makes the session's Arrow batches smaller than Spark's default, which several tasks of an executor hold several times."""
+    conf = df.sparkSession.conf
+    if str(conf.get(_BYTES, None)).lower().removesuffix("b") in ("none", str(_DEFAULT), "64m"):
+        conf.set(_BYTES, str(BATCH_BYTES))
+
+
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def only_memo(name: str, clear: Callable[[], None]) -> None:
+    """Says that a worker's memo is in use: those of other operators, which ran in the same worker before, are cleared."""
+    for other in [k for k in _memos if k != name]:
+        _memos.pop(other)()
+    _memos[name] = clear
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -41,6 +62,8 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
             to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+        del batch, size
+        pa.default_memory_pool().release_unused()  # a worker goes on to live beside others
 
 
 def utf8(column: pa.Array) -> list[bytes]:

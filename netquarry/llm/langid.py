@@ -7,69 +7,53 @@ n-grams, of how far apart the two ranks are, and a whole profile length for an n
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import slices, strings
+from netquarry.llm.common import bounded_batches, slices, strings
 
 PROFILE = 400
 #: Rows of each language that the profiles are learned from, about; the choice goes by a hash of the row.
 TRAIN_ROWS = 2000
-MEMO_WORDS, MEMO_GRAMS = 400_000, 200_000
+#: More languages than there are codes in ISO 639-3: such a column holds something else.
+MAX_LANGUAGES = 8192
 UNKNOWN = "und"
-_letters = re.compile(r"[^\W\d_]+")
-
-
-class Grams(dict):
-    """Written word -> packed numbers of the n-grams of its letter runs; keys[number] is the n-gram as one integer."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.keys: list[int] = []
-
-    def __missing__(self, word: str) -> bytes:
-        out, number = [], self.number
-        for run in _letters.findall(word.lower()):
-            w = f"_{run}_"
-            for gram in [*run, *map("".join, zip(w, w[1:])), *map("".join, zip(w, w[1:], w[2:]))]:
-                if (k := number.get(gram)) is None:
-                    number[gram] = k = len(number)
-                    key = 0
-                    for ch in gram:
-                        key = key << 21 | ord(ch)
-                    self.keys.append(key)
-                out.append(k)
-        packed = np.array(out, np.int32).tobytes()
-        if len(word) < 100 and len(self) < MEMO_WORDS:
-            self[word] = packed
-        return packed
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers of the text's n-grams, how often each occurs)."""
-        if len(self) >= MEMO_WORDS or len(self.keys) >= MEMO_GRAMS:
-            self.clear()
-            self.__init__()
-        found = np.frombuffer(b"".join(map(self.__getitem__, text.split())), np.int32)
-        if len(self.keys) > 20 * len(found):
-            return np.unique(found, return_counts=True)
-        n = np.bincount(found, minlength=1)
-        at = np.flatnonzero(n)
-        return at, n[at]
-
-    def ranked(self, text: str, most: int = PROFILE) -> list[int]:
-        """The text's most frequent n-grams as integers, most frequent first, ties by the integer."""
-        at, n = self.counts(text)
-        key = np.array([self.keys[i] for i in at], np.int64)
-        return key[np.lexsort((key, -n))[:most]].tolist()
-
-
-_grams = Grams()
+PAD = ord("_")
+
+
+@cache
+def letters() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams as integers, ascending, how often each occurs): the code points of an n-gram in 21 bits each.
+
+    Every run of letters stands between pads; n-grams don't go beyond them.
+    """
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    is_letter = letters()[codes]
+    if not is_letter.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    after = np.concatenate([[False], is_letter[:-1]])
+    c = np.where(is_letter, codes, PAD)[is_letter | after]  # a pad after each run
+    c = np.concatenate([[PAD], c, [PAD] if is_letter[-1] else []]).astype(np.int64)
+    two = c[:-1] << 21 | c[1:]
+    three = (two[:-1] << 21 | c[2:])[c[1:-1] != PAD]
+    return np.unique(np.concatenate([c[c != PAD], two, three]), return_counts=True)
+
+
+def ranked(text: str, most: int = PROFILE) -> np.ndarray:
+    """The text's most frequent n-grams, most frequent first, ties by the integer."""
+    key, n = gram_counts(text)
+    return key[np.argsort(-n, kind="stable")[:most]]
 
 
 def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, rows: int = TRAIN_ROWS) -> dict[str, dict[int, int]]:
@@ -77,23 +61,34 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Colum
 
     About `rows` rows a language are used, or all if there are fewer. The result has PROFILE entries a language.
     """
+    bounded_batches(df)
     known = df.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    sizes = {r.lang: r.n for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
+    if not sizes:
+        return {}
+    size = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(n))])
     u = F.pmod(F.xxhash64(F.lit("profile"), id_col, text_col), F.lit(1 << 30)) / (1 << 30)
     sample = (
-        known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), u.alias("u"))
-        .join(sizes, "lang").where(F.col("u") * F.col("n") < rows).select("lang", "text"))
+        known.where(u * size[F.col(lang_col)] < rows)  # the texts stay where they are
+        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+        total: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+
+        def merge(found: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+            key, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            return [(key, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64))]
+
         for part in slices(batches):
             for lang, text in zip(part.column("lang").to_pylist(), strings(part.column("text"))):
-                mine = total[lang]
-                at, n = _grams.counts(text)
-                for i, k in zip(at.tolist(), n.tolist()):
-                    mine[_grams.keys[i]] += k
-        for lang, mine in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(mine)), pa.array(list(mine), pa.int64()), pa.array(list(mine.values()), pa.int64())], ["lang", "gram", "n"])
+                total[lang].append(gram_counts(text))
+                if len(total[lang]) >= 200:
+                    total[lang] = merge(total[lang])
+        for lang, found in total.items():
+            key, n = merge(found)[0]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(n)], ["lang", "gram", "n"])
 
     counts = sample.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
@@ -103,14 +98,18 @@ def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Colum
     return dict(sorted(out.items()))
 
 
-def distances(text: str, ranks: dict[int, np.ndarray], missing: np.ndarray) -> np.ndarray | None:
-    """The out-of-place distance to each profile as a share of the largest possible one; None if there is no letter."""
-    grams = _grams.ranked(text)
-    if not grams:
+def distances(text: str, grams: np.ndarray, ranks: np.ndarray) -> np.ndarray | None:
+    """The out-of-place distance to each profile as a share of the largest possible one; None if there is no letter.
+
+    grams, ascending, are those of all profiles; ranks has a row for each and a column for each profile, -1 where it lacks.
+    """
+    found = ranked(text)
+    if not len(found):
         return None
-    table = np.array([ranks.get(g, missing) for g in grams], np.int64)
-    away = np.abs(table - np.arange(len(grams))[:, None])
-    return np.minimum(np.where(table < 0, PROFILE, away), PROFILE).sum(0) / (PROFILE * len(grams))
+    at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
+    table = np.where((grams[at] == found)[:, None], ranks[at], -1)
+    away = np.abs(table - np.arange(len(found))[:, None])
+    return np.minimum(np.where(table < 0, PROFILE, away), PROFILE).sum(0) / (PROFILE * len(found))
 
 
 def predict(df: DataFrame, profiles: dict[str, dict[int, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,19 +119,26 @@ def predict(df: DataFrame, profiles: dict[str, dict[int, int]], id_col: str = "d
     Rows are independent, so repeated rows and null ids come out as they came in; an empty table gives an empty one; other
     columns of df are not read. The profiles sent along have PROFILE entries a language.
     """
+    bounded_batches(df)
+    found = identify(profiles)(F.col(text_col))
+    return df.select(F.col(id_col), found.alias("found")).select(id_col, "found.lang_pred", "found.score")
+
+
+def identify(profiles: dict[str, dict[int, int]]):  # noqa: ANN201
+    """A function from a text column to a column struct<lang_pred, score>, for use beside other columns; see predict()."""
     langs = list(profiles)
-    grams = sorted({g for p in profiles.values() for g in p})
-    table = np.array([[profiles[lang].get(g, -1) for lang in langs] for g in grams], np.int16)
+    grams = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
+    table = np.array([[profiles[lang].get(g, -1) for lang in langs] for g in grams.tolist()], np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, missing = dict(zip(grams, table)), np.full(len(langs), -1, np.int16)
-        for part in slices(batches):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
             pred, score = [], []
-            for text in strings(part.column("text")):
-                d = distances(text, ranks, missing) if langs else None
-                pred.append(UNKNOWN if d is None else langs[int(d.argmin())])
-                score.append(0.0 if d is None else 1 - float(d.min()))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
-
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+            for part in slices([pa.RecordBatch.from_arrays([column], ["text"])]):
+                for text in strings(part.column("text")):
+                    d = distances(text, grams, table) if langs else None
+                    pred.append(UNKNOWN if d is None else langs[int(d.argmin())])
+                    score.append(0.0 if d is None else 1 - float(d.min()))
+            yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "lang_pred string, score double")

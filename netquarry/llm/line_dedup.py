@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import cut_lineage, row_key, shuffle_partitions, slices, utf8
+from netquarry.llm.common import bounded_batches, cut_lineage, row_key, shuffle_partitions, slices, utf8
 
 SPACE = b"\t\n\v\f\r "
 #: Kinds of rows that the streaming pass leaves: a line that goes, a line whose run goes on elsewhere, a run's count here.
@@ -102,6 +102,7 @@ def bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_d
     identify it. A null text is one empty line. An empty table gives an empty one. No hash's lines are ever gathered: a
     very common line's run is dealt over as many partitions as it needs.
     """
+    bounded_batches(df)
     spark = df.sparkSession
     rows = row_key(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     order = ["h1", "h2", "id", "k1", "k2"]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import from_buffer, slices, utf8
+from netquarry.llm.common import bounded_batches, from_buffer, slices, utf8
 
 #: A sample (access unit) of the written track has this many bytes, one tick each.
 UNIT = 64
@@ -195,6 +195,7 @@ def containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
                         rows[k].append(v)
             yield pa.RecordBatch.from_arrays([part.column("id"), *(from_buffer(v, np.int64) if k.startswith("key_") else pa.array(v, kinds[k]) for k, v in rows.items())], names)
 
+    bounded_batches(df)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = (
         f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, codec string, timescale long, duration long, n_samples long, key_begins array<long>, "

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import cut_lineage, numbered, row_key, shuffle_partitions, slices, utf8
+from netquarry.llm.common import bounded_batches, cut_lineage, numbered, row_key, shuffle_partitions, slices, utf8
 
 #: Documents in a block of the tree, about.
 BLOCK_ROWS = 2048
@@ -106,6 +106,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     by one. Sources whose documents are all empty have target 0. An empty table gives an empty one; other columns of df are
     not read. (k1, k2) identifies a row's id and text, for a join. A source of any size is dealt over many blocks.
     """
+    bounded_batches(df)
     spark = df.sparkSession
     n = shuffle_partitions(spark)
     sized = cut_lineage(word_counts(df, id_col, text_col, source_col))

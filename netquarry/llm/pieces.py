@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import from_buffer, only_memo, slices, strings
+from netquarry.llm.common import bounded_batches, from_buffer, only_memo, slices, strings
 
 MARK = "▁"
 #: Words that a worker remembers; at this many it starts anew.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 NONE = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _models: dict[bytes, "Pieces"] = {}
@@ -338,6 +338,7 @@ def encode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str
             columns += [from_buffer(list(x), np.int32) for x in (begins, ends)] if spans else []
             yield pa.RecordBatch.from_arrays([*columns, pa.array(decoded, pa.binary()).cast(pa.string()), part.column("n_bytes")], names)
 
+    bounded_batches(df)
     source = df.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     offsets = "begins array<int>, ends array<int>, " if spans else ""
@@ -356,6 +357,7 @@ def decode(df: DataFrame, model_file: str, id_col: str = "doc_id", ids_col: str
             texts = [pieces.decode([i for i in ids or () if i is not None]) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary()).cast(pa.string())], ["id", "text"])
 
+    bounded_batches(df)
     source = df.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)

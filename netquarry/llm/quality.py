@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import slices, utf8
+from netquarry.llm.common import bounded_batches, only_memo, slices, utf8
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 #: Size of the scorer's weight vector (a power of two).
 DIMENSIONS = 1 << 16
 #: Documents that the scorer is trained on, about; the choice goes by a hash of the row.
 TRAIN_ROWS = 4000
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 _punctuation = string.punctuation.encode()
 _upper = string.ascii_uppercase.encode()
 _decorated = re.compile(rb"[!-/:-@\\[-`{-~]{2,}(?:\s|$)")  # a word that ends in two signs or more
@@ -169,6 +169,7 @@ def vote_counts(df: DataFrame, text_col: str = "text") -> dict[int, int]:
             n.update([pattern(x, x.split()) for x in utf8(part.column("text"))])
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())], ["code", "n"])
 
+    bounded_batches(df)
     counts = df.select(F.col(text_col).alias("text")).mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
     return {r.code: r.n for r in counts.collect()}
 
@@ -203,6 +204,7 @@ def score(df: DataFrame, model: LabelModel, weights: np.ndarray, id_col: str = "
     sent = df.sparkSession.sparkContext.broadcast((weights, model.posterior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_memo("quality", _features.clear)
         w, posterior = sent.value
         for part in slices(batches):
             p, s = [], []
@@ -213,5 +215,6 @@ def score(df: DataFrame, model: LabelModel, weights: np.ndarray, id_col: str = "
                 s.append(1 / (1 + math.exp(-max(-30.0, min(30.0, (float(w[at].mean()) if len(at) else 0.0) + float(w[-1]))))))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(p, pa.float64()), pa.array(s, pa.float64())], ["id", "posterior", "score"])
 
+    bounded_batches(df)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, posterior double, score double").withColumnRenamed("id", id_col)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import cut_lineage, shuffle_partitions, slices, utf8
+from netquarry.llm.common import bounded_batches, cut_lineage, shuffle_partitions, slices, utf8
 
 BITS = 64
 
@@ -131,6 +131,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = [np.array([fingerprint(x, words_in_shingle) for x in texts], np.uint64)]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(columns[0].view(np.int64)), *columns[1:]], ["id", "fp", *["sketch"] * sketches])
 
+    bounded_batches(df)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long" + ", sketch binary" * sketches)
 

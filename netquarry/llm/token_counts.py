@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import slices, strings
+from netquarry.llm.common import bounded_batches, only_memo, slices, strings
 
 #: Words that a worker remembers, as they stand in texts and as the pattern cuts them; at this many it starts anew.
 MEMO_WORDS = 500_000
@@ -129,6 +129,7 @@ def merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 def model(blob: bytes) -> WordBpe:
     """One model per worker process and vocabulary."""
     key = hashlib.sha256(blob).digest()
+    only_memo("token counts", _models.clear)
     if key not in _models:
         _models[key] = WordBpe(blob)
     return _models[key]
@@ -150,6 +151,7 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             counts = [bpe.count(x) for x in strings(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("n_bytes"), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
+    bounded_batches(df)
     source = df.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").select(

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import shuffle_partitions
+from netquarry.llm.common import bounded_batches, shuffle_partitions
 
 PLACES = 64
 #: Weighted terms whose draws are made at once.
@@ -109,6 +109,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for ids, texts in together(zip(batch.column("id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()])):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), pa.array([hexadecimal(x) for x in signatures(texts)])], ["id", "fingerprint"])
 
+    bounded_batches(df)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
 
@@ -195,6 +196,7 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 pa.array([hexadecimal(x) for x in a]), pa.array([hexadecimal(x) for x in b]),
                 pa.array([likeness(x, y) for x, y in zip(a, b)]), pa.array([likeness(x, y) for x, y in zip(a, c)])], names)
 
+    bounded_batches(df)
     dealt = with_next(df, id_col, text_col).select("part", "extra", "id", "text")
     schema = f"id {dealt.schema['id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]

@@ -215,14 +215,25 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(df, {}).collect()} == {"und"} and langid.predict(df.where("false"), profiles).count() == 0
 
 
+def brute_ranked(text):
+    n = Counter()
+    for word in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+        w = f"_{word}_"
+        n.update([*word, *(w[i:i + 2] for i in range(len(w) - 1)), *(w[i:i + 3] for i in range(len(w) - 2))])
+    return sorted(n, key=lambda g: (-n[g], sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))))
+
+
 def test_distance_by_definition():
-    profile = {g: i for i, g in enumerate(langid.Grams().ranked("abc abc abd xyz"))}
-    ranks = {g: np.array([r], np.int16) for g, r in profile.items()}
-    own = langid.distances("abc abc abd xyz", ranks, np.array([-1], np.int16))
-    assert own[0] == 0
-    other = langid.Grams().ranked("abd qq")
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    for text in ("abc abc abd xyz", "a", "Élan, élan! 12 x_y", "\U0001d400b 漢字漢"):
+        assert langid.ranked(text).tolist() == [number(g) for g in brute_ranked(text)][:langid.PROFILE]
+    profile = {g: i for i, g in enumerate(brute_ranked("abc abc abd xyz"))}
+    grams = np.array(sorted(map(number, profile)))
+    ranks = np.array([[{number(g): i for g, i in profile.items()}[k]] for k in grams.tolist()])
+    assert langid.distances("abc abc abd xyz", grams, ranks)[0] == 0 and langid.distances("12 !", grams, ranks) is None
+    other = brute_ranked("abd qq")
     want = sum(abs(i - profile[g]) if g in profile else langid.PROFILE for i, g in enumerate(other)) / (langid.PROFILE * len(other))
-    assert langid.distances("abd qq", ranks, np.array([-1], np.int16))[0] == pytest.approx(want)
+    assert langid.distances("abd qq", grams, ranks)[0] == pytest.approx(want)
 
 
 def test_quality_without_labels(spark):
