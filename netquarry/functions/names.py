@@ -44,11 +44,8 @@ def immediate(text: Column) -> Column:
 
 
 def compressed(number: Column) -> Column:
-    """A number in base 32, lowest digit first, digits 0-9 and a-v; at most 60 bits."""
-    digits = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.pmod(F.floor(number / F.pow(F.lit(32.0), i)), F.lit(32)).cast("int"))
-    used = F.greatest(F.lit(1), F.array_max(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(number >= F.pow(F.lit(32.0), i), i + 1).otherwise(0))))
-    signs = F.lit("0123456789abcdefghijklmnopqrstuv")
-    return F.array_join(F.transform(F.slice(digits, 1, used.cast("int")), lambda d: signs.substr(d + 1, F.lit(1))), "")
+    """A number in base 32, lowest digit first, digits 0-9 and a-v."""
+    return F.lower(F.reverse(F.conv(number.cast("string"), 10, 32)))
 
 
 def without_parameters(line: Column) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from netquarry.functions import probability
 
 UNKNOWN, LOOP_ROUNDS = 0.5, 50
+#: Levels between which what is known and what waits are written.
+REST = 4
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -41,23 +43,26 @@ def propagate(gates: DataFrame, seeds: DataFrame, max_levels: int = 10_000) -> D
     """(wire, p1, level) of all wires: level by level, each gate once, when its inputs are known.
 
     Inputs that nothing drives are unknown (0.5). What is left then are loops: they start from 0.5 and are evaluated
-    LOOP_ROUNDS times. Seeds win over gates. Every level is written to the shared folder, and only waiting gates go on.
+    LOOP_ROUNDS times. Seeds win over gates. Each level is written to the shared folder, and only waiting gates go on.
     """
     gates = drivers(gates).join(seeds.select("wire"), "wire", "left_anti")
     used = gates.select(F.explode("inputs").alias("wire")).distinct()
     undriven = used.join(gates.select("wire"), "wire", "left_anti").join(seeds.select("wire"), "wire", "left_anti").select("wire", F.lit(UNKNOWN).alias("p1"))
     known = settle(seeds.select("wire", F.col("p1").cast("double").alias("p1")).unionByName(undriven).withColumn("level", F.lit(0)))
     waiting = settle(gates.select("wire", "init", "inputs"))
+    left = waiting.count()
     for level in range(1, max_levels):
         fresh = settle(evaluate(waiting, known).withColumn("level", F.lit(level)))
-        if fresh.isEmpty():
+        n = fresh.count()
+        left -= n
+        known, waiting = known.unionByName(fresh), waiting.join(fresh.select("wire"), "wire", "left_anti")
+        if not n or not left:
             break
-        known = settle(known.unionByName(fresh))
-        waiting = settle(waiting.join(fresh.select("wire"), "wire", "left_anti"))
-        if waiting.isEmpty():
-            break
-    if waiting.isEmpty():
+        if level % REST == 0:
+            known, waiting = settle(known), settle(waiting)
+    if not left:
         return known
+    waiting = settle(waiting)
     looped = waiting.select("wire", F.lit(UNKNOWN).alias("p1"))
     for _ in range(LOOP_ROUNDS):
         looped = settle(evaluate(waiting, known.select("wire", "p1").unionByName(looped)))

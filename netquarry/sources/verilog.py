@@ -103,6 +103,8 @@ class Reader:
         self.take("(")
         place = 0
         while self.peek() != ")":
+            if not self.peek():
+                raise ValueError("a parenthesis is not closed")
             if self.peek() == ".":
                 self.take()
                 port = self.take()
@@ -112,8 +114,8 @@ class Reader:
             else:
                 yield str(place), self.element()
             place += 1
-            if self.peek() == ",":
-                self.take()
+            if self.peek() != ")":
+                self.take(",")
         self.take(")")
 
 
