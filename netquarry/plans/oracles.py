@@ -127,7 +127,6 @@ SQL: dict[str, str] = {
         SELECT (run_id // 8)::INT AS level, run_id % 8 AS run, round(sum(cost) OVER (PARTITION BY run_id % 8 ORDER BY run_id // 8), 6) AS total FROM runs) GROUP BY 1)"""),
     "hg_cut_union": sql("SELECT DISTINCT 'net' || (edge_id // 2) AS name FROM (SELECT edge_id FROM pins GROUP BY 1 HAVING min(node_id % 2) <> max(node_id % 2) UNION SELECT edge_id FROM pins GROUP BY 1 HAVING bool_or(node_id % 7 < 3) AND NOT bool_and(node_id % 7 < 3))"),
     "hg_violations": sql("SELECT 0::BIGINT AS short_nets, 0::BIGINT AS uneven_vectors, 0::BIGINT AS bad_choices, (SELECT count(*) FROM chosen WHERE EXISTS (SELECT 1 FROM allowed WHERE chosen.v[res_id + 1] >= 2 * m))::BIGINT AS heavy_nodes"),
-    "hg_supernode_impls": sql("""SELECT super_id, (SELECT count(*) FROM (SELECT DISTINCT x FROM (SELECT unnest(combos) AS x)))::INT AS n_impls, current FROM (SELECT 1) WHERE false"""),
     "fm_cost_check": "SELECT 0::BIGINT AS mismatches, 0::BIGINT AS lost",
     "fm_bisect_check": "SELECT true AS better, false AS more_violations, 0::BIGINT AS lost",
     "ts_dwell": sql("SELECT * FROM dwell"),
@@ -183,14 +182,8 @@ SQL: dict[str, str] = {
     "ilp_solution": sql(f"""SELECT 'V' || {_vname('node_id')} || side || idx || CASE WHEN idx = node_id % n AND (node_id % 2 = 0) = (side = 'A') THEN ' 1' ELSE ' 0' END || chr(9) || ' (obj:0)' AS value FROM options, (VALUES ('A'), ('B')) u(side)
         UNION ALL SELECT 'X' || {_vname('edge_id')} || CASE WHEN crosses THEN ' 1' || chr(9) || ' (obj:1)' ELSE ' 0' || chr(9) || ' (obj:0)' END FROM cut
         UNION ALL SELECT 'C' || {_vname('edge_id')} || side || CASE WHEN (CASE WHEN side = 'A' THEN cnt_a ELSE cnt_b END) > 0 THEN ' 1' ELSE ' 0' END || chr(9) || ' (obj:0)' FROM cut, (VALUES ('A'), ('B')) u(side)"""),
-    "sim_propagate": f"""WITH RECURSIVE inputs AS (SELECT p_partkey AS k, (p_partkey - 1) // 2 AS a, (p_partkey - 2) // 3 AS b, p_partkey % 16 AS init FROM part WHERE p_partkey >= 2),
-        driven AS (SELECT k FROM inputs), pins AS (SELECT a AS k FROM inputs UNION SELECT b FROM inputs),
-        seeds AS (SELECT 0 AS k UNION SELECT 1 UNION SELECT k FROM pins WHERE k NOT IN (SELECT k FROM driven)),
-        steps AS (SELECT 0 AS level, map_from_entries(list((k::BIGINT, 0.5::DOUBLE))) AS known, count(*) AS n, -1 AS before FROM seeds
-            UNION ALL SELECT level + 1, map_concat(known, coalesce((SELECT map_from_entries(list((k::BIGINT, p))) FROM (
-                SELECT k, {_lut2('known[a::BIGINT]', 'known[b::BIGINT]', 'init')} AS p FROM inputs WHERE map_contains(known, a::BIGINT) AND map_contains(known, b::BIGINT) AND NOT map_contains(known, k::BIGINT))), MAP {{}})), 0, 0 FROM steps WHERE level < 40),
-        final AS (SELECT unnest(map_entries(known)) AS e FROM steps WHERE level = 40)
-        SELECT e.key::VARCHAR AS wire, round(e.value, 9)::DOUBLE AS p1, round({h('e.value')}, 9)::DOUBLE AS h FROM final""",
+    "sim_propagate": f"""WITH RECURSIVE steps AS (SELECT 2 AS i, [0.5::DOUBLE, 0.5::DOUBLE] AS p
+            UNION ALL SELECT i + 1, list_append(p, {_lut2('p[(i - 1) // 2 + 1]', 'p[(i - 2) // 3 + 1]', '(i % 16)')}) FROM steps WHERE i <= (SELECT max(p_partkey) FROM part)),
+        wires AS (SELECT unnest(range(len(p))) AS k, unnest(p) AS p FROM steps WHERE i = (SELECT max(p_partkey) FROM part) + 1)
+        SELECT k::VARCHAR AS wire, round(p, 9)::DOUBLE AS p1, round({h('p')}, 9)::DOUBLE AS h FROM wires""",
 }
-for _name in ("hg_supernode_impls", "sim_propagate"):
-    del SQL[_name]
