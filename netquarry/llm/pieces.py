@@ -24,6 +24,8 @@ from netquarry.llm.common import bounded_batches, from_buffer, only_memo, slices
 MARK = "▁"
 #: Words that a worker remembers; at this many it starts anew.
 MEMO_WORDS = 150_000
+#: Marks, by hash, of words that have come once (a power of two).
+SEEN = 1 << 21
 NONE = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _models: dict[bytes, "Pieces"] = {}
@@ -81,8 +83,10 @@ class Pieces:
         self.chunk = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.cut else "(?s:.+)")
         self.plain = not self.map.units and not self.norm.remove_extra_whitespaces and self.norm.escape_whitespaces
         self.known = {p: (self.ids[p], len(p.encode()), p.count(MARK)) for p in self.score}
-        surfaces = [t.replace(MARK, " ").encode() if k == NORMAL else b"" for t, k in zip(self.text, self.kind)]
-        self.is_normal = np.array([k == NORMAL for k in self.kind])
+        # the byte pieces of ASCII are characters whatever stands beside them
+        ascii_bytes = {i: bytes([b]) for b, i in enumerate(self.bytes[:128])} if self.bytes else {}
+        surfaces = [t.replace(MARK, " ").encode() if k == NORMAL else ascii_bytes.get(i, b"") for i, (t, k) in enumerate(zip(self.text, self.kind))]
+        self.is_plain = np.array([k == NORMAL or i in ascii_bytes for i, k in enumerate(self.kind)])
         self.surface = np.frombuffer(b"".join(surfaces), np.uint8)
         self.surface_size = np.array([len(x) for x in surfaces], np.int64)
         self.surface_at = np.cumsum(self.surface_size) - self.surface_size
@@ -230,8 +234,8 @@ class Pieces:
             ids.tobytes() + array("i", [self.end]).tobytes(), begins.astype(np.int32, copy=False).tobytes() + last, ends.astype(np.int32, copy=False).tobytes() + last, self.decode_array(ids))
 
     def decode_array(self, ids: np.ndarray) -> bytes:
-        """decode(), by one gather where every id is a normal piece."""
-        if not len(ids) or not self.is_normal[ids].all() or self.norm.remove_extra_whitespaces:
+        """decode(), by one gather where every id is a normal piece or an ASCII byte."""
+        if not len(ids) or not self.is_plain[ids].all() or self.norm.remove_extra_whitespaces:
             return self.decode(ids.tolist())
         size = self.surface_size[ids]
         shift = self.surface_at[ids] - np.cumsum(size) + size
@@ -279,17 +283,20 @@ class Pieces:
 
 
 class Words(dict):
-    """What encode_chunk() gives for a word with one mark before it."""
+    """What encode_chunk() gives for a word with one mark before it; words are remembered when they come a second time."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces = pieces
+        self.pieces, self.seen = pieces, bytearray(SEEN)
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
         known = self.pieces.encode_chunk(MARK + word, 1)
-        if len(word) < 100:
+        place = hash(word) & SEEN - 1
+        if self.seen[place] and len(word) < 100:
+            if len(self) >= MEMO_WORDS:
+                self.clear()
+                self.seen = bytearray(SEEN)
             self[word] = known
+        self.seen[place] = 1
         return known
 
 
