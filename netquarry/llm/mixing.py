@@ -143,14 +143,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                 if held:
                     yield held
 
-            kinds = None
             for held in blocks():  # about BLOCK_ROWS rows each
                 result = [(*row[:8], p, *row[9:11]) for row, p in ((r[3], p) for r, p in pivotal(((r[4], r[8], (seed, r[10], r[2], i), r) for i, r in enumerate(held)), level))]
                 arrow = [pa.array(c) for c in zip(*result)]
-                kinds = kinds or arrow_types
                 yield pa.RecordBatch.from_arrays([a.cast(k) for a, k in zip(arrow, kinds)], columns)
 
-        arrow_types = [arrow_type(kind(c)) for c in columns]
+        kinds = [arrow_type(kind(c)) for c in columns]
         found = cut_lineage(dealt.mapInArrow(run, schema))
         settled = F.col("p").isin(0.0, 1.0)
         out.append(found.where(settled).select("id", "source", "k1", "k2", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies")))
