@@ -7,6 +7,10 @@ compared with a whole block by carry-save counters. A bucket that is too large f
 goes to another round under narrower masks: its free bits are split in radius + 1 parts, one of which must be equal. A mask
 that leaves f bits free has at most 2 to the f distinct fingerprints, so this ends after a few rounds, with nothing left
 out.
+
+With sketches, many rows can have one fingerprint, which no mask divides. Such rows meet in buckets of their own (the mask
+of all bits), where the sketches alone decide, and in no other. A bucket that is too large or crosses partitions is cut
+into chunks, and every two chunks are compared, so that nothing depends on its size or on the number of partitions.
 """
 
 from __future__ import annotations
@@ -169,13 +173,15 @@ class Planes:
         return every & ~over
 
 
-def bucket_links(rows: list[tuple[int, int]], mask: int, scheme: Scheme) -> list[tuple[int, int]]:
-    """Links that join a bucket's rows (fingerprint, sketch) as all linked pairs would; fewer than rows."""
-    radius, sketch_radius = scheme.reach, scheme.sketch_radius
+def bucket_links(rows: list[tuple[int, bytes, int]], mask: int, scheme: Scheme) -> list[tuple[int, int]]:
+    """Links that join a bucket's rows (fingerprint, sketch, node) as all linked pairs would; fewer than rows."""
+    if scheme.sketch_radius:
+        return sketch_links(rows, mask, scheme)
+    radius = scheme.reach
     if len(rows) == 2:
-        (a, x), (b, y) = rows
-        return [(a, b)] if (a ^ b).bit_count() <= radius and (x ^ y).bit_count() <= sketch_radius else []
-    planes = Planes([fp for fp, _ in rows], [b for b in range(BITS) if not mask >> b & 1])
+        (a, _, u), (b, _, v) = rows
+        return [(u, v)] if (a ^ b).bit_count() <= radius else []
+    planes = Planes([fp for fp, _, _ in rows], [b for b in range(BITS) if not mask >> b & 1])
     parent = list(range(len(rows)))
 
     def root(i: int) -> int:
@@ -184,7 +190,7 @@ def bucket_links(rows: list[tuple[int, int]], mask: int, scheme: Scheme) -> list
         return i
 
     links = []
-    for i, (fp, sketch) in enumerate(rows):
+    for i, (fp, _, node) in enumerate(rows):
         near = planes.within(fp, radius) >> (i + 1)
         j = i + 1
         while near:
@@ -192,15 +198,39 @@ def bucket_links(rows: list[tuple[int, int]], mask: int, scheme: Scheme) -> list
             j += skip
             near >>= skip + 1
             a, b = root(i), root(j)
-            if a != b and (sketch ^ rows[j][1]).bit_count() <= sketch_radius:
+            if a != b:
                 parent[b] = a
-                links.append((fp, rows[j][0]))
+                links.append((node, rows[j][2]))
             j += 1
     return links
 
 
+def sketch_links(rows: list[tuple[int, bytes, int]], mask: int, scheme: Scheme) -> list[tuple[int, int]]:
+    """The same where sketches decide: rows of one fingerprint are compared under the mask of all bits, others under the rest."""
+    fps = np.array([fp for fp, _, _ in rows], np.uint64)
+    own = mask == _all
+    if not own and (fps == fps[0]).all():
+        return []
+    sketches = np.frombuffer(b"".join(k for _, k, _ in rows), np.uint64).reshape(len(rows), -1)
+    label, links = np.arange(len(rows)), []
+    step = max(1, (1 << 20) // len(rows))
+    for at in range(0, len(rows), step):
+        apart = np.bitwise_count(fps[at:at + step, None] ^ fps)
+        i, j = np.nonzero(apart == 0 if own else (apart > 0) & (apart <= scheme.reach))
+        i, j = i[j > i + at] + at, j[j > i + at]
+        for k in range(0, len(i), 1 << 18):
+            u, v = i[k:k + (1 << 18)], j[k:k + (1 << 18)]
+            near = np.bitwise_count(sketches[u] ^ sketches[v]).sum(1, dtype=np.int64) <= scheme.sketch_radius
+            u, v = u[near], v[near]
+            for x, more in zip(u[np.append(0, cuts := np.flatnonzero(u[1:] != u[:-1]) + 1)].tolist() if len(u) else [], np.split(v, cuts) if len(u) else []):
+                while len(more := more[label[more] != label[x]]):
+                    links.append((rows[x][2], rows[more[0]][2]))
+                    label[label == label[more[0]]] = label[x]
+    return links
+
+
 def stream(batches: Iterable[pa.RecordBatch], whole: bool, scheme: Scheme, block_rows: int) -> Iterator[tuple[list[tuple[int, int]], list[tuple]]]:
-    """(links, rows (mask, fp, sketch) for another round) of a partition's sorted buckets.
+    """(links, rows (mask, fp, sketch, node) for another round) of a partition's sorted buckets.
 
     whole: no bucket goes on in another partition, and none is too large.
     """
@@ -216,8 +246,8 @@ def stream(batches: Iterable[pa.RecordBatch], whole: bool, scheme: Scheme, block
         ms, xs = (batch.column(c).to_numpy().view(np.uint64) for c in ("mask", "fp"))
         if not len(ms):
             continue
-        sketches = batch.column("sketch")
-        vs = ms & xs
+        sketches, nodes = batch.column("sketch"), batch.column("node")
+        vs = batch.column("value").to_numpy().view(np.uint64)
         cuts = np.flatnonzero((ms[1:] != ms[:-1]) | (vs[1:] != vs[:-1])) + 1
         starts, ends = np.append(0, cuts), np.append(cuts, len(ms))
         # most buckets have a single fingerprint; only the others, the first and the last are looked at
@@ -232,7 +262,7 @@ def stream(batches: Iterable[pa.RecordBatch], whole: bool, scheme: Scheme, block
                 mask, value, rows, spill = int(ms[a]), int(vs[a]), [], False
             for i in range(a, b, block_rows):
                 to = min(b, i + block_rows)
-                rows += zip(xs[i:to].tolist(), [int.from_bytes(x or b"", "little") for x in sketches[i:to].to_pylist()])
+                rows += zip(xs[i:to].tolist(), sketches[i:to].to_pylist(), nodes[i:to].to_pylist())
                 if len(rows) > block_rows and not whole:
                     spill = True
                     again += [(mask, *x) for x in rows]
@@ -246,44 +276,62 @@ def stream(batches: Iterable[pa.RecordBatch], whole: bool, scheme: Scheme, block
 
 
 def links(distinct: DataFrame, scheme: Scheme = EXACT, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(u, v): links between distinct fingerprints (fp, sketch), enough of them that components are those of all linked pairs.
+    """(u, v): links between distinct fingerprints (fp), or with sketches between distinct (fp, sketch, node) named by node.
 
-    In the last round a bucket holds at most 4 * block_rows fingerprints, in those before it block_rows.
+    They are enough that components are those of all linked pairs. In the last round a bucket holds at most 4 * block_rows
+    fingerprints, in those before it block_rows.
     """
     spark = distinct.sparkSession
     n = shuffle_partitions(spark)
-    sketch = F.col("sketch") if scheme.sketch_radius else F.lit(None).cast("binary").alias("sketch")
-    rows = distinct.select(F.explode(F.array(*[F.lit(signed(m)) for m in masks(scheme)])).alias("mask"), "fp", sketch)
+    sketches = bool(scheme.sketch_radius)
+    extra = ["sketch", "node"] if sketches else [F.lit(None).cast("binary").alias("sketch"), F.col("fp").alias("node")]
+    first = masks(scheme) + [_all] * sketches
+    rows = distinct.select(F.explode(F.array(*[F.lit(signed(m)) for m in first])).alias("mask"), "fp", *extra)
     out: DataFrame | None = None
-    free = max(BITS - m.bit_count() for m in masks(scheme))
-    width = SKETCH_BITS // 8 if scheme.sketch_radius else 0
+    free = max(BITS - m.bit_count() for m in first)
 
-    def one_round(rows: DataFrame, whole: bool) -> DataFrame:
+    def one_round(rows: DataFrame, whole: bool, value: Column = F.col("mask").bitwiseAND(F.col("fp"))) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for found, again in stream(batches, whole, scheme, block_rows):
                 if found or again:
-                    u = [signed(a) for a, _ in found] + [signed(m) for m, _, _ in again]
-                    v = [signed(b) for _, b in found] + [signed(x) for _, x, _ in again]
-                    k = [None] * len(found) + [k.to_bytes(width, "little") for _, _, k in again]
-                    yield pa.RecordBatch.from_arrays([pa.array([True] * len(found) + [False] * len(again)), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(k, pa.binary())], ["link", "u", "v", "sketch"])
+                    u = [a for a, _ in found] + [signed(m) for m, _, _, _ in again]
+                    v = [b for _, b in found] + [signed(x) for _, x, _, _ in again]
+                    k = [None] * len(found) + [k for _, _, k, _ in again]
+                    node = [None] * len(found) + [x for _, _, _, x in again]
+                    yield pa.RecordBatch.from_arrays([pa.array([True] * len(found) + [False] * len(again)), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(k, pa.binary()), pa.array(node, pa.int64())], ["link", "u", "v", "sketch", "node"])
 
-        keyed = rows.withColumn("value", F.col("mask").bitwiseAND(F.col("fp")))
-        dealt = keyed.repartition(n, "mask", "value") if whole else keyed.repartitionByRange(n, "mask", "value", "fp")
-        return dealt.sortWithinPartitions("mask", "value", "fp").select("mask", "fp", "sketch").mapInArrow(run, "link boolean, u long, v long, sketch binary")
+        keyed = rows.withColumn("value", value)
+        dealt = keyed.repartition(n, "mask", "value") if whole else keyed.repartitionByRange(n, "mask", "value", "fp", "node")
+        return dealt.sortWithinPartitions("mask", "value", "fp").select("mask", "value", "fp", "sketch", "node").mapInArrow(run, "link boolean, u long, v long, sketch binary, node long")
 
     while True:
-        whole = 1 << free <= 4 * block_rows  # the bits that are free bound every bucket
+        whole = not sketches and 1 << free <= 4 * block_rows  # the bits that are free bound every bucket
         found = cut_lineage(one_round(rows, whole))
         here = found.where("link").select("u", "v")
         out = here if out is None else out.unionByName(here)
-        again = found.where("NOT link").select(F.col("u").alias("mask"), F.col("v").alias("fp"), "sketch")
+        again = found.where("NOT link").select(F.col("u").alias("mask"), F.col("v").alias("fp"), "sketch", "node")
         if whole or again.isEmpty():
             return out
+        if sketches:
+            return out.unionByName(cut_lineage(one_round(chunk_pairs(again, block_rows), True, F.col("pair"))).select("u", "v"))
         used = [r.mask for r in again.select("mask").distinct().collect()]  # a round's masks are choices of bits, not data: dozens at first, thousands at most
         table = {m: narrower(m & _all, scheme.radius) for m in used}
         free = max(BITS - x.bit_count() for xs in table.values() for x in xs)
         options = spark.createDataFrame([(m, [signed(x) for x in xs]) for m, xs in table.items()], "mask long, narrower array<long>")
-        rows = again.join(F.broadcast(options), "mask").select(F.explode("narrower").alias("mask"), "fp", "sketch").distinct()
+        rows = again.join(F.broadcast(options), "mask").select(F.explode("narrower").alias("mask"), "fp", "sketch", "node").distinct()
+
+
+def chunk_pairs(rows: DataFrame, block_rows: int) -> DataFrame:
+    """Rows of whole buckets with a pair: each bucket is cut into chunks of about block_rows, and a row is in each pair of its chunk.
+
+    Any two rows of a bucket so have a pair in common; a pair holds about 2 * block_rows rows.
+    """
+    keyed = rows.withColumn("value", F.col("mask").bitwiseAND(F.col("fp")))
+    sizes = keyed.groupBy("mask", "value").agg(F.ceil(F.count("*") / block_rows).alias("chunks"))
+    cut = keyed.join(sizes, ["mask", "value"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+    paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    pair = F.xxhash64("value", F.least("chunk", "other"), F.greatest("chunk", "other"))  # two that meet by chance are compared in vain only
+    return paired.select("mask", "fp", "sketch", "node", pair.alias("pair"))
 
 
 # -- components --------------------------------------------------------------
@@ -322,20 +370,22 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, scheme: Scheme = NEAR_COPIES) -> DataFrame:
     """(id, fp, component_id) for every row: the smallest id that is reachable over the scheme's links.
 
-    Texts with the same fingerprint are linked, those without words too (fingerprint 0); a null text counts as empty. Null
-    ids take part but name no component, unless all ids of one are null. Repeated rows come out as they came in; an empty
-    table gives an empty one; other columns of df are not read. Copies are folded into one fingerprint before any
-    comparison (its sketch is that of the smallest id), and no list of a component's members is ever made.
+    Texts with the same fingerprint (and the same sketch, if the scheme has them) are linked, those without words too
+    (fingerprint 0); a null text counts as empty. Null ids take part but name no component, unless all ids of one are null.
+    Repeated rows come out as they came in; an empty table gives an empty one; other columns of df are not read. Copies are
+    folded into one fingerprint and sketch before any comparison, and no list of a component's members is ever made.
     """
     fps = cut_lineage(fingerprints(df, id_col, text_col, words_in_shingle, scheme))
-    sketch = [F.coalesce(F.min_by("sketch", "id"), F.min("sketch")).alias("sketch")] if scheme.sketch_radius else []
-    distinct = cut_lineage(fps.groupBy("fp").agg(F.min("id").alias("low"), *sketch))
-    linked = cut_lineage(components(links(distinct, scheme)).join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "low"))
+    same = ["fp", "sketch"] if scheme.sketch_radius else ["fp"]
+    folded = fps.groupBy(*same).agg(F.min("id").alias("low"))
+    # the numbers are fixed once they are written
+    distinct = cut_lineage(folded.withColumn("node", F.monotonically_increasing_id() if scheme.sketch_radius else F.col("fp")))
+    linked = cut_lineage(components(links(distinct, scheme)).join(distinct.select("node", "low"), "node").select("node", "root", "low"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component"))
-    named = linked.select("fp", "root").join(lows, "root").select("fp", "component")
+    named = linked.select("node", "root").join(lows, "root").select("node", "component")
     # written, so that both sides of the last join are dealt anew and a fingerprint with very many copies can be split
-    every = cut_lineage(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")))
-    return fps.join(every, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    every = cut_lineage(distinct.join(named, "node", "left").select(*same, F.coalesce("component", "low").alias("component_id")))
+    return fps.join(every, same).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:

@@ -182,6 +182,17 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_same_words_in_another_order_are_no_copies(spark):
+    """Texts over one set of words have one fingerprint; the shingles alone tell them apart, and find the true copy."""
+    random.seed(8)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words + random.choices(words, k=1500)), None, None, None) for i in range(20)]
+    rows.append((20, rows[7][1] + " w1", None, None, None))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len({r.fp for r in got}) == 1
+    assert {r.doc_id: r.component_id for r in got} == {i: i if i < 20 else 7 for i in range(21)}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 200)] + [(7, 7), (300, 301), (301, 300), (301, 300)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
