@@ -33,21 +33,20 @@ BITS = 64
 class Scheme(NamedTuple):
     """Which fingerprints link: at most `reach` bits differ, and `sketch_radius` bits of the sketches, if there are any.
 
-    Buckets bring together all pairs up to `radius` differing bits, and most of those from there up to `reach`.
+    Of `blocks` blocks of bits, `blocks` - `reach` are equal in all such pairs.
     """
 
-    radius: int
-    blocks: int
     reach: int
+    blocks: int
     sketch_radius: int = 0
 
 
 #: For fingerprints alone: 20 buckets of 31 to 33 bits.
-EXACT = Scheme(3, 6, 3)
-#: For texts of which 5-word shingles have a Jaccard similarity of 0.8 or more: fingerprints of the set of words, 56 buckets
-#: of 24 bits, and sketches of 256 bits of the shingles. At 0.8 the angle is that of a cosine of 8/9: 39 bits with a
+EXACT = Scheme(3, 6)
+#: For texts of which 5-word shingles have a Jaccard similarity of 0.8 or more: fingerprints of the set of words, 55 buckets
+#: of 11 or 12 bits, and sketches of 256 bits of the shingles. At 0.8 the angle is that of a cosine of 8/9: 39 bits with a
 #: standard deviation of 6.
-NEAR_COPIES = Scheme(5, 8, 9, 48)
+NEAR_COPIES = Scheme(9, 11, 48)
 SKETCH_BITS = 256
 #: Fingerprints of a bucket that are compared as one block of bit planes.
 BLOCK_ROWS = 4096
@@ -60,10 +59,10 @@ def signed(x: int) -> int:
 
 
 def masks(scheme: Scheme) -> list[int]:
-    """The masks of blocks - radius of the blocks of bits."""
+    """The masks of blocks - reach of the blocks of bits."""
     cuts = [round(i * BITS / scheme.blocks) for i in range(scheme.blocks + 1)]
     blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
-    return [sum(c) for c in combinations(blocks, scheme.blocks - scheme.radius)]
+    return [sum(c) for c in combinations(blocks, scheme.blocks - scheme.reach)]
 
 
 def narrower(mask: int, radius: int) -> list[int]:
@@ -315,7 +314,7 @@ def links(distinct: DataFrame, scheme: Scheme = EXACT, block_rows: int = BLOCK_R
         if sketches:
             return out.unionByName(cut_lineage(one_round(chunk_pairs(again, block_rows), True, F.col("pair"))).select("u", "v"))
         used = [r.mask for r in again.select("mask").distinct().collect()]  # a round's masks are choices of bits, not data: dozens at first, thousands at most
-        table = {m: narrower(m & _all, scheme.radius) for m in used}
+        table = {m: narrower(m & _all, scheme.reach) for m in used}
         free = max(BITS - x.bit_count() for xs in table.values() for x in xs)
         options = spark.createDataFrame([(m, [signed(x) for x in xs]) for m, xs in table.items()], "mask long, narrower array<long>")
         rows = again.join(F.broadcast(options), "mask").select(F.explode("narrower").alias("mask"), "fp", "sketch", "node").distinct()

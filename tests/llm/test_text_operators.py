@@ -193,6 +193,29 @@ def test_same_words_in_another_order_are_no_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i if i < 20 else 7 for i in range(21)}
 
 
+@pytest.mark.parametrize("block_rows", [16, 4096])
+def test_near_copy_links_against_brute_force(spark, block_rows):
+    """All pairs up to the reach, and of one fingerprint, whatever the size of blocks; sketches decide."""
+    random.seed(block_rows)
+    flip = lambda x, size, k: x ^ sum(1 << b for b in random.sample(range(size), k))
+    rows = [(random.getrandbits(64), random.getrandbits(256)) for _ in range(150)]
+    rows += [(flip(f, 64, k), flip(s, 256, d)) for f, s in rows for k, d in ((6, 20), (9, 48), (8, 49), (10, 0))]
+    base, sketch = rows[0][0], rows[0][1]
+    rows += [(base, flip(sketch, 256, k)) for k in range(1, 60)] + [(base, random.getrandbits(256)) for _ in range(60)]
+    rows += [(flip(base, 64, random.randint(1, 9)), random.getrandbits(256)) for _ in range(60)]
+    rows = sorted(set(rows))
+    data = [(simhash.signed(f), s.to_bytes(32, "little"), i) for i, (f, s) in enumerate(rows)]
+    df = spark.createDataFrame(data, "fp long, sketch binary, node long").repartition(3)
+    label = {r.node: r.root for r in simhash.components(simhash.links(df, simhash.NEAR_COPIES, block_rows)).collect()}
+    want = list(range(len(rows)))
+    for i, (f, s) in enumerate(rows):
+        for j in range(i):
+            if (f ^ rows[j][0]).bit_count() <= 9 and (s ^ rows[j][1]).bit_count() <= 48 and want[i] != want[j]:
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    assert [label.get(i, i) for i in range(len(rows))] == want
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 200)] + [(7, 7), (300, 301), (301, 300), (301, 300)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
