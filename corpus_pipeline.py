@@ -30,9 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines of ten documents or more out of all of them but the first; a document that has nothing left goes."""
+    """Takes lines of ten documents or more, and long lines of two or more, out of all but the first; a document that has nothing left goes."""
     docs = docs.select(*COLUMNS)
-    done = line_dedup.apply(docs, line_dedup.bitmaps(docs, keep_first=True))
+    done = line_dedup.apply(docs, line_dedup.bitmaps(docs, keep_first=True, long_docs=2))
     kept = done.where((F.col("n_dropped") == 0) | (F.trim("kept") != ""))
     return kept.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.char_length("kept").cast("long").alias("n_chars"))
 

@@ -22,6 +22,8 @@ from netquarry.llm.common import bounded_batches, cut_lineage, row_key, shuffle_
 SPACE = b"\t\n\v\f\r "
 #: Kinds of rows that the streaming pass leaves: a line that goes, a line whose run goes on elsewhere, a run's count here.
 GOES, OPEN, COUNT = 0, 1, 2
+#: A key of more words is long, where long lines have a threshold of their own.
+LONG_WORDS = 50
 
 
 def line_key(line: bytes) -> bytes:
@@ -29,11 +31,14 @@ def line_key(line: bytes) -> bytes:
     return line.strip(SPACE).lower()
 
 
-def line_hashes(rows: DataFrame) -> DataFrame:
-    """(h1, h2, id, k1, k2, pos, n_lines) for every line with a key of a code point or more; rows has id, k1, k2 and text."""
+def line_hashes(rows: DataFrame, mark_long: bool = False) -> DataFrame:
+    """(h1, h2, id, k1, k2, pos, n_lines) for every line with a key of a code point or more; rows has id, k1, k2 and text.
+
+    With mark_long the lowest bit of h2 says whether the key is long.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            hashes, row, place, total = [], [], [], []
+            hashes, row, place, total, long = [], [], [], [], []
             for i, text in enumerate(utf8(part.column("text"))):
                 lines = text.split(b"\n")
                 for pos, line in enumerate(lines):
@@ -42,7 +47,11 @@ def line_hashes(rows: DataFrame) -> DataFrame:
                         row.append(i)
                         place.append(pos)
                         total.append(len(lines))
+                        if mark_long:
+                            long.append(len(key.split(None, LONG_WORDS)) > LONG_WORDS)
             two = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            if mark_long:
+                two = np.stack([two[:, 0], two[:, 1] & ~1 | np.array(long, np.int64)], axis=1)
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), *(part.column(c).take(at) for c in ("id", "k1", "k2")), pa.array(place, pa.int32()), pa.array(total, pa.int32())], names)
@@ -52,16 +61,16 @@ def line_hashes(rows: DataFrame) -> DataFrame:
     return rows.select("id", "k1", "k2", "text").mapInArrow(run, f"h1 long, h2 long, id {kind}, k1 long, k2 long, pos int, n_lines int")
 
 
-def frequent_lines(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool) -> Iterator[list[tuple]]:
+def frequent_lines(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first: bool, long_docs: int | None = None) -> Iterator[list[tuple]]:
     """Streams over a partition's sorted lines and yields rows (kind, h1, h2, id, k1, k2, pos, n_lines, documents).
 
-    A run's lines go as soon as it has min_docs documents; up to then they wait, so that no more wait than the lines of
+    A run's lines go as soon as it has min_docs documents (long_docs, if given, for those marked as long); up to then they wait, so that no more wait than the lines of
     min_docs documents. The first and last run of a partition may go on elsewhere: their counts are given, and lines that
     still wait at the end of such a run are left open. With keep_first a run's first line stays; where the run may go on
     elsewhere, its count comes with that line, for only the very first one stays.
     """
     out: list[tuple] = []
-    run, doc, n, waiting, first_run, head = None, None, 0, [], True, None
+    run, doc, n, waiting, first_run, head, least = None, None, 0, [], True, None, min_docs
 
     def close(last: bool) -> None:
         if run is not None and (first_run or last):
@@ -75,14 +84,15 @@ def frequent_lines(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first:
                 close(last=False)
                 first_run = run is None
                 run, doc, n, waiting, head = (h1, h2), None, 0, [], line
+                least = long_docs if long_docs is not None and h2 & 1 else min_docs
             if line[1:3] != doc:
                 doc, n = line[1:3], n + 1
-                if n == min_docs:
+                if n == least:
                     out.extend((GOES, *run, *w, n) for w in waiting)
                     waiting = []
             if keep_first and line == head:
                 pass  # repeated rows have it more than once
-            elif n >= min_docs:
+            elif n >= least:
                 out.append((GOES, *run, *line, n))
             else:
                 waiting.append(line)
@@ -93,12 +103,13 @@ def frequent_lines(batches: Iterator[pa.RecordBatch], min_docs: int, keep_first:
     yield out
 
 
-def bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = False) -> DataFrame:
+def bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, keep_first: bool = False, long_docs: int | None = None) -> DataFrame:
     """(k1, k2, n_lines, keep): one row for each document that loses a line; keep is a zlib-compressed bitmap, 1 for stays.
 
     A line's key is the line without ASCII white space at its ends and with A-Z in lower case; keys of min_docs documents
     or more lose all their lines, or with keep_first all but the first (by id, null first, then row key and position).
-    Lines with an empty key always stay. Repeated rows (equal id and text) are one document, here and in apply(); k1 and k2
+    long_docs is the threshold of keys of more than LONG_WORDS words, if they have one of their own. Lines with an empty key
+    always stay. Repeated rows (equal id and text) are one document, here and in apply(); k1 and k2
     identify it. A null text is one empty line. An empty table gives an empty one. No hash's lines are ever gathered: a
     very common line's run is dealt over as many partitions as it needs.
     """
@@ -106,7 +117,7 @@ def bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_d
     spark = df.sparkSession
     rows = row_key(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
     order = ["h1", "h2", "id", "k1", "k2"]
-    dealt = line_hashes(rows).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "pos")
+    dealt = line_hashes(rows, long_docs is not None).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "pos")
     kind = rows.schema["id"].dataType.simpleString()
     names = ["kind", "h1", "h2", "id", "k1", "k2", "pos", "n_lines", "docs"]
 
@@ -118,7 +129,7 @@ def bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_d
                 kinds[3] = batch.column("id").type
                 yield batch
 
-        for out in frequent_lines(seen(), min_docs, keep_first):
+        for out in frequent_lines(seen(), min_docs, keep_first, long_docs):
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
@@ -127,7 +138,8 @@ def bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_d
     # at most two rows for each partition of the shuffle
     counts = left.where(F.col("kind") == COUNT)
     line = F.struct("id", "k1", "k2", "pos")
-    totals = counts.groupBy("h1", "h2").agg(F.sum("docs").alias("total"), F.min(line).alias("head")).where(F.col("total") >= min_docs)
+    least = F.lit(min_docs) if long_docs is None else F.when(F.col("h2").bitwiseAND(1) == 1, long_docs).otherwise(min_docs)
+    totals = counts.groupBy("h1", "h2").agg(F.sum("docs").alias("total"), F.min(line).alias("head")).where(F.col("total") >= least)
     goes = [left.where(F.col("kind") == GOES), left.where(F.col("kind") == OPEN).join(F.broadcast(totals), ["h1", "h2"], "left_semi")]
     if keep_first:
         goes.append(counts.join(F.broadcast(totals), ["h1", "h2"]).where(~line.eqNullSafe(F.col("head"))))

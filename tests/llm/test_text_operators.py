@@ -102,6 +102,26 @@ def test_lines_against_brute_force(spark, keep_first, min_docs):
     assert line_dedup.apply(empty, line_dedup.bitmaps(empty)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 4])
+def test_long_lines_have_a_threshold_of_their_own(spark, partitions):
+    """Keys of over 50 words go from the second document on, whatever the partitions; shorter ones from ten documents on."""
+    long, short, rare = " ".join(f"long{i}" for i in range(51)), " ".join(f"short{i}" for i in range(50)), " ".join(f"rare{i}" for i in range(60))
+    rows = [(i, f"own {i}\n{long}\n{short if i < 9 else 'menu'}", None, None, None) for i in range(30)]
+    rows += [(50, f"{rare}\n{rare}", None, None, None), (60, f"a\n{rare.upper()}\t\nb", None, None, None), (61, "alone " + long, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(partitions)
+    kept = {r.doc_id: r.kept for r in line_dedup.apply(df, line_dedup.bitmaps(df, keep_first=True, long_docs=2)).collect()}
+    want = {i: "\n".join([f"own {i}", *[long] * (i == 0), *([short] if i < 9 else ["menu"] * (i == 9))]) for i in range(30)}
+    assert kept == want | {50: rare, 60: "a\nb", 61: "alone " + long}
+
+
+def test_pipeline_drops_long_lines_of_two_documents(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"long{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, "a\n" + long, "en", "s", 1), (2, long + "\nb", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == {1: "a\n" + long, 2: "b"}
+
+
 # -- simhash -------------------------------------------------------------------
 
 
