@@ -50,6 +50,8 @@ NEAR_COPIES = Scheme(9, 11, 48)
 SKETCH_BITS = 256
 #: Fingerprints of a bucket that are compared as one block of bit planes.
 BLOCK_ROWS = 4096
+#: A bucket of more rows with sketches is joined by search, a smaller one by comparing all its pairs.
+DENSE_ROWS = 512
 _all = (1 << BITS) - 1
 _table = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -211,6 +213,8 @@ def sketch_links(rows: list[tuple[int, bytes, int]], mask: int, scheme: Scheme)
     if not own and (fps == fps[0]).all():
         return []
     sketches = np.frombuffer(b"".join(k for _, k, _ in rows), np.uint64).reshape(len(rows), -1)
+    if len(rows) > DENSE_ROWS:
+        return spanning_links(fps, sketches, [x for _, _, x in rows], own, scheme)
     label, links = np.arange(len(rows)), []
     step = max(1, (1 << 20) // len(rows))
     for at in range(0, len(rows), step):
@@ -228,6 +232,25 @@ def sketch_links(rows: list[tuple[int, bytes, int]], mask: int, scheme: Scheme)
     return links
 
 
+def spanning_links(fps: np.ndarray, sketches: np.ndarray, nodes: list[int], own: bool, scheme: Scheme) -> list[tuple[int, int]]:
+    """sketch_links of a large bucket: a row is compared with those that are in no component yet, which for near copies are few."""
+    rest, left, kept = np.arange(1, len(fps)), fps[1:], sketches[1:]
+    links, queue = [], [0]
+    while len(rest):
+        if not queue:
+            queue, rest, left, kept = [int(rest[0])], rest[1:], left[1:], kept[1:]
+        x = queue.pop()
+        apart = np.bitwise_count(left ^ fps[x])
+        at = np.flatnonzero(apart == 0 if own else (apart > 0) & (apart <= scheme.reach))
+        at = at[np.bitwise_count(kept[at] ^ sketches[x]).sum(1, dtype=np.int64) <= scheme.sketch_radius]
+        if len(at):
+            found = rest[at].tolist()
+            links += [(nodes[x], nodes[i]) for i in found]
+            queue += found
+            rest, left, kept = np.delete(rest, at), np.delete(left, at), np.delete(kept, at, 0)
+    return links
+
+
 def stream(batches: Iterable[pa.RecordBatch], whole: bool, scheme: Scheme, block_rows: int) -> Iterator[tuple[list[tuple[int, int]], list[tuple]]]:
     """(links, rows (mask, fp, sketch, node) for another round) of a partition's sorted buckets.
 

@@ -236,6 +236,27 @@ def test_near_copy_links_against_brute_force(spark, block_rows):
     assert [label.get(i, i) for i in range(len(rows))] == want
 
 
+@pytest.mark.parametrize("mask", [0, simhash._all])
+def test_large_buckets_are_joined_as_small_ones(monkeypatch, mask):
+    random.seed(3)
+    flip = lambda x, size, k: x ^ sum(1 << b for b in random.sample(range(size), k))
+    base = [(random.getrandbits(64), random.getrandbits(256)) for _ in range(40)]
+    made = [(f if mask else flip(f, 64, random.randint(0, 6)), flip(s, 256, random.randint(0, 40))) for f, s in base for _ in range(12)]
+    made = [(made[0][0] if mask else f, s) for f, s in made]
+    rows = [(f, s.to_bytes(32, "little"), i) for i, (f, s) in enumerate(made)]
+
+    def groups():
+        name = list(range(len(rows)))
+        for u, v in simhash.bucket_links(rows, mask, simhash.NEAR_COPIES):
+            a, b = sorted((name[u], name[v]))
+            name = [a if x == b else x for x in name]
+        return name
+
+    want = groups()
+    monkeypatch.setattr(simhash, "DENSE_ROWS", 2)
+    assert groups() == want and 1 < len(set(want)) < len(rows)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 200)] + [(7, 7), (300, 301), (301, 300), (301, 300)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
