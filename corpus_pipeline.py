@@ -53,9 +53,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each row of the mix: its pieces' ids and where each piece starts in the text."""
+    """One row for each row of the mix: its pieces' ids, where each begins and ends in the text, and the text decoded from them."""
     found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "begins", "ends", "decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -108,6 +108,14 @@ def test_stages(spark, tmp_path):
     assert sorted((r.doc_id, list(r.ids)) for r in five.collect()) == want
 
 
+def test_encoding_gives_ends_and_decoded_text(spark):
+    docs = spark.createDataFrame([(1, "Hello  world", "en", "s", 12), (2, "naïve café", "en", "s", 10), (3, None, None, "s", 0)], SCHEMA)
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    for r in corpus_pipeline.encoding(spark, docs, "").collect():
+        text = {1: "Hello  world", 2: "naïve café", 3: ""}[r.doc_id]
+        assert r.decoded == library.decode(library.encode(text)) and len(r.ends) == len(r.begins) == r.n_tokens and r.ends[-1] == len(text.encode())
+
+
 def test_empty_documents(spark, tmp_path):
     df = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
