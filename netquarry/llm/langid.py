@@ -141,4 +141,5 @@ def identify(profiles: dict[str, dict[int, int]]):  # noqa: ANN201
             yield pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "lang_pred string, score double")
+    # else the optimiser copies it below a filter on its result, and every text is read twice
+    return F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
