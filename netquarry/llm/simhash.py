@@ -147,31 +147,42 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 class Planes:
     """Fingerprints of one bucket as vertical bit planes: bit i of plane b is bit b of fingerprint i."""
 
-    def __init__(self, fps: list[int], free: list[int]):
-        bits = np.unpackbits(np.array(fps, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        self.planes = [(b, int.from_bytes(np.packbits(bits[:, b], bitorder="little").tobytes(), "little")) for b in free]
-        self.every = (1 << len(fps)) - 1
+    def __init__(self, fps: np.ndarray, bits: Iterable[int] | None = None):
+        """fps: a row of 64-bit words for each fingerprint; bits: those that can differ, or all."""
+        rows = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little")
+        bits = range(rows.shape[1]) if bits is None else bits
+        self.planes = [(b, int.from_bytes(np.packbits(rows[:, b], bitorder="little").tobytes(), "little")) for b in bits]
+        self.every = (1 << len(rows)) - 1
 
-    def within(self, fp: int, radius: int) -> int:
-        """A bit for each fingerprint at the radius or nearer.
+    def counted(self, differing: Iterable[int], radius: int, among: int) -> int:
+        """The places in `among` that are set in no more than radius of the planes.
 
-        Differing bits are counted in planes of a carry-save adder that starts so high that radius + 1 overflow it.
+        They are counted in planes of a carry-save adder that starts so high that radius + 1 overflow it.
         """
-        every, digits = self.every, radius.bit_length()
+        digits = radius.bit_length()
         start = (1 << digits) - 1 - radius
-        counts = [every if start >> i & 1 else 0 for i in range(digits)]
+        counts = [among if start >> i & 1 else 0 for i in range(digits)]
         over = 0
-        for b, plane in self.planes:
-            carry = plane ^ every if fp >> b & 1 else plane
+        for carry in differing:
+            carry &= among
             for i in range(digits):
                 counts[i], carry = counts[i] ^ carry, counts[i] & carry
                 if not carry:
                     break
             else:
                 over |= carry
-                if over == every:
+                if over == among:
                     return 0
-        return every & ~over
+        return among & ~over
+
+    def within(self, fp: int, radius: int, among: int | None = None) -> int:
+        """A bit for each fingerprint, of those in `among`, at the radius or nearer to fp."""
+        every = self.every
+        return self.counted((plane ^ every if fp >> b & 1 else plane for b, plane in self.planes), radius, every if among is None else among)
+
+    def shifted_within(self, shift: int, radius: int, among: int) -> int:
+        """A bit for each fingerprint, of those in `among`, at the radius or nearer to the one so many places on."""
+        return self.counted((plane ^ (plane >> shift) for _, plane in self.planes), radius, among)
 
 
 def bucket_links(rows: list[tuple[int, bytes, int]], mask: int, scheme: Scheme) -> list[tuple[int, int]]:
@@ -182,7 +193,7 @@ def bucket_links(rows: list[tuple[int, bytes, int]], mask: int, scheme: Scheme)
     if len(rows) == 2:
         (a, _, u), (b, _, v) = rows
         return [(u, v)] if (a ^ b).bit_count() <= radius else []
-    planes = Planes([fp for fp, _, _ in rows], [b for b in range(BITS) if not mask >> b & 1])
+    planes = Planes(np.array([[fp] for fp, _, _ in rows], np.uint64), [b for b in range(BITS) if not mask >> b & 1])
     parent = list(range(len(rows)))
 
     def root(i: int) -> int:
