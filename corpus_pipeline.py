@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import langid, line_dedup, mixing, pieces, simhash
+from netquarry.llm import langid, line_dedup, mixing, pieces
+from netquarry.llm import near_copies as near_copies_of
 from netquarry.llm.common import cut_lineage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,8 +41,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies; doc_id is taken for a key, rows that share it stay or go together."""
     docs = docs.select(*COLUMNS)
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    first = near_copies_of.smallest(docs)
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
     return kept.select(*COLUMNS)
 
