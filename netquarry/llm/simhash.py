@@ -1,23 +1,20 @@
 """SimHash near-dedup with bit-sliced comparison.
 
-Fingerprints of 64 bits link at a radius of differing bits. Of b blocks of bits b - radius at least are then equal, so each
-fingerprint goes to the buckets of every choice of that many blocks. Buckets are dealt by range and sorted, so that a large
-bucket spreads over partitions; within a bucket, fingerprints are kept as vertical bit planes, and one fingerprint is
-compared with a whole block by carry-save counters. A bucket that is too large for one block, or that crosses partitions,
-goes to another round under narrower masks: its free bits are split in radius + 1 parts, one of which must be equal. A mask
-that leaves f bits free has at most 2 to the f distinct fingerprints, so this ends after a few rounds, with nothing left
-out.
-
-With sketches, many rows can have one fingerprint, which no mask divides. Such rows meet in buckets of their own (the mask
-of all bits), where the sketches alone decide, and in no other. A bucket that is too large or crosses partitions is cut
-into chunks, and every two chunks are compared, so that nothing depends on its size or on the number of partitions.
+Fingerprints of 64 bits link at a radius of differing bits. Of `BLOCKS` blocks of bits `BLOCKS` - `RADIUS` at least are then
+equal, so each fingerprint goes to the buckets of every choice of that many blocks. Buckets are dealt by range and sorted,
+so that a large bucket spreads over partitions; within a bucket, fingerprints are kept as vertical bit planes, and one
+fingerprint is compared with a whole block by carry-save counters. A bucket that is too large for one block, or that crosses
+partitions, goes to another round under narrower masks: its free bits are split in RADIUS + 1 parts, one of which must be
+equal. A mask that leaves f bits free has at most 2 to the f distinct fingerprints, so this ends after a few rounds, with
+nothing left out.
+
+Texts that are alike by 5-word shingles at a similarity of 0.8 differ in about ten bits of 64: see near_copies for those.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +25,10 @@ from pyspark.sql import functions as F
 from netquarry.llm.common import bounded_batches, cut_lineage, shuffle_partitions, slices, utf8
 
 BITS = 64
-
-
-class Scheme(NamedTuple):
-    """Which fingerprints link: at most `reach` bits differ, and `sketch_radius` bits of the sketches, if there are any.
-
-    Of `blocks` blocks of bits, `blocks` - `reach` are equal in all such pairs.
-    """
-
-    reach: int
-    blocks: int
-    sketch_radius: int = 0
-
-
-#: For fingerprints alone: 20 buckets of 31 to 33 bits.
-EXACT = Scheme(3, 6)
-#: For texts of which 5-word shingles have a Jaccard similarity of 0.8 or more: fingerprints of the set of words, 55 buckets
-#: of 11 or 12 bits, and sketches of 256 bits of the shingles. At 0.8 the angle is that of a cosine of 8/9: 39 bits with a
-#: standard deviation of 6.
-NEAR_COPIES = Scheme(9, 11, 48)
-SKETCH_BITS = 256
+#: Bits in which linked fingerprints differ at most, and blocks of bits: 20 buckets of 31 to 33 bits.
+RADIUS, BLOCKS = 3, 6
 #: Fingerprints of a bucket that are compared as one block of bit planes.
 BLOCK_ROWS = 4096
-#: A bucket of more rows with sketches is joined by search, a smaller one by comparing all its pairs.
-DENSE_ROWS = 512
 _all = (1 << BITS) - 1
 _table = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -60,11 +37,11 @@ def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def masks(scheme: Scheme) -> list[int]:
-    """The masks of blocks - reach of the blocks of bits."""
-    cuts = [round(i * BITS / scheme.blocks) for i in range(scheme.blocks + 1)]
-    blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
-    return [sum(c) for c in combinations(blocks, scheme.blocks - scheme.reach)]
+def masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
+    """The masks of blocks - radius of the blocks of bits."""
+    cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
+    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(cuts, cuts[1:])]
+    return [sum(c) for c in combinations(parts, blocks - radius)]
 
 
 def narrower(mask: int, radius: int) -> list[int]:
@@ -104,17 +81,6 @@ def fingerprint(text: bytes, words_in_shingle: int) -> int:
     return int(majority(shingle_hashes(words, words_in_shingle)).view(np.uint64)[0]) if words else 0
 
 
-def near_fingerprint(text: bytes, words_in_shingle: int) -> tuple[int, bytes]:
-    """A fingerprint of the set of words, and a sketch of SKETCH_BITS bits of the set of shingles."""
-    words = text.lower().split()
-    if not words:
-        return 0, bytes(SKETCH_BITS // 8)
-    fp = majority(np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64))
-    h = np.unique(shingle_hashes(words, words_in_shingle))
-    steps = np.arange(1, SKETCH_BITS // BITS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return int(fp.view(np.uint64)[0]), majority(spread(h[:, None] + steps)).tobytes()
-
-
 def spread(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -122,23 +88,16 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, scheme: Scheme = EXACT) -> DataFrame:
-    """(id, fp) for every row, fp as a signed long, and sketch, if the scheme has them; one narrow pass. A null text counts as empty and has fingerprint 0."""
-    sketches = bool(scheme.sketch_radius)
-
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3) -> DataFrame:
+    """(id, fp) for every row, fp as a signed long; one narrow pass. A null text counts as empty and has fingerprint 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts = utf8(part.column("text"))
-            if sketches:
-                both = [near_fingerprint(x, words_in_shingle) for x in texts]
-                columns = [np.array([f for f, _ in both], np.uint64), pa.array([k for _, k in both], pa.binary())]
-            else:
-                columns = [np.array([fingerprint(x, words_in_shingle) for x in texts], np.uint64)]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(columns[0].view(np.int64)), *columns[1:]], ["id", "fp", *["sketch"] * sketches])
+            fps = np.array([fingerprint(x, words_in_shingle) for x in utf8(part.column("text"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     bounded_batches(df)
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long" + ", sketch binary" * sketches)
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
 # -- links -------------------------------------------------------------------
@@ -185,16 +144,12 @@ class Planes:
         return self.counted((plane ^ (plane >> shift) for _, plane in self.planes), radius, among)
 
 
-def bucket_links(rows: list[tuple[int, bytes, int]], mask: int, scheme: Scheme) -> list[tuple[int, int]]:
-    """Links that join a bucket's rows (fingerprint, sketch, node) as all linked pairs would; fewer than rows."""
-    if scheme.sketch_radius:
-        return sketch_links(rows, mask, scheme)
-    radius = scheme.reach
-    if len(rows) == 2:
-        (a, _, u), (b, _, v) = rows
-        return [(u, v)] if (a ^ b).bit_count() <= radius else []
-    planes = Planes(np.array([[fp] for fp, _, _ in rows], np.uint64), [b for b in range(BITS) if not mask >> b & 1])
-    parent = list(range(len(rows)))
+def bucket_links(fps: list[int], mask: int, radius: int) -> list[tuple[int, int]]:
+    """Links that join a bucket's fingerprints as all linked pairs would; fewer than fingerprints."""
+    if len(fps) == 2:
+        return [(fps[0], fps[1])] if (fps[0] ^ fps[1]).bit_count() <= radius else []
+    planes = Planes(np.array(fps, np.uint64)[:, None], [b for b in range(BITS) if not mask >> b & 1])
+    parent = list(range(len(fps)))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -202,7 +157,7 @@ def bucket_links(rows: list[tuple[int, bytes, int]], mask: int, scheme: Scheme)
         return i
 
     links = []
-    for i, (fp, _, node) in enumerate(rows):
+    for i, fp in enumerate(fps):
         near = planes.within(fp, radius) >> (i + 1)
         j = i + 1
         while near:
@@ -212,58 +167,13 @@ def bucket_links(rows: list[tuple[int, bytes, int]], mask: int, scheme: Scheme)
             a, b = root(i), root(j)
             if a != b:
                 parent[b] = a
-                links.append((node, rows[j][2]))
+                links.append((fp, fps[j]))
             j += 1
     return links
 
 
-def sketch_links(rows: list[tuple[int, bytes, int]], mask: int, scheme: Scheme) -> list[tuple[int, int]]:
-    """The same where sketches decide: rows of one fingerprint are compared under the mask of all bits, others under the rest."""
-    fps = np.array([fp for fp, _, _ in rows], np.uint64)
-    own = mask == _all
-    if not own and (fps == fps[0]).all():
-        return []
-    sketches = np.frombuffer(b"".join(k for _, k, _ in rows), np.uint64).reshape(len(rows), -1)
-    if len(rows) > DENSE_ROWS:
-        return spanning_links(fps, sketches, [x for _, _, x in rows], own, scheme)
-    label, links = np.arange(len(rows)), []
-    step = max(1, (1 << 20) // len(rows))
-    for at in range(0, len(rows), step):
-        apart = np.bitwise_count(fps[at:at + step, None] ^ fps)
-        i, j = np.nonzero(apart == 0 if own else (apart > 0) & (apart <= scheme.reach))
-        i, j = i[j > i + at] + at, j[j > i + at]
-        for k in range(0, len(i), 1 << 18):
-            u, v = i[k:k + (1 << 18)], j[k:k + (1 << 18)]
-            near = np.bitwise_count(sketches[u] ^ sketches[v]).sum(1, dtype=np.int64) <= scheme.sketch_radius
-            u, v = u[near], v[near]
-            for x, more in zip(u[np.append(0, cuts := np.flatnonzero(u[1:] != u[:-1]) + 1)].tolist() if len(u) else [], np.split(v, cuts) if len(u) else []):
-                while len(more := more[label[more] != label[x]]):
-                    links.append((rows[x][2], rows[more[0]][2]))
-                    label[label == label[more[0]]] = label[x]
-    return links
-
-
-def spanning_links(fps: np.ndarray, sketches: np.ndarray, nodes: list[int], own: bool, scheme: Scheme) -> list[tuple[int, int]]:
-    """sketch_links of a large bucket: a row is compared with those that are in no component yet, which for near copies are few."""
-    rest, left, kept = np.arange(1, len(fps)), fps[1:], sketches[1:]
-    links, queue = [], [0]
-    while len(rest):
-        if not queue:
-            queue, rest, left, kept = [int(rest[0])], rest[1:], left[1:], kept[1:]
-        x = queue.pop()
-        apart = np.bitwise_count(left ^ fps[x])
-        at = np.flatnonzero(apart == 0 if own else (apart > 0) & (apart <= scheme.reach))
-        at = at[np.bitwise_count(kept[at] ^ sketches[x]).sum(1, dtype=np.int64) <= scheme.sketch_radius]
-        if len(at):
-            found = rest[at].tolist()
-            links += [(nodes[x], nodes[i]) for i in found]
-            queue += found
-            rest, left, kept = np.delete(rest, at), np.delete(left, at), np.delete(kept, at, 0)
-    return links
-
-
-def stream(batches: Iterable[pa.RecordBatch], whole: bool, scheme: Scheme, block_rows: int) -> Iterator[tuple[list[tuple[int, int]], list[tuple]]]:
-    """(links, rows (mask, fp, sketch, node) for another round) of a partition's sorted buckets.
+def stream(batches: Iterable[pa.RecordBatch], whole: bool, radius: int, block_rows: int) -> Iterator[tuple[list[tuple[int, int]], list[tuple[int, int]]]]:
+    """(links, rows (mask, fp) for another round) of a partition's sorted buckets.
 
     whole: no bucket goes on in another partition, and none is too large.
     """
@@ -271,16 +181,14 @@ def stream(batches: Iterable[pa.RecordBatch], whole: bool, scheme: Scheme, block
 
     def close(last: bool) -> tuple[list, list]:
         if spill or not whole and (first or last):
-            return [], [(mask, *x) for x in rows]
-        return bucket_links(rows, mask, scheme) if len(rows) > 1 else [], []
+            return [], [(mask, x) for x in rows]
+        return bucket_links(rows, mask, radius) if len(rows) > 1 else [], []
 
     links, again = [], []
     for batch in batches:
-        ms, xs = (batch.column(c).to_numpy().view(np.uint64) for c in ("mask", "fp"))
+        ms, xs, vs = (batch.column(c).to_numpy().view(np.uint64) for c in ("mask", "fp", "value"))
         if not len(ms):
             continue
-        sketches, nodes = batch.column("sketch"), batch.column("node")
-        vs = batch.column("value").to_numpy().view(np.uint64)
         cuts = np.flatnonzero((ms[1:] != ms[:-1]) | (vs[1:] != vs[:-1])) + 1
         starts, ends = np.append(0, cuts), np.append(cuts, len(ms))
         # most buckets have a single fingerprint; only the others, the first and the last are looked at
@@ -294,11 +202,10 @@ def stream(batches: Iterable[pa.RecordBatch], whole: bool, scheme: Scheme, block
                 first = mask is None
                 mask, value, rows, spill = int(ms[a]), int(vs[a]), [], False
             for i in range(a, b, block_rows):
-                to = min(b, i + block_rows)
-                rows += zip(xs[i:to].tolist(), sketches[i:to].to_pylist(), nodes[i:to].to_pylist())
+                rows += xs[i:min(b, i + block_rows)].tolist()
                 if len(rows) > block_rows and not whole:
                     spill = True
-                    again += [(mask, *x) for x in rows]
+                    again += [(mask, x) for x in rows]
                     rows = []
                     yield links, again
                     links, again = [], []
@@ -308,63 +215,40 @@ def stream(batches: Iterable[pa.RecordBatch], whole: bool, scheme: Scheme, block
     yield links + got[0], again + got[1]
 
 
-def links(distinct: DataFrame, scheme: Scheme = EXACT, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(u, v): links between distinct fingerprints (fp), or with sketches between distinct (fp, sketch, node) named by node.
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(u, v): links between distinct fingerprints (fp), enough that components are those of all linked pairs.
 
-    They are enough that components are those of all linked pairs. In the last round a bucket holds at most 4 * block_rows
-    fingerprints, in those before it block_rows.
+    In the last round a bucket holds at most 4 * block_rows fingerprints, in those before it block_rows.
     """
     spark = distinct.sparkSession
     n = shuffle_partitions(spark)
-    sketches = bool(scheme.sketch_radius)
-    extra = ["sketch", "node"] if sketches else [F.lit(None).cast("binary").alias("sketch"), F.col("fp").alias("node")]
-    first = masks(scheme) + [_all] * sketches
-    rows = distinct.select(F.explode(F.array(*[F.lit(signed(m)) for m in first])).alias("mask"), "fp", *extra)
+    first = masks(radius, blocks)
+    rows = distinct.select(F.explode(F.array(*[F.lit(signed(m)) for m in first])).alias("mask"), "fp")
     out: DataFrame | None = None
     free = max(BITS - m.bit_count() for m in first)
+    while True:
+        whole = 1 << free <= 4 * block_rows  # the bits that are free bound every bucket
 
-    def one_round(rows: DataFrame, whole: bool, value: Column = F.col("mask").bitwiseAND(F.col("fp"))) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for found, again in stream(batches, whole, scheme, block_rows):
+        def run(batches: Iterator[pa.RecordBatch], whole: bool = whole) -> Iterator[pa.RecordBatch]:
+            for found, again in stream(batches, whole, radius, block_rows):
                 if found or again:
-                    u = [a for a, _ in found] + [signed(m) for m, _, _, _ in again]
-                    v = [b for _, b in found] + [signed(x) for _, x, _, _ in again]
-                    k = [None] * len(found) + [k for _, _, k, _ in again]
-                    node = [None] * len(found) + [x for _, _, _, x in again]
-                    yield pa.RecordBatch.from_arrays([pa.array([True] * len(found) + [False] * len(again)), pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(k, pa.binary()), pa.array(node, pa.int64())], ["link", "u", "v", "sketch", "node"])
+                    u = [signed(a) for a, _ in found] + [signed(m) for m, _ in again]
+                    v = [signed(b) for _, b in found] + [signed(x) for _, x in again]
+                    yield pa.RecordBatch.from_arrays([pa.array([True] * len(found) + [False] * len(again)), pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["link", "u", "v"])
 
-        keyed = rows.withColumn("value", value)
-        dealt = keyed.repartition(n, "mask", "value") if whole else keyed.repartitionByRange(n, "mask", "value", "fp", "node")
-        return dealt.sortWithinPartitions("mask", "value", "fp").select("mask", "value", "fp", "sketch", "node").mapInArrow(run, "link boolean, u long, v long, sketch binary, node long")
-
-    while True:
-        whole = not sketches and 1 << free <= 4 * block_rows  # the bits that are free bound every bucket
-        found = cut_lineage(one_round(rows, whole))
+        keyed = rows.withColumn("value", F.col("mask").bitwiseAND(F.col("fp")))
+        dealt = keyed.repartition(n, "mask", "value") if whole else keyed.repartitionByRange(n, "mask", "value", "fp")
+        found = cut_lineage(dealt.sortWithinPartitions("mask", "value", "fp").select("mask", "value", "fp").mapInArrow(run, "link boolean, u long, v long"))
         here = found.where("link").select("u", "v")
         out = here if out is None else out.unionByName(here)
-        again = found.where("NOT link").select(F.col("u").alias("mask"), F.col("v").alias("fp"), "sketch", "node")
+        again = found.where("NOT link").select(F.col("u").alias("mask"), F.col("v").alias("fp"))
         if whole or again.isEmpty():
             return out
-        if sketches:
-            return out.unionByName(cut_lineage(one_round(chunk_pairs(again, block_rows), True, F.col("pair"))).select("u", "v"))
         used = [r.mask for r in again.select("mask").distinct().collect()]  # a round's masks are choices of bits, not data: dozens at first, thousands at most
-        table = {m: narrower(m & _all, scheme.reach) for m in used}
+        table = {m: narrower(m & _all, radius) for m in used}
         free = max(BITS - x.bit_count() for xs in table.values() for x in xs)
         options = spark.createDataFrame([(m, [signed(x) for x in xs]) for m, xs in table.items()], "mask long, narrower array<long>")
-        rows = again.join(F.broadcast(options), "mask").select(F.explode("narrower").alias("mask"), "fp", "sketch", "node").distinct()
-
-
-def chunk_pairs(rows: DataFrame, block_rows: int) -> DataFrame:
-    """Rows of whole buckets with a pair: each bucket is cut into chunks of about block_rows, and a row is in each pair of its chunk.
-
-    Any two rows of a bucket so have a pair in common; a pair holds about 2 * block_rows rows.
-    """
-    keyed = rows.withColumn("value", F.col("mask").bitwiseAND(F.col("fp")))
-    sizes = keyed.groupBy("mask", "value").agg(F.ceil(F.count("*") / block_rows).alias("chunks"))
-    cut = keyed.join(sizes, ["mask", "value"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
-    paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    pair = F.xxhash64("value", F.least("chunk", "other"), F.greatest("chunk", "other"))  # two that meet by chance are compared in vain only
-    return paired.select("mask", "fp", "sketch", "node", pair.alias("pair"))
+        rows = again.join(F.broadcast(options), "mask").select(F.explode("narrower").alias("mask"), "fp").distinct()
 
 
 # -- components --------------------------------------------------------------
@@ -400,25 +284,22 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 5, scheme: Scheme = NEAR_COPIES) -> DataFrame:
-    """(id, fp, component_id) for every row: the smallest id that is reachable over the scheme's links.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(id, fp, component_id) for every row: the smallest id that is reachable over fingerprints that link.
 
-    Texts with the same fingerprint (and the same sketch, if the scheme has them) are linked, those without words too
-    (fingerprint 0); a null text counts as empty. Null ids take part but name no component, unless all ids of one are null.
-    Repeated rows come out as they came in; an empty table gives an empty one; other columns of df are not read. Copies are
-    folded into one fingerprint and sketch before any comparison, and no list of a component's members is ever made.
+    Texts with the same fingerprint are linked, those without words too (fingerprint 0); a null text counts as empty. Null
+    ids take part but name no component, unless all ids of one are null. Repeated rows come out as they came in; an empty
+    table gives an empty one; other columns of df are not read. Copies are folded into one fingerprint before any
+    comparison, and no list of a component's members is ever made.
     """
-    fps = cut_lineage(fingerprints(df, id_col, text_col, words_in_shingle, scheme))
-    same = ["fp", "sketch"] if scheme.sketch_radius else ["fp"]
-    folded = fps.groupBy(*same).agg(F.min("id").alias("low"))
-    # the numbers are fixed once they are written
-    distinct = cut_lineage(folded.withColumn("node", F.monotonically_increasing_id() if scheme.sketch_radius else F.col("fp")))
-    linked = cut_lineage(components(links(distinct, scheme)).join(distinct.select("node", "low"), "node").select("node", "root", "low"))
+    fps = cut_lineage(fingerprints(df, id_col, text_col, words_in_shingle))
+    distinct = cut_lineage(fps.groupBy("fp").agg(F.min("id").alias("low")))
+    linked = cut_lineage(components(links(distinct, radius, blocks)).withColumnRenamed("node", "fp").join(distinct, "fp"))
     lows = linked.groupBy("root").agg(F.min("low").alias("component"))
-    named = linked.select("node", "root").join(lows, "root").select("node", "component")
+    named = linked.select("fp", "root").join(lows, "root").select("fp", "component")
     # written, so that both sides of the last join are dealt anew and a fingerprint with very many copies can be split
-    every = cut_lineage(distinct.join(named, "node", "left").select(*same, F.coalesce("component", "low").alias("component_id")))
-    return fps.join(every, same).select(F.col("id").alias(id_col), "fp", "component_id")
+    every = cut_lineage(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")))
+    return fps.join(every, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:

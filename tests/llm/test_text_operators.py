@@ -151,7 +151,7 @@ def test_links_against_brute_force(spark, block_rows):
     fps += [base ^ sum(1 << (7 * b % 64) for b in range(9) if x >> b & 1) for x in range(200)]
     fps = sorted(set(fps))
     df = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
-    found = simhash.components(simhash.links(df, simhash.EXACT, block_rows)).collect()
+    found = simhash.components(simhash.links(df, block_rows=block_rows)).collect()
     label = {r.node & simhash._all: r.root for r in found}
     want = brute_components(fps, 3)
     groups = defaultdict(set)
@@ -175,23 +175,16 @@ def test_near_duplicates(spark):
     random.seed(2)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ri") for b in range(150)]
     base = [random.choices(words, k=300) for _ in range(20)]
-    rows, group = [], {}
-    for g, w in enumerate(base):
+    rows = []
+    for w in base:
         for k in range(4):
             copy = list(w)
             for _ in range(k):
                 copy[random.randrange(300)] = "changed"
-            group[len(rows)] = g
             rows.append((len(rows), " ".join(copy), None, None, None))
     rows += [(500, None, None, None, None), (501, "", None, None, None), (502, " \n", None, None, None), (None, rows[0][1], None, None, None), (3, rows[3][1], None, None, None)]
-    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        if r.doc_id in group:
-            assert r.component_id == 4 * group[r.doc_id]
-        else:
-            assert r.component_id == (500 if r.doc_id else 0)
-    exact = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), words_in_shingle=3, scheme=simhash.EXACT).collect()
+    exact = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(exact) == len(rows)
     fps = sorted({(r.fp & simhash._all) for r in exact})
     want = dict(zip(fps, brute_components(fps, 3)))
     low = defaultdict(lambda: 10**9)
@@ -202,61 +195,6 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_same_words_in_another_order_are_no_copies(spark):
-    """Texts over one set of words have one fingerprint; the shingles alone tell them apart, and find the true copy."""
-    random.seed(8)
-    words = [f"w{i}" for i in range(200)]
-    rows = [(i, " ".join(words + random.choices(words, k=1500)), None, None, None) for i in range(20)]
-    rows.append((20, rows[7][1] + " w1", None, None, None))
-    got = simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert len({r.fp for r in got}) == 1
-    assert {r.doc_id: r.component_id for r in got} == {i: i if i < 20 else 7 for i in range(21)}
-
-
-@pytest.mark.parametrize("block_rows", [16, 4096])
-def test_near_copy_links_against_brute_force(spark, block_rows):
-    """All pairs up to the reach, and of one fingerprint, whatever the size of blocks; sketches decide."""
-    random.seed(block_rows)
-    flip = lambda x, size, k: x ^ sum(1 << b for b in random.sample(range(size), k))
-    rows = [(random.getrandbits(64), random.getrandbits(256)) for _ in range(150)]
-    rows += [(flip(f, 64, k), flip(s, 256, d)) for f, s in rows for k, d in ((6, 20), (9, 48), (8, 49), (10, 0))]
-    base, sketch = rows[0][0], rows[0][1]
-    rows += [(base, flip(sketch, 256, k)) for k in range(1, 60)] + [(base, random.getrandbits(256)) for _ in range(60)]
-    rows += [(flip(base, 64, random.randint(1, 9)), random.getrandbits(256)) for _ in range(60)]
-    rows = sorted(set(rows))
-    data = [(simhash.signed(f), s.to_bytes(32, "little"), i) for i, (f, s) in enumerate(rows)]
-    df = spark.createDataFrame(data, "fp long, sketch binary, node long").repartition(3)
-    label = {r.node: r.root for r in simhash.components(simhash.links(df, simhash.NEAR_COPIES, block_rows)).collect()}
-    want = list(range(len(rows)))
-    for i, (f, s) in enumerate(rows):
-        for j in range(i):
-            if (f ^ rows[j][0]).bit_count() <= 9 and (s ^ rows[j][1]).bit_count() <= 48 and want[i] != want[j]:
-                a, b = sorted((want[i], want[j]))
-                want = [a if x == b else x for x in want]
-    assert [label.get(i, i) for i in range(len(rows))] == want
-
-
-@pytest.mark.parametrize("mask", [0, simhash._all])
-def test_large_buckets_are_joined_as_small_ones(monkeypatch, mask):
-    random.seed(3)
-    flip = lambda x, size, k: x ^ sum(1 << b for b in random.sample(range(size), k))
-    base = [(random.getrandbits(64), random.getrandbits(256)) for _ in range(40)]
-    made = [(f if mask else flip(f, 64, random.randint(0, 6)), flip(s, 256, random.randint(0, 40))) for f, s in base for _ in range(12)]
-    made = [(made[0][0] if mask else f, s) for f, s in made]
-    rows = [(f, s.to_bytes(32, "little"), i) for i, (f, s) in enumerate(made)]
-
-    def groups():
-        name = list(range(len(rows)))
-        for u, v in simhash.bucket_links(rows, mask, simhash.NEAR_COPIES):
-            a, b = sorted((name[u], name[v]))
-            name = [a if x == b else x for x in name]
-        return name
-
-    want = groups()
-    monkeypatch.setattr(simhash, "DENSE_ROWS", 2)
-    assert groups() == want and 1 < len(set(want)) < len(rows)
-
-
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 200)] + [(7, 7), (300, 301), (301, 300), (301, 300)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
