@@ -18,10 +18,13 @@ SLICE_BYTES = 2 << 20
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df, written eagerly to spark.checkpoint.dir (the cluster's shared folder) and read from there.
 
-    Only where the session names no such folder, as in tests, one is made on this machine.
+    Where the session names no such folder, a local session, as in tests, gets one on this machine; on a cluster it is an
+    error, since executors don't share one.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="netquarry-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -31,7 +34,11 @@ BATCH_BYTES, _BYTES, _DEFAULT = 8 << 20, "spark.sql.execution.arrow.maxBytesPerB
 
 
 def bounded_batches(df: DataFrame) -> None:
-    """Makes the session's Arrow batches smaller than Spark's default, which several tasks of an executor hold several times."""
+    """Makes the session's Arrow batches smaller than Spark's default, which several tasks of an executor hold several times.
+
+    The setting is read when a plan runs, which is after an operator has returned, so it stays; a session that has set it
+    to anything else keeps its own.
+    """
     conf = df.sparkSession.conf
     if str(conf.get(_BYTES, None)).lower().removesuffix("b") in ("none", str(_DEFAULT), "64m"):
         conf.set(_BYTES, str(BATCH_BYTES))

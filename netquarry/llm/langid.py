@@ -59,7 +59,9 @@ def ranked(text: str, most: int = PROFILE) -> np.ndarray:
 def train(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column, rows: int = TRAIN_ROWS) -> dict[str, dict[int, int]]:
     """language -> {n-gram: rank}, learned from the rows where learn holds and text and language are not null.
 
-    About `rows` rows a language are used, or all if there are fewer. The result has PROFILE entries a language.
+    About `rows` rows a language are used, or all if there are fewer; the choice goes by a hash of id and text, so repeated
+    rows are chosen together. N-grams that come equally often are ranked by their code points. The result has PROFILE
+    entries a language, and is empty if no row can be learned from. More than MAX_LANGUAGES languages are an error.
     """
     bounded_batches(df)
     known = df.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())

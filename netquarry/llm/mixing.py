@@ -134,6 +134,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             def blocks() -> Iterator[list[tuple]]:
                 key, held = None, []
                 for batch in batches:
+                    kinds[:] = [batch.column(c).type for c in columns]
                     for row in zip(*(batch.column(c).to_pylist() for c in names)):
                         if (row[1], row[-1]) != key:
                             if held:
@@ -145,10 +146,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
             for held in blocks():  # about BLOCK_ROWS rows each
                 result = [(*row[:8], p, *row[9:11]) for row, p in ((r[3], p) for r, p in pivotal(((r[4], r[8], (seed, r[10], r[2], i), r) for i, r in enumerate(held)), level))]
-                arrow = [pa.array(c) for c in zip(*result)]
-                yield pa.RecordBatch.from_arrays([a.cast(k) for a, k in zip(arrow, kinds)], columns)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*result), kinds)], columns)
 
-        kinds = [arrow_type(kind(c)) for c in columns]
+        kinds: list[pa.DataType] = []
         found = cut_lineage(dealt.mapInArrow(run, schema))
         settled = F.col("p").isin(0.0, 1.0)
         out.append(found.where(settled).select("id", "source", "k1", "k2", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies")))
@@ -167,15 +167,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return result.withColumnRenamed("id", id_col)
 
 
-def arrow_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[kind]
-
-
 def apply(df: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows, each as often as the mix takes it; repeated rows of df (equal id and text) share the sum of their copies."""
     copies = mixed.groupBy("k1", "k2").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    rows = row_key(df, id_col, text_col)
+    # packed, so that no column of df is called like those added here
+    rows = row_key(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.struct(*df.columns).alias("_all")), "_id", "_text").drop("_id", "_text")
     alone = rows.join(copies, ["k1", "k2"])
     # of repeated rows one stands for all
     one = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(1)))
-    return alone.withColumn("_row", one).where("_row = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*df.columns)
+    taken = alone.withColumn("_row", one).where("_row = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+    return taken.select(*[F.col(f"_all.`{c}`").alias(c) for c in df.columns])

@@ -108,6 +108,12 @@ class LabelModel:
                 break
         self.posterior = dict(zip(self.codes.tolist(), good.tolist()))
 
+    def of(self, code: int) -> float:
+        """The probability that a document with this pattern of votes is good; the pattern need not have been counted."""
+        if code not in self.posterior:
+            self.posterior[code] = float(self.posteriors(votes_of(np.array([code])))[0])
+        return self.posterior[code]
+
     def posteriors(self, votes: np.ndarray) -> np.ndarray:
         j = np.arange(len(LABELLERS))
         bad, good = (np.log(t[j, votes]).sum(1) + math.log(p) for t, p in zip(self.tables, (1 - self.prior, self.prior)))
@@ -162,7 +168,10 @@ def train_scorer(rows: list[tuple[np.ndarray, float]], rounds: int = 8, rate: fl
 
 
 def vote_counts(df: DataFrame, text_col: str = "text") -> dict[int, int]:
-    """How many rows have each pattern of votes; at most 3 to the number of labellers, however many rows there are."""
+    """How many rows have each pattern of votes; at most 3 to the number of labellers, however many rows there are.
+
+    A null text counts as empty; repeated rows count as often as they come; an empty table has no pattern.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         for part in slices(batches):
@@ -175,15 +184,19 @@ def vote_counts(df: DataFrame, text_col: str = "text") -> dict[int, int]:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> tuple[LabelModel, np.ndarray]:
-    """The label model of all rows' votes, and the scorer trained on about `rows` of them."""
+    """The label model of all rows' votes, and the scorer trained on about `rows` of them.
+
+    The sample goes by a hash of id and text, so repeated rows are in it together or not at all; a text of more than 20,000
+    bytes is in it less often, as the bytes that it is longer. A null text counts as empty, a null id is an id like any
+    other. An empty table gives a model without votes (every posterior 0.5) and weights of zero.
+    """
     counts = vote_counts(df, text_col)
     model = LabelModel(counts)
     total = sum(counts.values())
-    posterior = model.posterior
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            out = [(features(words).astype(np.int32), posterior[pattern(x, words)]) for x in utf8(part.column("text")) for words in [x.split()]]
+            out = [(features(words).astype(np.int32), model.of(pattern(x, words))) for x in utf8(part.column("text")) for words in [x.split()]]
             yield pa.RecordBatch.from_arrays([part.column("u"), pa.array([x.tobytes() for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.float64())], ["u", "x", "y"])
 
     u = F.pmod(F.xxhash64(F.lit("quality"), id_col, text_col), F.lit(1 << 40))
@@ -197,21 +210,21 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int
 def score(df: DataFrame, model: LabelModel, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, posterior, score) for every row: the label model's and the scorer's probability that the text is good.
 
-    A null text counts as empty, which is a pattern of votes like any other and the scorer's intercept. Rows are
-    independent: repeated rows and null ids come out as they came in; an empty table gives an empty one; other columns of
+    A null text counts as empty, which is a pattern of votes like any other and the scorer's intercept. Patterns that the
+    model was not made from have a posterior too. Rows are independent: repeated rows and null ids come out as they came in; an empty table gives an empty one; other columns of
     df are not read. What is sent along has a fixed size (the weights) or one entry for each pattern of votes.
     """
-    sent = df.sparkSession.sparkContext.broadcast((weights, model.posterior))
+    sent = df.sparkSession.sparkContext.broadcast((weights, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only_memo("quality", _features.clear)
-        w, posterior = sent.value
+        w, labels = sent.value
         for part in slices(batches):
             p, s = [], []
             for x in utf8(part.column("text")):
                 words = x.split()
                 at = features(words)
-                p.append(posterior[pattern(x, words)])
+                p.append(labels.of(pattern(x, words)))
                 s.append(1 / (1 + math.exp(-max(-30.0, min(30.0, (float(w[at].mean()) if len(at) else 0.0) + float(w[-1]))))))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(p, pa.float64()), pa.array(s, pa.float64())], ["id", "posterior", "score"])
 

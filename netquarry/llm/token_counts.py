@@ -61,7 +61,9 @@ class WordBpe(dict):
         symbols[-1] += self.suffix
         if not self.vocab.issuperset(symbols):
             symbols = [s for s in symbols if s in self.vocab]
-        self[word] = n = len(symbols) - merges(symbols, self.ranks)
+        n = len(symbols) - merges(symbols, self.ranks)
+        if len(word) < 100:
+            self[word] = n
         return n
 
     def count_word(self, word: str) -> int:

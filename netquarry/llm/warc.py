@@ -69,15 +69,17 @@ def differing_leaves(one: list[DataFrame], other: list[DataFrame]) -> DataFrame:
 def audit(listed: DataFrame, replica: DataFrame) -> DataFrame:
     """listed (a manifest) with damaged: whether the replica's record of that ordinal has another hash or length, or lacks.
 
-    replica has (ordinal, sha256, bytes). Both trees have the manifest's shape; a record that the replica lacks is a leaf
-    without a hash. If the roots agree, no other node is compared. An empty manifest gives an empty table.
+    replica has (ordinal, sha256, bytes); rows without an ordinal are left out, and of several of one ordinal the least
+    hash counts. A record that only one side has is a leaf without a hash on the other; one that the manifest lacks comes
+    back as a damaged row with the ordinal alone. If the roots agree, no other node is compared. Columns of listed called
+    damaged are replaced. An empty manifest and an empty replica give an empty table.
     """
-    listed = cut_lineage(listed)
-    n = listed.count()
-    if not n:
-        return listed.withColumn("damaged", F.lit(False))
+    listed = cut_lineage(listed.drop("damaged"))
     ours = listed.select(F.col("ordinal").alias("node"), F.col("sha256").alias("hash"), (F.col("end") - F.col("begin")).alias("bytes"))
-    theirs = ours.select("node").join(replica.select(F.col("ordinal").alias("node"), F.col("sha256").alias("hash"), F.col("bytes").cast("long").alias("bytes")), "node", "left")
-    theirs = theirs.select("node", F.coalesce("hash", F.lit("")).alias("hash"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
-    bad = differing_leaves(levels(ours, n), levels(theirs, n))
-    return listed.join(bad.select(F.col("node").alias("ordinal"), F.lit(True).alias("damaged")), "ordinal", "left").withColumn("damaged", F.coalesce("damaged", F.lit(False)))
+    one = F.min(F.struct(F.col("sha256").alias("hash"), F.col("bytes").cast("long").alias("bytes"))).alias("r")
+    theirs = replica.where(F.col("ordinal").isNotNull()).groupBy(F.col("ordinal").cast("long").alias("node")).agg(one).select("node", "r.hash", "r.bytes")
+    both = cut_lineage(ours.alias("a").join(theirs.alias("b"), "node", "full_outer").select("node", *[F.coalesce(f"{t}.{c}", F.lit(d)).alias(f"{t}_{c}") for t in "ab" for c, d in (("hash", ""), ("bytes", 0))]))
+    width = (both.agg(F.max("node")).first()[0] or 0) + 1
+    trees = [levels(both.select("node", F.col(f"{t}_hash").alias("hash"), F.col(f"{t}_bytes").alias("bytes")), width) for t in "ab"]
+    bad = differing_leaves(*trees).select(F.col("node").alias("ordinal"), F.lit(True).alias("_bad"))
+    return listed.join(bad, "ordinal", "full_outer").withColumn("damaged", F.coalesce("_bad", F.lit(False))).drop("_bad")

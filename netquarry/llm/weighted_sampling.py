@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from netquarry.llm.common import bounded_batches, shuffle_partitions
 
@@ -154,9 +155,13 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The next document is the next row ascending by id (null first), then by text; after the last the first; a single row is
-    its own next. A null text counts as empty. Equal ids, repeated rows and empty tables are fine; other columns of df are
-    not read. Every part streams, a few texts at a time.
+    its own next. A null text counts as empty. Equal ids, repeated rows and empty tables are fine (equal ids, and null ones,
+    are in one part); other columns of df are not read. Ids are integers of any size, others are an error. Every part
+    streams, a few texts at a time.
     """
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} has to hold integers, for the next document is the one with the next larger id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
@@ -200,5 +205,5 @@ def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     dealt = with_next(df, id_col, text_col).select("part", "extra", "id", "text")
     schema = f"id {dealt.schema['id'].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
-    kind = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32()}[dealt.schema["id"].dataType.simpleString()]
+    kind = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[dealt.schema["id"].dataType.simpleString()]
     return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
