@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,17 +16,41 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df, written eagerly to spark.checkpoint.dir (the cluster's shared folder) and read from there.
+#: Rows of a small table that one task writes.
+ROWS_IN_FILE = 100_000
 
-    Where the session names no such folder, a local session, as in tests, gets one on this machine; on a cluster it is an
-    error, since executors don't share one.
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the cluster's shared folder.
+
+    Where the session names none, a local session, as in tests, gets one on this machine; on a cluster it is an error, since
+    executors don't share one.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="netquarry-checkpoint-"))
+        spark.sparkContext.setCheckpointDir(named := tempfile.mkdtemp(prefix="netquarry-checkpoint-"))
+    return named
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as Parquet to a folder of its own in the shared folder and read from there; the caller's cluster clears that folder."""
+    place = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, written eagerly to the shared folder as a checkpoint and read from there.
+
+    rows: at most how many rows it has, where that is known and its last stage is light; a small table then comes in few
+    files, for each costs every reader a task and the writer a file's creation.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    if rows is not None and (files := rows // ROWS_IN_FILE + 1) < shuffle_partitions(spark):
+        df = df.coalesce(files)
     return df.checkpoint(eager=True)
 
 

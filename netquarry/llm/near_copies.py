@@ -32,7 +32,7 @@ SKETCH_BITS = 256
 RADIUS = 60
 BANDS, BAND_VALUES = 10, 3
 #: Rows of a bucket, and shingles of a group, that are compared at once.
-BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 1 << 18
 #: Buckets up to so many rows are compared together with others.
 SMALL_ROWS = 32
 #: Words whose hashes a worker remembers.
@@ -353,7 +353,8 @@ def group_links(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], compa
     the largest part of their group are compared with every chunk of it, and with each other. attach adds what compare needs
     to rows with a key. known: links found before.
     """
-    sizes = cut_lineage(rows.groupBy("group").agg(F.ceil(F.sum("cost") / limit).alias("chunks")))
+    n = rows.count()
+    sizes = cut_lineage(rows.groupBy("group").agg(F.ceil(F.sum("cost") / limit).alias("chunks")), n)
     cut = rows.join(sizes, "group")
     deals = F.when(F.col("chunks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     dealt = cut.withColumn("deal", F.explode(deals)).withColumn("key", F.xxhash64("group", "deal", F.pmod(F.xxhash64("node", "deal"), F.greatest("chunks", F.lit(1)))))
@@ -365,7 +366,7 @@ def group_links(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], compa
     large = cut.where("chunks > 1").drop("chunks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = large.groupBy("group", "root").agg(F.sum("cost").alias("cost"))
     most = parts.groupBy("group").agg(F.max_by("root", F.struct("cost", "root")).alias("main"), F.max("cost").alias("of_main"), F.sum("cost").alias("all"))
-    most = cut_lineage(most.where(F.col("all") > F.col("of_main")).select("group", "main", F.ceil(F.col("of_main") / limit).alias("mains"), F.ceil((F.col("all") - F.col("of_main")) / limit).alias("others")))
+    most = cut_lineage(most.where(F.col("all") > F.col("of_main")).select("group", "main", F.ceil(F.col("of_main") / limit).alias("mains"), F.ceil((F.col("all") - F.col("of_main")) / limit).alias("others")), n)
     if most.isEmpty():
         return links
     rest = large.join(most, "group")
@@ -400,15 +401,16 @@ def classes(df: DataFrame, id_col: str, text_col: str, block_rows: int, block_sh
     same = ["k1", "k2", "n", *_SKETCH, *[f"b{i}" for i in range(BANDS)]]  # all but the first two follow from the set
     folded = fps.groupBy("set1", "set2").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in same])
     distinct = cut_lineage(folded.withColumn("node", F.monotonically_increasing_id()))  # the numbers are fixed once they are written
+    n = distinct.count()
     near, again = in_buckets(distinct, block_rows)
     near = near.unionByName(group_links(again, lambda x: x, by_sketches, block_rows, near))
     groups = components(near).withColumnRenamed("root", "group")
-    members = cut_lineage(groups.join(distinct.select("node", "k1", "k2", (F.col("n") + 1).alias("cost")), "node"))
+    members = cut_lineage(groups.join(distinct.select("node", "k1", "k2", (F.col("n") + 1).alias("cost")), "node"), n)
     found = components(group_links(members, lambda x: x.join(texts.select("k1", "k2", "text"), ["k1", "k2"]).select("key", "node", "text"), by_shingles, block_shingles))
-    linked = cut_lineage(found.join(distinct.select("node", "low"), "node"))
+    linked = cut_lineage(found.join(distinct.select("node", "low"), "node"), n)
     lows = linked.groupBy("root").agg(F.min("low").alias("component"))
     named = linked.select("node", "root").join(lows, "root").select("node", "component")
-    every = cut_lineage(distinct.join(named, "node", "left").select("set1", "set2", F.coalesce("component", "low").alias("component_id")))
+    every = cut_lineage(distinct.join(named, "node", "left").select("set1", "set2", F.coalesce("component", "low").alias("component_id")), n)
     return fps.select("id", "set1", "set2"), every
 
 

@@ -267,7 +267,8 @@ def components(edges: DataFrame) -> DataFrame:
     def signature(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = cut_lineage(undirected(edges))
+    n = edges.count()  # no round has more
+    edges = cut_lineage(undirected(edges), n)
     seen = signature(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -276,7 +277,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = undirected(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = cut_lineage(undirected(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))))
+        edges = cut_lineage(undirected(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))), 2 * seen[0])
         now = signature(edges)
         if now == seen:
             break
@@ -294,11 +295,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     fps = cut_lineage(fingerprints(df, id_col, text_col, words_in_shingle))
     distinct = cut_lineage(fps.groupBy("fp").agg(F.min("id").alias("low")))
-    linked = cut_lineage(components(links(distinct, radius, blocks)).withColumnRenamed("node", "fp").join(distinct, "fp"))
+    n = distinct.count()
+    linked = cut_lineage(components(links(distinct, radius, blocks)).withColumnRenamed("node", "fp").join(distinct, "fp"), n)
     lows = linked.groupBy("root").agg(F.min("low").alias("component"))
     named = linked.select("fp", "root").join(lows, "root").select("fp", "component")
     # written, so that both sides of the last join are dealt anew and a fingerprint with very many copies can be split
-    every = cut_lineage(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")))
+    every = cut_lineage(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")), n)
     return fps.join(every, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
