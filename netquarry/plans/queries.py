@@ -312,7 +312,7 @@ def _spanning(pins, assign):
 def fm_partition(spark, d):
     """The whole graph in two: nodes, nodes that lack or come twice, resources over their bounds, and whether the cut beats 32 hashed splits."""
     weights, pins, edges = _whole(spark, d)
-    state = propagate.settle(multilevel.bisection(weights, pins, edges, n_runs=2, rounds=2))
+    state = propagate.settle(multilevel.bisection(weights, pins, edges, n_runs=2, rounds=1))
     over = bisect.violations(state, weights).agg(F.sum("over")).first()[0] or 0
     lost = weights.join(state.groupBy("node_id").count().where("count = 1"), "node_id", "left_anti").count()
     random = _run_costs(spark, d).agg(F.min("cost")).first()[0] or 0
