@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netquarry.functions import names, probability
+from netquarry.functions import cells, probability
 from netquarry.operators import dwell, hypergraph, ilp, implementations, kernel, propagate
 from netquarry.sources import config, text_formats, vcd, verilog
 
@@ -113,27 +113,24 @@ def compare_vcd(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def functional(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Probabilities and entropies of a netlist of LUTs, optionally seeded from counts; writes Shannon values and XNTL."""
+    """Probabilities and entropies of a netlist, optionally seeded from counts; writes Shannon values and XNTL."""
     rows = propagate.settle(verilog.statements(spark, a.verilog))
-    pins = propagate.settle(verilog.expand_buses(verilog.instances(rows.where(verilog.statement_kind(F.col("value")) == "instance")).where("instance IS NOT NULL"), verilog.nets(rows)))
-    luts = pins.where("type LIKE 'LUT%'")
-    inputs = luts.where("port LIKE 'I%'").groupBy("instance").agg(F.transform(F.array_sort(F.collect_list(F.struct("port", "net"))), lambda x: x["net"]).alias("inputs"))
-    init = names.immediate(F.col("params")["INIT"]).cast("long")
-    gates = luts.where("port = 'O'").select("instance", F.col("net").alias("wire"), init.alias("init")).join(inputs, "instance").select("wire", "init", "inputs")
+    pins = propagate.settle(verilog.expand_buses(verilog.parsed(verilog.instances(rows.where(verilog.statement_kind(F.col("value")) == "instance"))), verilog.nets(rows)))
+    gates = cells.gates(pins)
     seeds = spark.createDataFrame([("\\<const0> ", 0.0), ("\\<const1> ", 1.0), ("1'b0", 0.0), ("1'b1", 1.0)], "wire string, p1 double")
     if a.entropy:
         seeds = seeds.unionByName(text_formats.p1_from_counts(text_formats.counts(spark.read.text(a.entropy)), pins.select(F.col("net").alias("wire")).distinct()))
     found = propagate.propagate(gates, seeds)
     h = found.select("wire", F.col("wire").alias("name"), F.round(probability.entropy(F.col("p1")), 9).alias("h"))
     text_formats.shannon_lines(h).select("value").write.mode("overwrite").text(f"{a.output}/shannon")
-    wires = pins.where("net IS NOT NULL").where(~text_formats.is_global(F.col("net"))).join(h, F.col("net") == F.col("wire"), "left")
+    wires = pins.where("net IS NOT NULL").where(~text_formats.is_ignored_wire(F.col("net"))).join(h, F.col("net") == F.col("wire"), "left")
     modules = wires.groupBy("instance", "type").agg(F.array_sort(F.collect_set(F.struct(F.col("net").alias("name"), F.coalesce("h", F.lit(1.0)).alias("entropy")))).alias("wires"))
     text_formats.ntl_blocks(modules, with_entropy=True).select("value").write.mode("overwrite").text(f"{a.output}/xntl")
 
 
 def structural(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = verilog.statements(spark, a.verilog)
-    pins = verilog.instances(rows.where(verilog.statement_kind(F.col("value")) == "instance")).where("net IS NOT NULL").where(~text_formats.is_global(F.col("net")))
+    pins = verilog.parsed(verilog.instances(rows.where(verilog.statement_kind(F.col("value")) == "instance"))).where("net IS NOT NULL").where(~text_formats.is_ignored(F.col("net")))
     modules = pins.groupBy("instance", "type").agg(F.transform(F.array_sort(F.collect_set("net")), lambda n: F.struct(n.alias("name"), F.lit(1.0).alias("entropy"))).alias("wires"))
     text_formats.ntl_blocks(modules).select("value").write.mode("overwrite").text(a.output)
 

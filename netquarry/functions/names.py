@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Global nets that are no data (fixed values).
-GLOBAL_NETS = ("\\<const0> ", "\\<const1> ", "clk", "rst", "reset", "1'b0", "1'b1")
+#: Nets of clocks, resets and supplies, which are no data (fixed values): as nets are named, and as single wires are.
+GLOBAL_NETS = ("CLK_IBUF_BUFG", "RST_IBUF", "\\<const0>", "\\<const1>", "GND", "GND_2", "CLK_IBUF", "VCC", "VCC_2", "CLK")
+GLOBAL_WIRES = ("CLK_IBUF_BUFG[0]", "RST_IBUF[0]", "\\<const0> [0]", "\\<const1> [0]", "GND[0]", "GND_2[0]", "CLK_IBUF[0]", "VCC[0]", "VCC_2[0]", "CLK[0]", "RST[0]")
+
+
+def is_global(net: Column) -> Column:
+    """Whether a net is a global one; an escaped name may have its final blank."""
+    return F.rtrim(net).isin(*GLOBAL_NETS)
+
+
+def is_global_wire(wire: Column) -> Column:
+    """The same for wires: the one wire of a net without a range is called like the net or has [0] at its end."""
+    return wire.isin(*GLOBAL_WIRES) | F.concat(wire, F.lit("[0]")).isin(*GLOBAL_WIRES)
+
+
+def is_literal(net: Column) -> Column:
+    return net.rlike(r"^\d*'[bBdDhHoO]")
 
 
 def clean_split(name: Column) -> Column:

@@ -71,15 +71,3 @@ def carry_chain(carry_in: Column, data: Column, select: Column) -> Column:
 
     return F.aggregate(F.zip_with(data, select, lambda d, s: F.struct(d.cast("double").alias("d"), s.cast("double").alias("s"))), start, step)["out"]
 
-
-#: Cell types by the probability of their outputs (fixed values): constants, and those that pass an input on.
-CONSTANT = {"GND": 0.0, "VCC": 1.0, **dict.fromkeys(["RAMB18E1", "RAMB36E1", "RAM32M", "RAM64M", "RAM64X1D", "RAM128X1D", "RAM256X1S", "DSP48E1", "MMCME2_ADV", "BLACKBOX"], 0.5)}
-PASS_THROUGH = {**dict.fromkeys(["IBUF", "OBUF", "BUFG", "IBUFDS", "OBUFDS", "BUFGCTRL"], "I"), **dict.fromkeys(["FDRE", "FDSE", "FDCE", "FDPE", "FD", "LDCE", "SRL16E", "SRLC32E"], "D"), "FIFO18E1": "DI", "FIFO36E1": "DI"}
-
-
-def cell_output(kind: Column, passed: Column) -> Column:
-    """Probability of 1 of a cell that has a fixed output or passes an input on; null for other types."""
-    out = F.when(kind.isin(*PASS_THROUGH), passed)
-    for value in sorted(set(CONSTANT.values())):
-        out = out.when(kind.isin(*[k for k, v in CONSTANT.items() if v == value]), F.lit(value))
-    return out

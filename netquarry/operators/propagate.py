@@ -1,6 +1,7 @@
-"""Signal probabilities through gate-level netlists.
+"""Signal probabilities through gate-level circuits.
 
-gates(wire, init, inputs array<string>): LUTs and the wires that drive them; seeds(wire, p1): known wires.
+gates(wire, kind, init, inputs array<string>): outputs of cells and the wires they follow from, as functions.cells makes them;
+seeds(wire, p1): known wires.
 """
 
 from __future__ import annotations
@@ -11,11 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.functions import probability
+from netquarry.functions import cells
 
-UNKNOWN, LOOP_ROUNDS = 0.5, 50
-#: Levels between which what is known and what waits are written.
-REST = 4
+UNKNOWN = 0.5
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,44 +39,73 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def drivers(cells: DataFrame) -> DataFrame:
-    """cells whose wire has one driver; wires with several are unknown (0.5) and come back through `seeds`."""
+    """cells whose wire has one driver; wires with several are unknown (0.5), as undriven ones are, unless seeds have them."""
     many = cells.groupBy("wire").agg(F.count("*").alias("n")).where("n > 1").select("wire")
     return cells.join(many, "wire", "left_anti")
 
 
-def evaluate(gates: DataFrame, known: DataFrame) -> DataFrame:
-    """(wire, p1) of the gates whose inputs are all in known(wire, p1)."""
-    pins = gates.select("wire", "init", F.posexplode("inputs").alias("pos", "input"))
-    ready = pins.join(known.select(F.col("wire").alias("input"), "p1"), "input", "left").groupBy("wire", "init").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "p1"))).alias("ps"), F.count(F.when(F.col("p1").isNull(), 1)).alias("missing"))  # six inputs at most
-    return ready.where("missing = 0").select("wire", probability.lut(F.transform("ps", lambda x: x["p1"]), F.col("init")).alias("p1"))
-
-
-def propagate(gates: DataFrame, seeds: DataFrame, max_levels: int = 10_000) -> DataFrame:
+def propagate(gates: DataFrame, seeds: DataFrame) -> DataFrame:
     """(wire, p1, level) of all wires: level by level, each gate once, when its inputs are known.
 
-    Inputs that nothing drives are unknown (0.5). What is left then are loops: they start from 0.5 and are evaluated
-    LOOP_ROUNDS times. Seeds win over gates. Each level is written to the shared folder, and only waiting gates go on.
+    gates(wire, init, inputs[, kind]); without kind they are LUTs. Seeds win over gates. Inputs that nothing drives, or that
+    several gates drive, are unknown (0.5), as is a null. Where gates are left that all wait for one another, wires that are
+    smaller by name than every wire they are linked with among those on loops, or between loops, count as 0.5 for the gates
+    that use them, and the levels go on; their own probability follows from their inputs like any other. Their level is
+    that of their evaluation.
+
+    A level joins the wires that it has found with the inputs that wait for them; gates that are done leave the table.
     """
-    gates = drivers(gates).join(seeds.select("wire"), "wire", "left_anti")
-    used = gates.select(F.explode("inputs").alias("wire")).distinct()
+    if "kind" not in gates.columns:
+        gates = gates.withColumn("kind", F.lit("lut"))
+    gates = settle(drivers(gates).join(seeds.select("wire"), "wire", "left_anti").select("wire", "kind", "init", "inputs"))
+    seeds = settle(seeds.select("wire", F.col("p1").cast("double").alias("p1")))
+    used = gates.select(F.explode("inputs").alias("wire")).where(F.col("wire").isNotNull()).distinct()
     undriven = used.join(gates.select("wire"), "wire", "left_anti").join(seeds.select("wire"), "wire", "left_anti").select("wire", F.lit(UNKNOWN).alias("p1"))
-    known = settle(seeds.select("wire", F.col("p1").cast("double").alias("p1")).unionByName(undriven).withColumn("level", F.lit(0)))
-    waiting = settle(gates.select("wire", "init", "inputs"))
-    left = waiting.count()
-    for level in range(1, max_levels):
-        fresh = settle(evaluate(waiting, known).withColumn("level", F.lit(level)))
+    fresh = settle(seeds.unionByName(undriven).withColumn("level", F.lit(0)))
+    done = [fresh]
+    slots = F.transform("inputs", lambda w: F.struct(w.alias("wire"), F.when(w.isNull(), UNKNOWN).alias("p1")))
+    waiting = gates.select("wire", "kind", "init", slots.alias("slots"))
+    level, left = 0, gates.count()
+    while left:
+        level += 1
+        filled = settle(evaluated(waiting, fresh))
+        fresh = filled.where(F.col("p1").isNotNull()).select("wire", "p1", F.lit(level).alias("level"))
+        waiting = filled.where(F.col("p1").isNull()).drop("p1")
         n = fresh.count()
-        left -= n
-        known, waiting = known.unionByName(fresh), waiting.join(fresh.select("wire"), "wire", "left_anti")
-        if not n or not left:
+        if n:
+            done.append(fresh)
+            left -= n
+        else:
+            fresh = settle(smallest_on_loops(waiting))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def evaluated(waiting: DataFrame, fresh: DataFrame) -> DataFrame:
+    """waiting with the fresh wires' probabilities in its slots, and p1 where no slot is empty."""
+    asked = waiting.select(F.col("wire").alias("gate"), F.explode(F.filter("slots", lambda s: s["p1"].isNull())).alias("s")).select("gate", F.col("s.wire").alias("wire")).distinct()
+    got = asked.join(fresh.select("wire", "p1"), "wire").groupBy("gate").agg(F.map_from_entries(F.collect_list(F.struct("wire", "p1"))).alias("got"))  # a gate's inputs
+    joined = waiting.join(got.withColumnRenamed("gate", "wire"), "wire", "left")
+    slots = F.transform("slots", lambda s: F.struct(s["wire"].alias("wire"), F.coalesce(s["p1"], F.try_element_at("got", s["wire"])).alias("p1")))
+    filled = joined.select("wire", "kind", "init", slots.alias("slots"))
+    full = ~F.exists("slots", lambda s: s["p1"].isNull())
+    return filled.withColumn("p1", F.when(full, cells.output(F.col("kind"), F.col("init"), F.transform("slots", lambda s: s["p1"]))))
+
+
+def smallest_on_loops(waiting: DataFrame) -> DataFrame:
+    """(wire, p1): of the wires that lie on a loop or between loops, those smaller than all they are linked with, as unknown.
+
+    All gates wait, so each has a predecessor that waits; wires that no waiting gate uses are taken away until none is left.
+    """
+    links = settle(waiting.select(F.col("wire").alias("to"), F.explode(F.filter("slots", lambda s: s["p1"].isNull())).alias("s")).select(F.col("s.wire").alias("wire"), "to").distinct())
+    n = links.count()
+    while True:
+        inner = settle(links.join(links.select(F.col("wire").alias("to")).distinct(), "to", "left_semi"))
+        now = inner.count()
+        if now == n:
             break
-        if level % REST == 0:
-            known, waiting = settle(known), settle(waiting)
-    if not left:
-        return known
-    waiting = settle(waiting)
-    looped = waiting.select("wire", F.lit(UNKNOWN).alias("p1"))
-    for _ in range(LOOP_ROUNDS):
-        looped = settle(evaluate(waiting, known.select("wire", "p1").unionByName(looped)))
-    return known.unionByName(looped.withColumn("level", F.lit(-1)))
+        links, n = inner, now
+    both = links.select("wire", F.col("to").alias("other")).unionByName(links.select(F.col("to").alias("wire"), F.col("wire").alias("other")))
+    return both.groupBy("wire").agg(F.min("other").alias("least")).where("wire <= least").select("wire", F.lit(UNKNOWN).alias("p1"))

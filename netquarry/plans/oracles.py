@@ -158,7 +158,8 @@ SQL: dict[str, str] = {
     "fmt_escape": f"SELECT p_partkey, {_escape('raw')} AS escaped FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 's' || p_partkey || '[' || p_size || ']' WHEN p_partkey % 3 = 1 THEN '\\s' || p_partkey || ' ' ELSE 's' || p_partkey END AS raw FROM part)",
     "fmt_immediate": "SELECT p_partkey, p_partkey AS value FROM part",
     "fmt_mps_name": f"SELECT o_orderkey, {_vname('o_orderkey')} AS name FROM orders",
-    "fmt_net_blacklist": "SELECT c_custkey, 'n' || c_custkey AS net FROM customer WHERE c_custkey % 11 > 2",
+    "fmt_net_blacklist": "SELECT c_custkey, CASE c_custkey % 40 WHEN 6 THEN 'RST' WHEN 7 THEN 'clk' WHEN 8 THEN 'CLK_IBUF_BUFG[0]' WHEN 9 THEN '\\<const1> [0]' WHEN 13 THEN 'VCC_2[0]' ELSE 'n' || c_custkey END AS net FROM customer WHERE c_custkey % 40 IN (6, 7, 8, 9, 13) OR c_custkey % 40 > 14 AND c_custkey % 40 <> 20",
+    "fmt_wire_blacklist": "SELECT c_custkey, CASE c_custkey % 40 WHEN 7 THEN 'clk' WHEN 12 THEN '\\<const1>' ELSE 'n' || c_custkey END AS net FROM customer WHERE c_custkey % 40 IN (7, 12) OR c_custkey % 40 > 14 AND c_custkey % 40 <> 20",
     "fmt_code_lengths": "SELECT symbol, count(*)::BIGINT AS n, round(-log2(count(*) / sum(count(*)) OVER ()), 9)::DOUBLE AS bits FROM (SELECT CASE WHEN event_type = 'error' THEN 'x' WHEN value > 100 THEN '1' ELSE '0' END AS symbol FROM events) GROUP BY 1",
     "fmt_testbench": """SELECT '\\n' || p_partkey || ' ' AS net, 'initial $strobe("\\\\n' || p_partkey || ' =%b", \\n' || p_partkey || ' );' AS value FROM part WHERE p_partkey % 2 = 0""",
     "verilog_parse": """SELECT 'LUT2' AS type, port, sum(bits)::BIGINT AS n, count(*)::BIGINT AS instances, CASE port WHEN 'O' THEN count(*) WHEN 'I0' THEN 1 + count(DISTINCT p_partkey % 4) ELSE 2 END::BIGINT AS nets
@@ -167,7 +168,7 @@ SQL: dict[str, str] = {
     "sim_mux_prob": f"SELECT p_partkey, round({_mux}, 9)::DOUBLE AS p1, round({h(_mux + '::DOUBLE')}, 9)::DOUBLE AS h FROM part",
     "sim_carry": """SELECT p_partkey, round(c1, 9)::DOUBLE AS co0, round(s0 * (1 - c0) + c0 * (1 - s0), 9)::DOUBLE AS o0, round(s1 * c1 + (1 - s1) * d1, 9)::DOUBLE AS co1, round(s1 * (1 - c1) + c1 * (1 - s1), 9)::DOUBLE AS o1 FROM (
         SELECT *, s0 * c0 + (1 - s0) * d0 AS c1 FROM (SELECT p_partkey, @0 AS c0, @1 AS d0, @2 AS s0, @2 AS d1, @0 AS s1 FROM part))""".replace("@0", f"({_ps[0]})::DOUBLE").replace("@1", f"({_ps[1]})::DOUBLE").replace("@2", f"({_ps[2]})::DOUBLE"),
-    "sim_cells": f"SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 WHEN 3 THEN 0.5 WHEN 6 THEN NULL ELSE {_ps[0]} END::DOUBLE AS p1 FROM part",
+    "sim_cells": f"SELECT p_partkey, round(CASE WHEN p_partkey % 11 = 0 THEN 0.0 WHEN p_partkey % 11 = 1 THEN 1.0 WHEN p_partkey % 11 IN (3, 7, 8) THEN 0.5 WHEN p_partkey % 11 = 6 THEN 1 - {_ps[0]} ELSE {_ps[0]} END, 9)::DOUBLE AS p1 FROM part",
     "sim_bus_entropy": f"SELECT p_partkey, round({' + '.join(h(f'({p})::DOUBLE') for p in _ps)}, 9)::DOUBLE AS h FROM part",
     "ilp_vars": sql(f"""SELECT 'V' || {_vname('node_id')} || side || idx AS name, 0.0::DOUBLE AS obj FROM options, (VALUES ('A'), ('B')) t(side)
         UNION ALL SELECT 'X' || {_vname('edge_id')}, 1.0 FROM nets UNION ALL SELECT 'C' || {_vname('edge_id')} || side, 0.0 FROM nets, (VALUES ('A'), ('B')) t(side)""", nets="SELECT DISTINCT edge_id FROM pins"),
@@ -184,6 +185,12 @@ SQL: dict[str, str] = {
     "ilp_solution": sql(f"""SELECT 'V' || {_vname('node_id')} || side || idx || CASE WHEN idx = node_id % n AND (node_id % 2 = 0) = (side = 'A') THEN ' 1' ELSE ' 0' END || chr(9) || ' (obj:0)' AS value FROM options, (VALUES ('A'), ('B')) u(side)
         UNION ALL SELECT 'X' || {_vname('edge_id')} || CASE WHEN crosses THEN ' 1' || chr(9) || ' (obj:1)' ELSE ' 0' || chr(9) || ' (obj:0)' END FROM cut
         UNION ALL SELECT 'C' || {_vname('edge_id')} || side || CASE WHEN (CASE WHEN side = 'A' THEN cnt_a ELSE cnt_b END) > 0 THEN ' 1' ELSE ' 0' END || chr(9) || ' (obj:0)' FROM cut, (VALUES ('A'), ('B')) u(side)"""),
+    "sim_cells_propagate": f"""WITH RECURSIVE steps AS (SELECT 3 AS i, [0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE] AS p
+            UNION ALL SELECT i + 1, list_append(p, CASE i % 7 WHEN 0 THEN {_lut2('a', 'b', '(i % 16)')} WHEN 1 THEN 1 - a WHEN 2 THEN c * b + (1 - c) * a WHEN 3 THEN a WHEN 4 THEN c * (1 - a) + a * (1 - c) WHEN 5 THEN 0.0 ELSE 1.0 END)
+            FROM (SELECT *, p[(i - 1) // 2 + 1] AS a, p[(i - 2) // 3 + 1] AS b, p[(i - 3) // 4 + 1] AS c FROM steps) WHERE i <= (SELECT max(p_partkey) FROM part)),
+        wires AS (SELECT unnest(range(len(p))) AS k, unnest(p) AS p FROM steps WHERE i = (SELECT max(p_partkey) FROM part) + 1),
+        loops AS (SELECT l.k, a.p AS a, 1 - 0.5 * (1 - b.p) AS second FROM wires l JOIN wires a ON a.k = (l.k - 1) // 2 JOIN wires b ON b.k = (l.k - 2) // 3 WHERE l.k >= 3 AND l.k % 10 = 0)
+        SELECT 'w' || k AS wire, round(p, 9)::DOUBLE AS p1 FROM wires UNION ALL SELECT 'l' || k || 'a', round(second * a, 9) FROM loops UNION ALL SELECT 'l' || k || 'b', round(second, 9) FROM loops""",
     "sim_propagate": f"""WITH RECURSIVE steps AS (SELECT 2 AS i, [0.5::DOUBLE, 0.5::DOUBLE] AS p
             UNION ALL SELECT i + 1, list_append(p, {_lut2('p[(i - 1) // 2 + 1]', 'p[(i - 2) // 3 + 1]', '(i % 16)')}) FROM steps WHERE i <= (SELECT max(p_partkey) FROM part)),
         wires AS (SELECT unnest(range(len(p))) AS k, unnest(p) AS p FROM steps WHERE i = (SELECT max(p_partkey) FROM part) + 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netquarry.functions import names, probability, scores
+from netquarry.functions import cells, names, probability, scores
 from netquarry.operators import bisect, dwell, hypergraph, ilp, implementations, kernel, multilevel, propagate
 from netquarry.plans import domain as D
 from netquarry.sources import text_formats, verilog
@@ -539,9 +539,20 @@ def fmt_mps_name(spark, d):
 
 @query
 def fmt_net_blacklist(spark, d):
+    return _named_nets(spark, d).where(~text_formats.is_ignored(F.col("net")))
+
+
+def _named_nets(spark, d):
+    """Customers as nets, some of them global, unconnected or literals."""
     k = F.col("c_custkey")
-    net = F.when(k % 11 == 0, "clk").when(k % 11 == 1, F.concat(F.lit("u/UNCONNECTED"), k.cast("string"))).when(k % 11 == 2, "rst").otherwise(F.concat(F.lit("n"), k.cast("string")))
-    return D.table(spark, d, "customer").select("c_custkey", net.alias("net")).where(~text_formats.is_global(F.col("net")))
+    special = ["CLK_IBUF_BUFG", "RST_IBUF", "\\<const0> ", "GND_2", "VCC", "CLK", "RST", "clk", "CLK_IBUF_BUFG[0]", "\\<const1> [0]", "GND", "1'b0", "\\<const1>", "VCC_2[0]", "CLK_IBUF"]
+    net = F.when(k % 40 < len(special), F.get(F.array(*[F.lit(x) for x in special]), (k % 40).cast("int"))).when(k % 40 == 20, F.concat(F.lit("u/UNCONNECTED"), k.cast("string"))).otherwise(F.concat(F.lit("n"), k.cast("string")))
+    return D.table(spark, d, "customer").select("c_custkey", net.alias("net"))
+
+
+@query
+def fmt_wire_blacklist(spark, d):
+    return _named_nets(spark, d).where(~text_formats.is_ignored_wire(F.col("net")))
 
 
 @query
@@ -592,9 +603,17 @@ def sim_carry(spark, d):
 
 @query
 def sim_cells(spark, d):
+    """Parts as cells of one input and one output of several types; what no model covers is unknown."""
     k = F.col("p_partkey")
-    kind = F.get(F.array(*[F.lit(x) for x in ("GND", "VCC", "FDRE", "DSP48E1", "IBUF", "FIFO18E1", "LUT2")]), (k % 7).cast("int"))
-    return D.table(spark, d, "part").select("p_partkey", probability.cell_output(kind, _ps(k)[0]).alias("p1"))
+    cells_ = [("GND", None, "G"), ("VCC", None, "P"), ("FDRE", "D", "Q"), ("DSP48E1", "A", "P"), ("IBUF", "I", "O"), ("FIFO18E1", "DI", "DO"), ("LUT1", "I0", "O"), ("RAM128X1S", "D", "O"), ("FIFO36E1", "DI", "EMPTY"), ("SRLC32E", "D", "Q31"), ("FIFO36E1", "DIP", "DOP")]
+    pick = lambda i: F.get(F.array(*[F.lit(x[i]) for x in cells_]), (k % len(cells_)).cast("int"))
+    base = D.table(spark, d, "part").select(k.cast("string").alias("instance"), pick(0).alias("type"), F.create_map(F.lit("INIT"), F.lit("2'h1")).alias("params"), (k % 3).cast("int").alias("bit"), pick(1).alias("i"), pick(2).alias("o"), _ps(k)[0].alias("p"))
+    pos = F.when(F.col("type").startswith("FIFO"), F.col("bit")).otherwise(0).alias("pos")
+    ends = [base.select("type", "instance", "params", F.col(c).alias("port"), pos, F.concat(F.lit(c), "instance").alias("net")) for c in ("i", "o")]
+    pins = ends[0].where("port IS NOT NULL").unionByName(ends[1])
+    seeds = base.select(F.concat(F.lit("i"), "instance").alias("wire"), F.col("p").alias("p1"))
+    found = propagate.propagate(cells.gates(pins), seeds)
+    return base.select(F.col("instance").cast("long").alias("p_partkey"), F.concat(F.lit("o"), "instance").alias("wire")).join(found, "wire", "left").select("p_partkey", F.round(F.coalesce("p1", F.lit(0.5)), 9).alias("p1"))
 
 
 @query
@@ -609,6 +628,34 @@ def sim_propagate(spark, d):
     return found.select("wire", F.round("p1", 9).alias("p1"), F.round(probability.entropy(F.col("p1")), 9).alias("h"))
 
 
+@query
+def sim_cells_propagate(spark, d):
+    """Parts as cells of seven types, each over wires of smaller parts, and with every tenth part a loop of two gates."""
+    k = F.col("p_partkey")
+    name = lambda x: F.concat(F.lit("w"), x.cast("long").cast("string"))
+    a, b, c = name(F.floor((k - 1) / 2)), name(F.floor((k - 2) / 3)), name(F.floor((k - 3) / 4))
+    part = D.table(spark, d, "part").where("p_partkey >= 3").select(k, a.alias("a"), b.alias("b"), c.alias("c"), name(k).alias("o"))
+
+    def cell(rows, kind, init, **ports):
+        """Pins of one cell a row: port with bit -> column of the net."""
+        listed = [F.struct(F.lit(p).alias("port"), F.lit(0).alias("pos"), (F.col(n) if isinstance(n, str) else n).alias("net")) for p, n in ports.items()]
+        return rows.select(F.lit(kind).alias("type"), F.concat(F.lit(f"{kind}_"), F.col("o")).alias("instance"), F.create_map(F.lit("INIT"), init).alias("params"), F.explode(F.array(*listed)).alias("x")).select("type", "instance", "params", "x.*")
+
+    none, low = F.lit(""), F.lit("low")
+    loops = part.where(k % 10 == 0)
+    half = lambda end: F.concat(F.lit("l"), k.cast("string"), F.lit(end))
+    pins = cell(part.where(k % 7 == 0), "LUT2", F.concat(F.lit("4'd"), (k % 16).cast("string")), I0="a", I1="b", O="o")
+    for more in (
+        cell(part.where(k % 7 == 1), "LUT1", F.lit("2'h1"), I0="a", O="o"), cell(part.where(k % 7 == 2), "MUXF7", none, I0="a", I1="b", S="c", O="o"), cell(part.where(k % 7 == 3), "FDRE", none, D="a", C=F.lit("CLK"), Q="o"),
+        cell(part.where(k % 7 == 4), "CARRY4", none, CI="a", CYINIT=low, DI="b", S="c", O="o"), cell(part.where(k % 7 == 5), "GND", none, G="o"), cell(part.where(k % 7 == 6), "VCC", none, P="o"),
+        cell(loops.withColumn("o", half("a")), "LUT2", F.lit("4'h8"), I0=half("b"), I1="a", O="o"), cell(loops.withColumn("o", half("b")), "LUT2", F.lit("4'hE"), I0=half("a"), I1="b", O="o"),
+    ):
+        pins = pins.unionByName(more)
+    seeds = spark.createDataFrame([("low", 0.0), ("w0", 0.25), ("w1", 0.5), ("w2", 0.75)], "wire string, p1 double")
+    found = propagate.propagate(cells.gates(pins), seeds)
+    return found.where("wire <> 'low' AND wire <> 'CLK'").select("wire", F.round("p1", 9).alias("p1"))
+
+
 # -- integer program -------------------------------------------------------------------------
 
 

@@ -204,5 +204,10 @@ def code_lengths(symbols: DataFrame) -> DataFrame:
     return by.withColumn("bits", F.round(-F.log2(F.col("n") / total), 9))
 
 
-def is_global(net: Column) -> Column:
-    return net.isin(*names.GLOBAL_NETS) | net.contains("UNCONNECTED")
+def is_ignored(net: Column) -> Column:
+    """Nets that graphs leave out: global ones, literals, and those that a synthesis tool has named as unconnected."""
+    return names.is_global(net) | names.is_literal(net) | net.contains("UNCONNECTED")
+
+
+def is_ignored_wire(wire: Column) -> Column:
+    return names.is_global_wire(wire) | names.is_literal(wire) | wire.contains("UNCONNECTED")

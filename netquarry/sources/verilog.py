@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import names
@@ -152,8 +152,16 @@ def instances(rows: DataFrame) -> DataFrame:
     return rows.select("value").mapInArrow(run, "type string, instance string, params map<string,string>, port string, pos int, net string")
 
 
+def parsed(found: DataFrame) -> DataFrame:
+    """instances(), with an error, raised when rows are computed, for a statement that can't be parsed."""
+    wrong = F.raise_error(F.concat(F.lit("not an instantiation: "), F.coalesce("type", F.lit(""))))
+    return found.withColumn("instance", F.when(F.col("instance").isNull(), wrong).otherwise(F.col("instance")))
+
+
 def expand_buses(pins: DataFrame, declared: DataFrame) -> DataFrame:
-    """Pins that name a whole bus, as its bits; declared is nets()."""
+    """Pins that name a whole bus, as its bits, lowest first, and a port's bits numbered anew; declared is nets()."""
     bus = declared.where("high <> low").select(F.col("name").alias("net"), "high", "low")
-    bits = F.explode(F.when(F.col("high").isNull(), F.array("net")).otherwise(names.bit_names(F.col("net"), F.col("high"), F.col("low")))).alias("net")
-    return pins.join(bus, "net", "left").select(*[c for c in pins.columns if c != "net"], bits)
+    bits = F.posexplode(F.when(F.col("high").isNull(), F.array("net")).otherwise(names.bit_names(F.col("net"), F.col("high"), F.col("low")))).alias("_bit", "net")
+    found = pins.join(bus, "net", "left").select(*[c for c in pins.columns if c != "net"], bits)
+    place = F.row_number().over(Window.partitionBy("instance", "port").orderBy("pos", "_bit")) - 1  # a port's bits
+    return found.withColumn("pos", F.when(F.col("net").isNotNull(), place)).drop("_bit").select(*pins.columns)
