@@ -34,24 +34,29 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to a folder of its own in the shared folder and read from there; the caller's cluster clears that folder."""
-    place = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return df.sparkSession.read.parquet(place)
+def in_few_files(df: DataFrame, rows: int | None) -> DataFrame:
+    """rows: at most how many rows df has, where that is known and its last stage is light; a small table then comes in few
+    files, for each costs every reader a task and the writer a file's creation."""
+    if rows is not None and (files := rows // ROWS_IN_FILE + 1) < shuffle_partitions(df.sparkSession):
+        return df.coalesce(files)
+    return df
 
 
-def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df, written eagerly to the shared folder as a checkpoint and read from there.
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, written as Parquet to a folder of its own in the shared folder and read from there; the caller's cluster clears that folder.
 
-    rows: at most how many rows it has, where that is known and its last stage is light; a small table then comes in few
-    files, for each costs every reader a task and the writer a file's creation.
+    Unlike a checkpoint it has the size that its files have. A checkpoint keeps the optimiser's estimate, which in rounds of
+    joins grows to numbers of millions of digits.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    if rows is not None and (files := rows // ROWS_IN_FILE + 1) < shuffle_partitions(spark):
-        df = df.coalesce(files)
-    return df.checkpoint(eager=True)
+    place = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    in_few_files(df, rows).write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, written eagerly to the shared folder as a checkpoint and read from there; rows as in in_few_files()."""
+    shared_folder(df.sparkSession)
+    return in_few_files(df, rows).checkpoint(eager=True)
 
 
 #: Bytes of a batch between Spark and its Python workers, where the session leaves Spark's default.

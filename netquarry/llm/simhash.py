@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import bounded_batches, cut_lineage, shuffle_partitions, slices, utf8
+from netquarry.llm.common import bounded_batches, cut_lineage, shuffle_partitions, slices, stored, utf8
 
 BITS = 64
 #: Bits in which linked fingerprints differ at most, and blocks of bits: 20 buckets of 31 to 33 bits.
@@ -268,7 +268,7 @@ def components(edges: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     n = edges.count()  # no round has more
-    edges = cut_lineage(undirected(edges), n)
+    edges = stored(undirected(edges), n)
     seen = signature(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -277,7 +277,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = undirected(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = cut_lineage(undirected(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))), 2 * seen[0])
+        edges = stored(undirected(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))), 2 * seen[0])
         now = signature(edges)
         if now == seen:
             break
