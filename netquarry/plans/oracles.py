@@ -60,7 +60,7 @@ def sql(body: str, **more: str) -> str:
                 used.add(n)
                 todo.append(_base[n])
     tables = [f"{n} AS ({_base[n]})" for n in _order if n in used] + [f"{n} AS ({t})" for n, t in more.items()]
-    return (f"WITH {', '.join(tables)} " if tables else "") + body
+    return (f"WITH RECURSIVE {', '.join(tables)} " if tables else "") + body
 
 
 _k = "p_partkey"
@@ -126,6 +126,14 @@ SQL: dict[str, str] = {
     "hg_kway_min_cost": sql("""SELECT level, b.run_id AS best_run, b.total AS cumulative_cost FROM (SELECT level, min({'total': total, 'run_id': run}) AS b FROM (
         SELECT (run_id // 8)::INT AS level, run_id % 8 AS run, round(sum(cost) OVER (PARTITION BY run_id % 8 ORDER BY run_id // 8), 6) AS total FROM runs) GROUP BY 1)"""),
     "hg_cut_union": sql("SELECT DISTINCT 'net' || (edge_id // 2) AS name FROM (SELECT edge_id FROM pins GROUP BY 1 HAVING min(node_id % 2) <> max(node_id % 2) UNION SELECT edge_id FROM pins GROUP BY 1 HAVING bool_or(node_id % 7 < 3) AND NOT bool_and(node_id % 7 < 3))"),
+    "hg_supernode_impls": sql(
+        "SELECT s AS super_id, n_impls, true AS within_cap, total AS current FROM taken LEFT JOIN counted USING (s)",
+        members="SELECT *, row_number() OVER (PARTITION BY s ORDER BY node_id) AS place FROM (SELECT DISTINCT node_id, n, node_id // 4 AS s FROM options)",
+        supers="SELECT s, count(*) AS size, round(exp(sum(ln(n))))::BIGINT AS combinations FROM members GROUP BY 1",
+        combos="""SELECT s, 0::BIGINT AS at, [0, 0, 0]::INT[] AS total FROM supers
+            UNION ALL SELECT c.s, c.at + 1, [c.total[1] + o.v[1], c.total[2] + o.v[2], c.total[3] + o.v[3]]::INT[] FROM combos c JOIN members m ON m.s = c.s AND m.place = c.at + 1 JOIN options o ON o.node_id = m.node_id""",
+        counted="SELECT c.s, count(DISTINCT total)::INT AS n_impls FROM combos c JOIN supers USING (s) WHERE c.at = size AND combinations <= 16 GROUP BY 1",
+        taken="SELECT node_id // 4 AS s, [sum(v[1]), sum(v[2]), sum(v[3])]::INT[] AS total FROM chosen GROUP BY 1"),
     "hg_violations": sql("SELECT 0::BIGINT AS short_nets, 0::BIGINT AS uneven_vectors, 0::BIGINT AS bad_choices, (SELECT count(*) FROM chosen WHERE EXISTS (SELECT 1 FROM allowed WHERE chosen.v[res_id + 1] >= 2 * m))::BIGINT AS heavy_nodes"),
     "fm_partition": "SELECT count(*)::BIGINT AS nodes, 0::BIGINT AS lost, 0::BIGINT AS over, true AS better FROM part",
     "fm_kway": "SELECT 4::BIGINT AS parts, count(*)::BIGINT AS nodes, 0::BIGINT AS lost, true AS better FROM part",
@@ -133,6 +141,8 @@ SQL: dict[str, str] = {
     "fm_bisect_check": "SELECT true AS better, false AS more_violations, 0::BIGINT AS lost",
     "ts_dwell": sql("SELECT * FROM dwell"),
     "ts_stream_dwell": sql("SELECT * FROM dwell"),
+    "ts_vcd_dwell": sql("SELECT * FROM dwell"),
+    "ts_stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_type = 'error' THEN 'x' WHEN value > 100 THEN '1' ELSE '0' END AS v, count(*)::BIGINT AS n FROM events GROUP BY 1, 2",
     "ts_dwell_sliced": sql("SELECT * FROM sliced"),
     "ts_min_entropy": sql(f"SELECT signal, bit, round({h(_p)}, 9)::DOUBLE AS h FROM dwell"),
     "ts_slice_totals": sql(f"SELECT slice, count(*)::BIGINT AS n_signals, round(sum(h), 6)::DOUBLE AS total, round(avg(h), 6)::DOUBLE AS mean FROM (SELECT slice, {h(_p)} AS h FROM sliced) GROUP BY 1"),
@@ -146,6 +156,7 @@ SQL: dict[str, str] = {
         SELECT CASE WHEN h >= 0.99 THEN 1 WHEN h >= 0.95 THEN 2 WHEN h >= 0.9 THEN 3 WHEN h >= 0.75 THEN 4 WHEN h >= 0.5 THEN 5 WHEN h >= 0.25 THEN 6 WHEN h >= 0.1 THEN 7 ELSE 8 END AS bin FROM gold) GROUP BY 1"""),
     "fmt_ntl_roundtrip": "SELECT 'u' || s_suppkey AS instance, 'LUT' || (s_nationkey % 6) AS type, count(*)::BIGINT AS n_wires, min(w) AS first, round(sum(length(w) / 4.0), 6)::DOUBLE AS entropy FROM supplier JOIN (SELECT DISTINCT l_suppkey, 'w' || l_partkey AS w FROM lineitem) ON l_suppkey = s_suppkey GROUP BY 1, 2",
     "fmt_ntl_hypergraph": "SELECT 'n' || s AS net, count(*)::BIGINT AS n_pins, count(*)::BIGINT AS degree, (s % 10) / 10.0::DOUBLE AS entropy FROM (SELECT DISTINCT l_partkey AS p, l_orderkey AS s FROM lineitem) GROUP BY s HAVING count(*) <= 4",
+    "fmt_ntl_nodes": "SELECT 'u' || p_partkey AS instance, p_brand AS type, 2 AS n_impls, least_size::INT AS first, least_size::INT AS second FROM (SELECT *, min(p_size) OVER (PARTITION BY p_brand) AS least_size FROM part)",
     "fmt_impl_library": "SELECT replace(p_type, ' ', '_') AS type, 2 AS n_impls, arg_min(p_size, p_partkey)::INT AS first, arg_min(p_size, p_partkey)::INT AS last FROM part GROUP BY 1",
     "fmt_chaco_roundtrip": "SELECT DISTINCT l_partkey + 1 AS u, l_suppkey + 1000001 AS v, ((l_partkey + 1) % 9 + 1)::INT AS weight FROM lineitem",
     "fmt_weight_file": sql("SELECT node_id, count(*)::INT AS n_impls, sum(list_sum(v))::INT AS weight_sum FROM options GROUP BY 1"),
@@ -185,6 +196,8 @@ SQL: dict[str, str] = {
     "ilp_solution": sql(f"""SELECT 'V' || {_vname('node_id')} || side || idx || CASE WHEN idx = node_id % n AND (node_id % 2 = 0) = (side = 'A') THEN ' 1' ELSE ' 0' END || chr(9) || ' (obj:0)' AS value FROM options, (VALUES ('A'), ('B')) u(side)
         UNION ALL SELECT 'X' || {_vname('edge_id')} || CASE WHEN crosses THEN ' 1' || chr(9) || ' (obj:1)' ELSE ' 0' || chr(9) || ' (obj:0)' END FROM cut
         UNION ALL SELECT 'C' || {_vname('edge_id')} || side || CASE WHEN (CASE WHEN side = 'A' THEN cnt_a ELSE cnt_b END) > 0 THEN ' 1' ELSE ' 0' END || chr(9) || ' (obj:0)' FROM cut, (VALUES ('A'), ('B')) u(side)"""),
+    "ilp_feasible": sql("""SELECT 'B' AS kind, count(*)::BIGINT AS n, count(*) FILTER (lhs < -1e-6)::BIGINT AS broken FROM (SELECT 0.01 * total - balance AS lhs FROM resources UNION ALL SELECT 0.01 * total + balance FROM resources)
+        UNION ALL SELECT 'N', count(*)::BIGINT, 0 FROM part UNION ALL SELECT k, (m * (SELECT count(DISTINCT edge_id) FROM pins))::BIGINT, 0 FROM (VALUES ('L', 1), ('U', 1), ('T', 2), ('S', 2)) t(k, m)"""),
     "sim_cells_propagate": f"""WITH RECURSIVE steps AS (SELECT 3 AS i, [0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE] AS p
             UNION ALL SELECT i + 1, list_append(p, CASE i % 7 WHEN 0 THEN {_lut2('a', 'b', '(i % 16)')} WHEN 1 THEN 1 - a WHEN 2 THEN c * b + (1 - c) * a WHEN 3 THEN a WHEN 4 THEN c * (1 - a) + a * (1 - c) WHEN 5 THEN 0.0 ELSE 1.0 END)
             FROM (SELECT *, p[(i - 1) // 2 + 1] AS a, p[(i - 2) // 3 + 1] AS b, p[(i - 3) // 4 + 1] AS c FROM steps) WHERE i <= (SELECT max(p_partkey) FROM part)),

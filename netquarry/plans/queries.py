@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from netquarry.functions import cells, names, probability, scores
 from netquarry.operators import bisect, dwell, hypergraph, ilp, implementations, kernel, multilevel, propagate
 from netquarry.plans import domain as D
-from netquarry.sources import text_formats, verilog
+from netquarry.sources import text_formats, vcd, verilog
 from netquarry.streaming import trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,7 +183,12 @@ def hg_capacity_percent(spark, d):
 
 @query
 def hg_supernode_impls(spark, d):
-    return implementations.supernode_implementations(D.nodes(spark, d).withColumn("super_id", F.floor(F.col("node_id") / 4))).select("super_id", F.size("impls").alias("n_impls"), F.get("impls", F.lit(0)).alias("current"))
+    """Supernodes of four cells: the current choice, how many choices there are where all combinations are taken, and whether the cap holds."""
+    members = D.nodes(spark, d).withColumn("super_id", F.floor(F.col("node_id") / 4))
+    found = implementations.supernode_implementations(members)
+    # exact: sums of logarithms would round
+    all_of = members.groupBy("super_id").agg(F.aggregate(F.collect_list(F.size("impls")), F.lit(1), lambda a, n: a * n).alias("combinations"))
+    return found.join(all_of, "super_id").select("super_id", F.when(F.col("combinations") <= 16, F.size("impls")).alias("n_impls"), (F.size("impls") <= 16).alias("within_cap"), F.get("impls", F.lit(0)).alias("current"))
 
 
 @query
@@ -438,6 +444,28 @@ def ts_stream_dwell(spark, d):
     return trace.stream_dwell(spark, d)
 
 
+@query
+def ts_stream_windows(spark, d):
+    return trace.stream_windows(spark, d)
+
+
+@query
+def ts_vcd_dwell(spark, d):
+    """The events written as a value change dump, read again in splits, and dwell times of what was read."""
+    found = propagate.settle(D.changes(spark, d))
+    users = found.select("signal").distinct()
+    var = users.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("$var wire 1 ! "), "signal", F.lit(" $end")).alias("value"))
+    var = var.withColumn("value", F.regexp_replace("value", r"! (\S+)", "@$1 $1"))
+    frame = [(0, 0, 0, "$scope module top $end"), (0, 0, 1, "$scope module dut $end"), (2, 0, 0, "$upscope $end"), (2, 0, 1, "$upscope $end"), (2, 0, 2, "$enddefinitions $end")]
+    head = spark.createDataFrame(frame, "part int, t long, seq long, value string")
+    body = found.select(F.lit(3).alias("part"), "t", "seq", F.concat(F.lit("#"), F.col("t").cast("string"), F.lit("\n"), "v", F.lit("@"), "signal").alias("value"))
+    place = f"{propagate.shared_folder(spark).rstrip('/')}/dump-{uuid.uuid4().hex}"
+    # a dump is one file in order of time
+    head.unionByName(var).unionByName(body).repartition(1).sortWithinPartitions("part", "t", "seq", "value").select("value").write.text(place)
+    changes = vcd.read(spark, place)
+    return dwell.dwell(dwell.intervals(changes.select("signal", "bit", "t", "seq", "v"), D.trace_end(spark, d)))
+
+
 # -- formats ----------------------------------------------------------------------------
 
 
@@ -462,6 +490,16 @@ def fmt_ntl_hypergraph(spark, d):
     return pins.groupBy("net").agg(F.count("*").alias("n_pins")).join(edges, "net").select("net", "n_pins", "degree", "entropy")
 
 
+@query
+def fmt_ntl_nodes(spark, d):
+    """Parts as modules of a type for each brand, joined with a library of implementations: the nodes with their vectors."""
+    modules = D.table(spark, d, "part").select(F.concat(F.lit("u"), F.col("p_partkey").cast("string")).alias("instance"), F.col("p_brand").alias("type"), F.array(F.struct(F.lit("n").alias("name"), F.lit(1.0).alias("entropy"))).alias("wires"))
+    brands = D.table(spark, d, "part").groupBy("p_brand").agg(F.min("p_size").cast("string").alias("s"))
+    lines = brands.select(F.lit(1).alias("line_no"), F.concat_ws(" ", "p_brand", "s", F.lit("0 0 0"), "s", F.lit("7")).alias("value"))
+    nodes, _, _ = text_formats.netlist_hypergraph(modules, text_formats.implementation_library(lines))
+    return nodes.select("instance", "type", F.size("impls").alias("n_impls"), F.get("impls", F.lit(0))[0].alias("first"), F.get("impls", F.lit(1))[1].alias("second"))
+
+
 @query
 def fmt_impl_library(spark, d):
     lines = D.table(spark, d, "part").select(F.col("p_partkey").alias("line_no"), F.concat_ws(" ", F.replace("p_type", F.lit(" "), F.lit("_")), *[F.col("p_size").cast("string")] * 2, F.lit("0"), F.lit("1"), F.lit("2"), F.col("p_size").cast("string")).alias("value"))

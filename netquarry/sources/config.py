@@ -1,4 +1,4 @@
-"""Partitioner configuration and graphs in XML."""
+"""Partitioner configuration and netlists in XML."""
 
 from __future__ import annotations
 

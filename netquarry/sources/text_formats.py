@@ -1,4 +1,4 @@
-"""Line formats of netlists and graphs: readers and writers as DataFrame expressions.
+"""Line formats of netlists and netlists: readers and writers as DataFrame expressions.
 
 Readers take a DataFrame of (file, line_no, value) from `numbered_lines`, writers return lines or blocks to write as text.
 """
@@ -205,7 +205,7 @@ def code_lengths(symbols: DataFrame) -> DataFrame:
 
 
 def is_ignored(net: Column) -> Column:
-    """Nets that graphs leave out: global ones, literals, and those that a synthesis tool has named as unconnected."""
+    """Nets that netlists leave out: global ones, literals, and those that a synthesis tool has named as unconnected."""
     return names.is_global(net) | names.is_literal(net) | net.contains("UNCONNECTED")
 
 

@@ -1,4 +1,4 @@
-"""Value change dumps: a streaming reader of files into declarations and value changes."""
+"""Value change dumps: a reader of whole texts, and one of files of any size in splits, into declarations and value changes."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Variable types whose changes are tracked, and those that are passed over (fixed values).
 TRACKED = ("supply0", "supply1", "tri", "triand", "trior", "trireg", "tri0", "tri1", "wand", "wire", "wor", "reg")
 IGNORED = ("event", "integer", "parameter", "real", "time")
+_time = re.compile(r"\s*#\d+\s*")
 _var = re.compile(r"(\w+)\s+(\d+)\s+(\S+)\s+(\\\S+|[^\s\[]+)\s*(?:\[(-?\d+)(?::(-?\d+))?\])?")
 
 
@@ -75,25 +76,121 @@ def end_time(text: str) -> int:
     return max((int(x) for x in re.findall(r"(?m)^\s*#(\d+)", text)), default=0)
 
 
-def read(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """(file, signal, bit, t, seq, v) of all dumps at a path; a dump is read by one task, as its time runs through it."""
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, value): the lines of all dumps at a path, in splits of the size that the session sets."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
+
+
+def headers(rows: DataFrame) -> DataFrame:
+    """(file, end, code, signal, width, low): each dump's tracked variables, and where (seq) its value changes begin.
+
+    Splits of which the header has lines give them as text; a dump's header is parsed by one task. Splits are read no
+    further than to the header's end, or their first value change.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}  # of each split: lines, bytes, whether the header has ended, the end
+        for key, value, at in in_splits(batches):
+            part = held.setdefault(key, [[], None])
+            if part[1] is None:
+                text = value or ""
+                if _time.fullmatch(text):  # this split is beyond the header
+                    part[1] = -1
+                    continue
+                part[0].append(text)
+                if "$enddefinitions" in text:
+                    part[1] = at + len(text.encode()) + 1
+        out = [(f, b, "\n".join(x), end) for (f, b), (x, end) in held.items() if end is None or end >= 0 or any("$" in y for y in x)]
+        yield to_batch(out, [("file", pa.string()), ("block", pa.int64()), ("text", pa.string()), ("end", pa.int64())])
+
+    chunks = rows.mapInArrow(run, "file string, block long, text string, end long")
+    whole = chunks.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "text", "end"))).alias("c"))  # a dump's header
+    joined = whole.select("file", F.array_join(F.transform("c", lambda c: c["text"]), "\n").alias("text"), F.array_min(F.transform(F.filter("c", lambda c: c["end"] >= 0), lambda c: c["end"])).alias("end"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, text in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist()):
-                rows: list[tuple] = []
-                for row in changes(text, max_bytes):
-                    rows.append((file, *row))
-                    if len(rows) == 50_000:
-                        yield to_batch(rows)
-                        rows = []
-                yield to_batch(rows)
-
-    def to_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["file", "signal", "bit", "t", "seq", "v"])
-
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.mapInArrow(run, "file string, signal string, bit int, t long, seq long, v string")
+            out = []
+            for file, text, end in zip(*(batch.column(c).to_pylist() for c in ("file", "text", "end"))):
+                out += [(file, end, code, name, width, low) for code, (name, width, low) in declarations(text)[0].items()]
+            yield to_batch(out, [("file", pa.string()), ("end", pa.int64()), ("code", pa.string()), ("signal", pa.string()), ("width", pa.int32()), ("low", pa.int32())])
+
+    return joined.mapInArrow(parse, "file string, end long, code string, signal string, width int, low int")
+
+
+def in_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], str, int]]:
+    """((file, block), line, place): place grows from line to line of a file, also from split to split."""
+    key, at = None, 0
+    for batch in batches:
+        for file, block, value in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "value"))):
+            if (file, block) != key:
+                key, at = (file, block), block
+            yield key, value, at
+            at += len((value or "").encode()) + 1
+
+
+def to_batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], [n for n, _ in kinds])
+
+
+def scanned(rows: DataFrame) -> DataFrame:
+    """(file, block, seq, t, code, value) of every value change, and of every split's last time (code null).
+
+    t is null up to the split's first time. One pass, a line at a time. A vector's value and its code stand on one line, and
+    a comment in one split; those that open and end on one line are passed over wherever they stand.
+    """
+    kinds = [("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("t", pa.int64()), ("code", pa.string()), ("value", pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        key, t, comment = None, None, False
+        for split, text, at in in_splits(batches):
+            if split != key:
+                if key is not None and t is not None:
+                    out.append((*key, -1, t, None, None))
+                key, t, comment = split, None, False
+            tokens = iter((text or "").split())
+            for i, token in enumerate(tokens):
+                if comment:
+                    comment = token != "$end"
+                elif token == "$comment":
+                    comment = True
+                elif token[0] == "#":
+                    t = int(token[1:]) if token[1:].isdigit() else t
+                elif token[0] in "bBrR":
+                    if (code := next(tokens, None)) and token[0] in "bB":
+                        out.append((*key, at + 2 * i, t, code, token[1:]))
+                elif token[0] in "01xXzZ" and len(token) > 1:
+                    out.append((*key, at + 2 * i, t, token[1:], token[0].lower()))
+            if len(out) >= 50_000:
+                yield to_batch(out, kinds)
+                out = []
+        if key is not None and t is not None:
+            out.append((*key, -1, t, None, None))
+        yield to_batch(out, kinds)
+
+    return rows.mapInArrow(run, "file string, block long, seq long, t long, code string, value string")
+
+
+def read(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(file, signal, bit, t, seq, v) of all dumps at a path, read in splits, each in one pass and constant memory.
+
+    A split's first changes get the last time of the splits before; one row for each split is ordered for that. seq grows
+    with the place in the file; max_bytes cuts value changes that many bytes after the header.
+    """
+    rows = lines(spark, path)
+    found = scanned(rows)
+    ends = found.where("code IS NULL").select("file", "block", F.col("t").alias("last_t"))
+    every = rows.select("file", "block").distinct().join(ends, ["file", "block"], "left")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a file's splits
+    carried = every.select("file", "block", F.coalesce(F.last("last_t", ignorenulls=True).over(earlier), F.lit(0)).alias("carried"))
+    changed = found.where("code IS NOT NULL").join(carried, ["file", "block"]).join(headers(rows), ["file", "code"])
+    changed = changed.where(F.col("seq") >= F.col("end"))
+    if max_bytes:
+        changed = changed.where(F.col("seq") < F.col("end") + max_bytes)
+    value = F.lower("value")
+    fill = F.when(F.substring(value, 1, 1).isin("x", "z"), F.substring(value, 1, 1)).otherwise("0")
+    full = F.reverse(F.concat(F.repeat(fill, F.greatest(F.col("width") - F.length(value), F.lit(0))), value))  # lowest bit first
+    bits = F.posexplode(F.slice(F.split(full, ""), 1, F.col("width"))).alias("at", "v")
+    return changed.select("file", "signal", F.coalesce("t", "carried").alias("t"), "seq", "low", bits).select("file", "signal", (F.col("low") + F.col("at")).alias("bit"), "t", "seq", "v")
 
 
 def dumpvars(signals: DataFrame) -> DataFrame:

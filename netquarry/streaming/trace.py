@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,6 +49,23 @@ def windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> Da
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "v").agg(F.count("*").alias("n"))
 
 
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(day, v, n): the events table through the windowed operator, changes by day and value.
+
+    The stream is the whole table in one batch, so that nothing in it is late; windows come out as they stand at its end.
+    """
+    schema = D.table(spark, sf_dir, "events").schema
+    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.[p]arquet")  # a pattern names a file as well as a folder
+    v = F.when(F.col("event_type") == "error", "x").when(F.col("value") > 100, "1").otherwise("0")
+    rows = files.select(F.col("ts").cast("timestamp").alias("ts"), v.alias("v"))
+    place = f"{propagate.shared_folder(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{place}/out")
+    q = windows(rows).writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(sink).start()
+    q.awaitTermination()
+    last = spark.read.parquet(f"{place}/out").groupBy("window", "v").agg(F.max_by("n", "batch").alias("n"))
+    return last.select(F.date_format(F.col("window.start"), "yyyy-MM-dd").alias("day"), "v", "n")
+
+
 def stream_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table through the streaming operator, then the last values held up to the trace's end, as the batch does."""
     schema = D.table(spark, sf_dir, "events").schema
@@ -55,7 +73,7 @@ def stream_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("event_type") == "error", "x").when(F.col("value") > 100, "1").otherwise("0")
     changes = files.select(F.col("user_id").cast("string").alias("signal"), (F.unix_micros(F.col("ts").cast("timestamp")) - D.START).alias("t"), F.col("event_id").alias("seq"), v.alias("v"))
     shared = propagate.shared_folder(spark).rstrip("/")
-    place = f"{shared}/stream-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    place = f"{shared}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{place}/out")
     q = live_dwell(changes).writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()

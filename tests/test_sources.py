@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,30 @@ def test_mps_and_weights(spark, tmp_path):
 def test_graph_xml(spark, tmp_path):
     (tmp_path / "g.xml").write_text("<graph><node><id>1</id><name>a</name></node><node><id>2</id><name>b</name></node></graph>")
     assert {(r.id, r.name) for r in config.graph_xml(spark, str(tmp_path / "g.xml")).collect()} == {(1, "a"), (2, "b")}
+
+
+def test_vcd_in_splits(spark, tmp_path):
+    """Read in splits of a few dozen bytes, dumps give what one pass over their text gives."""
+    body, rng = [], random.Random(4)
+    for t in range(0, 4000, 10):
+        body.append(f"#{t}")
+        body += rng.sample(["1!", "0!", "x!", "b101 #", "bz1 #", "bX #", "0%", "1%", "r1.5 ~", "0?", "$comment 1! here $end"], 3)
+    head = ["$date today $end", "$timescale 1ns $end", "$scope module top $end", "$scope module dut $end", "$scope module core $end", "$var wire 1 ! a $end", "$var reg 6", " # bus [7:2] $end", "$upscope $end", "$var wire 1 % b $end", "$var real 64 ~ r $end", "$upscope $end", "$upscope $end", "$enddefinitions $end", "$dumpvars"]
+    texts = {"one.vcd": "\n".join([*head, "x!", "bx #", "$end", *body]) + "\n", "two.vcd": "\n".join([*head, *body[:40]])}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    for size in ("64", "200", "1m"):
+        for k in keys:
+            spark.conf.set(k, size if k == keys[0] else "8")
+        try:
+            got = vcd.read(spark, str(tmp_path / "*.vcd")).collect()
+        finally:
+            for k, x in before.items():
+                spark.conf.set(k, x)
+        for name, text in texts.items():
+            mine = sorted((r for r in got if r.file.endswith(name)), key=lambda r: (r.seq, r.bit))
+            assert [(r.signal, r.bit, r.t, r.v) for r in mine] == [(s, b, t, v) for s, b, t, _, v in vcd.changes(text)]
+    some = vcd.read(spark, str(tmp_path / "one.vcd"), 500).count()
+    assert 0 < some < sum(r.file.endswith("one.vcd") for r in got)
