@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netquarry.functions import cells, probability
-from netquarry.operators import dwell, hypergraph, ilp, implementations, kernel, propagate
+from netquarry.functions import cells, names, probability
+from netquarry.operators import dwell, hypergraph, ilp, implementations, kernel, multilevel, propagate
 from netquarry.sources import config, text_formats, vcd, verilog
 
 
+#: A netlist of more nodes than this goes through distributed coarsening.
+KERNEL_NODES = 5000
+
+
 def read_chaco(spark: SparkSession, path: str, weights: str | None, resources: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, pins, edges) of a CHACO graph and, for modes 20 and 21, its weight file; counts are checked against the header."""
     lines = text_formats.numbered_lines(spark, path)
@@ -57,15 +62,35 @@ def partition(spark: SparkSession, a: argparse.Namespace) -> None:
     nodes, pins, edges = read_chaco(spark, a.chaco, a.weights, len(c.capacity)) if a.chaco else read_ntl(spark, a.ntl or a.xntl, a.library, bool(a.xntl))
     edges = edges.withColumn("width", hypergraph.edge_weight(a.use_entropy))
     nodes = preprocess(nodes, c)
-    found = propagate.settle(kernel.runs(nodes, pins, edges, a.nruns, c.options))
+    if a.export_initial_sol:
+        start = kernel.runs(nodes, pins, edges, 1, replace(c.options, max_passes=0, coarsen=False, rebalance=False, rebalance_at_end=False))
+        write_solution(a, a.export_initial_sol, nodes, pins, edges, propagate.settle(start).select("node_id", "part"))
+        if a.initial_sol_only:
+            return
+    if a.nways > 2:
+        kway(spark, a, nodes, pins, edges)
+        return
+    if nodes.count() <= KERNEL_NODES:
+        found = propagate.settle(kernel.runs(nodes, pins, edges, a.nruns, c.options))
+    else:  # the whole of it through coarsening; every start keeps the choices of the preprocessor
+        weights = hypergraph.selected(nodes)
+        sides = [multilevel.bisection(weights, pins, edges, 1, replace(c.options, seed=c.options.seed + run, coarsen=False)).select(F.lit(run).alias("run_id"), "node_id", F.col("side").alias("part")) for run in range(a.nruns)]
+        found = sides[0]
+        for more in sides[1:]:
+            found = found.unionByName(more)
+        found = propagate.settle(found.join(nodes.select("node_id", F.col("sel").alias("impl")), "node_id"))
+        found = found.join(run_costs(found, pins, edges).select("run_id", "cost"), "run_id")
+    if a.write_cutset_dir:
+        write_cut_sets(a.write_cutset_dir, found, pins, edges)
     best = found.groupBy("run_id").agg(F.max("cost").alias("cost")).orderBy("cost", "run_id").first()
     assign = found.where(F.col("run_id") == best.run_id).select("node_id", "part", "impl")
     chosen = nodes.drop("sel").join(assign.select("node_id", F.col("impl").alias("sel")), "node_id")
     hypergraph.run_statistics(found.groupBy("run_id").agg(F.max("cost").alias("cost")), "cost").show(truncate=False)
     hypergraph.cut_metrics(pins, assign.select("node_id", "part"), edges).show(truncate=False)
     hypergraph.resource_report(hypergraph.balance(hypergraph.selected(chosen), assign.select("node_id", "part")), dict(enumerate(c.ratio)), max(c.share)).show(truncate=False)
+    found.groupBy("run_id").agg(F.max("cost").alias("cost")).orderBy("cost", "run_id").show(truncate=False)
     if a.output:
-        assign.write.mode("overwrite").parquet(f"{a.output}/assign")
+        assign.orderBy("part", "node_id").write.mode("overwrite").parquet(f"{a.output}/assign")
         solution = ilp.solution(chosen, pins, edges, assign.select("node_id", "part"))
         text_formats.scip_lines(solution).select("value").write.mode("overwrite").text(f"{a.output}/sol")
         text_formats.mst_lines(solution).select("value").write.mode("overwrite").text(f"{a.output}/mst")
@@ -75,6 +100,45 @@ def partition(spark: SparkSession, a: argparse.Namespace) -> None:
             text_formats.testbench(cut.select(F.col("name").alias("net"))).orderBy("place", "value").select("value").write.mode("overwrite").text(f"{a.output}/testbench")
 
 
+def run_costs(found: DataFrame, pins: DataFrame, edges: DataFrame) -> DataFrame:
+    """(run_id, cost, span, entropy) of the nets that the runs (run_id, node_id, part) cut."""
+    by = pins.join(found.select("run_id", "node_id", "part"), "node_id").groupBy("run_id", "edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b")).join(edges, "edge_id")
+    cut = lambda c: F.coalesce(F.sum(F.when(F.col("a") != F.col("b"), c)), F.lit(0.0))
+    return by.groupBy("run_id").agg(cut(F.col("width")).alias("cost"), cut(F.lit(1.0)).cast("long").alias("span"), F.round(cut(F.col("entropy")), 6).alias("entropy"))
+
+
+def write_cut_sets(place: str, found: DataFrame, pins: DataFrame, edges: DataFrame) -> None:
+    """A folder of net names for each run, and summary.csv with a line a run."""
+    runs = propagate.settle(run_costs(found, pins, edges))
+    text_formats.summary_lines(runs).coalesce(1).orderBy("run_id").select("value").write.mode("overwrite").text(f"{place}/summary.csv")
+    named = edges if "name" in edges.columns else edges.withColumn("name", F.col("edge_id").cast("string"))
+    by = pins.join(found.select("run_id", "node_id", "part"), "node_id").groupBy("run_id", "edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b")
+    label = F.concat_ws("_", *[F.col(c).cast("string") for c in ("cost", "run_id", "span", "entropy")], F.lit("cutset"))
+    cut = by.join(named.select("edge_id", "name"), "edge_id").join(runs.select("run_id", label.alias("run")), "run_id").select("run", names.clean_split(F.col("name")).alias("value")).distinct()
+    cut.write.mode("overwrite").partitionBy("run").text(f"{place}/cutsets")
+
+
+def write_solution(a: argparse.Namespace, place: str, nodes: DataFrame, pins: DataFrame, edges: DataFrame, assign: DataFrame) -> None:
+    solution = propagate.settle(ilp.solution(nodes, pins, edges, assign))
+    if a.sol_gurobi_format:
+        text_formats.mst_lines(solution).select("value").write.mode("overwrite").text(f"{place}/mst")
+    if a.sol_scip_format or not a.sol_gurobi_format:
+        text_formats.scip_lines(solution).select("value").write.mode("overwrite").text(f"{place}/sol")
+
+
+def kway(spark: SparkSession, a: argparse.Namespace, nodes: DataFrame, pins: DataFrame, edges: DataFrame) -> None:
+    """Parts by repeated bisection; the number of parts is a power of two."""
+    levels = a.nways.bit_length() - 1
+    if a.nways != 1 << levels:
+        raise ValueError("the number of ways is a power of two")
+    parts = propagate.settle(multilevel.kway(hypergraph.selected(nodes), pins, edges, levels, n_runs=a.nruns))
+    spans = pins.join(parts, "node_id").groupBy("edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b")).join(edges, "edge_id")
+    spans.agg(F.count(F.when(F.col("a") != F.col("b"), 1)).alias("spanning"), F.sum(F.when(F.col("a") != F.col("b"), F.col("width")).otherwise(0.0)).alias("cost")).show()
+    parts.groupBy("part").count().orderBy("part").show()
+    if a.output:
+        parts.orderBy("part", "node_id").write.mode("overwrite").parquet(f"{a.output}/assign")
+
+
 def trace(spark: SparkSession, path: str, width: int | None, max_mb: int | None) -> DataFrame:
     changes = propagate.settle(vcd.read(spark, path, max_mb * 1_000_000 if max_mb else None))
     end = changes.agg(F.max("t")).first()[0] or 0
@@ -84,6 +148,15 @@ def trace(spark: SparkSession, path: str, width: int | None, max_mb: int | None)
 
 def vcd_command(spark: SparkSession, a: argparse.Namespace) -> None:
     text_formats.count_lines(trace(spark, a.vcd, a.width, a.max_mb)).select("value").write.mode("overwrite").text(a.entropy)
+    if a.huffman:
+        changes = vcd.read(spark, a.vcd, a.max_mb * 1_000_000 if a.max_mb else None)
+        # a frame is the values of a signal's bits at a time, cut into symbols
+        frames = changes.groupBy("signal", "t", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bit", "v"))), lambda x: x["v"]), "").alias("frame"))
+        cut = F.explode(F.regexp_extract_all("frame", F.lit(f"(.{{1,{a.symbol_size}}})"), F.lit(1))).alias("symbol")
+        counts = {r.symbol: r.n for r in frames.select(cut).groupBy("symbol").agg(F.count("*").alias("n")).collect()}  # four to the symbol's size at most
+        bits = text_formats.huffman_bits(counts)
+        total = sum(counts.values())
+        print(f"{total} symbols, {sum(bits[s] * n for s, n in counts.items()) / max(1, total):.4f} bits a symbol")
 
 
 def whitelist(spark: SparkSession, path: str | None) -> DataFrame | None:
@@ -107,7 +180,8 @@ def compare(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def compare_vcd(spark: SparkSession, a: argparse.Namespace) -> None:
-    one, two = (dwell.entropies(trace(spark, p, None, None), "signal", "bit").select(F.concat("signal", F.lit("["), F.col("bit").cast("string"), F.lit("]")).alias("signal"), "h") for p in (a.gold, a.compare))
+    slices = [F.lit("@"), F.col("slice").cast("string")] if a.width else []  # each slice is compared with its own
+    one, two = (dwell.entropies(trace(spark, p, a.width, None), "signal", "bit", "slice").select(F.concat("signal", F.lit("["), F.col("bit").cast("string"), F.lit("]"), *slices).alias("signal"), "h") for p in (a.gold, a.compare))
     dwell.compare(one, two).write.mode("overwrite").option("header", True).csv(a.output)
     dwell.unmatched(one, two).show()
 
@@ -136,9 +210,17 @@ def structural(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def model(spark: SparkSession, a: argparse.Namespace) -> None:
-    nodes, pins, edges = read_chaco(spark, a.chaco, a.weights, a.resources)
-    lines = text_formats.mps_lines(ilp.coefficients(nodes, pins, edges, a.max_imbalance), ilp.variables(nodes, edges), ilp.rows(nodes, edges, a.resources))
-    lines.orderBy("section", "value").select("value").write.mode("overwrite").text(a.output)
+    """The integer program of a netlist, or one read from MPS, written as MPS or LP."""
+    if a.mps:
+        parts = text_formats.mps_model(propagate.settle(text_formats.read_mps(spark, a.mps)))
+    else:
+        nodes, pins, edges = read_chaco(spark, a.chaco, a.weights, a.resources) if a.chaco else read_ntl(spark, a.ntl or a.xntl, a.library, bool(a.xntl))
+        edges = edges.withColumn("width", hypergraph.edge_weight(a.use_entropy))
+        parts = ilp.coefficients(nodes, pins, edges, a.max_imbalance), ilp.variables(nodes, edges), ilp.rows(nodes, edges, a.resources)
+    if a.write_lp:
+        text_formats.lp_lines(*parts).orderBy("section", "row", "place", "value").select("value").write.mode("overwrite").text(a.write_lp)
+    if a.output:
+        text_formats.mps_file(text_formats.mps_lines(*parts)).orderBy("section", "place", "value").select("value").write.mode("overwrite").text(a.output)
 
 
 def weights(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -158,14 +240,14 @@ def shannon_csv(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 COMMANDS = {
-    "partition": (partition, ["--chaco", "--weights", "--ntl", "--xntl", "--library", "--config!", "--nruns:int=1", "--use-entropy?", "--output"]),
-    "vcd": (vcd_command, ["--vcd!", "--entropy!", "--width:int", "--max-mb:int"]),
+    "partition": (partition, ["--chaco", "--weights", "--ntl", "--xntl", "--library", "--config!", "--nruns:int=1", "--nways:int=2", "--use-entropy?", "--export-initial-sol", "--initial-sol-only?", "--sol-scip-format?", "--sol-gurobi-format?", "--write-cutset-dir", "--output"]),
+    "vcd": (vcd_command, ["--vcd!", "--entropy!", "--width:int", "--max-mb:int", "--huffman?", "--symbol-size:int=8"]),
     "track": (track, ["--entropy!", "--whitelist", "--output!"]),
     "compare-entropy": (compare, ["--gold!", "--compare!", "--whitelist", "--output!"]),
-    "compare-vcd": (compare_vcd, ["--gold!", "--compare!", "--output!"]),
+    "compare-vcd": (compare_vcd, ["--gold!", "--compare!", "--width:int", "--output!"]),
     "functional": (functional, ["--verilog!", "--entropy", "--output!"]),
     "structural": (structural, ["--verilog!", "--output!"]),
-    "ilp": (model, ["--chaco!", "--weights", "--resources:int=1", "--max-imbalance:float=0.01", "--output!"]),
+    "ilp": (model, ["--chaco", "--weights", "--ntl", "--xntl", "--mps", "--library", "--resources:int=1", "--max-imbalance:float=0.01", "--use-entropy?", "--write-lp", "--output"]),
     "weights": (weights, ["--nodes:int=45087", "--seed:int=1", "--output!"]),
     "tokens": (words, ["--input!", "--output!"]),
     "shannon-csv": (shannon_csv, ["--shannon!", "--output!"]),

@@ -16,6 +16,11 @@ def distinct_pins(raw: DataFrame, min_degree: int = 2, max_degree: int | None =
     return (kept.where(F.col("_degree") <= max_degree) if max_degree else kept).drop("_degree")
 
 
+def supernodes(clusters: DataFrame) -> DataFrame:
+    """(super_id): of clusters(node_id, super_id) those that hold more than one node."""
+    return clusters.groupBy("super_id").agg(F.count("*").alias("n")).where("n > 1").select("super_id")
+
+
 def degrees(pins: DataFrame) -> DataFrame:
     return pins.groupBy("edge_id").agg(F.count("*").alias("degree"))
 

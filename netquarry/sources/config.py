@@ -56,7 +56,8 @@ def read_config(text: str) -> Config:
     share = [c.share[0], *[0.99] * (len(c.share) - 1)] if policy == "single_resource" else c.share
     c.options = Options(
         share=tuple(share), ratio=tuple(c.ratio), policy=policy, adaptive="use_adaptive_implementations" in tags, rebalance="rebalance_on_start_of_pass" in tags,
-        mutation_rate=int(tags["mutation_rate"].text or 0) if "mutation_rate" in tags else 0, seed=c.seed)
+        mutation_rate=int(tags["mutation_rate"].text or 0) if "mutation_rate" in tags else 0, seed=c.seed, relax_coarse="use_multilevel_constraint_relaxation" in tags,
+        rebalance_at_end="rebalance_on_end_of_run" in tags)
     c.validate()
     return c
 

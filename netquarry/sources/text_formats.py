@@ -5,6 +5,8 @@ Readers take a DataFrame of (file, line_no, value) from `numbered_lines`, writer
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -163,13 +165,65 @@ def mps_lines(coefficients: DataFrame, variables: DataFrame, rows: DataFrame) ->
     """(section, value) lines of a free MPS file, to be written in order of section, then value."""
     sense = F.when(F.col("sense") == ">=", "G").when(F.col("sense") == "<=", "L").otherwise("E")
     line = lambda n, *c: F.concat_ws(" ", F.lit(""), *c).alias("value")
-    out = rows.select(F.lit(1).alias("section"), line(1, sense, F.col("name")))
+    objective = variables.sparkSession.createDataFrame([(1, " N OBJFN")], "section int, value string")
+    out = objective.unionByName(rows.select(F.lit(1).alias("section"), line(1, sense, F.col("name"))))
     cells = coefficients.select(F.col("variable"), F.col("row"), F.col("val")).unionByName(variables.where("obj <> 0").select(F.col("name").alias("variable"), F.lit("OBJFN").alias("row"), F.col("obj").alias("val")))
     out = out.unionByName(cells.select(F.lit(2).alias("section"), line(2, F.col("variable"), F.col("row"), F.col("val").cast("string"))))
     out = out.unionByName(rows.where("rhs <> 0").select(F.lit(3).alias("section"), line(3, F.lit("RHS"), F.col("name"), F.col("rhs").cast("string"))))
     return out.unionByName(variables.select(F.lit(4).alias("section"), line(4, F.lit("BV BND"), F.col("name"))))
 
 
+#: Keywords of an MPS file's sections, in order (fixed values).
+MPS_SECTIONS = ("NAME", "ROWS", "COLUMNS", "RHS", "BOUNDS", "ENDATA")
+
+
+def mps_file(lines: DataFrame, name: str = "PARTITION") -> DataFrame:
+    """(section, place, value): mps_lines() with the keywords, to be written in order of section, place and value."""
+    heads = [(i, 0, f"{k} {name}" if not i else k) for i, k in enumerate(MPS_SECTIONS)]
+    return lines.sparkSession.createDataFrame(heads, "section int, place int, value string").unionByName(lines.select("section", F.lit(1).alias("place"), "value"))
+
+
+def read_mps(spark: SparkSession, path: str) -> DataFrame:
+    """(section, value) lines of MPS files: of ROWS, COLUMNS, RHS and BOUNDS; a file is one unit of reading, as keywords open sections."""
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(MPS_SECTIONS) for x in (k, i)])[F.get(F.split("value", "\\s+"), F.lit(0))]
+    rows = numbered_lines(spark, path).where(~F.col("value").startswith("*")).withColumn("head", F.when(F.col("value").rlike("^\\S"), number))
+    section = F.last("head", ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))
+    return rows.withColumn("section", section).where(F.col("head").isNull() & (F.trim("value") != "") & F.col("section").between(1, 4)).select("section", "value")
+
+
+def mps_model(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(coefficients (row, variable, val), variables (name, obj), rows (name, sense, rhs)) of such lines."""
+    parts = F.split(F.trim("value"), "\\s+")
+    at = lambda i: F.get(parts, F.lit(i))
+    sense = F.when(at(0) == "G", ">=").when(at(0) == "L", "<=").otherwise("=")
+    named = lines.where("section = 1").select(at(1).alias("name"), sense.alias("sense"), (at(0) == "N").alias("free"))
+    of_column = lambda n: lines.where(f"section = {n}").select(at(0).alias("variable"), F.explode(F.filter(F.array(*[F.struct(at(i).alias("row"), at(i + 1).cast("double").alias("val")) for i in (1, 3)]), lambda x: x["row"].isNotNull())).alias("c")).select("variable", "c.row", "c.val")
+    cells, right = of_column(2), of_column(3).select(F.col("row").alias("name"), F.col("val").alias("rhs"))
+    objective = named.where("free").select(F.col("name").alias("row"))
+    obj = cells.join(objective, "row", "left_semi").select(F.col("variable").alias("name"), F.col("val").alias("obj"))
+    variables = cells.select(F.col("variable").alias("name")).distinct().join(obj, "name", "left").select("name", F.coalesce("obj", F.lit(0.0)).alias("obj"))
+    rows = named.where("NOT free").join(right, "name", "left").select("name", "sense", F.coalesce("rhs", F.lit(0.0)).alias("rhs"))
+    return cells.join(objective, "row", "left_anti").select("row", "variable", "val"), variables, rows
+
+
+def lp_lines(coefficients: DataFrame, variables: DataFrame, rows: DataFrame) -> DataFrame:
+    """(section, row, place, value) of an LP file, to be written in that order: the objective, rows a term a line, binary variables."""
+    spark = variables.sparkSession
+    frame = spark.createDataFrame([(0, "", 0, "min:"), (0, "", 2, ";"), (2, "", 0, "bin"), (2, "", 2, ";")], "section int, row string, place int, value string")
+    term = lambda v, n: F.concat(F.when(v >= 0, "+").otherwise(""), v.cast("string"), F.lit(" "), n)
+    objective = variables.where("obj <> 0").select(F.lit(0).alias("section"), F.lit("").alias("row"), F.lit(1).alias("place"), term(F.col("obj"), F.col("name")).alias("value"))
+    first = rows.select(F.lit(1).alias("section"), F.col("name").alias("row"), F.lit(0).alias("place"), F.concat("name", F.lit(":")).alias("value"))
+    terms = coefficients.select(F.lit(1).alias("section"), "row", F.lit(1).alias("place"), term(F.col("val"), F.col("variable")).alias("value"))
+    last = rows.select(F.lit(1).alias("section"), F.col("name").alias("row"), F.lit(2).alias("place"), F.concat("sense", F.lit(" "), F.col("rhs").cast("string"), F.lit(";")).alias("value"))
+    names_ = variables.select(F.lit(2).alias("section"), F.lit("").alias("row"), F.lit(1).alias("place"), F.concat(F.lit(","), "name").alias("value"))
+    one = variables.agg(F.min("name").alias("least"))  # the first name has no comma before it
+    names_ = names_.join(F.broadcast(one)).withColumn("value", F.when(F.col("value") == F.concat(F.lit(","), "least"), F.col("least")).otherwise(F.col("value"))).drop("least")
+    out = frame
+    for more in (objective, first, terms, last, names_):
+        out = out.unionByName(more)
+    return out
+
+
 def mps_cells(lines: DataFrame) -> DataFrame:
     """(row, variable, val) of the column section of such lines; one or two pairs a line."""
     parts = F.split(F.trim("value"), "\\s+")
@@ -204,6 +258,25 @@ def code_lengths(symbols: DataFrame) -> DataFrame:
     return by.withColumn("bits", F.round(-F.log2(F.col("n") / total), 9))
 
 
+def huffman_bits(counts: dict[str, int]) -> dict[str, int]:
+    """Code lengths of a Huffman code of the symbols, of which there are as many as a frame's size allows."""
+    heap = [(n, i, [s]) for i, (s, n) in enumerate(sorted(counts.items()))]
+    heapq.heapify(heap)
+    bits = dict.fromkeys(counts, 0 if len(counts) > 1 else 1)
+    while len(heap) > 1:
+        (a, _, x), (b, i, y) = heapq.heappop(heap), heapq.heappop(heap)
+        for s in (*x, *y):
+            bits[s] += 1
+        heapq.heappush(heap, (a + b, i, [*x, *y]))
+    return bits
+
+
+def summary_lines(runs: DataFrame) -> DataFrame:
+    """(run_id, value): a line of the summary for each of runs(run_id, cost, span, entropy); -1 is the heading."""
+    head = runs.sparkSession.createDataFrame([(-1, "TotalCost,RunNum,TotalSpan,TotalEntropy")], "run_id int, value string")
+    return head.unionByName(runs.select(F.col("run_id").cast("int").alias("run_id"), F.concat_ws(",", *[F.col(c).cast("string") for c in ("cost", "run_id", "span", "entropy")]).alias("value")))
+
+
 def is_ignored(net: Column) -> Column:
     """Nets that netlists leave out: global ones, literals, and those that a synthesis tool has named as unconnected."""
     return names.is_global(net) | names.is_literal(net) | net.contains("UNCONNECTED")

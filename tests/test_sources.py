@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netquarry import cli
-from netquarry.operators import dwell
+from netquarry.operators import dwell, ilp
 from netquarry.sources import config, text_formats, vcd, verilog
 
 VCD = """$date today $end
@@ -76,6 +76,28 @@ def test_chaco_file_and_cli(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out/sol")).where("value LIKE 'X% 1%'").count() >= 2
     cli.main(["ilp", "--chaco", str(tmp_path / "g.graph"), "--weights", str(tmp_path / "g.wt"), "--resources", "2", "--output", str(tmp_path / "mps")], spark)
     assert spark.read.text(str(tmp_path / "mps")).count() > 40
+    # MPS read again gives the same program, and LP has each row and variable
+    first = text_formats.mps_model(text_formats.read_mps(spark, str(tmp_path / "mps")))
+    cli.main(["ilp", "--mps", str(tmp_path / "mps"), "--write-lp", str(tmp_path / "lp"), "--output", str(tmp_path / "again")], spark)
+    again = text_formats.mps_model(text_formats.read_mps(spark, str(tmp_path / "again")))
+    nodes, pins, edges = cli.read_chaco(spark, str(tmp_path / "g.graph"), str(tmp_path / "g.wt"), 2)
+    made = ilp.coefficients(nodes, pins, edges, 0.01), ilp.variables(nodes, edges), ilp.rows(nodes, edges, 2)
+    for a, b, c in zip(first, again, made):
+        assert sorted(map(tuple, a.select(*c.columns).collect())) == sorted(map(tuple, b.select(*c.columns).collect())) == sorted(map(tuple, c.collect()))
+    lp = [r.value for r in spark.read.text(str(tmp_path / "lp")).collect()]
+    assert sum(x.endswith(":") for x in lp) == made[2].count() + 1 and sum(x.startswith((">=", "<=", "=")) for x in lp) == made[2].count()
+    place = ["partition", "--chaco", str(tmp_path / "g.graph"), "--weights", str(tmp_path / "g.wt"), "--config", str(tmp_path / "c.xml")]
+    cli.main([*place, "--export-initial-sol", str(tmp_path / "start"), "--initial-sol-only", "--sol-gurobi-format", "--output", str(tmp_path / "none")], spark)
+    assert spark.read.text(str(tmp_path / "start/mst")).count() == made[1].count() and not (tmp_path / "none").exists()
+    cli.main([*place, "--nruns", "2", "--write-cutset-dir", str(tmp_path / "cuts")], spark)
+    summary = [r.value.split(",") for r in spark.read.text(str(tmp_path / "cuts/summary.csv")).collect()]
+    assert summary[0] == ["TotalCost", "RunNum", "TotalSpan", "TotalEntropy"] and [r[1] for r in summary[1:]] == ["0", "1"]
+    names = [r.run for r in spark.read.text(str(tmp_path / "cuts/cutsets")).select("run").collect()]
+    assert sum(n.split("_")[1] == "0" for n in names) == int(summary[1][2])
+    cli.main([*place, "--nways", "4", "--output", str(tmp_path / "four")], spark)
+    assert spark.read.parquet(str(tmp_path / "four/assign")).count() == 4
+    with pytest.raises(ValueError, match="power of two"):
+        cli.main([*place, "--nways", "3"], spark)
     (tmp_path / "bad.graph").write_text("4 9\n2\n1\n\n\n")
     with pytest.raises(ValueError):
         cli.read_chaco(spark, str(tmp_path / "bad.graph"), None, 1)
@@ -111,6 +133,10 @@ def test_vcd(spark, tmp_path):
     cli.main(["vcd", "--vcd", str(tmp_path / "t.vcd"), "--entropy", str(tmp_path / "e"), "--width", "500"], spark)
     cli.main(["track", "--entropy", str(tmp_path / "e"), "--output", str(tmp_path / "csv")], spark)
     assert spark.read.text(str(tmp_path / "csv")).count() == 5
+    cli.main(["vcd", "--vcd", str(tmp_path / "t.vcd"), "--entropy", str(tmp_path / "e2"), "--huffman", "--symbol-size", "2"], spark)
+    assert text_formats.huffman_bits({"a": 5, "b": 2, "c": 1, "d": 1}) == {"a": 1, "b": 2, "c": 3, "d": 3} and text_formats.huffman_bits({"a": 3}) == {"a": 1}
+    cli.main(["compare-vcd", "--width", "500", "--gold", str(tmp_path / "t.vcd"), "--compare", str(tmp_path / "t.vcd"), "--output", str(tmp_path / "d2")], spark)
+    assert spark.read.csv(str(tmp_path / "d2"), header=True).count() == 3 * 5
     cli.main(["compare-vcd", "--gold", str(tmp_path / "t.vcd"), "--compare", str(tmp_path / "t.vcd"), "--output", str(tmp_path / "d")], spark)
     assert spark.read.csv(str(tmp_path / "d"), header=True).where("CAST(abs_diff AS DOUBLE) > 0").count() == 0
 
