@@ -9,11 +9,14 @@ from netquarry.functions import scores
 
 
 def distinct_pins(raw: DataFrame, min_degree: int = 2, max_degree: int | None = None) -> DataFrame:
-    """Pins without repeats, of edges within the degree bounds. One shuffle, by edge: the rest follows its partitioning."""
-    pins = raw.select("edge_id", "node_id").where("edge_id IS NOT NULL AND node_id IS NOT NULL").repartition("edge_id").dropDuplicates(["edge_id", "node_id"])
-    degree = F.count("*").over(Window.partitionBy("edge_id"))
-    kept = pins.withColumn("_degree", degree).where(F.col("_degree") >= min_degree)
-    return (kept.where(F.col("_degree") <= max_degree) if max_degree else kept).drop("_degree")
+    """Pins without repeats, of edges within the degree bounds.
+
+    Repeats are dealt by edge and node, degrees are counted before the shuffle, and the join that keeps pins can be split by
+    the planner: a clock net with a pin on every cell is in no one task.
+    """
+    pins = raw.select("edge_id", "node_id").where("edge_id IS NOT NULL AND node_id IS NOT NULL").distinct()
+    degree = pins.groupBy("edge_id").agg(F.count("*").alias("_degree")).where(F.col("_degree") >= min_degree)
+    return pins.join(degree.where(F.col("_degree") <= max_degree) if max_degree else degree, "edge_id").drop("_degree")
 
 
 def supernodes(clusters: DataFrame) -> DataFrame:
@@ -72,10 +75,13 @@ def cut_edges(pins: DataFrame, assign: DataFrame) -> DataFrame:
 
 
 def gains(pins: DataFrame, assign: DataFrame, edges: DataFrame, use_entropy: bool = False) -> DataFrame:
-    """(node_id, part, gain): what the cut loses if the node alone moves. Counts by side ride on the pins' own window."""
-    by_edge = Window.partitionBy("edge_id")
-    own = F.sum(F.when(F.col("part") == 0, 1).otherwise(0)).over(by_edge)
-    rows = pins.join(assign, "node_id").join(edges, "edge_id").withColumn("cnt_a", own).withColumn("cnt_b", F.count("*").over(by_edge) - F.col("cnt_a"))
+    """(node_id, part, gain): what the cut loses if the node alone moves.
+
+    Counts by side are summed before the shuffle and joined back to the pins, so that a net with very many is in no one task.
+    """
+    sided = pins.join(assign, "node_id")
+    counts = sided.groupBy("edge_id").agg(F.count(F.when(F.col("part") == 0, 1)).alias("cnt_a"), F.count(F.when(F.col("part") == 1, 1)).alias("cnt_b"))
+    rows = sided.join(counts.join(edges, "edge_id"), "edge_id")
     mine, other = F.when(F.col("part") == 0, F.col("cnt_a")).otherwise(F.col("cnt_b")), F.when(F.col("part") == 0, F.col("cnt_b")).otherwise(F.col("cnt_a"))
     return rows.groupBy("node_id", "part").agg(F.sum(scores.gain_part(mine, other, edge_weight(use_entropy))).alias("gain"))
 

@@ -72,12 +72,14 @@ def resources(spark: SparkSession, c: Config) -> DataFrame:
     return spark.createDataFrame([(i, *x) for i, x in enumerate(zip(c.capacity, c.ratio, c.share))], "res_id int, capacity long, ratio_weight int, max_imbalance double")
 
 
-def synthetic_weights(nodes: DataFrame, kinds: list[tuple[float, int, int]], seed: int = 1) -> DataFrame:
-    """(node_id, impls): each node is of one resource, by the kinds' shares, with a uniform weight between their bounds.
+def synthetic_weights(nodes: DataFrame, kinds: list[tuple[float, int, int]], seed: int = 1, binomial: bool = False, cluster: int = 1) -> DataFrame:
+    """(node_id, impls): each node is of one resource, by the kinds' shares, with a weight between their bounds.
 
-    kinds: (share, least, most) by resource. Draws are hashes of seed and node, so that they don't hang on partitions.
+    kinds: (share, least, most) by resource. Weights are uniform, or binomial with a chance of one half. So many
+    neighbouring nodes as a cluster has are of one kind. Draws are hashes of seed and node, so that they don't hang on
+    partitions.
     """
-    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "node_id"), F.lit(1 << 30)) / (1 << 30)
+    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.floor(F.col("node_id") / cluster) if k == 0 else F.col("node_id")), F.lit(1 << 30)) / (1 << 30)
     kind, total = F.lit(len(kinds) - 1), 0.0
     cuts = []
     for i, (share, _, _) in enumerate(kinds[:-1]):
@@ -86,6 +88,14 @@ def synthetic_weights(nodes: DataFrame, kinds: list[tuple[float, int, int]], see
     for bound, i in reversed(cuts):
         kind = F.when(u(0) < bound, i).otherwise(kind)
     least, most = (F.get(F.array(*[F.lit(k[j]) for k in kinds]), kind) for j in (1, 2))
-    weight = (least + F.floor(u(1) * (most - least + 1))).cast("int")
+    if binomial:
+        words = F.sequence(F.lit(0), F.floor((most - least) / 64).cast("int"))
+        # a hash has 64 fair bits; of the last one as many count as are left
+        used = lambda i: F.xxhash64(F.lit(seed), F.lit(2), "node_id", i)
+        left = lambda i: F.least(F.lit(64), most - least - 64 * i)
+        ones = lambda i: F.when(left(i) >= 64, F.bit_count(used(i))).otherwise(F.bit_count(used(i).bitwiseAND(F.pow(F.lit(2.0), left(i)).cast("long") - 1)))
+        weight = (least + F.aggregate(words, F.lit(0), lambda n, i: n + ones(i))).cast("int")
+    else:
+        weight = (least + F.floor(u(1) * (most - least + 1))).cast("int")
     vector = F.array(*[F.when(kind == i, weight).otherwise(0) for i in range(len(kinds))])
     return nodes.select("node_id", F.array(vector).alias("impls"))

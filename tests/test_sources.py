@@ -183,6 +183,12 @@ def test_mps_and_weights(spark, tmp_path):
     made = config.synthetic_weights(spark.range(5000).withColumnRenamed("id", "node_id"), [(0.84, 5, 15), (0.09, 170, 370), (0.07, 230, 630)])
     kinds = {r.k: r.n for r in made.select(F.array_position(F.transform(F.get("impls", F.lit(0)), lambda x: x > 0), True).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
     assert abs(kinds[1] / 5000 - 0.84) < 0.02 and abs(kinds[3] / 5000 - 0.07) < 0.02
+    made = config.synthetic_weights(spark.range(4000).withColumnRenamed("id", "node_id"), [(0.5, 10, 210), (0.5, 5, 15)], binomial=True, cluster=4)
+    rows = {r.node_id: list(r.impls[0]) for r in made.collect()}
+    one, two = [w[0] for w in rows.values() if w[0]], [w[1] for w in rows.values() if w[1]]
+    assert all((rows[v][0] > 0) == (rows[v - v % 4][0] > 0) for v in rows) and len(one) + len(two) == 4000 and abs(len(one) - 2000) < 250
+    mean, spread = sum(one) / len(one), (sum(x * x for x in one) / len(one) - (sum(one) / len(one)) ** 2) ** 0.5
+    assert abs(mean - 110) < 1 and abs(spread - 50**0.5) < 0.6 and abs(sum(two) / len(two) - 10) < 0.2
 
 
 def test_graph_xml(spark, tmp_path):
