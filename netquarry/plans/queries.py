@@ -314,16 +314,22 @@ def _spanning(pins, assign):
     return by.where("a <> b").count()
 
 
-@query
-def fm_partition(spark, d):
-    """The whole graph in two: nodes, nodes that lack or come twice, resources over their bounds, and whether the cut beats 32 hashed splits."""
+def partition_quality(spark: SparkSession, d: str) -> dict[str, int]:
+    """The whole graph in two: nodes, nodes that lack or come twice, resources over their bounds, nets cut, and nets cut by the best of 32 hashed splits."""
     weights, pins, edges = _whole(spark, d)
     state = propagate.settle(multilevel.bisection(weights, pins, edges, n_runs=2, rounds=1))
     over = bisect.violations(state, weights).agg(F.sum("over")).first()[0] or 0
     lost = weights.join(state.groupBy("node_id").count().where("count = 1"), "node_id", "left_anti").count()
     random = _run_costs(spark, d).agg(F.min("cost")).first()[0] or 0
     cut = _spanning(pins, state.select("node_id", F.col("side").alias("part")))
-    return spark.createDataFrame([(state.count(), lost, int(over), bool(cut < random or not cut))], "nodes long, lost long, over long, better boolean")
+    return {"nodes": state.count(), "lost": lost, "over": int(over), "cut": cut, "random": int(random)}
+
+
+@query
+def fm_partition(spark, d):
+    """What partition_quality() finds, with the cut as whether it beats the hashed splits."""
+    q = partition_quality(spark, d)
+    return spark.createDataFrame([(q["nodes"], q["lost"], q["over"], q["cut"] < q["random"] or not q["cut"])], "nodes long, lost long, over long, better boolean")
 
 
 @query
