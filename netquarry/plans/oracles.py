@@ -121,6 +121,10 @@ SQL: dict[str, str] = {
     "hg_swap_identity": "SELECT true AS identical",
     "hg_run_costs": sql("SELECT run_id, cost FROM runs"),
     "hg_run_stats": sql("SELECT count(*)::BIGINT AS n, min(cost) AS min, max(cost) AS max, round(avg(cost), 9) AS avg, list_sort(list(cost))[count(*) // 2 + 1] AS median, round(stddev_pop(cost), 9) AS sigma FROM runs"),
+    "hg_supernodes": "SELECT (p_partkey // 4)::BIGINT AS super_id FROM part GROUP BY 1 HAVING count(*) > 1",
+    "hg_run_listing": sql("SELECT row_number() OVER (ORDER BY cost, run_id)::INT AS place, run_id, cost FROM runs"),
+    "hg_run_cumulative": sql("""SELECT b::INT AS bucket, (lo + b * width)::BIGINT AS low, (lo + (b + 1) * width)::BIGINT AS high, (SELECT count(*) FROM runs WHERE least(buckets - 1, floor((cost - lo) / width)) <= b)::BIGINT AS n
+        FROM (SELECT *, floor((hi - lo) / buckets + 1)::BIGINT AS width FROM (SELECT min(cost)::BIGINT AS lo, max(cost)::BIGINT AS hi, CASE WHEN (max(cost) - min(cost)) / 10 > 10 THEN 10 WHEN (max(cost) - min(cost)) / 5 > 10 THEN 5 ELSE 1 END AS buckets FROM runs)) s, range(10) t(b) WHERE b < buckets"""),
     "hg_run_histogram": sql("""SELECT b::INT AS bucket, (lo + b * width)::BIGINT AS low, (lo + (b + 1) * width)::BIGINT AS high, (SELECT count(*) FROM runs WHERE least(buckets - 1, floor((cost - lo) / width)) = b)::BIGINT AS n
         FROM (SELECT *, floor((hi - lo) / buckets + 1)::BIGINT AS width FROM (SELECT min(cost)::BIGINT AS lo, max(cost)::BIGINT AS hi, CASE WHEN (max(cost) - min(cost)) / 10 > 10 THEN 10 WHEN (max(cost) - min(cost)) / 5 > 10 THEN 5 ELSE 1 END AS buckets FROM runs)) s, range(10) t(b) WHERE b < buckets"""),
     "hg_kway_min_cost": sql("""SELECT level, b.run_id AS best_run, b.total AS cumulative_cost FROM (SELECT level, min({'total': total, 'run_id': run}) AS b FROM (
@@ -137,7 +141,7 @@ SQL: dict[str, str] = {
     "hg_violations": sql("SELECT 0::BIGINT AS short_nets, 0::BIGINT AS uneven_vectors, 0::BIGINT AS bad_choices, (SELECT count(*) FROM chosen WHERE EXISTS (SELECT 1 FROM allowed WHERE chosen.v[res_id + 1] >= 2 * m))::BIGINT AS heavy_nodes"),
     "fm_partition": "SELECT count(*)::BIGINT AS nodes, 0::BIGINT AS lost, 0::BIGINT AS over, true AS better FROM part",
     "fm_kway": "SELECT 4::BIGINT AS parts, count(*)::BIGINT AS nodes, 0::BIGINT AS lost, true AS better FROM part",
-    "fm_cost_check": "SELECT 0::BIGINT AS mismatches, 0::BIGINT AS lost",
+    "fm_cost_check": "SELECT 0::BIGINT AS mismatches, 0::BIGINT AS lost, 0::BIGINT AS uneven",
     "fm_bisect_check": "SELECT true AS better, false AS more_violations, 0::BIGINT AS lost",
     "ts_dwell": sql("SELECT * FROM dwell"),
     "ts_stream_dwell": sql("SELECT * FROM dwell"),

@@ -215,6 +215,11 @@ def _clusters(spark, d):
     return D.table(spark, d, "part").select(F.col("p_partkey").alias("node_id"), F.floor(F.col("p_partkey") / 4).alias("super_id"))
 
 
+@query
+def hg_supernodes(spark, d):
+    return hypergraph.supernodes(_clusters(spark, d))
+
+
 @query
 def hg_contract(spark, d):
     return hypergraph.contract(D.pins(spark, d), _clusters(spark, d)).groupBy("edge_id").agg(F.count("*").alias("degree"), F.sum("node_id").alias("super_sum"))
@@ -271,6 +276,17 @@ def hg_run_stats(spark, d):
     return hypergraph.run_statistics(_run_costs(spark, d), "cost")
 
 
+@query
+def hg_run_listing(spark, d):
+    """The runs' costs in order, as the report lists them."""
+    return _run_costs(spark, d).select(F.row_number().over(Window.orderBy("cost", "run_id")).alias("place"), "run_id", "cost").orderBy("place")  # a row for each run
+
+
+@query
+def hg_run_cumulative(spark, d):
+    return hypergraph.run_histogram(_run_costs(spark, d), "cost", cumulative=True)
+
+
 @query
 def hg_run_histogram(spark, d):
     return hypergraph.run_histogram(_run_costs(spark, d), "cost")
@@ -344,7 +360,11 @@ def fm_cost_check(spark, d):
     cost = cut.groupBy("run_id").agg(F.count(F.when(F.col("a") != F.col("b"), 1)).cast("double").alias("counted"))
     by = runs.groupBy("run_id").agg(F.max("cost").alias("cost")).join(cost, "run_id", "left")
     lost = weights.select("node_id").join(found.select("node_id"), "node_id", "left_anti").agg(F.count("*").alias("lost"))
-    return by.agg(F.count(F.when(F.abs(F.col("cost") - F.coalesce("counted", F.lit(0.0))) > 1e-6, 1)).alias("mismatches")).crossJoin(lost)  # two single rows
+    # a cluster weighs what its nodes weigh together
+    parts = clusters.join(weights, "node_id").select(F.col("super_id").alias("node_id"), F.posexplode("weight").alias("res_id", "w")).groupBy("node_id", "res_id").agg(F.sum("w").alias("w"))
+    whole = level.select("node_id", F.posexplode("weight").alias("res_id", "of_cluster")).join(parts, ["node_id", "res_id"], "full_outer")
+    uneven = whole.agg(F.count(F.when(~F.col("w").eqNullSafe(F.col("of_cluster")), 1)).alias("uneven"))
+    return by.agg(F.count(F.when(F.abs(F.col("cost") - F.coalesce("counted", F.lit(0.0))) > 1e-6, 1)).alias("mismatches")).crossJoin(lost).crossJoin(uneven)  # three single rows
 
 
 @query
