@@ -33,6 +33,10 @@ def op2_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """feature: codec, duration, how many of the samples are keyframes, and a hash of the keyframes' byte ranges.
+
+    All of it comes from the sample tables; the method never looks into a payload, so texts of one length have one feature.
+    """
     found = media.containers(documents(spark, sf_dir), keep_media=False)
     ranges = F.sha2(F.concat_ws(",", F.zip_with("key_begins", "key_ends", lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string")))), 256)
     return found.select(
