@@ -226,7 +226,7 @@ def model(spark: SparkSession, a: argparse.Namespace) -> None:
 def weights(spark: SparkSession, a: argparse.Namespace) -> None:
     """Logic, multiplier and memory cells in shares of 84, 9 and 7 percent, each with its range of weights."""
     nodes = spark.range(1, a.nodes + 1).select(F.col("id").alias("node_id"))
-    made = config.synthetic_weights(nodes, [(0.84, 5, 15), (0.09, 170, 370), (0.07, 230, 630)], a.seed)
+    made = config.synthetic_weights(nodes, [(0.84, 5, 15), (0.09, 170, 370), (0.07, 230, 630)], a.seed, a.binomial, a.cluster)
     text_formats.weight_lines(made).orderBy("node_id").select("value").write.mode("overwrite").text(a.output)
 
 
@@ -248,7 +248,7 @@ COMMANDS = {
     "functional": (functional, ["--verilog!", "--entropy", "--output!"]),
     "structural": (structural, ["--verilog!", "--output!"]),
     "ilp": (model, ["--chaco", "--weights", "--ntl", "--xntl", "--mps", "--library", "--resources:int=1", "--max-imbalance:float=0.01", "--use-entropy?", "--write-lp", "--output"]),
-    "weights": (weights, ["--nodes:int=45087", "--seed:int=1", "--output!"]),
+    "weights": (weights, ["--nodes:int=45087", "--seed:int=1", "--binomial?", "--cluster:int=1", "--output!"]),
     "tokens": (words, ["--input!", "--output!"]),
     "shannon-csv": (shannon_csv, ["--shannon!", "--output!"]),
 }

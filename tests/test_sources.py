@@ -191,6 +191,11 @@ def test_mps_and_weights(spark, tmp_path):
     assert abs(mean - 110) < 1 and abs(spread - 50**0.5) < 0.6 and abs(sum(two) / len(two) - 10) < 0.2
 
 
+def test_weights_command(spark, tmp_path):
+    cli.main(["weights", "--nodes", "300", "--binomial", "--cluster", "5", "--output", str(tmp_path / "w")], spark)
+    assert spark.read.text(str(tmp_path / "w")).count() == 300
+
+
 def test_graph_xml(spark, tmp_path):
     (tmp_path / "g.xml").write_text("<graph><node><id>1</id><name>a</name></node><node><id>2</id><name>b</name></node></graph>")
     assert {(r.id, r.name) for r in config.graph_xml(spark, str(tmp_path / "g.xml")).collect()} == {(1, "a"), (2, "b")}
