@@ -141,3 +141,22 @@ def numbered(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:
         before += n
     start = F.create_map(*[x.cast("long") for x in offsets])[F.shiftright(at, 33)]
     return placed.withColumn(name, start + at.bitwiseAND((1 << 33) - 1)).drop("_place")
+
+
+#: Rows of one group that are joined with their group's figures under one key.
+SPAN = 1 << 16
+
+
+def numbered_within(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """df with _first (a number for each group, ascending with it, null first), _width (rows of the group) and _place (from 0 on, in the given order).
+
+    Rows that are equal in the order come in any order. A group of any size is dealt over tasks: rows are numbered over the
+    whole table, and figures of groups are joined by group and span of SPAN rows.
+    """
+    tied = stored(df).withColumn("_tie", F.monotonically_increasing_id())
+    rows = numbered(tied, group, *order, "_tie", name="_row").drop("_tie").withColumn("_span", F.floor(F.col("_row") / SPAN))
+    spans = rows.groupBy(F.col(group).alias("_group"), "_span").agg(F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_n"))
+    groups = spans.groupBy(F.col("_group").alias("_same")).agg(F.min("_least").alias("_first"), F.sum("_n").alias("_width"))
+    spans = spans.join(groups, F.col("_group").eqNullSafe(F.col("_same"))).select("_group", F.col("_span").alias("_of"), "_first", "_width")
+    found = rows.join(spans, (F.col("_span") == F.col("_of")) & F.col(group).eqNullSafe(F.col("_group")))
+    return found.withColumn("_place", F.col("_row") - F.col("_first")).drop("_row", "_span", "_of", "_group")

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import langid, line_dedup, media, mixing, pieces, quality, simhash, token_counts, warc, weighted_sampling
+from netquarry.llm import langid, line_dedup, manifest, media, mixing, pieces, quality, simhash, token_counts, warc, weighted_sampling
 from netquarry.llm.common import cut_lineage
 
 
+#: The letters that contracts lower-case.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -83,6 +87,19 @@ def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.element_at("ends", -1) == F.col("n_bytes")).alias("spans_reach_end"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering goes by the digest of the lower-cased text; a null doc_id is never tampered with."""
+    df = documents(spark, sf_dir)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    lowered = F.translate("text", UPPER, UPPER.lower())
+    leaves = df.select("doc_id", "lang", manifest.leaf(*fields, F.col("text")).alias("leaf"), F.when(tampered, manifest.leaf(*fields, lowered)).alias("tampered"))
+    found = manifest.manifest(leaves, "lang", "doc_id")
+    proof = F.zip_with("lefts", "rights", lambda a, b: F.concat(a, b))
+    found = found.withColumns({"proof_sha256": F.sha2(F.concat_ws("", proof), 256), "folded_root": manifest.folded(F.coalesce("tampered", "leaf"), F.col("lefts"), F.col("rights"))})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_warc_audit": op2_warc_audit,
@@ -94,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_encoding": op8_piece_encoding,
     "op9_mixing": op9_mixing,
     "op10_weak_quality": op10_weak_quality,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
