@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netquarry.llm import langid, line_dedup, manifest, media, mixing, pieces, quality, simhash, token_counts, warc, weighted_sampling
+from netquarry.llm import langid, line_dedup, manifest, media, mixing, mtree, pieces, quality, simhash, token_counts, warc, weighted_sampling
 from netquarry.llm.common import cut_lineage
 
 
@@ -87,6 +87,12 @@ def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.element_at("ends", -1) == F.col("n_bytes")).alias("spans_reach_end"))
 
 
+def op12_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", mtree.scaled(F.col("embedding")).alias("v"))
+    found = mtree.top_k(vectors, "vec_id", "v", F.col("vec_id") % 50 == 0, k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampering goes by the digest of the lower-cased text; a null doc_id is never tampered with."""
     df = documents(spark, sf_dir)
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_encoding": op8_piece_encoding,
     "op9_mixing": op9_mixing,
     "op10_weak_quality": op10_weak_quality,
+    "op12_mtree_search": op12_mtree_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
