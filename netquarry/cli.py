@@ -9,14 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import cells, names, probability
-from netquarry.operators import dwell, hypergraph, ilp, implementations, kernel, multilevel, propagate
+from netquarry.operators import dwell, hypergraph, ilp, implementations, multilevel, propagate, tables
 from netquarry.sources import config, text_formats, vcd, verilog
 
 
-#: A netlist of more nodes than this goes through distributed coarsening.
-KERNEL_NODES = 5000
-
-
 def read_chaco(spark: SparkSession, path: str, weights: str | None, resources: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, pins, edges) of a CHACO graph and, for modes 20 and 21, its weight file; counts are checked against the header."""
     lines = text_formats.numbered_lines(spark, path)
@@ -57,29 +53,25 @@ def preprocess(nodes: DataFrame, c: config.Config) -> DataFrame:
 
 
 def partition(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Bipartitions of a netlist of any size, or 2 to a power parts of it; every option of the configuration counts at every size."""
     with open(a.config) as f:
         c = config.read_config(f.read())
     nodes, pins, edges = read_chaco(spark, a.chaco, a.weights, len(c.capacity)) if a.chaco else read_ntl(spark, a.ntl or a.xntl, a.library, bool(a.xntl))
     edges = edges.withColumn("width", hypergraph.edge_weight(a.use_entropy))
-    nodes = preprocess(nodes, c)
+    nodes, given = tables.settle(preprocess(nodes, c)), None
+    if a.initial_sol:
+        given = tables.settle(ilp.assignment(nodes, text_formats.solution_values(spark.read.text(a.initial_sol))))
+        nodes = tables.settle(nodes.drop("sel").join(given.select("node_id", "sel"), "node_id"))
     if a.export_initial_sol:
-        start = kernel.runs(nodes, pins, edges, 1, replace(c.options, max_passes=0, coarsen=False, rebalance=False, rebalance_at_end=False))
-        write_solution(a, a.export_initial_sol, nodes, pins, edges, propagate.settle(start).select("node_id", "part"))
+        untouched = replace(c.options, max_passes=0, rebalance=False, rebalance_at_end=False, rebalance_on_demand=False, mutation_rate=0, adaptive=False)
+        start = multilevel.runs(nodes, pins, edges, 1, untouched, given, rounds=0)
+        write_solution(a, a.export_initial_sol, nodes, pins, edges, start.select("node_id", "part"))
         if a.initial_sol_only:
             return
     if a.nways > 2:
-        kway(spark, a, nodes, pins, edges)
+        kway(spark, a, c, nodes, pins, edges)
         return
-    if nodes.count() <= KERNEL_NODES:
-        found = propagate.settle(kernel.runs(nodes, pins, edges, a.nruns, c.options))
-    else:  # the whole of it through coarsening; every start keeps the choices of the preprocessor
-        weights = hypergraph.selected(nodes)
-        sides = [multilevel.bisection(weights, pins, edges, 1, replace(c.options, seed=c.options.seed + run, coarsen=False)).select(F.lit(run).alias("run_id"), "node_id", F.col("side").alias("part")) for run in range(a.nruns)]
-        found = sides[0]
-        for more in sides[1:]:
-            found = found.unionByName(more)
-        found = propagate.settle(found.join(nodes.select("node_id", F.col("sel").alias("impl")), "node_id"))
-        found = found.join(run_costs(found, pins, edges).select("run_id", "cost"), "run_id")
+    found = multilevel.runs(nodes, pins, edges, a.nruns, c.options, given)
     if a.write_cutset_dir:
         write_cut_sets(a.write_cutset_dir, found, pins, edges)
     best = found.groupBy("run_id").agg(F.max("cost").alias("cost")).orderBy("cost", "run_id").first()
@@ -92,12 +84,18 @@ def partition(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.output:
         assign.orderBy("part", "node_id").write.mode("overwrite").parquet(f"{a.output}/assign")
         solution = ilp.solution(chosen, pins, edges, assign.select("node_id", "part"))
-        text_formats.scip_lines(solution).select("value").write.mode("overwrite").text(f"{a.output}/sol")
+        text_formats.scip_lines(solution, not a.sparse).select("value").write.mode("overwrite").text(f"{a.output}/sol")
         text_formats.mst_lines(solution).select("value").write.mode("overwrite").text(f"{a.output}/mst")
-        if "name" in edges.columns:
-            cut = hypergraph.cut_edges(pins, assign.select("node_id", "part")).join(edges, "edge_id")
-            text_formats.cut_set_lines(cut).write.mode("overwrite").text(f"{a.output}/cutset")
-            text_formats.testbench(cut.select(F.col("name").alias("net"))).orderBy("place", "value").select("value").write.mode("overwrite").text(f"{a.output}/testbench")
+        write_cut(a.output, pins, edges, assign.select("node_id", "part"))
+
+
+def write_cut(place: str, pins: DataFrame, edges: DataFrame, parts: DataFrame) -> None:
+    """The names of the nets that span parts, and a testbench that watches them, where nets have names."""
+    if "name" in edges.columns:
+        spans = pins.join(parts, "node_id").groupBy("edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b")
+        cut = spans.join(edges, "edge_id")
+        text_formats.cut_set_lines(cut).write.mode("overwrite").text(f"{place}/cutset")
+        text_formats.testbench(cut.select(F.col("name").alias("net"))).orderBy("place", "value").select("value").write.mode("overwrite").text(f"{place}/testbench")
 
 
 def run_costs(found: DataFrame, pins: DataFrame, edges: DataFrame) -> DataFrame:
@@ -109,7 +107,7 @@ def run_costs(found: DataFrame, pins: DataFrame, edges: DataFrame) -> DataFrame:
 
 def write_cut_sets(place: str, found: DataFrame, pins: DataFrame, edges: DataFrame) -> None:
     """A folder of net names for each run, and summary.csv with a line a run."""
-    runs = propagate.settle(run_costs(found, pins, edges))
+    runs = tables.settle(run_costs(found, pins, edges))
     text_formats.summary_lines(runs).coalesce(1).orderBy("run_id").select("value").write.mode("overwrite").text(f"{place}/summary.csv")
     named = edges if "name" in edges.columns else edges.withColumn("name", F.col("edge_id").cast("string"))
     by = pins.join(found.select("run_id", "node_id", "part"), "node_id").groupBy("run_id", "edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b")
@@ -119,28 +117,34 @@ def write_cut_sets(place: str, found: DataFrame, pins: DataFrame, edges: DataFra
 
 
 def write_solution(a: argparse.Namespace, place: str, nodes: DataFrame, pins: DataFrame, edges: DataFrame, assign: DataFrame) -> None:
-    solution = propagate.settle(ilp.solution(nodes, pins, edges, assign))
+    solution = tables.settle(ilp.solution(nodes, pins, edges, assign))
     if a.sol_gurobi_format:
         text_formats.mst_lines(solution).select("value").write.mode("overwrite").text(f"{place}/mst")
     if a.sol_scip_format or not a.sol_gurobi_format:
         text_formats.scip_lines(solution).select("value").write.mode("overwrite").text(f"{place}/sol")
 
 
-def kway(spark: SparkSession, a: argparse.Namespace, nodes: DataFrame, pins: DataFrame, edges: DataFrame) -> None:
-    """Parts by repeated bisection; the number of parts is a power of two."""
+def kway(spark: SparkSession, a: argparse.Namespace, c: config.Config, nodes: DataFrame, pins: DataFrame, edges: DataFrame) -> None:
+    """Parts by repeated bisection with all of the configuration's options; the number of parts is a power of two."""
     levels = a.nways.bit_length() - 1
     if a.nways != 1 << levels:
         raise ValueError("the number of ways is a power of two")
-    parts = propagate.settle(multilevel.kway(hypergraph.selected(nodes), pins, edges, levels, n_runs=a.nruns))
-    spans = pins.join(parts, "node_id").groupBy("edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b")).join(edges, "edge_id")
-    spans.agg(F.count(F.when(F.col("a") != F.col("b"), 1)).alias("spanning"), F.sum(F.when(F.col("a") != F.col("b"), F.col("width")).otherwise(0.0)).alias("cost")).show()
-    parts.groupBy("part").count().orderBy("part").show()
+    found = tables.settle(multilevel.ways(nodes, pins, edges, levels, a.nruns, c.options))
+    costs = run_costs(found, pins, edges)
+    costs.orderBy("cost", "run_id").show()
+    if a.write_cutset_dir:
+        write_cut_sets(a.write_cutset_dir, found, pins, edges)
+    best = costs.orderBy("cost", "run_id").first().run_id
+    parts = found.where(F.col("run_id") == best).select("node_id", "part", "impl")
+    weights = nodes.join(parts, "node_id").select("part", F.posexplode(F.get("impls", F.col("impl"))).alias("res_id", "w"))
+    weights.groupBy("part", "res_id").agg(F.sum("w").alias("weight")).orderBy("part", "res_id").show()
     if a.output:
         parts.orderBy("part", "node_id").write.mode("overwrite").parquet(f"{a.output}/assign")
+        write_cut(a.output, pins, edges, parts)
 
 
 def trace(spark: SparkSession, path: str, width: int | None, max_mb: int | None) -> DataFrame:
-    changes = propagate.settle(vcd.read(spark, path, max_mb * 1_000_000 if max_mb else None))
+    changes = tables.settle(vcd.read(spark, path, max_mb << 20 if max_mb else None))
     end = changes.agg(F.max("t")).first()[0] or 0
     held = dwell.intervals(changes, end)
     return dwell.sliced(held, width) if width else dwell.dwell(held).withColumn("slice", F.lit(0))
@@ -149,7 +153,7 @@ def trace(spark: SparkSession, path: str, width: int | None, max_mb: int | None)
 def vcd_command(spark: SparkSession, a: argparse.Namespace) -> None:
     text_formats.count_lines(trace(spark, a.vcd, a.width, a.max_mb)).select("value").write.mode("overwrite").text(a.entropy)
     if a.huffman:
-        changes = vcd.read(spark, a.vcd, a.max_mb * 1_000_000 if a.max_mb else None)
+        changes = vcd.read(spark, a.vcd, a.max_mb << 20 if a.max_mb else None)
         # a frame is the values of a signal's bits at a time, cut into symbols
         frames = changes.groupBy("signal", "t", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bit", "v"))), lambda x: x["v"]), "").alias("frame"))
         cut = F.explode(F.regexp_extract_all("frame", F.lit(f"(.{{1,{a.symbol_size}}})"), F.lit(1))).alias("symbol")
@@ -188,8 +192,8 @@ def compare_vcd(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def functional(spark: SparkSession, a: argparse.Namespace) -> None:
     """Probabilities and entropies of a netlist, optionally seeded from counts; writes Shannon values and XNTL."""
-    rows = propagate.settle(verilog.statements(spark, a.verilog))
-    pins = propagate.settle(verilog.expand_buses(verilog.parsed(verilog.instances(rows.where(verilog.statement_kind(F.col("value")) == "instance"))), verilog.nets(rows)))
+    rows = tables.settle(verilog.statements(spark, a.verilog))
+    pins = tables.settle(verilog.expand_buses(verilog.parsed(verilog.instances(rows.where(verilog.statement_kind(F.col("value")) == "instance"))), verilog.nets(rows)))
     gates = cells.gates(pins)
     seeds = spark.createDataFrame([("\\<const0> ", 0.0), ("\\<const1> ", 1.0), ("1'b0", 0.0), ("1'b1", 1.0)], "wire string, p1 double")
     if a.entropy:
@@ -212,7 +216,7 @@ def structural(spark: SparkSession, a: argparse.Namespace) -> None:
 def model(spark: SparkSession, a: argparse.Namespace) -> None:
     """The integer program of a netlist, or one read from MPS, written as MPS or LP."""
     if a.mps:
-        parts = text_formats.mps_model(propagate.settle(text_formats.read_mps(spark, a.mps)))
+        parts = text_formats.mps_model(tables.settle(text_formats.read_mps(spark, a.mps)))
     else:
         nodes, pins, edges = read_chaco(spark, a.chaco, a.weights, a.resources) if a.chaco else read_ntl(spark, a.ntl or a.xntl, a.library, bool(a.xntl))
         edges = edges.withColumn("width", hypergraph.edge_weight(a.use_entropy))
@@ -240,7 +244,7 @@ def shannon_csv(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 COMMANDS = {
-    "partition": (partition, ["--chaco", "--weights", "--ntl", "--xntl", "--library", "--config!", "--nruns:int=1", "--nways:int=2", "--use-entropy?", "--export-initial-sol", "--initial-sol-only?", "--sol-scip-format?", "--sol-gurobi-format?", "--write-cutset-dir", "--output"]),
+    "partition": (partition, ["--chaco", "--weights", "--ntl", "--xntl", "--library", "--config!", "--nruns:int=1", "--nways:int=2", "--use-entropy?", "--export-initial-sol", "--initial-sol-only?", "--initial-sol", "--sparse?", "--sol-scip-format?", "--sol-gurobi-format?", "--write-cutset-dir", "--output"]),
     "vcd": (vcd_command, ["--vcd!", "--entropy!", "--width:int", "--max-mb:int", "--huffman?", "--symbol-size:int=8"]),
     "track": (track, ["--entropy!", "--whitelist", "--output!"]),
     "compare-entropy": (compare, ["--gold!", "--compare!", "--whitelist", "--output!"]),

@@ -6,38 +6,17 @@ seeds(wire, p1): known wires.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from netquarry.functions import cells
+from netquarry.operators.tables import release, remove, settle, shared_folder
 
 UNKNOWN = 0.5
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir. Where the session names none, a local session, as in tests, gets a folder of this machine; on a cluster it is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(named := tempfile.mkdtemp(prefix="netquarry-checkpoint-"))
-    return named
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """df, written as Parquet to a folder of its own in the shared folder and read from there.
-
-    A checkpoint would keep the optimiser's estimate of its size, which in rounds of joins grows to numbers of millions of
-    digits; files have their size.
-    """
-    place = f"{shared_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
-
-
 def drivers(cells: DataFrame) -> DataFrame:
     """cells whose wire has one driver; wires with several are unknown (0.5), as undriven ones are, unless seeds have them."""
     many = cells.groupBy("wire").agg(F.count("*").alias("n")).where("n > 1").select("wire")
@@ -50,11 +29,15 @@ def propagate(gates: DataFrame, seeds: DataFrame) -> DataFrame:
     gates(wire, init, inputs[, kind]); without kind they are LUTs. Seeds win over gates. Inputs that nothing drives, or that
     several gates drive, are unknown (0.5), as is a null. Where gates are left that all wait for one another, wires that are
     smaller by name than every wire they are linked with among those on loops, or between loops, count as 0.5 for the gates
-    that use them, and the levels go on; their own probability follows from their inputs like any other. Their level is
-    that of their evaluation.
+    that use them, and the levels go on; their own probability follows from their inputs like any other. A gate's level is one
+    more than its inputs' highest; a wire that counts as 0.5 on a loop has the highest level known by then.
 
-    A level joins the wires that it has found with the inputs that wait for them; gates that are done leave the table.
+    A round joins the wires that the last one found with the inputs that wait for them; gates that are done leave the table. A
+    gate that waits for one input alone is a straight line in its probability: such lines are put together link by link, so
+    that a chain of gates takes rounds by the logarithm of its length. Each round writes one table; what still waited in the
+    one before is removed.
     """
+    spark = gates.sparkSession
     if "kind" not in gates.columns:
         gates = gates.withColumn("kind", F.lit("lut"))
     gates = settle(drivers(gates).join(seeds.select("wire"), "wire", "left_anti").select("wire", "kind", "init", "inputs"))
@@ -62,50 +45,115 @@ def propagate(gates: DataFrame, seeds: DataFrame) -> DataFrame:
     used = gates.select(F.explode("inputs").alias("wire")).where(F.col("wire").isNotNull()).distinct()
     undriven = used.join(gates.select("wire"), "wire", "left_anti").join(seeds.select("wire"), "wire", "left_anti").select("wire", F.lit(UNKNOWN).alias("p1"))
     fresh = settle(seeds.unionByName(undriven).withColumn("level", F.lit(0)))
-    done = [fresh]
-    slots = F.transform("inputs", lambda w: F.struct(w.alias("wire"), F.when(w.isNull(), UNKNOWN).alias("p1")))
-    waiting = gates.select("wire", "kind", "init", slots.alias("slots"))
-    level, left = 0, gates.count()
+    slots = F.transform("inputs", lambda w: F.struct(w.alias("wire"), F.when(w.isNull(), UNKNOWN).alias("p1"), F.when(w.isNull(), 0).alias("level")))
+    waiting = unlined(gates.select("wire", "kind", "init", slots.alias("slots")))
+    place = f"{shared_folder(spark).rstrip('/')}/levels-{uuid.uuid4().hex}"
+    done, left, highest, number = [fresh.settled_at], gates.count(), 0, 0
     while left:
-        level += 1
-        filled = settle(evaluated(waiting, fresh))
-        fresh = filled.where(F.col("p1").isNotNull()).select("wire", "p1", F.lit(level).alias("level"))
-        waiting = filled.where(F.col("p1").isNull()).drop("p1")
-        n = fresh.count()
+        seen, number = Observation(), number + 1
+        known = F.col("p1").isNotNull()
+        found = evaluated(waiting, fresh).observe(seen, F.count(F.when(known, 1)).alias("n"), F.max("level").alias("level"))
+        found.withColumn("known", known).write.partitionBy("known").parquet(f"{place}/round-{number}")
+        n, highest = seen.get["n"], max(highest, seen.get["level"] or 0)
+        remove(spark, f"{place}/round-{number - 1}/known=false")
+        left -= n
         if n:
-            done.append(fresh)
-            left -= n
-        else:
-            fresh = settle(smallest_on_loops(waiting))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+            done.append(f"{place}/round-{number}/known=true")
+            fresh = spark.read.schema("wire string, p1 double, level int").parquet(done[-1])
+        if left:
+            waiting = spark.read.schema(found.drop("p1", "level").schema).parquet(f"{place}/round-{number}/known=false")
+            if not n:
+                broken = smallest_on_loops(waiting)
+                fresh, waiting = settle(broken.withColumn("level", F.lit(highest))), unlined(waiting)
+    release(gates)
+    return spark.read.schema("wire string, p1 double, level int").parquet(*done)
+
+
+#: What a waiting gate knows of the one input that it waits for: p1 is a + b times that of the wire on_wire, and the level at
+#: least since and hops over the wire's.
+LINE = "struct<on_wire:string,a:double,b:double,hops:int,since:int>"
+MOST_HOPS = 1 << 28
+
+
+def unlined(waiting: DataFrame) -> DataFrame:
+    return waiting.select("wire", "kind", "init", "slots", F.lit(None).cast(LINE).alias("line"))
 
 
 def evaluated(waiting: DataFrame, fresh: DataFrame) -> DataFrame:
-    """waiting with the fresh wires' probabilities in its slots, and p1 where no slot is empty."""
-    asked = waiting.select(F.col("wire").alias("gate"), F.explode(F.filter("slots", lambda s: s["p1"].isNull())).alias("s")).select("gate", F.col("s.wire").alias("wire")).distinct()
-    got = asked.join(fresh.select("wire", "p1"), "wire").groupBy("gate").agg(F.map_from_entries(F.collect_list(F.struct("wire", "p1"))).alias("got"))  # a gate's inputs
-    joined = waiting.join(got.withColumnRenamed("gate", "wire"), "wire", "left")
-    slots = F.transform("slots", lambda s: F.struct(s["wire"].alias("wire"), F.coalesce(s["p1"], F.try_element_at("got", s["wire"])).alias("p1")))
-    filled = joined.select("wire", "kind", "init", slots.alias("slots"))
-    full = ~F.exists("slots", lambda s: s["p1"].isNull())
-    return filled.withColumn("p1", F.when(full, cells.output(F.col("kind"), F.col("init"), F.transform("slots", lambda s: s["p1"]))))
+    """waiting with the fresh wires' probabilities in its slots, lines put together, and p1 and level of the gates that are known now."""
+    # a line on a wire that has a line itself goes on to that one's wire
+    lined = waiting.where(F.col("line").isNotNull()).select(F.col("wire").alias("_of"), F.col("line").alias("_next"))
+    one, two = F.col("line"), F.col("_next")
+    longer = F.struct(
+        two["on_wire"].alias("on_wire"), (one["a"] + one["b"] * two["a"]).alias("a"), (one["b"] * two["b"]).alias("b"), F.least(one["hops"] + two["hops"], F.lit(MOST_HOPS)).alias("hops"),
+        F.greatest(one["since"], F.least(one["hops"] + two["since"], F.lit(MOST_HOPS))).alias("since"))
+    linked = waiting.join(lined, F.col("line.on_wire") == F.col("_of"), "left").withColumn("line", F.when(two.isNotNull(), longer).otherwise(one)).drop("_of", "_next")
+    asked = waiting.select(F.col("wire").alias("gate"), F.explode(F.filter("slots", lambda s: s["p1"].isNull())).alias("s")).select("gate", F.col("s.wire").alias("wire"))
+    asked = asked.unionByName(linked.where(F.col("line").isNotNull()).select(F.col("wire").alias("gate"), F.col("line.on_wire").alias("wire"))).distinct()
+    got = asked.join(fresh, "wire").groupBy("gate").agg(F.map_from_entries(F.collect_list(F.struct("wire", F.struct("p1", "level")))).alias("got"))  # a gate's inputs
+    joined = linked.join(got.withColumnRenamed("gate", "wire"), "wire", "left")
+    have = lambda s: F.try_element_at("got", s["wire"])
+    slots = F.transform("slots", lambda s: F.struct(s["wire"].alias("wire"), F.coalesce(s["p1"], have(s)["p1"]).alias("p1"), F.coalesce(s["level"], have(s)["level"]).alias("level")))
+    filled = joined.withColumn("on_line", F.try_element_at("got", F.col("line.on_wire"))).select("wire", "kind", "init", slots.alias("slots"), "line", "on_line")
+    empty = F.filter("slots", lambda s: s["p1"].isNull())
+    out = lambda p: cells.output(F.col("kind"), F.col("init"), F.transform("slots", lambda s: F.coalesce(s["p1"], F.lit(p))))
+    upto = F.aggregate("slots", F.lit(0), lambda a, s: F.greatest(a, F.coalesce(s["level"], F.lit(0))))
+    direct, on = F.size(empty) == 0, F.col("on_line")
+    p1 = F.when(direct, out(0.0)).when(on.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("line.a") + F.col("line.b") * on["p1"])))
+    level = F.when(direct, upto + 1).when(on.isNotNull(), F.greatest(F.col("line.since"), F.col("line.hops") + on["level"]))
+    # a carry chain's two beginnings exclude one another, so that it has no line as long as one of them is open and the other may be 1
+    slot = lambda i: F.get("slots", F.lit(i))["p1"]
+    open_start = F.col("kind").isin("co", "sum") & ((slot(0).isNull() & (slot(1) > 0)) | (slot(1).isNull() & (slot(0) > 0)))
+    starts = F.col("line").isNull() & (F.size(empty) == 1) & on.isNull() & ~F.coalesce(open_start, F.lit(False))
+    line = F.struct(F.get(empty, F.lit(0))["wire"].alias("on_wire"), out(0.0).alias("a"), (out(1.0) - out(0.0)).alias("b"), F.lit(1).alias("hops"), (upto + 1).alias("since"))
+    return filled.select("wire", "kind", "init", "slots", F.when(starts, line).otherwise(F.col("line")).cast(LINE).alias("line"), p1.alias("p1"), level.cast("int").alias("level"))
 
 
 def smallest_on_loops(waiting: DataFrame) -> DataFrame:
     """(wire, p1): of the wires that lie on a loop or between loops, those smaller than all they are linked with, as unknown.
 
-    All gates wait, so each has a predecessor that waits; wires that no waiting gate uses are taken away until none is left.
+    All gates wait, so each has a predecessor that waits; wires from which no loop can be reached are taken away.
     """
-    links = settle(waiting.select(F.col("wire").alias("to"), F.explode(F.filter("slots", lambda s: s["p1"].isNull())).alias("s")).select(F.col("s.wire").alias("wire"), "to").distinct())
+    links = trimmed(waiting.select(F.col("wire").alias("to"), F.explode(F.filter("slots", lambda s: s["p1"].isNull())).alias("s")).select(F.col("s.wire").alias("wire"), "to").distinct())
+    both = links.select("wire", F.col("to").alias("other")).unionByName(links.select(F.col("to").alias("wire"), F.col("wire").alias("other")))
+    return both.groupBy("wire").agg(F.min("other").alias("least")).where("wire <= least").select("wire", F.lit(UNKNOWN).alias("p1"))
+
+
+#: Rounds that take away the ends of links one by one, before whole chains are followed to their ends.
+SINGLE_ROUNDS = 3
+
+
+def trimmed(links: DataFrame) -> DataFrame:
+    """links(wire, to) without those that lead to no loop.
+
+    After some rounds a wire with a single link is taken to the end of the chain of such wires, by doubling; if nothing goes on
+    from there, the chain falls at once.
+    """
+    links, number = settle(links), 0
     n = links.count()
     while True:
-        inner = settle(links.join(links.select(F.col("wire").alias("to")).distinct(), "to", "left_semi"))
+        number += 1
+        starts = links.select(F.col("wire").alias("to")).distinct()
+        if number > SINGLE_ROUNDS and n:
+            ends = chain_ends(links)
+            dead = ends.join(starts.withColumnRenamed("to", "end"), "end", "left_anti").select(F.col("wire").alias("to"))
+            starts = starts.join(dead, "to", "left_anti")
+        inner = settle(links.join(starts, "to", "left_semi"))
         now = inner.count()
+        release(links)
+        links = inner
         if now == n:
-            break
-        links, n = inner, now
-    both = links.select("wire", F.col("to").alias("other")).unionByName(links.select(F.col("to").alias("wire"), F.col("wire").alias("other")))
-    return both.groupBy("wire").agg(F.min("other").alias("least")).where("wire <= least").select("wire", F.lit(UNKNOWN).alias("p1"))
+            return links
+        n = now
+
+
+def chain_ends(links: DataFrame) -> DataFrame:
+    """(wire, end): of the wires with a single link where the chain of such wires ends; on a loop of them some wire of it."""
+    by = links.groupBy("wire").agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("end"))
+    pointers = settle(by.where("n = 1").select("wire", "end"))
+    for _ in range(max(1, pointers.count()).bit_length()):
+        further = pointers.select(F.col("wire").alias("end"), F.col("end").alias("next"))
+        new = settle(pointers.join(further, "end", "left").select("wire", F.coalesce("next", "end").alias("end")))
+        release(pointers)
+        pointers = new
+    return pointers

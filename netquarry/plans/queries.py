@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import cells, names, probability, scores
-from netquarry.operators import bisect, dwell, hypergraph, ilp, implementations, kernel, multilevel, propagate
+from netquarry.operators import bisect, dwell, hypergraph, ilp, implementations, kernel, multilevel, propagate, tables
 from netquarry.plans import domain as D
 from netquarry.sources import text_formats, vcd, verilog
 from netquarry.streaming import trace
@@ -321,7 +321,7 @@ def hg_violations(spark, d):
 
 def _whole(spark, d):
     """All cells and all nets, written once."""
-    return propagate.settle(hypergraph.selected(D.nodes(spark, d))), propagate.settle(D.pins(spark, d)), propagate.settle(D.edges(spark, d).select("edge_id", "width", "entropy"))
+    return tables.settle(hypergraph.selected(D.nodes(spark, d))), tables.settle(D.pins(spark, d)), tables.settle(D.edges(spark, d).select("edge_id", "width", "entropy"))
 
 
 def _spanning(pins, assign):
@@ -333,7 +333,7 @@ def _spanning(pins, assign):
 def partition_quality(spark: SparkSession, d: str) -> dict[str, int]:
     """The whole graph in two: nodes, nodes that lack or come twice, resources over their bounds, nets cut, and nets cut by the best of 32 hashed splits."""
     weights, pins, edges = _whole(spark, d)
-    state = propagate.settle(multilevel.bisection(weights, pins, edges, n_runs=2, rounds=1))
+    state = tables.settle(multilevel.bisection(weights, pins, edges, n_runs=2, rounds=1))
     over = bisect.violations(state, weights).agg(F.sum("over")).first()[0] or 0
     lost = weights.join(state.groupBy("node_id").count().where("count = 1"), "node_id", "left_anti").count()
     random = _run_costs(spark, d).agg(F.min("cost")).first()[0] or 0
@@ -354,7 +354,7 @@ def fm_cost_check(spark, d):
     weights, pins, edges = _whole(spark, d)
     weights = weights.withColumn("group_id", F.lit(0).cast("long"))
     clusters, level = multilevel.coarsen(weights, pins, edges)
-    runs = propagate.settle(multilevel.coarse_runs(clusters, level, pins, edges, 2, kernel.Options(policy="largest_gain", rebalance=True)))
+    runs = tables.settle(multilevel.coarse_runs(clusters, level, pins, edges, 2, kernel.Options(policy="largest_gain", rebalance=True)))
     found = clusters.join(runs.select("run_id", F.col("node_id").alias("super_id"), "part"), "super_id")
     cut = pins.join(found.select("run_id", "node_id", "part"), "node_id").groupBy("run_id", "edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b"))
     cost = cut.groupBy("run_id").agg(F.count(F.when(F.col("a") != F.col("b"), 1)).cast("double").alias("counted"))
@@ -371,7 +371,7 @@ def fm_cost_check(spark, d):
 def fm_kway(spark, d):
     """Four parts of the whole graph: parts, nodes that lack or come twice, and whether fewer nets span parts than with hashed parts."""
     weights, pins, edges = _whole(spark, d)
-    parts = propagate.settle(multilevel.kway(weights, pins, edges, levels=2, n_runs=1, rounds=1))
+    parts = tables.settle(multilevel.kway(weights, pins, edges, levels=2, n_runs=1, rounds=1))
     lost = weights.join(parts.groupBy("node_id").count().where("count = 1"), "node_id", "left_anti").count()
     hashed = weights.select("node_id", F.pmod(F.xxhash64("node_id"), F.lit(4)).alias("part"))
     better = _spanning(pins, parts) < _spanning(pins, hashed)
@@ -478,14 +478,14 @@ def ts_stream_windows(spark, d):
 @query
 def ts_vcd_dwell(spark, d):
     """The events written as a value change dump, read again in splits, and dwell times of what was read."""
-    found = propagate.settle(D.changes(spark, d))
+    found = tables.settle(D.changes(spark, d))
     users = found.select("signal").distinct()
     var = users.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("$var wire 1 ! "), "signal", F.lit(" $end")).alias("value"))
     var = var.withColumn("value", F.regexp_replace("value", r"! (\S+)", "@$1 $1"))
     frame = [(0, 0, 0, "$scope module top $end"), (0, 0, 1, "$scope module dut $end"), (2, 0, 0, "$upscope $end"), (2, 0, 1, "$upscope $end"), (2, 0, 2, "$enddefinitions $end")]
     head = spark.createDataFrame(frame, "part int, t long, seq long, value string")
     body = found.select(F.lit(3).alias("part"), "t", "seq", F.concat(F.lit("#"), F.col("t").cast("string"), F.lit("\n"), "v", F.lit("@"), "signal").alias("value"))
-    place = f"{propagate.shared_folder(spark).rstrip('/')}/dump-{uuid.uuid4().hex}"
+    place = f"{tables.shared_folder(spark).rstrip('/')}/dump-{uuid.uuid4().hex}"
     # a dump is one file in order of time
     head.unionByName(var).unionByName(body).repartition(1).sortWithinPartitions("part", "t", "seq", "value").select("value").write.text(place)
     changes = vcd.read(spark, place)

@@ -28,6 +28,7 @@ class Config:
     universal_resource: int = 0
     flexible_capacity: bool = False
     seed: int = 1
+    supernode_cap: int = 0
     options: Options = Options()
 
     def validate(self) -> None:
@@ -39,25 +40,39 @@ class Config:
             raise ValueError("the universal resource is no resource of the device")
 
 
+#: Elements that hold others or carry no option of their own, by name (fixed values).
+FRAME = (
+    "partitioner_configuration", "general_configuration", "preprocessor_configuration", "klfm_configuration", "postprocessor_configuration", "device_resource", "resource_id", "resource_capacity", "resource_ratio_weight", "max_imbalance",
+    "gain_bucket_type", "multi_resource_exclusive_bucket", "multi_resource_mixed_bucket", "node_implementation_options", "mutation_options", "rebalance_options", "use_total_capacity")
+#: Elements that are options (fixed values), besides POLICIES and PREPROCESSORS.
+FLAGS = {
+    "use_flexible_capacity": None, "use_multilevel_constraint_relaxation": "relax_coarse", "use_adaptive_implementations": "adaptive", "use_ratio_as_quality_metric": "ratio_as_quality", "use_ratio_in_score": "ratio_in_score",
+    "reuse_previous_run_implementations": "reuse_implementations", "rebalance_on_start_of_pass": "rebalance", "rebalance_on_end_of_run": "rebalance_at_end", "rebalance_on_demand": "rebalance_on_demand",
+    "restrict_supernodes_to_default_implementation": None}
+NUMBERS = {
+    "fixed_random_seed": "seed", "mutation_rate": "mutation_rate", "rebalance_on_demand_cap_per_run": "demand_per_run", "rebalance_on_demand_cap_per_pass": "demand_per_pass", "universal_resource_id": None, "supernode_implementations_cap": None}
+
+
 def read_config(text: str) -> Config:
-    """A configuration's XML; a resource without a ratio weight has 1."""
+    """A configuration's XML; a resource without a ratio weight has 1. Elements that are no part of the grammar raise."""
     root = ET.fromstring(text)
+    tags = {e.tag: e for e in root.iter() if isinstance(e.tag, str)}
+    if unknown := sorted(t for t in tags if t not in (*FRAME, *FLAGS, *NUMBERS, *POLICIES, *PREPROCESSORS)):
+        raise ValueError(f"unknown elements in the configuration: {', '.join(unknown)}")
     resources = sorted(root.iter("device_resource"), key=lambda r: int(r.findtext("resource_id", "0")))
     c = Config(
         [int(r.findtext("resource_capacity", "0")) for r in resources], [int(r.findtext("resource_ratio_weight") or 1) for r in resources], [float(r.findtext("max_imbalance", "1")) for r in resources])
-    tags = {e.tag: e for e in root.iter()}
+    number = lambda tag, default=0: int(tags[tag].text or default) if tag in tags else default
     for tag, name in PREPROCESSORS.items():
         if tag in tags:
             c.preprocessor = name
-    c.universal_resource = int(tags["universal_resource_id"].text) if "universal_resource_id" in tags else 0
-    c.flexible_capacity = "use_flexible_capacity" in tags
-    c.seed = int(tags["fixed_random_seed"].text) if "fixed_random_seed" in tags else 1
+    c.universal_resource, c.flexible_capacity, c.seed = number("universal_resource_id"), "use_flexible_capacity" in tags, number("fixed_random_seed", 1)
+    c.supernode_cap = 1 if "restrict_supernodes_to_default_implementation" in tags else number("supernode_implementations_cap")
     policy = next((p for tag, p in POLICIES.items() if tag in tags), Options.policy)
     share = [c.share[0], *[0.99] * (len(c.share) - 1)] if policy == "single_resource" else c.share
-    c.options = Options(
-        share=tuple(share), ratio=tuple(c.ratio), policy=policy, adaptive="use_adaptive_implementations" in tags, rebalance="rebalance_on_start_of_pass" in tags,
-        mutation_rate=int(tags["mutation_rate"].text or 0) if "mutation_rate" in tags else 0, seed=c.seed, relax_coarse="use_multilevel_constraint_relaxation" in tags,
-        rebalance_at_end="rebalance_on_end_of_run" in tags)
+    flags = {option: tag in tags for tag, option in FLAGS.items() if option}
+    numbers = {option: number(tag) for tag, option in NUMBERS.items() if option and option != "seed"}
+    c.options = Options(share=tuple(share), ratio=tuple(c.ratio), policy=policy, seed=c.seed, supernode_cap=c.supernode_cap, **flags, **numbers)
     c.validate()
     return c
 

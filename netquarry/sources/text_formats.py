@@ -1,4 +1,4 @@
-"""Line formats of netlists and netlists: readers and writers as DataFrame expressions.
+"""Line formats of graphs and netlists: readers and writers as DataFrame expressions.
 
 Readers take a DataFrame of (file, line_no, value) from `numbered_lines`, writers return lines or blocks to write as text.
 """
@@ -11,11 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import names, probability
-
-
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): each file is read whole by one task, as its grammar counts lines; many files read in parallel."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\\n$", ""), "\\n")).alias("line_no", "value"))
+from netquarry.sources.splits import numbered_lines
 
 
 def tokens(lines: DataFrame) -> DataFrame:
@@ -161,6 +157,12 @@ def mst_lines(solution: DataFrame) -> DataFrame:
     return solution.select("name", F.concat_ws(" ", "name", F.col("value").cast("string")).alias("value"))
 
 
+def solution_values(lines: DataFrame) -> DataFrame:
+    """(name, value) of the lines of a solution, in either form; comments and headings, which have no number behind a name, are passed over."""
+    part = lambda i: F.regexp_extract("value", r"^\s*([^#\s]\S*)\s+([-+0-9.eE]+)(?:\s.*)?$", i)
+    return lines.select(part(1).alias("name"), part(2).try_cast("double").alias("value")).where("name <> '' AND value IS NOT NULL")
+
+
 def mps_lines(coefficients: DataFrame, variables: DataFrame, rows: DataFrame) -> DataFrame:
     """(section, value) lines of a free MPS file, to be written in order of section, then value."""
     sense = F.when(F.col("sense") == ">=", "G").when(F.col("sense") == "<=", "L").otherwise("E")
@@ -184,11 +186,17 @@ def mps_file(lines: DataFrame, name: str = "PARTITION") -> DataFrame:
 
 
 def read_mps(spark: SparkSession, path: str) -> DataFrame:
-    """(section, value) lines of MPS files: of ROWS, COLUMNS, RHS and BOUNDS; a file is one unit of reading, as keywords open sections."""
-    number = F.create_map(*[F.lit(x) for i, k in enumerate(MPS_SECTIONS) for x in (k, i)])[F.get(F.split("value", "\\s+"), F.lit(0))]
-    rows = numbered_lines(spark, path).where(~F.col("value").startswith("*")).withColumn("head", F.when(F.col("value").rlike("^\\S"), number))
-    section = F.last("head", ignorenulls=True).over(Window.partitionBy("file").orderBy("line_no"))
-    return rows.withColumn("section", section).where(F.col("head").isNull() & (F.trim("value") != "") & F.col("section").between(1, 4)).select("section", "value")
+    """(section, value) lines of MPS files: of ROWS, COLUMNS, RHS and BOUNDS. Files of any size are read in splits; a section's lines are those after its keyword."""
+    word = F.get(F.split("value", "\\s+"), F.lit(0))
+    rows = numbered_lines(spark, path).where(~F.col("value").startswith("*") & (F.trim("value") != ""))
+    heads = rows.where(F.col("value").rlike("^\\S") & word.isin(*MPS_SECTIONS))
+    # a row for each file, with the line of each keyword
+    at = heads.groupBy(F.col("file").alias("of")).agg(*[F.min(F.when(word == k, F.col("line_no"))).alias(f"at_{i}") for i, k in enumerate(MPS_SECTIONS)])
+    section = F.lit(0)
+    for i in range(1, len(MPS_SECTIONS)):
+        section = F.when(F.col("line_no") > F.col(f"at_{i}"), i).otherwise(section)
+    found = rows.where(~F.col("value").rlike("^\\S")).join(at, F.col("file") == F.col("of")).withColumn("section", section)
+    return found.where(F.col("section").between(1, 4)).select("section", "value")
 
 
 def mps_model(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -224,15 +232,6 @@ def lp_lines(coefficients: DataFrame, variables: DataFrame, rows: DataFrame) ->
     return out
 
 
-def mps_cells(lines: DataFrame) -> DataFrame:
-    """(row, variable, val) of the column section of such lines; one or two pairs a line."""
-    parts = F.split(F.trim("value"), "\\s+")
-    rows = lines.where("section = 2").select(parts.alias("p"))
-    pair = lambda i: F.struct(F.get("p", F.lit(i)).alias("row"), F.get("p", F.lit(i + 1)).cast("double").alias("val"))
-    cells = F.explode(F.filter(F.array(pair(1), pair(3)), lambda x: x["row"].isNotNull()))
-    return rows.select(F.get("p", F.lit(0)).alias("variable"), cells.alias("c")).select("c.row", "variable", "c.val").where("row <> 'OBJFN'")
-
-
 def strobe_lines(nets: DataFrame) -> DataFrame:
     """(net, value): a Verilog $strobe for each net, backslashes doubled inside the format."""
     return nets.select("net", F.concat(F.lit('initial $strobe("'), F.replace(F.col("net"), F.lit("\\"), F.lit("\\\\")), F.lit('=%b", '), "net", F.lit(");")).alias("value"))

@@ -1,196 +1,237 @@
-"""Value change dumps: a reader of whole texts, and one of files of any size in splits, into declarations and value changes."""
+"""Value change dumps of any size: commands, declarations and value changes, the same whatever the splits are."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from netquarry.operators.tables import settle
+from netquarry.sources import splits
+
 #: Variable types whose changes are tracked, and those that are passed over (fixed values).
 TRACKED = ("supply0", "supply1", "tri", "triand", "trior", "trireg", "tri0", "tri1", "wand", "wire", "wor", "reg")
 IGNORED = ("event", "integer", "parameter", "real", "time")
-_time = re.compile(r"\s*#\d+\s*")
-_var = re.compile(r"(\w+)\s+(\d+)\s+(\S+)\s+(\\\S+|[^\s\[]+)\s*(?:\[(-?\d+)(?::(-?\d+))?\])?")
+#: Commands whose bodies are value changes; all other ones have text up to their $end (fixed values).
+SIMULATION = ("$dumpall", "$dumpoff", "$dumpon", "$dumpvars")
+#: States of the lexer: between commands, in the text of one, after a vector's or real's value that waits for its code.
+PLAIN, TEXT, VALUE = range(3)
+#: Words of a text that are kept together, and rows that a task holds.
+WORDS, ROWS = 10_000, 50_000
+_ROW = [
+    ("file", pa.string()), ("block", pa.int64()), ("starts", pa.int32()), ("kind", pa.string()), ("at", pa.int64()), ("open", pa.int64()), ("line", pa.int64()), ("t", pa.int64()), ("word", pa.string()), ("value", pa.string()),
+    ("units", pa.int64()), ("bytes", pa.int64()), ("ends", splits.END_TYPE)]
+
+
+class Course:
+    """The lexer's way through a split, from each of the states in starts (a mask)."""
+
+    __slots__ = ("starts", "state", "time", "open", "held", "words")
+
+    def __init__(self, state: int):
+        self.starts, self.state, self.time, self.open, self.held, self.words = 1 << state, state, None, -1, None, []
+
+    def same(self, other: Course) -> bool:
+        return (self.state, self.time, self.open) == (other.state, other.time, other.open)
+
+    def read(self, token: str, at: int) -> Iterator[tuple]:
+        """(kind, open, word, value) of what the token ends. A text that was open before the split is left to texts()."""
+        if self.state == TEXT:
+            if token == "$end":
+                yield from self.text()
+                self.state, self.open, self.held = PLAIN, -1, None
+            elif self.open >= 0:
+                self.words.append(token)
+                if len(self.words) == WORDS:
+                    yield from self.text()
+        elif self.state == VALUE:
+            yield "change", self.open, token, self.held
+            self.state, self.open, self.held = PLAIN, -1, None
+        elif token[0] == "$":
+            if token in SIMULATION:
+                yield "simulation", at, token, None
+            elif token != "$end":
+                self.state, self.open, self.held = TEXT, at, token
+        elif token[0] == "#" and token[1:].isdigit():
+            self.time = int(token[1:])
+            yield "time", at, None, None
+        elif token[0] in "bBrR":
+            self.state, self.open, self.held = VALUE, at, token
+        elif token[0] in "01xXzZ" and len(token) > 1:
+            yield "change", at, token[1:], token[0]
+        else:
+            yield "unknown", at, token, None
+
+    def text(self) -> Iterator[tuple]:
+        if self.state == TEXT and self.open >= 0 and (self.words or self.held):
+            yield "text", self.open, self.held, " ".join(self.words)
+            self.words, self.held = [], None  # the command's word goes with its first words
 
 
-def declarations(text: str) -> tuple[dict[str, tuple[str, int, int]], int]:
-    """({code: (hierarchical name, width, lowest bit)} of tracked variables, where the simulation starts).
+def scanned(rows: DataFrame) -> DataFrame:
+    """What the splits of lines() say, in one pass and constant memory: a row for each command and state, and a summary of each split.
 
-    The two outermost scopes are left out of names; names are joined by "/".
-    """
-    scopes, out, at = [], {}, 0
-    for m in re.finditer(r"\$(\w+)\s*(.*?)\s*\$end", text, re.S):
-        kind, body = m.groups()
-        if kind == "scope":
-            scopes.append(body.split()[-1])
-        elif kind == "upscope":
-            scopes.pop()
-        elif kind == "var" and (v := _var.match(body)) and v[1] in TRACKED:
-            bounds = [int(x) for x in v.groups()[4:] if x is not None]
-            out.setdefault(v[3], ("/".join([*scopes[2:], v[4]]), int(v[2]), min(bounds, default=0)))
-        elif kind == "enddefinitions":
-            at = m.end()
-            break
-    return out, at
-
-
-def extend(value: str, width: int) -> str:
-    """A vector's value at full width: x and z go on, other digits get zeros; lowest bit first."""
-    value = value.lower()
-    fill = value[0] if value[0] in "xz" else "0"
-    return value[::-1][:width].ljust(width, fill)
-
-
-def changes(text: str, max_bytes: int | None = None) -> Iterator[tuple[str, int, int, int, str]]:
-    """(signal, bit, t, seq, v); real values and untracked codes are passed over."""
-    known, at = declarations(text)
-    t, seq = 0, 0
-    body = text[at:at + max_bytes] if max_bytes else text[at:]
-    tokens = iter(body.split())
-    for token in tokens:
-        first = token[0]
-        if first == "#":
-            t = int(token[1:])
-        elif first == "$":
-            if token == "$comment":
-                for token in tokens:
-                    if token == "$end":
-                        break
-        elif first in "bBrR":
-            code = next(tokens, "")
-            if first in "bB" and code in known:
-                name, width, low = known[code]
-                for i, v in enumerate(extend(token[1:], width)):
-                    yield name, low + i, t, seq, v
-                seq += 1
-        elif first in "01xXzZ" and token[1:] in known:
-            name, _, low = known[token[1:]]
-            yield name, low, t, seq, first.lower()
-            seq += 1
-
-
-def end_time(text: str) -> int:
-    return max((int(x) for x in re.findall(r"(?m)^\s*#(\d+)", text)), default=0)
-
-
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, value): the lines of all dumps at a path, in splits of the size that the session sets."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
-
-
-def headers(rows: DataFrame) -> DataFrame:
-    """(file, end, code, signal, width, low): each dump's tracked variables, and where (seq) its value changes begin.
-
-    Splits of which the header has lines give them as text; a dump's header is parsed by one task. Splits are read no
-    further than to the header's end, or their first value change.
+    at, open: numbers of tokens in the split; line: the bytes of the split before the line.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], list] = {}  # of each split: lines, bytes, whether the header has ended, the end
-        for key, value, at in in_splits(batches):
-            part = held.setdefault(key, [[], None])
-            if part[1] is None:
-                text = value or ""
-                if _time.fullmatch(text):  # this split is beyond the header
-                    part[1] = -1
-                    continue
-                part[0].append(text)
-                if "$enddefinitions" in text:
-                    part[1] = at + len(text.encode()) + 1
-        out = [(f, b, "\n".join(x), end) for (f, b), (x, end) in held.items() if end is None or end >= 0 or any("$" in y for y in x)]
-        yield to_batch(out, [("file", pa.string()), ("block", pa.int64()), ("text", pa.string()), ("end", pa.int64())])
-
-    chunks = rows.mapInArrow(run, "file string, block long, text string, end long")
-    whole = chunks.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("block", "text", "end"))).alias("c"))  # a dump's header
-    joined = whole.select("file", F.array_join(F.transform("c", lambda c: c["text"]), "\n").alias("text"), F.array_min(F.transform(F.filter("c", lambda c: c["end"] >= 0), lambda c: c["end"])).alias("end"))
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for file, text, end in zip(*(batch.column(c).to_pylist() for c in ("file", "text", "end"))):
-                out += [(file, end, code, name, width, low) for code, (name, width, low) in declarations(text)[0].items()]
-            yield to_batch(out, [("file", pa.string()), ("end", pa.int64()), ("code", pa.string()), ("signal", pa.string()), ("width", pa.int32()), ("low", pa.int32())])
-
-    return joined.mapInArrow(parse, "file string, end long, code string, signal string, width int, low int")
-
-
-def in_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], str, int]]:
-    """((file, block), line, place): place grows from line to line of a file, also from split to split."""
-    key, at = None, 0
-    for batch in batches:
-        for file, block, value in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "value"))):
-            if (file, block) != key:
-                key, at = (file, block), block
-            yield key, value, at
-            at += len((value or "").encode()) + 1
+        out: list[tuple] = []
+        key, courses, asleep, at, size = None, [], None, 0, 0
+
+        def ended() -> None:
+            by_state: list[dict] = [{}] * 3
+            for c in [*courses, *([asleep] if asleep else [])]:
+                out.extend((*key, c.starts, *row[:1], at, row[1], size, c.time, *row[2:], None, None, None) for row in c.text())
+                for s in range(3):
+                    if c.starts >> s & 1:
+                        by_state[s] = {"state": c.state, "open": c.open, "held": c.held, "time": c.time}
+            out.append((*key, 7, "split", None, None, None, None, None, None, at, size, by_state))
+
+        for split, line in splits.in_splits(batches):
+            if split != key:
+                if key is not None:
+                    ended()
+                # a course that begins within a text wakes up at its $end
+                key, courses, asleep, at, size = split, [Course(PLAIN), Course(VALUE)], Course(TEXT), 0, 0
+            tokens = line.split()
+            wakes = asleep is not None and "$end" in tokens
+            for token in tokens:
+                for c in courses:
+                    for kind, open_, word, value in c.read(token, at):
+                        out.append((*key, c.starts, kind, at, open_, size, c.time, word, value, None, None, None))
+                if wakes and token == "$end":
+                    asleep.state, wakes = PLAIN, False
+                    courses.append(asleep)
+                    asleep = None
+                if len(courses) > 1:
+                    courses = met(courses)
+                at += 1
+            size += len(line.encode()) + 1
+            if len(out) >= ROWS:
+                yield to_batch(out, _ROW)
+                out.clear()
+        if key is not None:
+            ended()
+        yield to_batch(out, _ROW)
+
+    return rows.mapInArrow(run, f"file string, block long, starts int, kind string, at long, open long, line long, t long, word string, value string, units long, bytes long, ends {splits.ENDS}")
+
+
+def met(courses: list[Course]) -> list[Course]:
+    """The courses, those that are the same from now on as one."""
+    out: list[Course] = []
+    for c in courses:
+        twin = next((x for x in out if x.same(c)), None)
+        if twin is None:
+            out.append(c)
+        else:
+            twin.starts |= c.starts
+    return out
 
 
 def to_batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], [n for n, _ in kinds])
 
 
-def scanned(rows: DataFrame) -> DataFrame:
-    """(file, block, seq, t, code, value) of every value change, and of every split's last time (code null).
-
-    t is null up to the split's first time. One pass, a line at a time. A vector's value and its code stand on one line, and
-    a comment in one split; those that open and end on one line are passed over wherever they stand.
-    """
-    kinds = [("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("t", pa.int64()), ("code", pa.string()), ("value", pa.string())]
+def texts(rows: DataFrame, begin: DataFrame) -> DataFrame:
+    """(file, open, block, at, value): of the splits that begin within a command's text what is left of it there, up to its $end; at numbers its lines."""
+    inside = begin.where(F.col("state") == TEXT).select("file", "block", "open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        key, t, comment = None, None, False
-        for split, text, at in in_splits(batches):
-            if split != key:
-                if key is not None and t is not None:
-                    out.append((*key, -1, t, None, None))
-                key, t, comment = split, None, False
-            tokens = iter((text or "").split())
-            for i, token in enumerate(tokens):
-                if comment:
-                    comment = token != "$end"
-                elif token == "$comment":
-                    comment = True
-                elif token[0] == "#":
-                    t = int(token[1:]) if token[1:].isdigit() else t
-                elif token[0] in "bBrR":
-                    if (code := next(tokens, None)) and token[0] in "bB":
-                        out.append((*key, at + 2 * i, t, code, token[1:]))
-                elif token[0] in "01xXzZ" and len(token) > 1:
-                    out.append((*key, at + 2 * i, t, token[1:], token[0].lower()))
-            if len(out) >= 50_000:
-                yield to_batch(out, kinds)
-                out = []
-        if key is not None and t is not None:
-            out.append((*key, -1, t, None, None))
-        yield to_batch(out, kinds)
-
-    return rows.mapInArrow(run, "file string, block long, seq long, t long, code string, value string")
+        kinds = [("file", pa.string()), ("open", pa.int64()), ("block", pa.int64()), ("at", pa.int64()), ("value", pa.string())]
+        key, done, out = None, False, []
+        for batch in batches:
+            for file, block, value, open_ in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "value", "open"))):
+                if (file, block) != key:
+                    key, done, n = (file, block), False, 0
+                if not done:
+                    words = (value or "").split()
+                    done = "$end" in words
+                    out.append((file, open_, block, n, " ".join(words[:words.index("$end")] if done else words)))
+                    n += 1
+            yield to_batch(out, kinds)
+            out = []
 
+    # splits are matched by a filter on the scan's side: the order of a split's lines stays
+    return rows.join(F.broadcast(inside), ["file", "block"]).mapInArrow(run, "file string, open long, block long, at long, value string")
 
-def read(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """(file, signal, bit, t, seq, v) of all dumps at a path, read in splits, each in one pass and constant memory.
 
-    A split's first changes get the last time of the splits before; one row for each split is ordered for that. seq grows
-    with the place in the file; max_bytes cuts value changes that many bytes after the header.
+def commands(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(file, seq, kind, t, word, value): every command of all dumps at a path.
+
+    kind is declaration (word: the keyword, value: its text, with single spaces), simulation (word: the keyword), time, change
+    (word: the code, value: with its letter, if it is a vector or a real) or unknown. seq is the number of the command's first token in the file, and so
+    the same whatever the splits are; t the time that holds. With max_bytes commands on lines that begin so many bytes after
+    the file's beginning are left out, and splits that lie there aren't lexed. The dump is scanned once; once more if splits
+    begin within a declaration or comment, whose rest is then read. Comments and white space are free, also between a
+    vector's value and its code.
+    """
+    rows = splits.lines(spark, path)
+    if max_bytes is not None:
+        rows = rows.where(F.col("block") < max_bytes)
+    found = settle(scanned(rows))
+    begin = splits.starts(found.where("kind = 'split'").select("file", "block", "units", "bytes", "ends"), time=0)
+    real = splits.resolved(found.where("kind <> 'split'"), begin)
+    if max_bytes is not None:
+        real = real.where(F.col("line") + F.col("bytes_before") < max_bytes)
+    seq = F.when(F.col("open") >= 0, F.col("units_before") + F.col("open")).otherwise(F.col("begin_open"))
+    real = real.select("file", seq.alias("seq"), "kind", F.coalesce("t", "begin_time").alias("t"), "word", F.when((F.col("kind") == "change"), F.coalesce("value", "begin_held")).otherwise(F.col("value")).alias("value"), "block", "at")
+    pieces = real.where("kind = 'text'")
+    if not begin.where(F.col("state") == TEXT).isEmpty():
+        rest = texts(rows, begin).select("file", F.col("open").alias("seq"), F.lit("text").alias("kind"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("string").alias("word"), "value", "block", "at")
+        pieces = pieces.unionByName(rest)
+    whole = pieces.groupBy("file", "seq").agg(  # a command's text
+        F.min("t").alias("t"), F.max("word").alias("word"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "value"))), lambda x: F.nullif(x["value"], F.lit(""))), " ").alias("value"))
+    declared = whole.where("word IS NOT NULL").select("file", "seq", F.lit("declaration").alias("kind"), "t", "word", "value")
+    return real.where("kind <> 'text'").select(*declared.columns).unionByName(declared)
+
+
+def headers(found: DataFrame) -> DataFrame:
+    """(file, code, signal, width, low): the tracked variables of commands(); of several of one code the first counts.
+
+    The two outermost scopes are left out of names, which are joined by "/". A dump's scopes are walked by one task, its
+    variables are sorted by their place among them.
+    """
+    def scoped(rows: pa.Table) -> pa.Table:
+        rows, path, out = rows.sort_by("seq").to_pylist(), [], []
+        for row in rows:
+            if row["word"] == "$scope":
+                path.append((row["value"] or "").split()[-1])
+            elif path:
+                path.pop()
+            out.append({"file": row["file"], "seq": row["seq"], "prefix": "".join(f"{p}/" for p in path[2:])})
+        return pa.Table.from_pylist(out, schema=pa.schema([("file", pa.string()), ("seq", pa.int64()), ("prefix", pa.string())]))
+
+    declared = found.where("kind = 'declaration'")
+    scopes = declared.where(F.col("word").isin("$scope", "$upscope")).select("file", "seq", "word", "value").groupBy("file").applyInArrow(scoped, "file string, seq long, prefix string")
+    part = lambda i: F.regexp_extract("value", r"^(\w+) (\d+) (\S+) (\\\S+|[^\s\[]+) ?(?:\[ ?(-?\d+) ?(?:: ?(-?\d+) ?)?\])?", i)
+    number = lambda i: F.when(part(i) != "", part(i).cast("int"))
+    variables = declared.where((F.col("word") == "$var") & part(1).isin(*TRACKED)).select(
+        "file", "seq", F.lit(None).cast("string").alias("prefix"), part(3).alias("code"), part(4).alias("name"), part(2).cast("int").alias("width"), F.coalesce(F.least(number(5), number(6)), F.lit(0)).alias("low"))
+    inside = F.coalesce(F.last("prefix", ignorenulls=True).over(Window.partitionBy("file").orderBy("seq")), F.lit(""))
+    placed = variables.unionByName(scopes, allowMissingColumns=True).withColumn("signal", F.concat(inside, "name")).where("code IS NOT NULL")
+    first = placed.groupBy("file", "code").agg(F.min_by(F.struct("signal", "width", "low"), "seq").alias("v"))
+    return first.select("file", "code", "v.*")
+
+
+def changed(found: DataFrame) -> DataFrame:
+    """(file, signal, bit, t, seq, v): the value changes of commands(), bit by bit; reals and untracked codes are passed over.
+
+    A vector's value is made as wide as its variable: x and z go on, other digits get zeros.
     """
-    rows = lines(spark, path)
-    found = scanned(rows)
-    ends = found.where("code IS NULL").select("file", "block", F.col("t").alias("last_t"))
-    every = rows.select("file", "block").distinct().join(ends, ["file", "block"], "left")
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a file's splits
-    carried = every.select("file", "block", F.coalesce(F.last("last_t", ignorenulls=True).over(earlier), F.lit(0)).alias("carried"))
-    changed = found.where("code IS NOT NULL").join(carried, ["file", "block"]).join(headers(rows), ["file", "code"])
-    changed = changed.where(F.col("seq") >= F.col("end"))
-    if max_bytes:
-        changed = changed.where(F.col("seq") < F.col("end") + max_bytes)
-    value = F.lower("value")
-    fill = F.when(F.substring(value, 1, 1).isin("x", "z"), F.substring(value, 1, 1)).otherwise("0")
-    full = F.reverse(F.concat(F.repeat(fill, F.greatest(F.col("width") - F.length(value), F.lit(0))), value))  # lowest bit first
+    digits = F.lower(F.regexp_replace("value", "^[bB]", ""))
+    vectors = found.where((F.col("kind") == "change") & ~F.lower(F.substring("value", 1, 1)).isin("r")).select("file", "seq", "t", F.col("word").alias("code"), digits.alias("value"))
+    known = vectors.join(headers(found), ["file", "code"])
+    fill = F.when(F.substring("value", 1, 1).isin("x", "z"), F.substring("value", 1, 1)).otherwise("0")
+    full = F.reverse(F.concat(F.repeat(fill, F.greatest(F.col("width") - F.length("value"), F.lit(0))), "value"))  # lowest bit first
     bits = F.posexplode(F.slice(F.split(full, ""), 1, F.col("width"))).alias("at", "v")
-    return changed.select("file", "signal", F.coalesce("t", "carried").alias("t"), "seq", "low", bits).select("file", "signal", (F.col("low") + F.col("at")).alias("bit"), "t", "seq", "v")
+    return known.select("file", "signal", "t", "seq", "low", bits).select("file", "signal", (F.col("low") + F.col("at")).alias("bit"), "t", "seq", "v")
+
+
+def read(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(file, signal, bit, t, seq, v) of all dumps at a path, read in splits; see commands() for max_bytes."""
+    return changed(settle(commands(spark, path, max_bytes)))
 
 
 def dumpvars(signals: DataFrame) -> DataFrame:

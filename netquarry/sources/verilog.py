@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import names
+from netquarry.operators.tables import settle
+from netquarry.sources import splits
 
 #: First words of statements that are no instantiation (fixed values).
 NET_KINDS = ("input", "output", "inout", "wire", "reg", "tri", "supply0", "supply1")
@@ -17,18 +19,115 @@ KEYWORDS = (*NET_KINDS, "module", "endmodule", "assign", "parameter", "localpara
 _token = re.compile(r"\\\S+\s|\d*'[bBdDhHoO][0-9a-fA-FxXzZ_]+|[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|\"[^\"]*\"|[()\[\]{},.:#;=~-]")
 
 
+#: States of the lexer, and what ends those that aren't plain text (fixed values).
+PLAIN, COMMENT, ATTRIBUTE = range(3)
+CLOSED_BY = {COMMENT: "*/", ATTRIBUTE: "*)"}
+_mark = re.compile(r'/\*|//|\(\*|;|"(?:[^"\\]|\\.)*"|\\\S+')
+_ROW = [("file", pa.string()), ("block", pa.int64()), ("starts", pa.int32()), ("at", pa.int64()), ("open", pa.int64()), ("whole", pa.bool_()), ("value", pa.string()), ("units", pa.int64()), ("bytes", pa.int64()), ("ends", splits.END_TYPE)]
+
+
+class Course:
+    """The lexer's way through a split from each of the states in starts (a mask); open is the last semicolon that ended a statement."""
+
+    __slots__ = ("starts", "state", "open", "parts")
+
+    def __init__(self, state: int):
+        self.starts, self.state, self.open, self.parts = 1 << state, state, -1, []
+
+    def read(self, line: str, semicolons: int) -> Iterator[tuple[int, str]]:
+        """(open, text) of the statements that end on the line; semicolons: how many the split has before it, of whatever kind."""
+        at, kept, counted, n = len(line) - len(line.lstrip()), [], 0, semicolons
+        while at < len(line):
+            if self.state != PLAIN:
+                end = line.find(CLOSED_BY[self.state], at)
+                if end < 0:
+                    break
+                at, self.state = end + 2, PLAIN
+                kept.append(" ")
+                continue
+            mark = _mark.search(line, at)
+            if not mark:
+                kept.append(line[at:])
+                break
+            kept.append(line[at:mark.start()])
+            at = mark.end()
+            if mark[0] == "//":
+                break
+            if mark[0] in ("/*", "(*"):
+                self.state = COMMENT if mark[0] == "/*" else ATTRIBUTE
+            elif mark[0] == ";":
+                n += line.count(";", counted, at)
+                counted = at
+                yield self.open, " ".join([*self.parts, "".join(kept)])
+                self.open, self.parts, kept = n - 1, [], []
+            else:
+                kept.append(mark[0])
+        if text := "".join(kept).rstrip():
+            self.parts.append(text)  # joined by a space, which ends an escaped name
+
+
 def statements(spark: SparkSession, path: str) -> DataFrame:
     """(file, number, value): statements up to their semicolon, without comments, attributes and endmodule.
 
-    A file is one unit of parsing; many files are read in parallel.
+    Files of any size are read in splits, once; number grows with a statement's place in its file and is the same whatever the
+    splits are. Only statements that cross splits are put together by a shuffle.
     """
-    text = F.regexp_replace("value", r"(?s)/\*.*?\*/", " ")
-    text = F.regexp_replace(text, r"//[^\n]*", "")
-    text = F.regexp_replace(text, r"(?s)\(\*.*?\*\)", " ")
-    text = F.regexp_replace(text, r"\bendmodule\b", " ")
-    parts = F.split(text, ";")
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(parts).alias("number", "value"))
-    return rows.withColumn("value", F.trim(F.regexp_replace("value", r"\s*\n\s*", " "))).where("value <> ''")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        key, courses, n, at, size = None, [], 0, 0, 0
+
+        def ended() -> None:
+            ends: list[dict] = [{}] * 3
+            for c in courses:
+                if c.parts:
+                    out.append((*key, c.starts, at, c.open, False, " ".join(c.parts), None, None, None))
+                for s in range(3):
+                    if c.starts >> s & 1:
+                        ends[s] = {"state": c.state, "open": c.open, "held": None, "time": None}
+            out.append((*key, 7, None, None, None, None, n, size, ends))
+
+        for split, line in splits.in_splits(batches):
+            if split != key:
+                if key is not None:
+                    ended()
+                key, courses, n, at, size = split, [Course(s) for s in range(3)], 0, 0, 0
+            for c in courses:
+                out.extend((*key, c.starts, at, open_, open_ >= 0, text, None, None, None) for open_, text in c.read(line, n))
+            if len(courses) > 1:
+                courses = met(courses)
+            n, at, size = n + line.count(";"), at + 1, size + len(line.encode()) + 1
+            if len(out) >= 20_000:
+                yield to_batch(out)
+                out.clear()
+        if key is not None:
+            ended()
+        yield to_batch(out)
+
+    def to_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows) if rows else [[]] * len(_ROW), _ROW)], [name for name, _ in _ROW])
+
+    schema = f"file string, block long, starts int, at long, open long, whole boolean, value string, units long, bytes long, ends {splits.ENDS}"
+    found = settle(splits.lines(spark, path).mapInArrow(run, schema))
+    begin = splits.starts(found.where("ends IS NOT NULL").select("file", "block", "units", "bytes", "ends"))
+    real = splits.resolved(found.where("ends IS NULL"), begin)
+    number = F.when(F.col("open") >= 0, F.col("units_before") + F.col("open")).otherwise(F.col("begin_open")) + 1
+    real = real.select("file", number.alias("number"), "whole", "value", "bytes_before", "at")
+    pieces = real.where("NOT whole").groupBy("file", "number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bytes_before", "at", "value"))), lambda x: x["value"]), " ").alias("value"))  # a statement
+    every = real.where("whole").select("file", "number", "value").unionByName(pieces)
+    clean = F.trim(F.regexp_replace(F.regexp_replace("value", r"\bendmodule\b", " "), r"[\t\r ]+$", " "))
+    return every.withColumn("value", clean).where("value <> ''")
+
+
+def met(courses: list[Course]) -> list[Course]:
+    """The courses, those that are the same from now on as one."""
+    out: list[Course] = []
+    for c in courses:
+        twin = next((x for x in out if (x.state, x.open) == (c.state, c.open) and x.parts == c.parts), None)
+        if twin is None:
+            out.append(c)
+        else:
+            twin.starts |= c.starts
+    return out
 
 
 def statement_kind(value: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from netquarry.operators import propagate
+from netquarry.operators import tables
 from netquarry.plans import domain as D
 
 STATES = "01xz"
@@ -58,7 +58,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.[p]arquet")  # a pattern names a file as well as a folder
     v = F.when(F.col("event_type") == "error", "x").when(F.col("value") > 100, "1").otherwise("0")
     rows = files.select(F.col("ts").cast("timestamp").alias("ts"), v.alias("v"))
-    place = f"{propagate.shared_folder(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+    place = f"{tables.shared_folder(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
     sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{place}/out")
     q = windows(rows).writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
@@ -72,7 +72,7 @@ def stream_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.[p]arquet")  # a pattern names a file as well as a folder
     v = F.when(F.col("event_type") == "error", "x").when(F.col("value") > 100, "1").otherwise("0")
     changes = files.select(F.col("user_id").cast("string").alias("signal"), (F.unix_micros(F.col("ts").cast("timestamp")) - D.START).alias("t"), F.col("event_id").alias("seq"), v.alias("v"))
-    shared = propagate.shared_folder(spark).rstrip("/")
+    shared = tables.shared_folder(spark).rstrip("/")
     place = f"{shared}/stream-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     sink = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{place}/out")
     q = live_dwell(changes).writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(sink).start()

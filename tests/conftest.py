@@ -4,15 +4,17 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
     s = (
         SparkSession.builder.master("local[4]").appName("netquarry-tests").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate())
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoint"))).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

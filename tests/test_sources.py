@@ -1,9 +1,13 @@
+import contextlib
 import random
+import re
+
+import plain_vcd
 import pytest
 from pyspark.sql import functions as F
 
 from netquarry import cli
-from netquarry.operators import dwell, ilp
+from netquarry.operators import dwell, ilp, tables
 from netquarry.sources import config, text_formats, vcd, verilog
 
 VCD = """$date today $end
@@ -124,7 +128,7 @@ def test_vcd(spark, tmp_path):
     changes = vcd.read(spark, str(tmp_path / "t.vcd"))
     rows = {(r.signal, r.bit, r.t): r.v for r in changes.collect()}
     assert rows["a", 0, 10] == "1" and [rows["u1/b", i, 10] for i in range(4)] == ["1", "0", "1", "0"] and rows["u1/b", 3, 0] == "x" and not any(s == "r" for s, *_ in rows)
-    assert vcd.end_time(VCD) == 1040 and vcd.extend("z1", 4) == "1zzz" and vcd.extend("1", 3) == "100"
+    assert plain_vcd.extend("z1", 4) == "1zzz" and plain_vcd.extend("1", 3) == "100"
     held = dwell.intervals(changes, 1040)
     got = {(r.signal, r.bit): (r.n0, r.n1, r.nx, r.nz) for r in dwell.dwell(held).collect()}
     assert got["a", 0] == (1010, 10, 10, 10) and got["u1/b", 0] == (0, 1030, 10, 0) and all(sum(v) == 1040 for v in got.values())
@@ -179,7 +183,7 @@ def test_entropy_files(spark):
 def test_mps_and_weights(spark, tmp_path):
     cells = spark.createDataFrame([("R1", "V1", 2.0), ("R2", "V1", -1.0)], "row string, variable string, val double")
     lines_ = text_formats.mps_lines(cells, spark.createDataFrame([("V1", 3.0)], "name string, obj double"), spark.createDataFrame([("R1", ">=", 1.0), ("R2", "=", 0.0)], "name string, sense string, rhs double"))
-    assert sorted(map(tuple, text_formats.mps_cells(lines_).collect())) == [("R1", "V1", 2.0), ("R2", "V1", -1.0)]
+    assert sorted(map(tuple, text_formats.mps_model(lines_)[0].collect())) == [("R1", "V1", 2.0), ("R2", "V1", -1.0)]
     made = config.synthetic_weights(spark.range(5000).withColumnRenamed("id", "node_id"), [(0.84, 5, 15), (0.09, 170, 370), (0.07, 230, 630)])
     kinds = {r.k: r.n for r in made.select(F.array_position(F.transform(F.get("impls", F.lit(0)), lambda x: x > 0), True).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
     assert abs(kinds[1] / 5000 - 0.84) < 0.02 and abs(kinds[3] / 5000 - 0.07) < 0.02
@@ -201,28 +205,111 @@ def test_graph_xml(spark, tmp_path):
     assert {(r.id, r.name) for r in config.graph_xml(spark, str(tmp_path / "g.xml")).collect()} == {(1, "a"), (2, "b")}
 
 
-def test_vcd_in_splits(spark, tmp_path):
-    """Read in splits of a few dozen bytes, dumps give what one pass over their text gives."""
-    body, rng = [], random.Random(4)
-    for t in range(0, 4000, 10):
-        body.append(f"#{t}")
-        body += rng.sample(["1!", "0!", "x!", "b101 #", "bz1 #", "bX #", "0%", "1%", "r1.5 ~", "0?", "$comment 1! here $end"], 3)
-    head = ["$date today $end", "$timescale 1ns $end", "$scope module top $end", "$scope module dut $end", "$scope module core $end", "$var wire 1 ! a $end", "$var reg 6", " # bus [7:2] $end", "$upscope $end", "$var wire 1 % b $end", "$var real 64 ~ r $end", "$upscope $end", "$upscope $end", "$enddefinitions $end", "$dumpvars"]
-    texts = {"one.vcd": "\n".join([*head, "x!", "bx #", "$end", *body]) + "\n", "two.vcd": "\n".join([*head, *body[:40]])}
-    for name, text in texts.items():
-        (tmp_path / name).write_text(text)
+@contextlib.contextmanager
+def small_splits(spark, size):
+    """Files are read in splits of so many bytes."""
     keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
     before = {k: spark.conf.get(k) for k in keys}
-    for size in ("64", "200", "1m"):
-        for k in keys:
-            spark.conf.set(k, size if k == keys[0] else "8")
-        try:
-            got = vcd.read(spark, str(tmp_path / "*.vcd")).collect()
-        finally:
-            for k, x in before.items():
-                spark.conf.set(k, x)
-        for name, text in texts.items():
-            mine = sorted((r for r in got if r.file.endswith(name)), key=lambda r: (r.seq, r.bit))
-            assert [(r.signal, r.bit, r.t, r.v) for r in mine] == [(s, b, t, v) for s, b, t, _, v in vcd.changes(text)]
-    some = vcd.read(spark, str(tmp_path / "one.vcd"), 500).count()
-    assert 0 < some < sum(r.file.endswith("one.vcd") for r in got)
+    spark.conf.set(keys[0], size)
+    spark.conf.set(keys[1], "8")
+    try:
+        yield
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+
+
+def dump(rng, n, wrap):
+    """A dump with comments, reals, untracked codes and, if wrapped, white space wherever the grammar allows it."""
+    space = lambda: rng.choice([" ", "\n", "\r\n", "\n\n", "\t"]) if wrap else " "
+    head = [
+        "$date today $end", "$timescale 1ns $end", "$scope module top $end", "$scope module dut $end", "$scope module core $end", "$var wire 1 ! a $end", f"$var{space()}reg 6{space()}#{space()}bus [7:2] $end", "$upscope $end",
+        f"$comment $var wire 1 ? not{space()}this $en $end", "$var wire 1 % b [3] $end", "$var wire 1 ! again $end", "$var real 64 ~ r $end", "$var tri 2 $x \\odd[1] [0:1] $end", "$upscope $end", "$upscope $end", "$enddefinitions $end"]
+    body = []
+    for t in range(n):
+        body.append(f"#{10 * t}")
+        vectors = [f"b{v}{space()}{c}" for v, c in (("101", "#"), ("z1", "#"), ("X", "#"), ("1", "$x"))]
+        words = ["1!", "#77", "b1 #", "text", "$dumpvars", "#5", "0%"]
+        comment = f"$comment {space().join(rng.choice(words) for _ in range(rng.randint(0, 40 if wrap else 6)))}{space()}$end"
+        body += rng.sample(["1!", "0!", "x!", *vectors, "0%", "1%", f"r1.5{space()}~", "0?", comment, "what", "$dumpvars 1! $end"], 3)
+    return "\n".join([*head, *body]) + rng.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("size", ["110", "400"])
+def test_vcd_in_splits(spark, tmp_path, size):
+    """Read in splits of a few dozen bytes, dumps give what one pass over their text gives: commands, places, times and changes."""
+    rng = random.Random(4)
+    texts = {f"{i}.vcd": dump(rng, n, wrap) for i, (n, wrap) in enumerate([(4, False), (20, True), (12, True), (1, True)])}
+    texts["4.vcd"] = texts["3.vcd"] + " b10"  # ends before the code
+    texts["5.vcd"] = texts["2.vcd"].replace("#110", "$comment\n" + "1! b0 #\n" * 30 + "#999999 $end\n#110")
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    with small_splits(spark, size):
+        found = tables.settle(vcd.commands(spark, str(tmp_path / "*.vcd")))
+        got, bits = found.collect(), vcd.changed(found).collect()
+    for name, text in texts.items():
+        mine = sorted((r.seq, r.kind, r.t, r.word, r.value) for r in got if r.file.endswith(f"/{name}"))
+        assert mine == sorted(plain_vcd.commands(text)), name
+        assert sorted((r.signal, r.bit, r.t, r.seq, r.v) for r in bits if r.file.endswith(f"/{name}")) == sorted(plain_vcd.changes(text)), name
+
+
+@pytest.mark.parametrize("size", ["250"])
+def test_vcd_up_to_a_place(spark, tmp_path, size):
+    text = dump(random.Random(8), 25, True)
+    (tmp_path / "t.vcd").write_bytes(text.encode())
+    for most in (0, 700):
+        with small_splits(spark, size):
+            got = sorted((r.seq, r.kind, r.t, r.word, r.value) for r in vcd.commands(spark, str(tmp_path / "t.vcd"), most).where("kind IN ('time', 'unknown', 'simulation')").collect())
+        begins = {}  # the place of the line of each token
+        at = n = 0
+        for line in text.split("\n"):
+            for _ in line.split():
+                begins[n] = at
+                n += 1
+            at += len(line.encode()) + 1
+        assert got == sorted(c for c in plain_vcd.commands(text) if c[1] in ("time", "unknown", "simulation") and begins[c[0]] < most)
+
+
+@pytest.mark.parametrize("size", ["90"])
+def test_statements_and_lines_in_splits(spark, tmp_path, size):
+    """Statements, their order and line numbers don't hang on the splits."""
+    rng = random.Random(3)
+    pieces = [
+        "LUT2 #(.INIT(4'h8)) u{i} (.O(n{i}), .I0(a[0]),\n   .I1(b));", "wire w{i}; /* a comment; over\n\n lines */", "// all of; this line (* goes\n", "(* keep = \"x;y\" *)\nwire\n k{i}\n;", "FD \\f;{i} (.Q(q), .D(d));",
+        "\r\nFD \"s;{i}\" \\/*no (.Q(q));\r\n", "(* a\n b;\n *) input [1:0]\n\n i{i};", ";;", "endmodule\n", "/* ; */ /* ; */ X y{i} (a); Y z{i} (b);"]
+    text = "\n".join(rng.choice(pieces).replace("{i}", str(i)) for i in range(30)) + "\nlast words"
+    (tmp_path / "n.v").write_bytes(text.encode())
+    (tmp_path / "m.v").write_bytes(b"module m;\nwire a;\n")
+    found = []
+    for s in (size, "1m"):
+        with small_splits(spark, s):
+            found.append(sorted((r.file, r.number, r.value) for r in verilog.statements(spark, str(tmp_path / "*.v")).collect()))
+            lines_ = sorted((r.file[-3:], r.line_no, r.value) for r in text_formats.numbered_lines(spark, str(tmp_path / "*.v")).collect())
+    assert found[0] == found[1]
+    want = [("m.v", i, x) for i, x in enumerate(["module m;", "wire a;"])] + [("n.v", i, x) for i, x in enumerate(text.split("\n"))]
+    assert lines_ == sorted(want)
+    # by hand: comments, then attributes, then semicolons outside of strings and escaped names
+    values = [v for f, _, v in found[0] if f.endswith("n.v")]
+    rest, plain = text, []
+    token = re.compile(r'/\*.*?\*/|//[^\n]*|\(\*.*?\*\)|("[^"\n]*"|\\\S+)|(;)', re.S)
+    at, now = 0, ""
+    for m in token.finditer(rest):
+        now += rest[at:m.start()] + (m[1] or " " if not m[2] else "")
+        at = m.end()
+        if m[2]:
+            plain.append(now)
+            now = ""
+    plain.append(now + rest[at:])
+    clean = lambda x: re.sub(r"\s+", " ", re.sub(r"\bendmodule\b", " ", x)).strip()
+    assert [clean(v) for v in values] == [c for x in plain if (c := clean(x))]
+
+
+def test_mps_in_splits(spark, tmp_path):
+    cells = spark.createDataFrame([(f"R{i % 40}", f"V{i}", i + 1.0) for i in range(60)], "row string, variable string, val double")
+    rows = spark.createDataFrame([(f"R{i}", ">=", float(i)) for i in range(40)], "name string, sense string, rhs double")
+    variables = spark.createDataFrame([(f"V{i}", float(i % 3)) for i in range(60)], "name string, obj double")
+    text_formats.mps_file(text_formats.mps_lines(cells, variables, rows)).orderBy("section", "place", "value").select("value").coalesce(1).write.text(str(tmp_path / "mps"))
+    with small_splits(spark, "500"):
+        back = text_formats.mps_model(text_formats.read_mps(spark, str(tmp_path / "mps")))
+        for a, b in zip(back, (cells, variables, rows)):
+            assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
