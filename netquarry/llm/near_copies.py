@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netquarry.llm.common import bounded_batches, cut_lineage, only_memo, row_key, shuffle_partitions, slices, utf8
+from netquarry.llm.common import bounded_batches, cut_lineage, only_memo, row_key, shuffle_partitions, slices, stored, utf8
 from netquarry.llm.simhash import Planes, components, spread
 
 WORDS = 5
@@ -354,19 +354,20 @@ def group_links(rows: DataFrame, attach: Callable[[DataFrame], DataFrame], compa
     to rows with a key. known: links found before.
     """
     n = rows.count()
-    sizes = cut_lineage(rows.groupBy("group").agg(F.ceil(F.sum("cost") / limit).alias("chunks")), n)
-    cut = rows.join(sizes, "group")
+    # only groups beyond the limit: as many as it goes into all costs, so that no join gathers the rows of a group
+    sizes = stored(rows.groupBy("group").agg(F.ceil(F.sum("cost") / limit).alias("chunks")).where("chunks > 1"), n)
+    cut = rows.join(sizes, "group", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     deals = F.when(F.col("chunks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     dealt = cut.withColumn("deal", F.explode(deals)).withColumn("key", F.xxhash64("group", "deal", F.pmod(F.xxhash64("node", "deal"), F.greatest("chunks", F.lit(1)))))
     links = compared(attach(dealt.drop("group", "chunks", "deal", "cost")), compare)
-    if sizes.where("chunks > 1").isEmpty():
+    if sizes.isEmpty():
         return links
     so_far = links if known is None else links.unionByName(known)
     roots = components(so_far)
     large = cut.where("chunks > 1").drop("chunks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = large.groupBy("group", "root").agg(F.sum("cost").alias("cost"))
     most = parts.groupBy("group").agg(F.max_by("root", F.struct("cost", "root")).alias("main"), F.max("cost").alias("of_main"), F.sum("cost").alias("all"))
-    most = cut_lineage(most.where(F.col("all") > F.col("of_main")).select("group", "main", F.ceil(F.col("of_main") / limit).alias("mains"), F.ceil((F.col("all") - F.col("of_main")) / limit).alias("others")), n)
+    most = stored(most.where(F.col("all") > F.col("of_main")).select("group", "main", F.ceil(F.col("of_main") / limit).alias("mains"), F.ceil((F.col("all") - F.col("of_main")) / limit).alias("others")), n)
     if most.isEmpty():
         return links
     rest = large.join(most, "group")
