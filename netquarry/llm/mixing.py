@@ -109,7 +109,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     bounded_batches(df)
     spark = df.sparkSession
     n = shuffle_partitions(spark)
-    sized = cut_lineage(word_counts(df, id_col, text_col, source_col))
+    # repeated rows are counted, and numbered anew, so that they are dealt over blocks like others and the same in every run
+    alike = word_counts(df, id_col, text_col, source_col).groupBy("id", "source", "k1", "k2", "size").agg(F.count(F.lit(1)).alias("n"))
+    sized = cut_lineage(alike.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).drop("n"))
     targets = source_targets(sized)
     rows = sized.join(targets, sized["source"].eqNullSafe(targets["source"]), "left").select(sized["*"], "n_docs", "source_size", "target")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -120,13 +122,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     open_rows = rows.where(~certain)
     deepest = targets.agg(F.max("n_docs")).first()[0] or 0
     kind = lambda c: rows.schema[c].dataType.simpleString()
-    columns = ["id", "source", "k1", "k2", "size", "source_size", "target", "whole", "p", "blocks", "hash"]
+    columns = ["id", "source", "k1", "k2", "size", "source_size", "target", "whole", "p", "blocks", "hash", "nth"]
     schema = ", ".join(f"{c} {kind(c)}" for c in columns)
     level, out = 0, [done]
     while True:
-        blocked = open_rows.withColumn("block", F.pmod(F.xxhash64(F.lit(level), "hash", "k1"), F.greatest("blocks", F.lit(1)))).select(*columns, "block")
+        own = F.when(F.col("nth") == 0, F.xxhash64(F.lit(level), "hash", "k1")).otherwise(F.xxhash64(F.lit(level), "hash", "k1", "nth"))
+        blocked = open_rows.withColumn("block", F.pmod(own, F.greatest("blocks", F.lit(1)))).select(*columns, "block")
         # large documents first: whichever of two alike settles, and what a block leaves at its end is a small one
-        dealt = blocked.repartition(n, "source", "block").sortWithinPartitions("source", "block", F.desc("size"), "hash", "k1", "k2", "id", "p")
+        dealt = blocked.repartition(n, "source", "block").sortWithinPartitions("source", "block", F.desc("size"), "hash", "k1", "k2", "id", "nth", "p")
 
         def run(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             names = [*columns, "block"]
@@ -145,7 +148,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
                     yield held
 
             for held in blocks():  # about BLOCK_ROWS rows each
-                result = [(*row[:8], p, *row[9:11]) for row, p in ((r[3], p) for r, p in pivotal(((r[4], r[8], (seed, r[10], r[2], i), r) for i, r in enumerate(held)), level))]
+                result = [(*row[:8], p, *row[9:12]) for row, p in ((r[3], p) for r, p in pivotal(((r[4], r[8], (seed, r[10], r[2], i), r) for i, r in enumerate(held)), level))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*result), kinds)], columns)
 
         kinds: list[pa.DataType] = []
@@ -159,7 +162,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         open_rows = open_rows.withColumn("blocks", F.ceil(F.col("blocks") / BLOCK_ROWS))
         level += 1
     # one fraction for each source at most: it is rounded alone
-    chance = F.pmod(F.xxhash64(F.lit("last"), F.lit(seed), "hash"), F.lit(1 << 40)) / (1 << 40)
+    chance = F.pmod(F.xxhash64(F.lit("last"), F.lit(seed), "hash", "nth"), F.lit(1 << 40)) / (1 << 40)
     out.append(open_rows.select("id", "source", "k1", "k2", "size", "source_size", "target", (F.col("whole") + (chance < F.col("p")).cast("long")).alias("copies")))
     result = out[0]
     for x in out[1:]:
