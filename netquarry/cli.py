@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from netquarry.functions import cells, names, probability
 from netquarry.operators import dwell, hypergraph, ilp, implementations, multilevel, propagate, tables
-from netquarry.sources import config, text_formats, vcd, verilog
+from netquarry.sources import config, graph_xml, text_formats, vcd, verilog
 
 
 def read_chaco(spark: SparkSession, path: str, weights: str | None, resources: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -41,6 +41,16 @@ def read_ntl(spark: SparkSession, path: str, library: str, with_entropy: bool) -
     return nodes.select(node, F.col("instance").alias("name"), "impls", F.lit(0).alias("sel")), hypergraph.distinct_pins(pins.select(edge, node)), edges.select(edge, F.lit(1.0).alias("width"), "entropy", F.col("net").alias("name"))
 
 
+def read_netlist(spark: SparkSession, a: argparse.Namespace, resources: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, pins, edges) of whichever file the arguments name."""
+    if a.chaco:
+        return read_chaco(spark, a.chaco, a.weights, resources)
+    if a.graph:
+        nodes, pins, edges = graph_xml.read(spark, a.graph)
+        return nodes, hypergraph.distinct_pins(pins), edges
+    return read_ntl(spark, a.ntl or a.xntl, a.library, bool(a.xntl))
+
+
 def preprocess(nodes: DataFrame, c: config.Config) -> DataFrame:
     if c.preprocessor == "universal":
         return implementations.universal(nodes, c.universal_resource)
@@ -56,7 +66,7 @@ def partition(spark: SparkSession, a: argparse.Namespace) -> None:
     """Bipartitions of a netlist of any size, or 2 to a power parts of it; every option of the configuration counts at every size."""
     with open(a.config) as f:
         c = config.read_config(f.read())
-    nodes, pins, edges = read_chaco(spark, a.chaco, a.weights, len(c.capacity)) if a.chaco else read_ntl(spark, a.ntl or a.xntl, a.library, bool(a.xntl))
+    nodes, pins, edges = read_netlist(spark, a, len(c.capacity))
     edges = edges.withColumn("width", hypergraph.edge_weight(a.use_entropy))
     nodes, given = tables.settle(preprocess(nodes, c)), None
     if a.initial_sol:
@@ -218,7 +228,7 @@ def model(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.mps:
         parts = text_formats.mps_model(tables.settle(text_formats.read_mps(spark, a.mps)))
     else:
-        nodes, pins, edges = read_chaco(spark, a.chaco, a.weights, a.resources) if a.chaco else read_ntl(spark, a.ntl or a.xntl, a.library, bool(a.xntl))
+        nodes, pins, edges = read_netlist(spark, a, a.resources)
         edges = edges.withColumn("width", hypergraph.edge_weight(a.use_entropy))
         parts = ilp.coefficients(nodes, pins, edges, a.max_imbalance), ilp.variables(nodes, edges), ilp.rows(nodes, edges, a.resources)
     if a.write_lp:
@@ -244,14 +254,14 @@ def shannon_csv(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 COMMANDS = {
-    "partition": (partition, ["--chaco", "--weights", "--ntl", "--xntl", "--library", "--config!", "--nruns:int=1", "--nways:int=2", "--use-entropy?", "--export-initial-sol", "--initial-sol-only?", "--initial-sol", "--sparse?", "--sol-scip-format?", "--sol-gurobi-format?", "--write-cutset-dir", "--output"]),
+    "partition": (partition, ["--chaco", "--weights", "--graph", "--ntl", "--xntl", "--library", "--config!", "--nruns:int=1", "--nways:int=2", "--use-entropy?", "--export-initial-sol", "--initial-sol-only?", "--initial-sol", "--sparse?", "--sol-scip-format?", "--sol-gurobi-format?", "--write-cutset-dir", "--output"]),
     "vcd": (vcd_command, ["--vcd!", "--entropy!", "--width:int", "--max-mb:int", "--huffman?", "--symbol-size:int=8"]),
     "track": (track, ["--entropy!", "--whitelist", "--output!"]),
     "compare-entropy": (compare, ["--gold!", "--compare!", "--whitelist", "--output!"]),
     "compare-vcd": (compare_vcd, ["--gold!", "--compare!", "--width:int", "--output!"]),
     "functional": (functional, ["--verilog!", "--entropy", "--output!"]),
     "structural": (structural, ["--verilog!", "--output!"]),
-    "ilp": (model, ["--chaco", "--weights", "--ntl", "--xntl", "--mps", "--library", "--resources:int=1", "--max-imbalance:float=0.01", "--use-entropy?", "--write-lp", "--output"]),
+    "ilp": (model, ["--chaco", "--weights", "--graph", "--ntl", "--xntl", "--mps", "--library", "--resources:int=1", "--max-imbalance:float=0.01", "--use-entropy?", "--write-lp", "--output"]),
     "weights": (weights, ["--nodes:int=45087", "--seed:int=1", "--binomial?", "--cluster:int=1", "--output!"]),
     "tokens": (words, ["--input!", "--output!"]),
     "shannon-csv": (shannon_csv, ["--shannon!", "--output!"]),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import scores
+from netquarry.operators.tables import release, settle
 
 
 def distinct_pins(raw: DataFrame, min_degree: int = 2, max_degree: int | None = None) -> DataFrame:
@@ -145,6 +146,32 @@ def project(assign: DataFrame, clusters: DataFrame) -> DataFrame:
     return clusters.join(assign.withColumnRenamed("node_id", "super_id"), "super_id").select("node_id", "part")
 
 
+def tops(parents: DataFrame) -> DataFrame:
+    """(node_id, top, height): for every node of parents(node_id, super_id), a forest of any number of levels, its highest ancestor and how far up that is.
+
+    By pointer doubling: rounds grow with the logarithm of the height, and each writes one table. A node that is its own
+    ancestor is an error.
+    """
+    found = settle(parents.select("node_id", F.col("super_id").alias("top"), F.lit(1).cast("long").alias("height")))
+    deepest = found.count()
+    while True:
+        up = found.select(F.col("node_id").alias("top"), F.col("top").alias("next"), F.col("height").alias("more"))
+        joined = found.join(up, "top", "left")
+        new = settle(joined.select("node_id", F.coalesce("next", "top").alias("top"), (F.col("height") + F.coalesce("more", F.lit(0))).alias("height"), F.col("next").isNotNull().alias("moved")))
+        release(found)
+        found = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return found
+        if not new.where(F.col("height") > deepest).isEmpty():
+            raise ValueError("a supernode holds itself")
+
+
+def hierarchy_balance(weights: DataFrame, parents: DataFrame, assign: DataFrame) -> DataFrame:
+    """balance() of the leaves that the parts (node_id, part) of the highest supernodes hold, over all levels of parents(node_id, super_id)."""
+    leaves = weights.join(tops(parents), "node_id").join(assign.withColumnRenamed("node_id", "top"), "top")
+    return balance(weights, leaves.select("node_id", "part"))
+
+
 def cluster_weights(weights: DataFrame, clusters: DataFrame) -> DataFrame:
     """(node_id, weight) of the clusters: sums of their nodes' vectors."""
     long = weights.join(clusters, "node_id").select("super_id", F.posexplode("weight").alias("res_id", "w"))

@@ -94,19 +94,22 @@ def evaluated(waiting: DataFrame, fresh: DataFrame) -> DataFrame:
     joined = linked.join(got.withColumnRenamed("gate", "wire"), "wire", "left")
     have = lambda s: F.try_element_at("got", s["wire"])
     slots = F.transform("slots", lambda s: F.struct(s["wire"].alias("wire"), F.coalesce(s["p1"], have(s)["p1"]).alias("p1"), F.coalesce(s["level"], have(s)["level"]).alias("level")))
-    filled = joined.withColumn("on_line", F.try_element_at("got", F.col("line.on_wire"))).select("wire", "kind", "init", slots.alias("slots"), "line", "on_line")
+    filled = joined.select("wire", "kind", "init", slots.alias("slots"), "line", F.try_element_at("got", F.col("line.on_wire")).alias("on"))
     empty = F.filter("slots", lambda s: s["p1"].isNull())
-    out = lambda p: cells.output(F.col("kind"), F.col("init"), F.transform("slots", lambda s: F.coalesce(s["p1"], F.lit(p))))
-    upto = F.aggregate("slots", F.lit(0), lambda a, s: F.greatest(a, F.coalesce(s["level"], F.lit(0))))
-    direct, on = F.size(empty) == 0, F.col("on_line")
-    p1 = F.when(direct, out(0.0)).when(on.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("line.a") + F.col("line.b") * on["p1"])))
-    level = F.when(direct, upto + 1).when(on.isNotNull(), F.greatest(F.col("line.since"), F.col("line.hops") + on["level"]))
     # a carry chain's two beginnings exclude one another, so that it has no line as long as one of them is open and the other may be 1
     slot = lambda i: F.get("slots", F.lit(i))["p1"]
     open_start = F.col("kind").isin("co", "sum") & ((slot(0).isNull() & (slot(1) > 0)) | (slot(1).isNull() & (slot(0) > 0)))
-    starts = F.col("line").isNull() & (F.size(empty) == 1) & on.isNull() & ~F.coalesce(open_start, F.lit(False))
-    line = F.struct(F.get(empty, F.lit(0))["wire"].alias("on_wire"), out(0.0).alias("a"), (out(1.0) - out(0.0)).alias("b"), F.lit(1).alias("hops"), (upto + 1).alias("since"))
-    return filled.select("wire", "kind", "init", "slots", F.when(starts, line).otherwise(F.col("line")).cast(LINE).alias("line"), p1.alias("p1"), level.cast("int").alias("level"))
+    starts = F.col("line").isNull() & (F.size(empty) == 1) & F.col("on").isNull() & ~F.coalesce(open_start, F.lit(False))
+    upto = F.aggregate("slots", F.lit(0), lambda a, s: F.greatest(a, F.coalesce(s["level"], F.lit(0))))
+    known = filled.select("*", F.get(empty, F.lit(0))["wire"].alias("waits_for"), (F.size(empty) == 0).alias("direct"), starts.alias("starts"), upto.alias("upto"))
+    # the output, and what it would be if the one input that is open were 1
+    both = F.transform(F.array(F.lit(0.0), F.when(F.col("starts"), 1.0).otherwise(0.0)), lambda x: cells.output(F.col("kind"), F.col("init"), F.transform("slots", lambda s: F.coalesce(s["p1"], x))))
+    out = known.withColumn("out", both)
+    zero, one, on = F.get("out", F.lit(0)), F.get("out", F.lit(1)), F.col("on")
+    p1 = F.when(F.col("direct"), zero).when(on.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("line.a") + F.col("line.b") * on["p1"])))
+    level = F.when(F.col("direct"), F.col("upto") + 1).when(on.isNotNull(), F.greatest(F.col("line.since"), F.col("line.hops") + on["level"]))
+    line = F.struct(F.col("waits_for").alias("on_wire"), zero.alias("a"), (one - zero).alias("b"), F.lit(1).alias("hops"), (F.col("upto") + 1).alias("since"))
+    return out.select("wire", "kind", "init", "slots", F.when(F.col("starts"), line).otherwise(F.col("line")).cast(LINE).alias("line"), p1.alias("p1"), level.cast("int").alias("level"))
 
 
 def smallest_on_loops(waiting: DataFrame) -> DataFrame:

@@ -73,6 +73,17 @@ _power = lambda b: f"(SELECT sum(pow(CASE WHEN r > 0.8 THEN r * 16 ELSE r END, 2
 _parity = "SELECT p_partkey AS node_id, (p_partkey % 2)::INT AS part FROM part"
 _escape = lambda s: f"(CASE WHEN starts_with({s}, '\\') THEN {s} WHEN regexp_matches({s}, '\\[[^\\[]*\\]$') THEN '\\' || regexp_replace({s}, '^(.*)(\\[[^\\[]*\\])$', '\\1 \\2') ELSE '\\' || {s} || ' ' END)"
 
+_moves = {
+    "moves": "SELECT node_id, part, 2 * (row_number() OVER (PARTITION BY part ORDER BY gain DESC, node_id) - 1) + part AS place FROM gained WHERE gain >= 0",
+    # a net's pins on the first side before each of its moving pins
+    "moving": "SELECT place, moves.node_id, part, width, cnt_a + cnt_b AS n, cnt_a + coalesce(sum(CASE WHEN part = 0 THEN -1 ELSE 1 END) OVER (PARTITION BY edge_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM pins JOIN moves USING (node_id) JOIN cut USING (edge_id)",
+    "effects": "SELECT node_id, place, sum(width * ((CASE WHEN part = 0 THEN a - 1 ELSE a + 1 END BETWEEN 1 AND n - 1)::INT - (a BETWEEN 1 AND n - 1)::INT)) AS change FROM moving GROUP BY 1, 2",
+}
+_forest = {
+    "parents": "SELECT p_partkey AS node_id, -(p_partkey // 4 + 1) AS super_id FROM part UNION SELECT -(p_partkey // 4 + 1), -(p_partkey // 16 + 1000000001) FROM part UNION SELECT -(p_partkey // 16 + 1000000001), -(p_partkey // 64 + 2000000001) FROM part",
+    "up": "SELECT node_id, super_id AS top, 1 AS height FROM parents UNION ALL SELECT up.node_id, parents.super_id, height + 1 FROM up JOIN parents ON parents.node_id = top",
+}
+
 SQL: dict[str, str] = {
     "hg_pins": sql("SELECT * FROM pins"),
     "hg_degree_hist": sql("SELECT degree, count(*)::BIGINT AS n_edges FROM (SELECT edge_id, count(*)::BIGINT AS degree FROM pins GROUP BY 1) GROUP BY 1"),
@@ -139,10 +150,57 @@ SQL: dict[str, str] = {
         counted="SELECT c.s, count(DISTINCT total)::INT AS n_impls FROM combos c JOIN supers USING (s) WHERE c.at = size AND combinations <= 16 GROUP BY 1",
         taken="SELECT node_id // 4 AS s, [sum(v[1]), sum(v[2]), sum(v[3])]::INT[] AS total FROM chosen GROUP BY 1"),
     "hg_violations": sql("SELECT 0::BIGINT AS short_nets, 0::BIGINT AS uneven_vectors, 0::BIGINT AS bad_choices, (SELECT count(*) FROM chosen WHERE EXISTS (SELECT 1 FROM allowed WHERE chosen.v[res_id + 1] >= 2 * m))::BIGINT AS heavy_nodes"),
-    "fm_partition": "SELECT count(*)::BIGINT AS nodes, 0::BIGINT AS lost, 0::BIGINT AS over, true AS better FROM part",
-    "fm_kway": "SELECT 4::BIGINT AS parts, count(*)::BIGINT AS nodes, 0::BIGINT AS lost, true AS better FROM part",
-    "fm_cost_check": "SELECT 0::BIGINT AS mismatches, 0::BIGINT AS lost, 0::BIGINT AS uneven",
-    "fm_bisect_check": "SELECT true AS better, false AS more_violations, 0::BIGINT AS lost",
+    "fm_partition": sql("SELECT res_id, total, greatest(1, floor(total * 0.05))::BIGINT AS bound, true AS within, 0::BIGINT AS lost, (SELECT count(DISTINCT edge_id) FROM pins)::BIGINT AS nets, true AS better FROM resources"),
+    "fm_kway": sql("SELECT res_id, total, 4::BIGINT AS parts, 0::BIGINT AS lost, true AS better FROM resources"),
+    "fm_cost_check": sql("SELECT r::INT AS run_id, (SELECT count(*) FROM part)::BIGINT AS nodes, true AS same_cost, sum(total) FILTER (res_id = 0)::BIGINT AS total_0, sum(total) FILTER (res_id = 1)::BIGINT AS total_1, sum(total) FILTER (res_id = 2)::BIGINT AS total_2 FROM resources, range(2) t(r) GROUP BY 1"),
+    "fm_bisect_check": sql("SELECT (SELECT count(*) FROM cut WHERE crosses)::BIGINT AS start_cut, true AS better, sum(greatest(0, abs(balance) - m))::BIGINT AS start_over, false AS more_over, 0::BIGINT AS lost FROM allowed"),
+    "fm_from_solution": sql("SELECT (SELECT count(*) FROM cut WHERE crosses)::BIGINT AS cut, sum(greatest(0, abs(balance) - m))::BIGINT AS over, false AS worse, 0::BIGINT AS lost, 0::BIGINT AS changed FROM allowed"),
+    "hg_prefix_curve": sql("SELECT place, node_id, ((SELECT count(*) FROM cut WHERE crosses) + sum(change) OVER (ORDER BY place))::BIGINT AS cut FROM effects", **_moves),
+    "hg_move_effects": sql("SELECT node_id, place, change::DOUBLE AS change FROM effects", **_moves),
+    "hg_proportional_impl": sql(
+        """SELECT node_id, arg_min(idx, {'cost': cost, 'idx': idx})::INT AS sel FROM (
+            SELECT node_id, idx, p[1] * (v[1] / 2000000::DOUBLE) + p[2] * (v[2] / 740741::DOUBLE) + p[3] * (v[3] / 1052632::DOUBLE) AS cost
+            FROM options JOIN prices ON i = 16 + (node_id * 1103515245 + 12345) % 2147483648 // 65536 % 16) GROUP BY 1""",
+        prices="""SELECT 0 AS i, [1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE] AS p UNION ALL
+            SELECT i + 1, list_transform([1, 2, 3], lambda r: p[r] * (1 + share[r] / list_max(share))) FROM (
+                SELECT i, p, [sum(w[1]) / 2000000::DOUBLE, sum(w[2]) / 740741::DOUBLE, sum(w[3]) / 1052632::DOUBLE] AS share FROM (
+                    SELECT i, p, node_id, arg_min(v, {'cost': p[1] * (v[1] / 2000000::DOUBLE) + p[2] * (v[2] / 740741::DOUBLE) + p[3] * (v[3] / 1052632::DOUBLE), 'idx': idx}) AS w FROM prices, options WHERE i < 31 GROUP BY i, p, node_id)
+                GROUP BY i, p)"""),
+    "hg_tops": sql("SELECT node_id, arg_max(top, height) AS top, max(height)::BIGINT AS height FROM up GROUP BY 1", **_forest),
+    "hg_hierarchy": sql(
+        """SELECT res_id, w_a, w_b, w_a - w_b AS balance, w_a + w_b AS total FROM (
+            SELECT r::INT AS res_id, coalesce(sum(v[r + 1]) FILTER (top % 2 = 0), 0)::BIGINT AS w_a, coalesce(sum(v[r + 1]) FILTER (top % 2 <> 0), 0)::BIGINT AS w_b FROM chosen JOIN up USING (node_id), range(3) t(r) WHERE height = 3 GROUP BY 1)""", **_forest),
+    "graph_xml_read": sql("SELECT 'n' || edge_id AS name, (edge_id % 9 + 1)::DOUBLE AS width, count(*)::BIGINT AS n_pins, sum(v[1] + v[2] + v[3])::BIGINT AS weight FROM pins JOIN chosen USING (node_id) GROUP BY edge_id"),
+    "ts_vcd_commands": f"""WITH events_ AS (
+            SELECT user_id % 8 AS dump, user_id::VARCHAR AS signal, epoch_us(ts) - 1704067200000000 AS t, event_id AS seq, CASE WHEN event_type = 'error' THEN 'x' WHEN value > 100 THEN '1' ELSE '0' END AS v FROM events),
+        users AS (SELECT DISTINCT dump, signal FROM events_),
+        parts AS (
+            SELECT dump, 0 AS part, 0 AS t, i AS seq, 4 AS tokens, [{{'kind': 'declaration', 'at': 0, 'word': '$scope', 'value': 'module ' || n}}] AS said FROM (SELECT DISTINCT dump FROM users), (VALUES (0, 'top'), (1, 'dut')) x(i, n)
+            UNION ALL SELECT dump, 1, 0, signal::BIGINT, 6, [{{'kind': 'declaration', 'at': 0, 'word': '$var', 'value': 'wire 1 @' || signal || ' ' || signal}}] FROM users
+            UNION ALL SELECT dump, 2, 0, i, 2, [{{'kind': 'declaration', 'at': 0, 'word': w, 'value': ''}}] FROM (SELECT DISTINCT dump FROM users), (VALUES (0, '$upscope'), (1, '$upscope'), (2, '$enddefinitions')) x(i, w)
+            UNION ALL SELECT dump, 3, t, seq, 2 + (seq % 3 = 0)::INT + 5 * (seq % 5 = 0)::INT, list_concat(
+                [{{'kind': 'time', 'at': 0, 'word': NULL, 'value': NULL}}, {{'kind': 'change', 'at': 1, 'word': '@' || signal, 'value': CASE WHEN seq % 3 = 0 THEN 'b' ELSE '' END || v}}],
+                CASE WHEN seq % 5 = 0 THEN [{{'kind': 'declaration', 'at': 2 + (seq % 3 = 0)::INT, 'word': '$comment', 'value': '#9 1@1 b0'}}] ELSE [] END) FROM events_),
+        placed AS (SELECT *, sum(tokens) OVER (PARTITION BY dump ORDER BY part, t, seq) - tokens AS before FROM parts)
+        SELECT dump, (before + x.at)::BIGINT AS seq, x.kind, t::BIGINT AS t, x.word, x.value FROM (SELECT dump, before, t, unnest(said) AS x FROM placed)""",
+    "ts_vcd_extend": """SELECT p_partkey, substr(reverse(CASE WHEN p_partkey % 4 IN (0, 1) THEN lpad(d, greatest(8, length(d))::INT, d[1]) ELSE lpad(d, greatest(8, length(d))::INT, '0') END), 1, 8) AS bits
+        FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'z' ELSE '' END || bin(p_size) AS d FROM part)""",
+    "verilog_lateral": """SELECT p_partkey, 'LUT2' AS type, port, pos::INT AS pos, CASE port WHEN 'O' THEN 'n' || p_partkey WHEN 'I0' THEN CASE pos WHEN 0 THEN '1''b0' ELSE 'a[' || (p_partkey % 4) || ']' END ELSE 'bus[' || pos || ']' END AS net
+        FROM part, (VALUES ('O', 0), ('I0', 0), ('I0', 1), ('I1', 0), ('I1', 1)) t(port, pos)""",
+    "verilog_file": """SELECT 'wire' AS kind, n || p_partkey AS name, (p_size % 5)::INT AS high, 0 AS low FROM part, (VALUES ('w'), ('v')) t(n) UNION ALL SELECT 'input', 'i' || p_partkey, 0, 0 FROM part""",
+    "verilog_buses": """SELECT p_partkey::VARCHAR AS instance, (unnest(range(p_size % 4 + 3)))::INT AS pos, 'b' || p_partkey || '[' || (unnest(range(p_size % 4 + 3)) - 1) || ']' AS net FROM part WHERE p_partkey % 2 = 0
+        UNION ALL SELECT p_partkey::VARCHAR, 0, 'b' || p_partkey FROM part WHERE p_partkey % 2 = 1""",
+    "fmt_bit_names": "SELECT p_partkey, 'b[' || i || ']' AS bit_name FROM (SELECT p_partkey, unnest(range(least(p_size % 3, p_size % 7 - 3), greatest(p_size % 3, p_size % 7 - 3) + 1)) AS i FROM part)",
+    "fmt_without_parameters": "SELECT p_partkey, 'LUT2 u' || p_partkey || ' (.O(n' || p_partkey || '))' AS line FROM part",
+    "fmt_mst": sql("""SELECT 'V' AS kind, (SELECT count(*) * 2 FROM options)::BIGINT AS n, (SELECT count(*) FROM part)::DOUBLE AS ones UNION ALL SELECT 'X', count(*), count(*) FILTER (crosses) FROM cut
+        UNION ALL SELECT 'C', 2 * count(*), sum((cnt_a > 0)::INT + (cnt_b > 0)::INT) FROM cut"""),
+    "fmt_dumpvars": "SELECT '$dumpvars(0, top.u' || c_custkey || ');' AS value FROM customer",
+    "fmt_chaco_header": """WITH e AS (SELECT DISTINCT l_partkey + 1 AS u, l_suppkey + (SELECT max(p_partkey) FROM part) + 2 AS v, (l_partkey % 9 + 1)::INT AS weight FROM lineitem)
+        SELECT weight, count(*)::BIGINT AS n, sum(u)::BIGINT AS u, (SELECT max(v) FROM e)::BIGINT AS of_nodes, (SELECT count(*) FROM e)::BIGINT AS of_edges FROM e GROUP BY 1""",
+    "sim_chains": """WITH RECURSIVE steps AS (SELECT min(p_partkey) - 1 AS k, 0.5::DOUBLE AS p, 0 AS level FROM part
+            UNION ALL SELECT k + 1, CASE (k + 1) % 3 WHEN 0 THEN p WHEN 1 THEN 1 - p ELSE 1 - (1 - p) * 0.75 END, level + 1 FROM steps WHERE k < (SELECT max(p_partkey) FROM part))
+        SELECT 'w' || k AS wire, round(p, 6)::DOUBLE AS p1, level::INT AS level FROM steps""",
+    "sim_seeded": sql(f"SELECT 'o' || c_custkey AS wire, round(CASE WHEN c_custkey % 3 = 0 THEN 0.0 ELSE coalesce({_biased}, 0.5) END, 9)::DOUBLE AS p1 FROM customer LEFT JOIN dwell ON c_custkey::VARCHAR = signal"),
     "ts_dwell": sql("SELECT * FROM dwell"),
     "ts_stream_dwell": sql("SELECT * FROM dwell"),
     "ts_vcd_dwell": sql("SELECT * FROM dwell"),

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquarry.functions import cells, names, probability, scores
-from netquarry.operators import bisect, dwell, hypergraph, ilp, implementations, kernel, multilevel, propagate, tables
+from netquarry.operators import bisect, dwell, hypergraph, ilp, implementations, multilevel, propagate, tables
 from netquarry.plans import domain as D
-from netquarry.sources import text_formats, vcd, verilog
+from netquarry.sources import graph_xml, text_formats, vcd, verilog
 from netquarry.streaming import trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -325,69 +326,170 @@ def _whole(spark, d):
 
 
 def _spanning(pins, assign):
-    """How many nets have pins in several parts."""
+    """One row, cut: how many nets have pins in several parts."""
     by = pins.join(assign, "node_id").groupBy("edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b"))
-    return by.where("a <> b").count()
+    return by.agg(F.count(F.when(F.col("a") != F.col("b"), 1)).alias("cut"))
 
 
-def partition_quality(spark: SparkSession, d: str) -> dict[str, int]:
-    """The whole graph in two: nodes, nodes that lack or come twice, resources over their bounds, nets cut, and nets cut by the best of 32 hashed splits."""
+def _lost(weights, parts):
+    """One row, lost: nodes that lack or come twice."""
+    once = parts.groupBy("node_id").agg(F.count("*").alias("n")).where("n = 1")
+    return weights.join(once, "node_id", "left_anti").agg(F.count("*").alias("lost"))
+
+
+def _by_resource(state, weights, share):
+    """(res_id, total, bound, balance) of a bipartition (node_id, side)."""
+    return bisect.balances(state.join(weights, "node_id").select("side", F.posexplode("weight").alias("res_id", "w")), [], share)
+
+
+#: What a round of moves has to gain, as a share of the cut, in the queries over whole tables; and the passes of the kernel's first starts.
+WORTH, PASSES = 0.01, 3
+
+
+def _halves(spark, d):
+    """(weights, pins, the whole graph in two)."""
     weights, pins, edges = _whole(spark, d)
-    state = tables.settle(multilevel.bisection(weights, pins, edges, n_runs=2, rounds=1))
+    o = replace(multilevel.options_for(weights), max_passes=PASSES)
+    return weights, pins, tables.settle(multilevel.bisection(weights, pins, edges, n_runs=2, o=o, worth=WORTH))
+
+
+def partition_quality(spark: SparkSession, d: str) -> dict[str, int]:
+    """The whole graph in two: nodes, nodes that lack or come twice, by how much resources are over their bounds, nets cut, and nets cut by the best of 32 hashed splits."""
+    weights, pins, state = _halves(spark, d)
     over = bisect.violations(state, weights).agg(F.sum("over")).first()[0] or 0
-    lost = weights.join(state.groupBy("node_id").count().where("count = 1"), "node_id", "left_anti").count()
     random = _run_costs(spark, d).agg(F.min("cost")).first()[0] or 0
-    cut = _spanning(pins, state.select("node_id", F.col("side").alias("part")))
-    return {"nodes": state.count(), "lost": lost, "over": int(over), "cut": cut, "random": int(random)}
+    cut = _spanning(pins, state.select("node_id", F.col("side").alias("part"))).first().cut
+    return {"nodes": state.count(), "lost": _lost(weights, state).first().lost, "over": int(over), "cut": cut, "random": int(random)}
 
 
 @query
 def fm_partition(spark, d):
-    """What partition_quality() finds, with the cut as whether it beats the hashed splits."""
-    q = partition_quality(spark, d)
-    return spark.createDataFrame([(q["nodes"], q["lost"], q["over"], q["cut"] < q["random"] or not q["cut"])], "nodes long, lost long, over long, better boolean")
+    """The whole graph in two, by resource: what there is of it in both parts together, the bound on its imbalance, whether it is kept; nodes lost, and whether the cut beats 32 hashed splits."""
+    weights, pins, state = _halves(spark, d)
+    by = _by_resource(state, weights, (bisect.SHARE,)).select("res_id", "total", "bound", (F.abs("balance") <= F.col("bound")).alias("within"))
+    cut = _spanning(pins, state.select("node_id", F.col("side").alias("part")))
+    random = _run_costs(spark, d).agg(F.min("cost").alias("random"))
+    nets = pins.agg(F.count_distinct("edge_id").alias("nets"))
+    found = by.crossJoin(_lost(weights, state)).crossJoin(nets).crossJoin(cut).crossJoin(random)  # single rows
+    return found.select("res_id", "total", "bound", "within", "lost", "nets", ((F.col("cut") < F.col("random")) | (F.col("cut") == 0)).alias("better"))
 
 
 @query
 def fm_cost_check(spark, d):
-    """Runs whose reported cost differs from the cut that the DataFrame metrics count over all nets, and nodes lost."""
+    """By run: whether the reported cost is the cut that the DataFrame metrics count over all nets; nodes, and nodes lost; what the clusters weigh together."""
     weights, pins, edges = _whole(spark, d)
     weights = weights.withColumn("group_id", F.lit(0).cast("long"))
     clusters, level = multilevel.coarsen(weights, pins, edges)
-    runs = tables.settle(multilevel.coarse_runs(clusters, level, pins, edges, 2, kernel.Options(policy="largest_gain", rebalance=True)))
+    runs = tables.settle(multilevel.coarse_runs(clusters, level, pins, edges, 2, replace(multilevel.options_for(weights), rebalance=True, max_passes=1)))
     found = clusters.join(runs.select("run_id", F.col("node_id").alias("super_id"), "part"), "super_id")
     cut = pins.join(found.select("run_id", "node_id", "part"), "node_id").groupBy("run_id", "edge_id").agg(F.min("part").alias("a"), F.max("part").alias("b"))
     cost = cut.groupBy("run_id").agg(F.count(F.when(F.col("a") != F.col("b"), 1)).cast("double").alias("counted"))
-    by = runs.groupBy("run_id").agg(F.max("cost").alias("cost")).join(cost, "run_id", "left")
-    lost = weights.select("node_id").join(found.select("node_id"), "node_id", "left_anti").agg(F.count("*").alias("lost"))
-    # a cluster weighs what its nodes weigh together
-    parts = clusters.join(weights, "node_id").select(F.col("super_id").alias("node_id"), F.posexplode("weight").alias("res_id", "w")).groupBy("node_id", "res_id").agg(F.sum("w").alias("w"))
-    whole = level.select("node_id", F.posexplode("weight").alias("res_id", "of_cluster")).join(parts, ["node_id", "res_id"], "full_outer")
-    uneven = whole.agg(F.count(F.when(~F.col("w").eqNullSafe(F.col("of_cluster")), 1)).alias("uneven"))
-    return by.agg(F.count(F.when(F.abs(F.col("cost") - F.coalesce("counted", F.lit(0.0))) > 1e-6, 1)).alias("mismatches")).crossJoin(lost).crossJoin(uneven)  # three single rows
+    by = found.groupBy("run_id").agg(F.count_distinct("node_id").alias("nodes")).join(runs.groupBy("run_id").agg(F.max("cost").alias("cost")), "run_id").join(cost, "run_id", "left")
+    heavy = level.agg(*[F.sum(F.get("weight", F.lit(r))).alias(f"total_{r}") for r in range(3)])
+    sound = F.abs(F.col("cost") - F.coalesce("counted", F.lit(0.0))) < 1e-6
+    return by.crossJoin(heavy).select("run_id", "nodes", sound.alias("same_cost"), "total_0", "total_1", "total_2")  # a single row
 
 
 @query
 def fm_kway(spark, d):
-    """Four parts of the whole graph: parts, nodes that lack or come twice, and whether fewer nets span parts than with hashed parts."""
+    """Four parts of the whole graph, by resource: what there is of it in all parts, parts, nodes lost, and whether fewer nets span parts than with hashed parts."""
     weights, pins, edges = _whole(spark, d)
-    parts = tables.settle(multilevel.kway(weights, pins, edges, levels=2, n_runs=1, rounds=1))
-    lost = weights.join(parts.groupBy("node_id").count().where("count = 1"), "node_id", "left_anti").count()
+    o = replace(multilevel.options_for(weights), max_passes=1)
+    parts = tables.settle(multilevel.kway(weights, pins, edges, levels=2, n_runs=1, rounds=1, o=o))
     hashed = weights.select("node_id", F.pmod(F.xxhash64("node_id"), F.lit(4)).alias("part"))
-    better = _spanning(pins, parts) < _spanning(pins, hashed)
-    return spark.createDataFrame([(parts.select("part").distinct().count(), parts.count(), lost, better)], "parts long, nodes long, lost long, better boolean")
+    by = parts.join(weights, "node_id").select("part", F.posexplode("weight").alias("res_id", "w")).groupBy("res_id").agg(F.sum("w").cast("long").alias("total"), F.count_distinct("part").alias("parts"))
+    found = by.crossJoin(_lost(weights, parts)).crossJoin(_spanning(pins, parts)).crossJoin(_spanning(pins, hashed).withColumnRenamed("cut", "of_hashed"))  # single rows
+    return found.select("res_id", "total", "parts", "lost", (F.col("cut") < F.col("of_hashed")).alias("better"))
+
+
+def _parity(spark, d):
+    return D.assign(spark, d).select("node_id", F.lit(0).cast("long").alias("group_id"), F.col("part").alias("side"))
 
 
 @query
 def fm_bisect_check(spark, d):
-    """Whether distributed refinement is better than its start, breaks no more bounds and keeps every node."""
-    weights, pins, edges = hypergraph.selected(D.nodes(spark, d)), D.pins(spark, d), D.edges(spark, d)
-    start = bisect.start(weights)
-    end = bisect.refine(start, weights, pins, edges, rounds=6)
-    cost = lambda a: hypergraph.cut_metrics(pins, a.select("node_id", F.col("side").alias("part")), edges).first().n_cut
-    over = lambda a: bisect.violations(a, weights).agg(F.sum("over")).first()[0]
-    lost = weights.join(end, "node_id", "left_anti").count()
-    return spark.createDataFrame([(bool(cost(end) < cost(start) or over(end) < over(start)), bool(over(end) > over(start)), int(lost))], "better boolean, more_violations boolean, lost long")
+    """Rounds of batch moves from even and odd nodes: the cut before, whether it is less after, excess over the bounds before, whether there is more after, nodes lost."""
+    weights, pins, edges = _whole(spark, d)
+    start = tables.settle(_parity(spark, d))
+    end = bisect.refine(start, weights, pins, edges, rounds=2)
+    over = lambda x, name: _by_resource(x.drop("group_id"), weights, (bisect.SHARE,)).agg(F.sum(bisect.over(F.col("balance"), F.col("bound"))).alias(name))
+    cut = lambda x, name: _spanning(pins, x.select("node_id", F.col("side").alias("part"))).withColumnRenamed("cut", name)
+    start = tables.settle(_parity(spark, d))
+    found = cut(start, "start_cut").crossJoin(cut(end, "end_cut")).crossJoin(over(start, "start_over")).crossJoin(over(end, "end_over")).crossJoin(_lost(weights, end))  # single rows
+    better = (F.col("end_cut") < F.col("start_cut")) | (F.col("end_over") < F.col("start_over"))
+    return found.select("start_cut", better.alias("better"), "start_over", (F.col("end_over") > F.col("start_over")).alias("more_over"), "lost")
+
+
+@query
+def hg_prefix_curve(spark, d):
+    """The cut after each of a batch of moves from even and odd nodes: all that lose nothing, the best of both sides by turns."""
+    rows = tables.settle(bisect.sided(_parity(spark, d), D.pins(spark, d), D.edges(spark, d)))
+    moves = tables.settle(bisect.ordered(bisect.gains(rows).where("gain >= 0")))
+    start = _spanning(D.pins(spark, d), D.assign(spark, d))
+    found = bisect.curve(bisect.effects(rows, moves)).crossJoin(start)  # a single row
+    return found.select("place", "node_id", (F.col("cut") + F.col("so_far")).cast("long").alias("cut"))
+
+
+@query
+def hg_move_effects(spark, d):
+    """What each of these moves does to the cut at its turn."""
+    rows = tables.settle(bisect.sided(_parity(spark, d), D.pins(spark, d), D.edges(spark, d)))
+    return bisect.effects(rows, tables.settle(bisect.ordered(bisect.gains(rows).where("gain >= 0")))).select("node_id", "place", "change")
+
+
+@query
+def fm_from_solution(spark, d):
+    """The even and odd nodes as solution files in both forms, read back, and improved: the cut that was read, whether the improved one is higher, nodes lost, choices that came back changed."""
+    weights, pins, edges = _whole(spark, d)
+    nodes = D.nodes(spark, d)
+    written = tables.settle(ilp.solution(nodes, pins, edges, D.assign(spark, d)))
+    forms = [text_formats.scip_lines(written, dense=False), text_formats.mst_lines(written)]
+    read = [tables.settle(ilp.assignment(nodes, text_formats.solution_values(x.select("value")))) for x in forms]
+    found = multilevel.runs(nodes, pins, edges, 1, replace(multilevel.options_for(weights), max_passes=1), given=read[0], rounds=1)
+    changed = read[1].join(nodes.select("node_id", F.col("sel").alias("was")), "node_id").agg(F.count(F.when((F.col("sel") != F.col("was")) | (F.col("part") != F.col("node_id") % 2), 1)).alias("changed"))
+    after = _spanning(pins, found.select("node_id", "part")).withColumnRenamed("cut", "after")
+    all_ = _spanning(pins, read[0].select("node_id", "part")).crossJoin(after).crossJoin(_lost(weights, found)).crossJoin(changed)  # single rows
+    over = lambda x: _by_resource(x, weights, (bisect.SHARE,)).agg(F.sum(bisect.over(F.col("balance"), F.col("bound"))).alias("over"))
+    more = over(found.select("node_id", F.col("part").alias("side"))).withColumnRenamed("over", "over_after").crossJoin(over(read[0].select("node_id", F.col("part").alias("side"))))
+    all_ = all_.crossJoin(more)
+    worse = (F.col("over_after") > F.col("over")) | (F.col("over_after") == F.col("over")) & (F.col("after") > F.col("cut"))
+    return all_.select("cut", "over", worse.alias("worse"), "lost", "changed")
+
+
+@query
+def hg_hierarchy(spark, d):
+    """Supernodes of four, sixteen and sixty-four cells: the balance of the leaves that the highest ones hold, by resource."""
+    nodes, parents = D.nodes(spark, d), _levels(spark, d)
+    top = parents.where(F.col("super_id") < -2_000_000_000).select(F.col("super_id").alias("node_id")).distinct()
+    return hypergraph.hierarchy_balance(hypergraph.selected(nodes), parents, top.select("node_id", (-F.col("node_id") % 2).cast("int").alias("part")))
+
+
+def _levels(spark, d):
+    """(node_id, super_id) over three levels; a supernode's number is below zero, and says its level."""
+    k = D.table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    number = lambda level, size: -(F.floor(F.col("k") / size) + 1_000_000_000 * level + 1).cast("long")
+    one = k.select(F.col("k").cast("long").alias("node_id"), number(0, 4).alias("super_id"))
+    two, three = (k.select(number(i, 4 ** (i + 1)).alias("node_id"), number(i + 1, 4 ** (i + 2)).alias("super_id")).distinct() for i in (0, 1))
+    return one.unionByName(two).unionByName(three)
+
+
+@query
+def hg_tops(spark, d):
+    """Every cell and supernode with its highest ancestor and how far up that is."""
+    return hypergraph.tops(_levels(spark, d))
+
+
+@query
+def graph_xml_read(spark, d):
+    """Parts and orders written as a graph in XML, and read again: nets with their weight and pins."""
+    nodes = D.nodes(spark, d).select("node_id", F.concat(F.lit("p"), F.col("node_id").cast("string")).alias("name"), F.get("impls", F.col("sel")).alias("weight"))
+    pins = D.pins(spark, d).select(F.concat(F.lit("n"), F.col("edge_id").cast("string")).alias("edge"), "node_id")
+    edges = D.edges(spark, d).select(F.concat(F.lit("n"), F.col("edge_id").cast("string")).alias("name"), (F.col("edge_id") % 9 + 1).alias("width"))
+    place = f"{tables.shared_folder(spark).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    graph_xml.lines(nodes, pins, edges).write.text(place)
+    back, of, nets = graph_xml.read(spark, place)
+    weight = back.select("node_id", F.aggregate(F.get("impls", F.lit(0)), F.lit(0), lambda a, x: a + x).alias("w"))
+    return of.join(weight, "node_id").join(nets, "edge_id").groupBy("name", "width").agg(F.count("*").alias("n_pins"), F.sum("w").alias("weight"))
 
 
 # -- traces --------------------------------------------------------------------------
@@ -475,23 +577,50 @@ def ts_stream_windows(spark, d):
     return trace.stream_windows(spark, d)
 
 
+#: Dumps that the events are written to.
+DUMPS = 8
+
+
+def _dumps(spark, d):
+    """The events as value change dumps, one for each remainder of the users; the place they are at.
+
+    Changes are scalars, or vectors whose code stands on the next line; every fifth event is followed by a comment over two
+    lines that looks like changes. Each dump is one file, written by a task of its own.
+    """
+    found = tables.settle(D.changes(spark, d).withColumn("dump", F.col("signal").cast("long") % DUMPS))
+    var = found.select("dump", "signal").distinct().select("dump", F.lit(1).alias("part"), F.lit(0).cast("long").alias("t"), F.col("signal").cast("long").alias("seq"), F.concat(F.lit("$var wire 1 @"), "signal", F.lit(" "), "signal", F.lit(" $end")).alias("value"))
+    frame = [(0, 0, 0, "$scope module top $end"), (0, 0, 1, "$scope module dut $end"), (2, 0, 0, "$upscope $end"), (2, 0, 1, "$upscope $end"), (2, 0, 2, "$enddefinitions $end")]
+    head = spark.createDataFrame(frame, "part int, t long, seq long, value string").crossJoin(found.select("dump").distinct())  # five rows for each dump
+    change = F.when(F.col("seq") % 3 == 0, F.concat(F.lit("b"), "v", F.lit("\n@"), "signal")).otherwise(F.concat("v", F.lit("@"), "signal"))
+    comment = F.when(F.col("seq") % 5 == 0, F.lit("\n$comment #9\n1@1 b0 $end")).otherwise("")
+    body = found.select("dump", F.lit(3).alias("part"), "t", "seq", F.concat(F.lit("#"), F.col("t").cast("string"), F.lit("\n"), change, comment).alias("value"))
+    place = f"{tables.shared_folder(spark).rstrip('/')}/dumps-{uuid.uuid4().hex}"
+    every = head.unionByName(var).unionByName(body)
+    every.repartition(DUMPS, "dump").sortWithinPartitions("dump", "part", "t", "seq").select("dump", "value").write.partitionBy("dump").text(place)
+    return f"{place}/dump=*"
+
+
 @query
 def ts_vcd_dwell(spark, d):
-    """The events written as a value change dump, read again in splits, and dwell times of what was read."""
-    found = tables.settle(D.changes(spark, d))
-    users = found.select("signal").distinct()
-    var = users.select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("$var wire 1 ! "), "signal", F.lit(" $end")).alias("value"))
-    var = var.withColumn("value", F.regexp_replace("value", r"! (\S+)", "@$1 $1"))
-    frame = [(0, 0, 0, "$scope module top $end"), (0, 0, 1, "$scope module dut $end"), (2, 0, 0, "$upscope $end"), (2, 0, 1, "$upscope $end"), (2, 0, 2, "$enddefinitions $end")]
-    head = spark.createDataFrame(frame, "part int, t long, seq long, value string")
-    body = found.select(F.lit(3).alias("part"), "t", "seq", F.concat(F.lit("#"), F.col("t").cast("string"), F.lit("\n"), "v", F.lit("@"), "signal").alias("value"))
-    place = f"{tables.shared_folder(spark).rstrip('/')}/dump-{uuid.uuid4().hex}"
-    # a dump is one file in order of time
-    head.unionByName(var).unionByName(body).repartition(1).sortWithinPartitions("part", "t", "seq", "value").select("value").write.text(place)
-    changes = vcd.read(spark, place)
+    """The events written as value change dumps, read again in splits, and dwell times of what was read."""
+    changes = vcd.read(spark, _dumps(spark, d))
     return dwell.dwell(dwell.intervals(changes.select("signal", "bit", "t", "seq", "v"), D.trace_end(spark, d)))
 
 
+@query
+def ts_vcd_commands(spark, d):
+    """Every command of these dumps."""
+    found = vcd.commands(spark, _dumps(spark, d))
+    return found.select(F.regexp_extract("file", "dump=(\\d+)", 1).cast("long").alias("dump"), "seq", "kind", "t", "word", "value")
+
+
+@query
+def ts_vcd_extend(spark, d):
+    """Values of fewer digits than their variable has, at full width, lowest bit first."""
+    digits = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("x"), F.bin("p_size"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.lit("Z"), F.bin("p_size"))).otherwise(F.bin("p_size"))
+    return D.table(spark, d, "part").select("p_partkey", vcd.extended(digits, F.lit(8)).alias("bits"))
+
+
 # -- formats ----------------------------------------------------------------------------
 
 
@@ -638,6 +767,80 @@ def verilog_parse(spark, d):
     return verilog.instances(D.table(spark, d, "part").select(line.alias("value"))).groupBy("type", "port").agg(F.count("*").alias("n"), F.count_distinct("instance").alias("instances"), F.count_distinct("net").alias("nets"))
 
 
+@query
+def verilog_lateral(spark, d):
+    """The same statements through the table function, in SQL."""
+    k = F.col("p_partkey").cast("string")
+    line = F.concat(F.lit("LUT2 #(.INIT(4'h8)) \\u"), k, F.lit(" (.O(n"), k, F.lit("), .I0({a["), (F.col("p_partkey") % 4).cast("string"), F.lit("], 1'b0}), .I1(bus[1:0]))"))
+    verilog.register(spark)
+    lines = D.table(spark, d, "part").select("p_partkey", line.alias("value"))
+    return spark.sql("SELECT p_partkey, p.type, p.port, p.pos, p.net FROM {lines}, LATERAL connections(value) p", lines=lines)
+
+
+@query
+def verilog_file(spark, d):
+    """Parts as a Verilog file of statements with comments between and inside them, read in splits: nets with their bounds."""
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("/* ; */ wire ["), (F.col("p_size") % 5).cast("string"), F.lit(":0]\n  w"), k, F.lit(", // c;\n  v"), k, F.lit(" ; (* a;\n b *) input i"), k, F.lit(";"))
+    place = f"{tables.shared_folder(spark).rstrip('/')}/verilog-{uuid.uuid4().hex}"
+    D.table(spark, d, "part").select(text.alias("value")).write.text(place)
+    found = verilog.nets(verilog.statements(spark, place))
+    return found.select("kind", F.trim("name").alias("name"), "high", "low")
+
+
+@query
+def verilog_buses(spark, d):
+    """Pins that name whole buses, as their bits."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("b"), k.cast("string"))
+    pins = D.table(spark, d, "part").select(F.lit("T").alias("type"), k.cast("string").alias("instance"), F.lit("A").alias("port"), F.lit(0).alias("pos"), name.alias("net"))
+    declared = D.table(spark, d, "part").where(k % 2 == 0).select(name.alias("name"), (F.col("p_size") % 4 + 1).alias("high"), F.lit(-1).alias("low"))
+    return verilog.expand_buses(pins, declared).select("instance", "pos", "net")
+
+
+@query
+def fmt_bit_names(spark, d):
+    return D.table(spark, d, "part").select("p_partkey", F.explode(names.bit_names(F.lit("b"), F.col("p_size") % 3, F.col("p_size") % 7 - 3)).alias("bit_name"))
+
+
+@query
+def fmt_without_parameters(spark, d):
+    k = F.col("p_partkey").cast("string")
+    line = F.concat(F.lit("LUT2 #(.INIT(4'h"), F.hex(F.col("p_partkey") % 16), F.lit("), .A(1)) u"), k, F.lit(" (.O(n"), k, F.lit("))"))
+    return D.table(spark, d, "part").select("p_partkey", names.without_parameters(line).alias("line"))
+
+
+@query
+def fmt_mst(spark, d):
+    """Solutions as a starting point for a solver, read again."""
+    nodes, pins, edges = _ilp(spark, d)
+    lines = text_formats.mst_lines(ilp.solution(nodes, pins, edges, D.assign(spark, d)))
+    return text_formats.solution_values(lines.select("value")).groupBy(F.substring("name", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.sum("value").alias("ones"))
+
+
+@query
+def fmt_dumpvars(spark, d):
+    return vcd.dumpvars(D.table(spark, d, "customer").select(F.concat(F.lit("top.u"), F.col("c_custkey").cast("string")).alias("signal")))
+
+
+@query
+def fmt_chaco_header(spark, d):
+    """A graph file of the parts and their suppliers with its header, written and read again in splits, checked against it."""
+    edges = D.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    n = D.table(spark, d, "part").agg(F.max("p_partkey").alias("n"))
+    pairs = edges.crossJoin(n).select((F.col("l_partkey") + 1).alias("u"), (F.col("l_suppkey") + F.col("n") + 2).alias("v"), (F.col("l_partkey") % 9 + 1).cast("int").alias("weight"))  # a single row
+    most = pairs.agg(F.max("v").alias("most"), F.count("*").alias("m"))
+    nodes = most.select(F.explode(F.sequence(F.lit(1).cast("long"), "most")).alias("node_id")).withColumn("weight", (F.col("node_id") % 5).cast("int"))
+    place = f"{tables.shared_folder(spark).rstrip('/')}/chaco-{uuid.uuid4().hex}"
+    head = most.select(F.lit(0).cast("long").alias("node_id"), F.concat_ws(" ", F.col("most").cast("string"), F.col("m").cast("string"), F.lit("11")).alias("value"))
+    # a graph is one file in the order of its nodes
+    head.unionByName(text_formats.chaco_lines(nodes, pairs, 11)).coalesce(1).sortWithinPartitions("node_id").select("value").write.text(place)
+    lines = text_formats.numbered_lines(spark, place)
+    n, m, mode = text_formats.chaco_header(lines.where("line_no = 0").first().value)
+    back = text_formats.chaco_edges(lines.where("line_no > 0").select(F.col("line_no").alias("node_id"), "value"), mode)
+    return back.groupBy("weight").agg(F.count("*").alias("n"), F.sum("u").alias("u")).select("weight", "n", "u", F.lit(n).cast("long").alias("of_nodes"), F.lit(m).cast("long").alias("of_edges"))
+
+
 # -- simulation ----------------------------------------------------------------------------
 
 
@@ -720,6 +923,33 @@ def sim_cells_propagate(spark, d):
     return found.where("wire <> 'low' AND wire <> 'CLK'").select("wire", F.round("p1", 9).alias("p1"))
 
 
+@query
+def sim_chains(spark, d):
+    """A chain through all parts, each a look-up table of the one before and of a constant, some of them inverters or registers: as deep as the table is long."""
+    k = F.col("p_partkey")
+    name = lambda x: F.concat(F.lit("w"), x.cast("string"))
+    kind = F.when(k % 3 == 0, "pass").otherwise("lut")
+    init = F.when(k % 3 == 1, 1).otherwise(14).cast("long")  # an inverter, or an or with a wire of 0.25
+    inputs = F.when(k % 3 == 2, F.array(name(k - 1), F.lit("side"))).otherwise(F.array(name(k - 1)))
+    gates = D.table(spark, d, "part").select(name(k).alias("wire"), kind.alias("kind"), init.alias("init"), inputs.alias("inputs"))
+    least = D.table(spark, d, "part").agg(F.min("p_partkey").alias("k"))
+    seeds = least.select(name(F.col("k") - 1).alias("wire"), F.lit(0.5).alias("p1")).unionByName(spark.createDataFrame([("side", 0.25)], "wire string, p1 double"))
+    found = propagate.propagate(gates, seeds).where("wire <> 'side'")
+    return found.select("wire", F.round("p1", 6).alias("p1"), "level")
+
+
+@query
+def sim_seeded(spark, d):
+    """Probabilities from dwell times as seeds of wires, with the constant wires; wires that nothing names are unknown."""
+    counted = text_formats.counts(text_formats.count_lines(dwell.dwell(D.held(spark, d)).withColumn("slice", F.lit(0))))
+    n = F.col("c_custkey").cast("string")
+    gates = D.table(spark, d, "customer").select(F.concat(F.lit("o"), n).alias("wire"), F.lit(8).cast("long").alias("init"), F.array(F.concat(n, F.lit("[0]")), F.when(F.col("c_custkey") % 3 == 0, "\\<const0> ").otherwise("\\<const1> ")).alias("inputs"))
+    wires = gates.select(F.explode("inputs").alias("wire")).distinct()
+    seeds = text_formats.p1_from_counts(counted, wires).unionByName(spark.createDataFrame([("\\<const0> ", 0.0), ("\\<const1> ", 1.0)], "wire string, p1 double"))
+    found = propagate.propagate(gates, seeds)
+    return found.where("wire LIKE 'o%'").select("wire", F.round("p1", 9).alias("p1"))
+
+
 # -- integer program -------------------------------------------------------------------------
 
 

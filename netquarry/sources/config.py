@@ -1,4 +1,4 @@
-"""Partitioner configuration and netlists in XML."""
+"""Partitioner configuration in XML, and weights made up for graphs that have none."""
 
 from __future__ import annotations
 
@@ -77,11 +77,6 @@ def read_config(text: str) -> Config:
     return c
 
 
-def graph_xml(spark: SparkSession, path: str, row_tag: str = "node") -> DataFrame:
-    """Elements of a graph file as rows, through Spark's XML source."""
-    return spark.read.format("xml").option("rowTag", row_tag).load(path)
-
-
 def resources(spark: SparkSession, c: Config) -> DataFrame:
     """(res_id, capacity, ratio_weight, max_imbalance)"""
     return spark.createDataFrame([(i, *x) for i, x in enumerate(zip(c.capacity, c.ratio, c.share))], "res_id int, capacity long, ratio_weight int, max_imbalance double")

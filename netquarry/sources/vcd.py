@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netquarry.operators.tables import settle
@@ -215,17 +215,23 @@ def headers(found: DataFrame) -> DataFrame:
     return first.select("file", "code", "v.*")
 
 
+def extended(digits: Column, width: Column) -> Column:
+    """A vector's bits at full width, lowest first: x and z go on, other digits get zeros; digits beyond the width are cut."""
+    value = F.lower(digits)
+    first = F.substring(value, 1, 1)
+    fill = F.when(first.isin("x", "z"), first).otherwise("0")
+    return F.substring(F.reverse(F.concat(F.repeat(fill, F.greatest(width - F.length(value), F.lit(0))), value)), F.lit(1), width)
+
+
 def changed(found: DataFrame) -> DataFrame:
     """(file, signal, bit, t, seq, v): the value changes of commands(), bit by bit; reals and untracked codes are passed over.
 
     A vector's value is made as wide as its variable: x and z go on, other digits get zeros.
     """
-    digits = F.lower(F.regexp_replace("value", "^[bB]", ""))
+    digits = F.regexp_replace("value", "^[bB]", "")
     vectors = found.where((F.col("kind") == "change") & ~F.lower(F.substring("value", 1, 1)).isin("r")).select("file", "seq", "t", F.col("word").alias("code"), digits.alias("value"))
     known = vectors.join(headers(found), ["file", "code"])
-    fill = F.when(F.substring("value", 1, 1).isin("x", "z"), F.substring("value", 1, 1)).otherwise("0")
-    full = F.reverse(F.concat(F.repeat(fill, F.greatest(F.col("width") - F.length("value"), F.lit(0))), "value"))  # lowest bit first
-    bits = F.posexplode(F.slice(F.split(full, ""), 1, F.col("width"))).alias("at", "v")
+    bits = F.posexplode(F.slice(F.split(extended(F.col("value"), F.col("width")), ""), 1, F.col("width"))).alias("at", "v")
     return known.select("file", "signal", "t", "seq", "low", bits).select("file", "signal", (F.col("low") + F.col("at")).alias("bit"), "t", "seq", "v")
 
 

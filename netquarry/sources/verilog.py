@@ -229,6 +229,34 @@ def parse(text: str) -> tuple[str, str, dict[str, str], list[tuple[str, list[str
     return kind, instance, params, list(r.connections())
 
 
+def connected_bits(text: str | None) -> list[tuple]:
+    """(type, instance, params, port, pos, net) of an instantiation's connected bits, the lowest of a port first.
+
+    An unconnected port has a row without a net; a statement that can't be parsed a single one, with its text as type.
+    """
+    try:
+        kind, instance, params, connected = parse(text or "")
+    except ValueError:
+        return [(text, None, {}, None, None, None)]
+    return [row for port, bits in connected for row in [(kind, instance, params, port, i, net) for i, net in enumerate(reversed(bits))] or [(kind, instance, params, port, None, None)]]
+
+
+PINS = "type string, instance string, params map<string,string>, port string, pos int, net string"
+
+
+@F.udtf(returnType=PINS)
+class Connections:
+    """connected_bits() as a table function, for lateral joins: `SELECT p.* FROM statements, LATERAL connections(value) p`."""
+
+    def eval(self, value: str):
+        yield from connected_bits(value)
+
+
+def register(spark: SparkSession, name: str = "connections") -> None:
+    """Makes the table function known to SQL."""
+    spark.udtf.register(name, Connections)
+
+
 def instances(rows: DataFrame) -> DataFrame:
     """(type, instance, params, port, pos, net) of instantiations (value): a row for each connected bit, lowest first.
 
@@ -236,19 +264,11 @@ def instances(rows: DataFrame) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column("value").to_pylist():
-                try:
-                    kind, instance, params, connected = parse(text or "")
-                except ValueError:
-                    out.append((text, None, [], None, None, None))
-                    continue
-                for port, bits in connected:
-                    out += [(kind, instance, list(params.items()), port, i, net) for i, net in enumerate(reversed(bits))] or [(kind, instance, list(params.items()), port, None, None)]
+            out = [(*row[:2], list(row[2].items()), *row[3:]) for text in batch.column("value").to_pylist() for row in connected_bits(text)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["type", "instance", "params", "port", "pos", "net"])
 
     kinds = [pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.string()]
-    return rows.select("value").mapInArrow(run, "type string, instance string, params map<string,string>, port string, pos int, net string")
+    return rows.select("value").mapInArrow(run, PINS)
 
 
 def parsed(found: DataFrame) -> DataFrame:

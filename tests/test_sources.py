@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netquarry import cli
 from netquarry.operators import dwell, ilp, tables
-from netquarry.sources import config, text_formats, vcd, verilog
+from netquarry.sources import config, graph_xml, text_formats, vcd, verilog
 
 VCD = """$date today $end
 $scope module top $end
@@ -171,6 +171,11 @@ def test_config():
     assert o.policy == "best_gain_imbalance_classic" and o.adaptive and o.rebalance and o.mutation_rate == 7
     with pytest.raises(ValueError):
         config.read_config(CONFIG.replace("500", "-5"))
+    with pytest.raises(ValueError, match="use_magic"):
+        config.read_config(CONFIG.replace("<use_adaptive_implementations/>", "<use_magic/>"))
+    more = config.read_config(CONFIG.replace("<use_adaptive_implementations/>", "<use_ratio_in_score/>").replace("<rebalance_on_start_of_pass/>", "<rebalance_on_demand><rebalance_on_demand_cap_per_run>3</rebalance_on_demand_cap_per_run><rebalance_on_demand_cap_per_pass>2</rebalance_on_demand_cap_per_pass></rebalance_on_demand>").replace(
+        "<mutation_options>", "<restrict_supernodes_to_default_implementation/><reuse_previous_run_implementations/><mutation_options>").replace("<general_configuration>", "<general_configuration><use_ratio_as_quality_metric/>")).options
+    assert more.ratio_in_score and more.ratio_as_quality and more.rebalance_on_demand and (more.demand_per_run, more.demand_per_pass) == (3, 2) and more.reuse_implementations and more.supernode_cap == 1 and not more.adaptive
 
 
 def test_entropy_files(spark):
@@ -201,8 +206,19 @@ def test_weights_command(spark, tmp_path):
 
 
 def test_graph_xml(spark, tmp_path):
-    (tmp_path / "g.xml").write_text("<graph><node><id>1</id><name>a</name></node><node><id>2</id><name>b</name></node></graph>")
-    assert {(r.id, r.name) for r in config.graph_xml(spark, str(tmp_path / "g.xml")).collect()} == {(1, "a"), (2, "b")}
+    weights = "<resource_weights><lut_factor>3</lut_factor><dsp_factor>0</dsp_factor><bram_factor>1</bram_factor></resource_weights>"
+    (tmp_path / "g.xml").write_text(f"""<graph>
+      <node><name>a</name>{weights}<source_edges><name>e1</name></source_edges><sink_edges><name>e2</name><name>e1</name></sink_edges></node>
+      <node><name>b</name><source_edges><name>e2</name></source_edges><sink_edges><name>e3</name></sink_edges></node>
+      <port><name>p</name><sink_edge>e3</sink_edge></port>
+      <edge><name>e1</name><weight>2</weight></edge><edge><name>e2</name><weight>1</weight></edge><edge><name>e3</name><weight>4</weight></edge></graph>""")
+    nodes, pins, edges = graph_xml.read(spark, str(tmp_path / "g.xml"))
+    name, net = ({r[0]: r.name for r in x.collect()} for x in (nodes, edges))
+    assert {(net[r.edge_id], name[r.node_id]) for r in pins.collect()} == {("e1", "a"), ("e2", "a"), ("e2", "b"), ("e3", "b"), ("e3", "p")} and pins.count() == 5
+    assert {r.name: [list(v) for v in r.impls] for r in nodes.collect()} == {"a": [[3, 0, 1]], "b": [[0, 0, 0]], "p": [[0, 0, 0]]} and {r.name: r.width for r in edges.collect()}["e3"] == 4
+    (tmp_path / "bad.xml").write_text("<graph><node><name>a</name><source_edges><name>no</name></source_edges><sink_edges><name>no</name></sink_edges></node><edge><name>e</name><weight>1</weight></edge></graph>")
+    with pytest.raises(Exception, match="no such edge: no"):
+        graph_xml.read(spark, str(tmp_path / "bad.xml"))[1].collect()
 
 
 @contextlib.contextmanager
