@@ -177,7 +177,7 @@ SQL: dict[str, str] = {
         SELECT * FROM ranked WHERE rank <= 5""",
     "op13_merkle_manifest": f"""
         WITH RECURSIVE hashed AS (
-            SELECT doc_id, lang, sha256({_HEAD_SQL} || {_field_sql('text')}) AS leaf, CASE WHEN coalesce({_CRC_SQL} % 3 = 0, false) THEN sha256({_HEAD_SQL} || {_field_sql(f'({_LOWER_SQL})')}) END AS tampered FROM documents),
+            SELECT doc_id, lang, sha256({_HEAD_SQL} || {_field_sql('text')}) AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC_SQL} % 3 = 0 THEN sha256({_HEAD_SQL} || {_field_sql(f'({_LOWER_SQL})')}) END AS tampered FROM documents),
         placed AS (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST, doc_id NULLS FIRST, leaf) AS row, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree FROM hashed),
         leaves AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY row) - 1 AS idx, leaf AS hash FROM placed),
         {_tree_sql('leaves', 'nodes')},
