@@ -103,7 +103,8 @@ def evaluated(waiting: DataFrame, fresh: DataFrame) -> DataFrame:
     upto = F.aggregate("slots", F.lit(0), lambda a, s: F.greatest(a, F.coalesce(s["level"], F.lit(0))))
     known = filled.select("*", F.get(empty, F.lit(0))["wire"].alias("waits_for"), (F.size(empty) == 0).alias("direct"), starts.alias("starts"), upto.alias("upto"))
     # the output, and what it would be if the one input that is open were 1
-    both = F.transform(F.array(F.lit(0.0), F.when(F.col("starts"), 1.0).otherwise(0.0)), lambda x: cells.output(F.col("kind"), F.col("init"), F.transform("slots", lambda s: F.coalesce(s["p1"], x))))
+    asked_for = F.when(F.col("starts"), F.array(F.lit(0.0), F.lit(1.0))).when(F.col("direct"), F.array(F.lit(0.0)))  # none of the others
+    both = F.transform(asked_for, lambda x: cells.output(F.col("kind"), F.col("init"), F.transform("slots", lambda s: F.coalesce(s["p1"], x))))
     out = known.withColumn("out", both)
     zero, one, on = F.get("out", F.lit(0)), F.get("out", F.lit(1)), F.col("on")
     p1 = F.when(F.col("direct"), zero).when(on.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("line.a") + F.col("line.b") * on["p1"])))
