@@ -35,7 +35,7 @@ def chaco_header(line: str) -> tuple[int, int, int]:
 def chaco_edges(lines: DataFrame, mode: int) -> DataFrame:
     """(u, v, weight), u < v, of the node lines (node_id, value) of a CHACO graph; each edge stands on both its lines."""
     has_node, has_edge = MODES[mode]
-    numbers = F.transform(F.filter(F.split(F.trim("value"), "\\s+"), lambda x: x != ""), lambda x: x.cast("int"))
+    numbers = F.transform(F.filter(F.split(F.trim("value"), "\\s+"), lambda x: x != ""), lambda x: x.cast("long"))
     rest = F.slice(numbers, 2, F.greatest(F.size(numbers) - 1, F.lit(0))) if has_node else numbers
     step = 2 if has_edge else 1
     listed = lines.select(F.col("node_id").alias("u"), rest.alias("r")).where(F.size("r") > 0)
