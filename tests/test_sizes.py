@@ -23,3 +23,9 @@ def test_chaco_roundtrip_of_large_keys(spark, tmp_path):
     duck = duckdb.connect()
     duck.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == sorted(duck.sql(f"SELECT u, v, weight FROM ({oracles.SQL['fmt_chaco_roundtrip']})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["hg_run_costs", "hg_kway_min_cost"])
+def test_runs_are_bits_of_a_mask(spark, name):
+    """No pin is repeated for each run."""
+    assert "Generate explode(" not in plan(queries.QUERIES[name](spark, SF))
