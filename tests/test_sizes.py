@@ -25,6 +25,18 @@ def test_chaco_roundtrip_of_large_keys(spark, tmp_path):
     assert got == sorted(duck.sql(f"SELECT u, v, weight FROM ({oracles.SQL['fmt_chaco_roundtrip']})").fetchall())
 
 
+def test_histogram_reads_its_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def cost(x):
+        seen.add(1)
+        return float(x * x)
+
+    found = hypergraph.run_histogram(spark.range(32).select(cost("id").alias("cost")), "cost", cumulative=True).collect()
+    assert seen.value == 32 and max(r.n for r in found) == 32
+
+
 @pytest.mark.parametrize("name", ["hg_run_costs", "hg_kway_min_cost"])
 def test_runs_are_bits_of_a_mask(spark, name):
     """No pin is repeated for each run."""
