@@ -34,15 +34,17 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, as_one: bool = False) -> DataFrame:
     """(file, line_no, value), from 0 on in each file: numbers within splits, plus the lines of the splits before.
 
+    as_one: the files are the parts of one text, in the order of their names, and numbers go on from one to the next.
     Two scans, without Python: one counts, one reads. Both deal splits to tasks alike; a line that would show otherwise is an
     error.
     """
     rows = lines(spark, path).withColumn("at", F.monotonically_increasing_id())
     spans = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each split
+    order = Window.partitionBy().orderBy("file", "block") if as_one else Window.partitionBy("file").orderBy("block")  # a row for each split
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = rows.join(spans.withColumn("before", before), ["file", "block"])
     local = F.col("at") - F.col("first")
     sound = F.when((local >= 0) & (local < F.col("n")), local).otherwise(F.raise_error(F.lit("splits were dealt anew between two scans")))

@@ -25,6 +25,15 @@ def test_chaco_roundtrip_of_large_keys(spark, tmp_path):
     assert got == sorted(duck.sql(f"SELECT u, v, weight FROM ({oracles.SQL['fmt_chaco_roundtrip']})").fetchall())
 
 
+def test_numbered_lines_of_parts(spark, tmp_path):
+    """The parts of one text: numbers go on from file to file, empty ones included."""
+    (tmp_path / "text").mkdir()
+    for name, value in {"part-0": "a\nb\n", "part-1": "", "part-2": "c\n", "part-3": "d\ne\n"}.items():
+        (tmp_path / "text" / name).write_text(value)
+    got = sorted((r.line_no, r.value) for r in text_formats.numbered_lines(spark, str(tmp_path / "text"), as_one=True).collect())
+    assert got == list(enumerate("abcde"))
+
+
 def test_histogram_reads_its_runs_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
