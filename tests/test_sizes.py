@@ -50,3 +50,18 @@ def test_histogram_reads_its_runs_once(spark):
 def test_runs_are_bits_of_a_mask(spark, name):
     """No pin is repeated for each run."""
     assert "Generate explode(" not in plan(queries.QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_left_sides_are_coefficients_times_values(spark, sparse):
+    nodes = spark.createDataFrame([(i, [[i + 1, 0], [0, 2 * i + 1]][: 1 + i % 2], i % 2) for i in range(40)], "node_id long, impls array<array<int>>, sel int")
+    pins = spark.createDataFrame([(e, (7 * e + 5 * i) % 40) for e in range(30) for i in range(2 + e % 3)], "edge_id long, node_id long")
+    edges = spark.createDataFrame([(e, 1.0) for e in range(30)], "edge_id long, width double")
+    values = ilp.solution(nodes, pins, edges, nodes.select("node_id", (F.col("node_id") % 3 % 2).cast("int").alias("part"))).select("name", "value")
+    if sparse:
+        values = values.where("value <> 0")
+    rows = ilp.coefficients(nodes, pins, edges, 0.01).withColumnRenamed("variable", "of").join(values.withColumnRenamed("name", "of"), "of", "left")
+    want = {r.row: r.lhs for r in rows.groupBy("row").agg(F.sum(F.col("val") * F.coalesce("value", F.lit(0))).alias("lhs")).collect()}
+    got = {r.name: r.lhs for r in ilp.left_sides(nodes, pins, edges, 0.01, values).collect()}
+    assert set(got) == set(want) and len(got) == 4 + 40 + 6 * 30
+    assert got == pytest.approx(want)
