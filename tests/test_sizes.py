@@ -65,3 +65,13 @@ def test_left_sides_are_coefficients_times_values(spark, sparse):
     got = {r.name: r.lhs for r in ilp.left_sides(nodes, pins, edges, 0.01, values).collect()}
     assert set(got) == set(want) and len(got) == 4 + 40 + 6 * 30
     assert got == pytest.approx(want)
+
+
+def test_coefficients_count_a_net_by_its_pins(spark):
+    """Not by its pins' variables in both parts."""
+    nodes = spark.createDataFrame([(1, [[1], [2]], 0), (2, [[3]], 0)], "node_id long, impls array<array<int>>, sel int")
+    pins, edges = spark.createDataFrame([(5, 1), (5, 2)], "edge_id long, node_id long"), spark.createDataFrame([(5, 1.0)], "edge_id long, width double")
+    found = ilp.coefficients(nodes, pins, edges, 0.01)
+    assert {(r.row, r.val) for r in found.where("variable LIKE 'C%' AND row LIKE 'T%'").collect()} == {("TA_5", 3.0), ("TB_5", 3.0)}
+    grouped = [line for line in plan(found).splitlines() if "Aggregate [edge_id" in line]
+    assert grouped and not any(", part" in line for line in grouped)
