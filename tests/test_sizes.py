@@ -75,3 +75,9 @@ def test_coefficients_count_a_net_by_its_pins(spark):
     assert {(r.row, r.val) for r in found.where("variable LIKE 'C%' AND row LIKE 'T%'").collect()} == {("TA_5", 3.0), ("TB_5", 3.0)}
     grouped = [line for line in plan(found).splitlines() if "Aggregate [edge_id" in line]
     assert grouped and not any(", part" in line for line in grouped)
+
+
+def test_verilog_lines_are_dealt_before_they_are_parsed(spark):
+    lines = plan(queries.QUERIES["verilog_parse"](spark, SF)).splitlines()
+    parse = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
+    assert any("RepartitionByExpression" in line for line in lines[parse:])
