@@ -81,3 +81,10 @@ def test_verilog_lines_are_dealt_before_they_are_parsed(spark):
     lines = plan(queries.QUERIES["verilog_parse"](spark, SF)).splitlines()
     parse = next(i for i, line in enumerate(lines) if "MapInArrow" in line)
     assert any("RepartitionByExpression" in line for line in lines[parse:])
+
+
+def test_supernodes_go_to_workers_in_batches(spark):
+    members = spark.createDataFrame([(i // 4, i, [[i, 0], [0, 1]], i % 2) for i in range(16)], "super_id long, node_id long, impls array<array<int>>, sel int")
+    found = implementations.supernode_implementations(members)
+    assert "FlatMapGroupsInPandas" not in plan(found)
+    assert {r.super_id: r.impls[0] for r in found.collect()}[1] == [4 + 6, 2]
