@@ -88,3 +88,10 @@ def test_supernodes_go_to_workers_in_batches(spark):
     found = implementations.supernode_implementations(members)
     assert "FlatMapGroupsInPandas" not in plan(found)
     assert {r.super_id: r.impls[0] for r in found.collect()}[1] == [4 + 6, 2]
+
+
+@pytest.mark.parametrize(("name", "most"), [("hg_coarse_cut", 2), ("hg_contract", 2)])
+def test_repeats_fall_away_once(spark, name, most):
+    """Pins are made distinct between the clusters alone: one aggregation without sums for each, no other degree of the nets before."""
+    text = plan(queries.QUERIES[name](spark, SF))
+    assert text.count("_degree") > 0 and sum("Aggregate [edge_id" in line and "node_id" in line and "count" not in line and "sum" not in line for line in text.splitlines()) <= most
