@@ -38,12 +38,12 @@ def lut(inputs: Column, init: Column) -> Column:
 
     init is a long, as a bit pattern; there are six inputs at most.
     """
-    minterms = F.sequence(F.lit(0), F.lit(63))
+    minterms = F.sequence(F.lit(0), F.least(F.lit(63), (F.pow(F.lit(2), F.greatest(F.size(inputs), F.lit(0))) - 1).cast("int")))
 
     def term(m: Column) -> Column:
         return F.aggregate(F.transform(inputs, lambda p, i: F.when(bit(m, i) == 1, p).otherwise(1 - p)), F.lit(1.0), lambda a, x: a * x)
 
-    used = F.filter(minterms, lambda m: (m < F.pow(F.lit(2), F.size(inputs))) & (bit(init, m) == 1))
+    used = F.filter(minterms, lambda m: bit(init, m) == 1)
     return F.aggregate(F.transform(used, term), F.lit(0.0), lambda a, x: a + x)
 
 

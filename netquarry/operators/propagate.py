@@ -7,12 +7,17 @@ seeds(wire, p1): known wires.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from netquarry.functions import cells
-from netquarry.operators.tables import release, remove, settle, shared_folder
+from netquarry.operators.tables import mkdirs, release, settle, shared_folder
 
 UNKNOWN = 0.5
 
@@ -32,93 +37,245 @@ def propagate(gates: DataFrame, seeds: DataFrame) -> DataFrame:
     that use them, and the levels go on; their own probability follows from their inputs like any other. A gate's level is one
     more than its inputs' highest; a wire that counts as 0.5 on a loop has the highest level known by then.
 
-    A round joins the wires that the last one found with the inputs that wait for them; gates that are done leave the table. A
-    gate that waits for one input alone is a straight line in its probability: such lines are put together link by link, so
-    that a chain of gates takes rounds by the logarithm of its length. Each round writes one table; what still waited in the
-    one before is removed.
+    A round gives the wires that the last one found to the inputs that wait for them, and looks at the gates that got some; the
+    others are neither moved nor written again. A gate that waits for one input alone is a straight line in its probability:
+    such lines are put together, so that a chain of gates is known in one round with the wire that it begins from.
     """
     spark = gates.sparkSession
     if "kind" not in gates.columns:
         gates = gates.withColumn("kind", F.lit("lut"))
     gates = settle(drivers(gates).join(seeds.select("wire"), "wire", "left_anti").select("wire", "kind", "init", "inputs"))
-    seeds = settle(seeds.select("wire", F.col("p1").cast("double").alias("p1")))
+    seeds = seeds.select("wire", F.col("p1").cast("double").alias("p1"))
     used = gates.select(F.explode("inputs").alias("wire")).where(F.col("wire").isNotNull()).distinct()
     undriven = used.join(gates.select("wire"), "wire", "left_anti").join(seeds.select("wire"), "wire", "left_anti").select("wire", F.lit(UNKNOWN).alias("p1"))
-    fresh = settle(seeds.unionByName(undriven).withColumn("level", F.lit(0)))
-    slots = F.transform("inputs", lambda w: F.struct(w.alias("wire"), F.when(w.isNull(), UNKNOWN).alias("p1"), F.when(w.isNull(), 0).alias("level")))
-    waiting = unlined(gates.select("wire", "kind", "init", slots.alias("slots")))
-    place = f"{shared_folder(spark).rstrip('/')}/levels-{uuid.uuid4().hex}"
-    done, left, highest, number = [fresh.settled_at], gates.count(), 0, 0
+    alone = F.size("inputs") == 0
+    constant = gates.where(alone).select("wire", cells.output(F.col("kind"), F.col("init"), F.array().cast("array<double>")).alias("p1"), F.lit(1).alias("level"))
+    done = [settle(seeds.unionByName(undriven).withColumn("level", F.lit(0)).unionByName(constant))]
+    rows = settle(gates.where(~alone).select(F.col("wire").alias("gate"), "kind", "init", F.size("inputs").alias("need"), F.posexplode("inputs").alias("slot", "wire")))
+    left, highest, broken = gates.where(~alone).count(), done[0].agg(F.max("level")).first()[0] or 0, None
+    release(gates)
     while left:
-        seen, number = Observation(), number + 1
-        known = F.col("p1").isNotNull()
-        found = evaluated(waiting, fresh).observe(seen, F.count(F.when(known, 1)).alias("n"), F.max("level").alias("level"))
-        found.withColumn("known", known).write.partitionBy("known").parquet(f"{place}/round-{number}")
-        n, highest = seen.get["n"], max(highest, seen.get["level"] or 0)
-        remove(spark, f"{place}/round-{number - 1}/known=false")
-        left -= n
-        if n:
-            done.append(f"{place}/round-{number}/known=true")
-            fresh = spark.read.schema("wire string, p1 double, level int").parquet(done[-1])
+        values = together(done)
+        if broken is not None:
+            values = broken.unionByName(values.join(broken.select("wire"), "wire", "left_anti"))
+        waiting = opened(rows, values)
+        fresh, every, rounds = None, LINES_EVERY, 0
+        while True:
+            seen = Observation()
+            found = complete(waiting.got[0]) if fresh is None else evaluated(waiting, fresh)
+            fresh = settle(found.observe(seen, F.count(F.lit(1)).alias("n"), F.max("level").alias("level")))
+            waiting.fresh = n = seen.get["n"]
+            highest, left = max(highest, seen.get["level"] or 0), left - n
+            if n:
+                done.append(fresh)
+            if not left or not n:
+                break
+            rounds += 1
+            if rounds == every:
+                every, rounds = LINES_EVERY if put_together(waiting, fresh) > 2 * every else 2 * every, 0
+        release(waiting.edges, waiting.lines, *waiting.got)
         if left:
-            waiting = spark.read.schema(found.drop("p1", "level").schema).parquet(f"{place}/round-{number}/known=false")
-            if not n:
-                broken = smallest_on_loops(waiting)
-                fresh, waiting = settle(broken.withColumn("level", F.lit(highest))), unlined(waiting)
-    release(gates)
-    return spark.read.schema("wire string, p1 double, level int").parquet(*done)
+            rest = settle(rows.join(together(done).select(F.col("wire").alias("gate")), "gate", "left_anti"))
+            release(rows)
+            rows, seen_wires = rest, together(done).select("wire")
+            if broken is not None:
+                seen_wires = seen_wires.unionByName(broken.select("wire"))
+            new = smallest_on_loops(rows.where(F.col("wire").isNotNull()).join(seen_wires, "wire", "left_anti")).withColumn("level", F.lit(highest))
+            broken = settle(new if broken is None else broken.unionByName(new))
+    release(rows)
+    return together(done)
 
 
-#: What a waiting gate knows of the one input that it waits for: p1 is a + b times that of the wire on_wire, and the level at
-#: least since and hops over the wire's.
-LINE = "struct<on_wire:string,a:double,b:double,hops:int,since:int>"
+#: What a waiting gate knows of the one input that it waits for: p1 is a + b times that of the wire, and the level at least
+#: since and hops over the wire's.
+LINE = "gate string, wire string, a double, b double, hops int, since int"
 MOST_HOPS = 1 << 28
+#: Rounds after which lines are put together again; twice as many after a time that found none longer than these.
+LINES_EVERY = 4
+#: Lines that one task puts together.
+LINES_A_TASK = 1 << 17
+#: Inputs are written again, without those that are known, once one in so many of them is found.
+PART_FOUND = 8
+
+
+@dataclass
+class Waiting:
+    """Gates that wait. edges(wire, gate, slot, kind, init, need): inputs of gates without a line, those of passed wires may be
+    among them; got: tables of inputs with p1 and level; lines: of gates that are in edges no more."""
+
+    edges: DataFrame
+    n_edges: int
+    got: list[DataFrame]
+    lines: DataFrame | None = None
+    passed: list[DataFrame] = field(default_factory=list)
+    fresh: int = 0
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Rows of settled tables of one kind, as one table of all their files."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[x.settled_at for x in tables])
+
+
+GOT = ("gate", "slot", "kind", "init", "need", "p1", "level")
+
+
+def split(edges: DataFrame, values: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, int, DataFrame]:
+    """Edges whose wires have no value yet and how many, and the inputs that have one; more: inputs that go with these."""
+    seen = Observation()
+    rows = edges.join(values, "wire", "left")
+    if more is not None:
+        rows = rows.unionByName(more)
+    rows = rows.withColumn("known", F.col("level").isNotNull()).observe(seen, F.count(F.when(F.col("level").isNull(), 1)).alias("n"))
+    place = f"{shared_folder(edges.sparkSession).rstrip('/')}/inputs-{uuid.uuid4().hex}"
+    rows.write.partitionBy("known").parquet(place)
+    tables = []
+    for known, columns in (("false", edges.columns), ("true", GOT)):
+        schema, at = rows.select(*columns).schema, f"{place}/known={known}"
+        mkdirs(edges.sparkSession, at)
+        tables.append(edges.sparkSession.read.schema(schema).parquet(at))
+        tables[-1].settled_at = at
+    return tables[0], seen.get["n"], tables[1]
+
+
+def opened(rows: DataFrame, values: DataFrame) -> Waiting:
+    """All gates of rows, with the values that are known; inputs that are not connected are unknown."""
+    open_inputs = rows.where(F.col("wire").isNull()).withColumns({"p1": F.lit(UNKNOWN), "level": F.lit(0)})
+    edges, n, got = split(rows.where(F.col("wire").isNotNull()), values, open_inputs)
+    return Waiting(edges, n, [got])
+
+
+def outputs(*inputs: Column) -> Column:
+    """A gate's output for each of some arrays of inputs, which are computed once, not at each place where the formula has them."""
+    return F.transform(F.array(*inputs), lambda p: cells.output(F.col("kind"), F.col("init"), p))
+
 
+def complete(got: DataFrame) -> DataFrame:
+    """(wire, p1, level) of the gates that have all their inputs."""
+    of = got.groupBy("gate").agg(F.first("kind").alias("kind"), F.first("init").alias("init"), F.first("need").alias("need"), F.max("level").alias("upto"), F.array_sort(F.collect_list(F.struct("slot", "p1"))).alias("got"))  # a gate's inputs
+    p1 = F.get(outputs(F.col("got.p1")), F.lit(0))
+    return of.where(F.size("got") == F.col("need")).select(F.col("gate").alias("wire"), p1.alias("p1"), (F.col("upto") + 1).cast("int").alias("level"))
 
-def unlined(waiting: DataFrame) -> DataFrame:
-    return waiting.select("wire", "kind", "init", "slots", F.lit(None).cast(LINE).alias("line"))
-
-
-def evaluated(waiting: DataFrame, fresh: DataFrame) -> DataFrame:
-    """waiting with the fresh wires' probabilities in its slots, lines put together, and p1 and level of the gates that are known now."""
-    # a line on a wire that has a line itself goes on to that one's wire
-    lined = waiting.where(F.col("line").isNotNull()).select(F.col("wire").alias("_of"), F.col("line").alias("_next"))
-    one, two = F.col("line"), F.col("_next")
-    longer = F.struct(
-        two["on_wire"].alias("on_wire"), (one["a"] + one["b"] * two["a"]).alias("a"), (one["b"] * two["b"]).alias("b"), F.least(one["hops"] + two["hops"], F.lit(MOST_HOPS)).alias("hops"),
-        F.greatest(one["since"], F.least(one["hops"] + two["since"], F.lit(MOST_HOPS))).alias("since"))
-    linked = waiting.join(lined, F.col("line.on_wire") == F.col("_of"), "left").withColumn("line", F.when(two.isNotNull(), longer).otherwise(one)).drop("_of", "_next")
-    asked = waiting.select(F.col("wire").alias("gate"), F.explode(F.filter("slots", lambda s: s["p1"].isNull())).alias("s")).select("gate", F.col("s.wire").alias("wire"))
-    asked = asked.unionByName(linked.where(F.col("line").isNotNull()).select(F.col("wire").alias("gate"), F.col("line.on_wire").alias("wire"))).distinct()
-    got = asked.join(fresh, "wire").groupBy("gate").agg(F.map_from_entries(F.collect_list(F.struct("wire", F.struct("p1", "level")))).alias("got"))  # a gate's inputs
-    joined = linked.join(got.withColumnRenamed("gate", "wire"), "wire", "left")
-    have = lambda s: F.try_element_at("got", s["wire"])
-    slots = F.transform("slots", lambda s: F.struct(s["wire"].alias("wire"), F.coalesce(s["p1"], have(s)["p1"]).alias("p1"), F.coalesce(s["level"], have(s)["level"]).alias("level")))
-    filled = joined.select("wire", "kind", "init", slots.alias("slots"), "line", F.try_element_at("got", F.col("line.on_wire")).alias("on"))
-    empty = F.filter("slots", lambda s: s["p1"].isNull())
+
+def evaluated(waiting: Waiting, fresh: DataFrame) -> DataFrame:
+    """(wire, p1, level) of the gates that the fresh wires make known."""
+    waiting.passed.append(fresh)
+    if waiting.fresh * PART_FOUND > waiting.n_edges:
+        edges, waiting.n_edges, hits = split(waiting.edges, fresh)
+        release(waiting.edges)
+        waiting.edges = edges
+    else:
+        hits = settle(waiting.edges.join(fresh, "wire").select(*GOT))
+    waiting.got.append(hits)
+    found = complete(together(waiting.got).join(hits.select("gate").distinct(), "gate", "left_semi"))
+    if waiting.lines is not None:
+        on = waiting.lines.join(fresh, "wire")
+        p1 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("a") + F.col("b") * F.col("p1")))
+        found = found.unionByName(on.select(F.col("gate").alias("wire"), p1.alias("p1"), F.greatest("since", F.col("hops") + F.col("level")).cast("int").alias("level")))
+    return found
+
+
+def put_together(waiting: Waiting, fresh: DataFrame) -> int:
+    """Makes lines of the gates that wait for one input alone, all lines as long as they can be; returns how many gates the longest has.
+
+    Gates may wait for fresh wires, which the next round gives them, but these have no line themselves any more.
+    """
+    edges = settle(waiting.edges.join(together(waiting.passed).select("wire"), "wire", "left_anti"))
+    one = edges.groupBy("gate").agg(F.count(F.lit(1)).alias("open"), *[F.first(c).alias(c) for c in ("wire", "slot", "kind", "init", "need")]).where("open = 1").drop("open")
+    known = together(waiting.got).groupBy("gate").agg(F.max("level").alias("upto"), F.collect_list(F.struct("slot", "p1")).alias("got"))  # a gate's inputs
+    single = one.where("need = 1").withColumns({"upto": F.lit(0), "got": F.array().cast("array<struct<slot:int,p1:double>>")})
+    rows = single.unionByName(one.where("need > 1").join(known, "gate"))
+    at = lambda x: F.array_sort(F.concat("got", F.array(F.struct("slot", F.lit(x).alias("p1")))))["p1"]
     # a carry chain's two beginnings exclude one another, so that it has no line as long as one of them is open and the other may be 1
-    slot = lambda i: F.get("slots", F.lit(i))["p1"]
-    open_start = F.col("kind").isin("co", "sum") & ((slot(0).isNull() & (slot(1) > 0)) | (slot(1).isNull() & (slot(0) > 0)))
-    starts = F.col("line").isNull() & (F.size(empty) == 1) & F.col("on").isNull() & ~F.coalesce(open_start, F.lit(False))
-    upto = F.aggregate("slots", F.lit(0), lambda a, s: F.greatest(a, F.coalesce(s["level"], F.lit(0))))
-    known = filled.select("*", F.get(empty, F.lit(0))["wire"].alias("waits_for"), (F.size(empty) == 0).alias("direct"), starts.alias("starts"), upto.alias("upto"))
-    # the output, and what it would be if the one input that is open were 1
-    asked_for = F.when(F.col("starts"), F.array(F.lit(0.0), F.lit(1.0))).when(F.col("direct"), F.array(F.lit(0.0)))  # none of the others
-    both = F.transform(asked_for, lambda x: cells.output(F.col("kind"), F.col("init"), F.transform("slots", lambda s: F.coalesce(s["p1"], x))))
-    out = known.withColumn("out", both)
-    zero, one, on = F.get("out", F.lit(0)), F.get("out", F.lit(1)), F.col("on")
-    p1 = F.when(F.col("direct"), zero).when(on.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("line.a") + F.col("line.b") * on["p1"])))
-    level = F.when(F.col("direct"), F.col("upto") + 1).when(on.isNotNull(), F.greatest(F.col("line.since"), F.col("line.hops") + on["level"]))
-    line = F.struct(F.col("waits_for").alias("on_wire"), zero.alias("a"), (one - zero).alias("b"), F.lit(1).alias("hops"), (F.col("upto") + 1).alias("since"))
-    return out.select("wire", "kind", "init", "slots", F.when(F.col("starts"), line).otherwise(F.col("line")).cast(LINE).alias("line"), p1.alias("p1"), level.cast("int").alias("level"))
+    other = F.filter("got", lambda x: (x["slot"] < 2) & (x["p1"] > 0))
+    rows = rows.where(~(F.col("kind").isin("co", "sum") & (F.col("slot") < 2) & (F.size(other) > 0)))
+    out = F.col("out")
+    lines = rows.select("gate", "wire", outputs(at(0.0), at(1.0)).alias("out"), "upto").select("gate", "wire", out[0].alias("a"), (out[1] - out[0]).alias("b"), F.lit(1).alias("hops"), (F.col("upto") + 1).cast("int").alias("since"))
+    if waiting.lines is not None:
+        lines = lines.unionByName(waiting.lines.join(together([*waiting.passed, fresh]).select(F.col("wire").alias("gate")), "gate", "left_anti"))
+    lines = settle(lines)
+    n = lines.count()
+    longest = 0
+    if n:
+        whole = contracted(lines, n, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        longest = whole.where(F.col("hops") <= n).agg(F.max("hops")).first()[0] or 0  # more than there are: on a loop
+        rest = settle(edges.join(whole.select("gate"), "gate", "left_anti"))
+        release(edges, waiting.lines)
+        waiting.lines, edges = whole, rest
+    release(waiting.edges)
+    waiting.edges, waiting.n_edges = edges, edges.count()
+    return longest
+
+
+def contracted(lines: DataFrame, n: int, least: int = 1) -> DataFrame:
+    """lines, each on the wire that its chain begins from; on a loop on some wire of it. Replaces the table.
+
+    Names that are near one another are often linked: a task puts together what is linked within a range of names, and the
+    lines that go over from range to range, if they are clearly fewer, are put together in the same way.
+    """
+    parts = max(least, -(-n // LINES_A_TASK))
+    short = settle(lines.repartitionByRange(parts, "gate").mapInArrow(contracted_in_task, LINE) if parts > 1 else lines.coalesce(1).mapInArrow(contracted_in_task, LINE))
+    release(lines)
+    if parts == 1:
+        return short
+    heads = settle(short.join(short.select(F.col("wire").alias("gate")).distinct(), "gate", "left_semi"))
+    m = heads.count()
+    if not m:
+        release(heads)
+        return short
+    ends = contracted(heads, m) if 2 * m <= n else doubled(heads, m)
+    whole = settle(joined_lines(short, ends))
+    release(short, ends)
+    return whole
+
+
+def joined_lines(lines: DataFrame, ends: DataFrame) -> DataFrame:
+    """lines, those on a wire that has a line of its own in ends taken on to that one's wire."""
+    next_ = ends.select(F.col("gate").alias("wire"), *[F.col(c).alias(f"_{c}") for c in ("wire", "a", "b", "hops", "since")])
+    most = F.lit(MOST_HOPS)
+    longer = {
+        "wire": F.col("_wire"), "a": F.col("a") + F.col("b") * F.col("_a"), "b": F.col("b") * F.col("_b"), "hops": F.least(F.col("hops") + F.col("_hops"), most),
+        "since": F.greatest("since", F.least(F.col("hops") + F.col("_since"), most))}
+    return lines.join(next_, "wire", "left").select("gate", *[F.when(F.col("_wire").isNotNull(), x).otherwise(F.col(c)).alias(c) for c, x in longer.items()])
+
+
+def doubled(lines: DataFrame, n: int) -> DataFrame:
+    """As contracted(), link by link, each time twice as far."""
+    for _ in range(n.bit_length()):
+        new = settle(joined_lines(lines, lines))
+        release(lines)
+        lines = new
+        if lines.join(lines.select(F.col("gate").alias("wire")), "wire", "left_semi").isEmpty():
+            break
+    return lines
+
+
+def contracted_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a task, each taken along those of the task as far as they go, by doubling."""
+    batches = list(batches)
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    wires = table["wire"].combine_chunks()
+    at = pc.index_in(wires, value_set=table["gate"].combine_chunks()).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    a, b, hops, since = (table[c].to_numpy().copy() for c in ("a", "b", "hops", "since"))
+    last = np.arange(len(at))  # the line whose wire this one is on
+    for _ in range(len(at).bit_length() + 1):
+        i = np.flatnonzero(at >= 0)
+        if not len(i):
+            break
+        j = at[i]
+        new = a[i] + b[i] * a[j], b[i] * b[j], np.maximum(since[i], np.minimum(hops[i] + since[j], MOST_HOPS)), np.minimum(hops[i] + hops[j], MOST_HOPS), last[j], at[j]
+        a[i], b[i], since[i], hops[i], last[i], at[i] = new
+    done = pa.table({"gate": table["gate"], "wire": wires.take(pa.array(last)), "a": a, "b": b, "hops": pa.array(hops, pa.int32()), "since": pa.array(since, pa.int32())})
+    yield from done.to_batches(max_chunksize=1 << 14)
 
 
 def smallest_on_loops(waiting: DataFrame) -> DataFrame:
     """(wire, p1): of the wires that lie on a loop or between loops, those smaller than all they are linked with, as unknown.
 
-    All gates wait, so each has a predecessor that waits; wires from which no loop can be reached are taken away.
+    waiting(wire, gate): all gates wait, so each has a predecessor that waits; wires from which no loop can be reached are taken away.
     """
-    links = trimmed(waiting.select(F.col("wire").alias("to"), F.explode(F.filter("slots", lambda s: s["p1"].isNull())).alias("s")).select(F.col("s.wire").alias("wire"), "to").distinct())
+    links = trimmed(waiting.select("wire", F.col("gate").alias("to")).distinct())
     both = links.select("wire", F.col("to").alias("other")).unionByName(links.select(F.col("to").alias("wire"), F.col("wire").alias("other")))
     return both.groupBy("wire").agg(F.min("other").alias("least")).where("wire <= least").select("wire", F.lit(UNKNOWN).alias("p1"))
 

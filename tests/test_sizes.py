@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from netquarry.operators import hypergraph, ilp, implementations
+from netquarry.operators import hypergraph, ilp, implementations, propagate
 from netquarry.plans import oracles, queries
 from netquarry.sources import text_formats
 
@@ -95,3 +95,13 @@ def test_repeats_fall_away_once(spark, name, most):
     """Pins are made distinct between the clusters alone: one aggregation without sums for each, no other degree of the nets before."""
     text = plan(queries.QUERIES[name](spark, SF))
     assert text.count("_degree") > 0 and sum("Aggregate [edge_id" in line and "node_id" in line and "count" not in line and "sum" not in line for line in text.splitlines()) <= most
+
+
+def test_a_chain_takes_rounds_whatever_its_length(spark, monkeypatch):
+    """Lines are put together within ranges of names, over them, and link by link where names do not help."""
+    n, written, before = 600, [], propagate.evaluated
+    gates = [(f"w{i * 7 % n}" if i else "w0", "lut", 1, [f"w{(i - 1) * 7 % n}"]) for i in range(1, n)]
+    monkeypatch.setattr(propagate, "evaluated", lambda w, f: (written.append(1), before(w, f))[1])
+    monkeypatch.setattr(propagate, "LINES_A_TASK", 64)
+    got = {r.wire: (r.p1, r.level) for r in propagate.propagate(spark.createDataFrame(gates, "wire string, kind string, init long, inputs array<string>"), spark.createDataFrame([("w0", 0.25)], "wire string, p1 double")).collect()}
+    assert got == {f"w{i * 7 % n}": (0.75 if i % 2 else 0.25, i) for i in range(n)} and len(written) <= 6
